@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, token_store
+from . import chat, decontaminate, mixture, near_dups, token_store
 
 END_ID = 2
 
@@ -31,9 +31,25 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = mixture.mixture_copies(table(spark, sf_dir, "documents"))
+    return copies.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_decontamination": op3_decontamination,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_mixture": op6_mixture,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": chat.ORACLE}
