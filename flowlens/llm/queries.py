@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixture, near_dups, token_store
+from . import chat, decontaminate, mixture, near_dups, quality, token_store
 
 END_ID = 2
 
@@ -40,6 +40,11 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.KEEP_AT, 1).otherwise(0).alias("predicted"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_chats(table(spark, sf_dir, "conversations"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_mixture": op6_mixture,
+    "op8_quality": op8_quality,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
