@@ -73,10 +73,12 @@ def _densify(signatures: np.ndarray, filled: np.ndarray) -> None:
 
 
 class Signer:
-    """Set size, set fingerprint and band keys of texts."""
+    """Set size, set fingerprint and band keys of texts.  A Python worker remembers words from task to task."""
+
+    known: dict[bytes, int] = {}
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width = width
 
     def word_hashes(self, words: list[bytes]) -> np.ndarray:
         import xxhash

@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Every word of a text stands for two terms, its letters in lower case and its shape (case, digits and
-marks, runs collapsed), both dealt by hash to a fixed number of terms.  Each term has a fixed sparse random index
+marks, runs collapsed; one shape of its own for a word that repeats the one before), both dealt by hash to a fixed number of terms.  Each term has a fixed sparse random index
 vector; a term's word vector is the sum, over the whole corpus, of the index vectors around its occurrences:
 the neighbouring words' terms and the word's shape.  Sums are of integers, so they don't depend on the order
 of tasks.  A document is the mean of its words' letter vectors, rarer ones weighing more, and the mean of its
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 LETTER_TERMS, SHAPE_TERMS, DIMENSIONS, NONZERO = 7168, 1024, 32, 2
 TERMS = LETTER_TERMS + SHAPE_TERMS
+#: The shape term of a word that is the same as the one before it.
+REPEATED = TERMS - 1
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH = 32, 30, 256
 KEEP_AT = 0.7
@@ -44,16 +46,17 @@ class _Shape(dict):
 
 
 class Terms:
-    """Terms of words, remembered: letter term and shape term of each word of a text."""
+    """Terms of words: letter term and shape term of each word of a text.  A Python worker remembers words from task to task."""
+
+    known: dict[str, int] = {}
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
         self.shapes, self.runs, self.marks = _Shape(), re.compile(r"(.)\1+", re.S), re.compile(r"[\W_]+")
 
     def learn(self, word: str) -> int:
         shape = self.runs.sub(r"\1", word.translate(self.shapes))
         letters = self.marks.sub("", word).lower()
-        return (zlib.crc32(letters.encode("utf-8", "replace")) % LETTER_TERMS) * TERMS + LETTER_TERMS + zlib.crc32(shape.encode("utf-8", "replace")) % SHAPE_TERMS
+        return (zlib.crc32(letters.encode("utf-8", "replace")) % LETTER_TERMS) * TERMS + LETTER_TERMS + zlib.crc32(shape.encode("utf-8", "replace")) % (SHAPE_TERMS - 1)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         known, words = self.known, (text or "").split()
@@ -66,7 +69,9 @@ class Terms:
                 if w not in known:
                     known[w] = self.learn(w)
             codes = np.array([known[w] for w in words], np.int64)
-        return codes // TERMS, codes % TERMS
+        shapes = codes % TERMS
+        shapes[1:][codes[1:] == codes[:-1]] = REPEATED
+        return codes // TERMS, shapes
 
 
 def index_vectors(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
