@@ -13,6 +13,7 @@ ordered by text.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,8 +31,8 @@ RANK_BITS = 512
 MAGIC = b"DAC1"
 #: Ids after which a segment is closed; a document is never split.
 SEGMENT_IDS = 1 << 18
-#: Words whose ids a task remembers; it forgets all of them when there are more.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker remembers, from task to task; it forgets all of them when there are more.
+CACHE_WORDS = 800_000
 
 SEGMENT_SCHEMA = "part int, seq int, n_docs int, n_tokens long, doc_ids array<long>, lengths array<int>, payload binary"
 DOC_SCHEMA = "part int, seq int, doc_id long, rel_start long, n_tokens long, ids_crc32 long"
@@ -119,6 +120,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.known: dict[str, bytes] = {}
 
+    @classmethod
+    @functools.cache
+    def of(cls, tokenizer_file: str) -> WordEncoder:
+        """The one of this Python worker."""
+        return cls(tokenizer_file)
+
     def learn(self, words: set[str]) -> None:
         known, parts = self.known, {}
         for word in words:
@@ -156,7 +163,7 @@ def segment_writer(tokenizer_file: str, end_id: int, segment_ids: int = SEGMENT_
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder.of(tokenizer_file), np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         held: list[bytes] = []
