@@ -1,10 +1,60 @@
-"""Corpus pipeline: quality, near-duplicates, benchmark passages, mixture, token ids."""
+"""Corpus pipeline: quality, near-duplicates, benchmark passages, mixture, token ids.
+
+Each stage takes all that the one before has kept; ``run`` writes each stage's rows as Parquet to the shared folder and rereads
+them.  All stages but the last return the columns of ``documents``; the last returns the token store's documents, as
+the store's files give them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from flowlens.llm import decontaminate, mixture, near_dups, quality, token_store
+from flowlens.llm.common import written
+from flowlens.llm.queries import END_ID, table, tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier scores at its threshold or more."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return near_dups.deduplicated(docs, width=5, threshold=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of a benchmark item."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources come to their target weights."""
+    return mixture.mixed(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token store and returns its documents as read back."""
+    return token_store.token_output(docs, tokenizer_path(), END_ID)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixture_stage),
+    ("token-ID binary output", token_stage),
+]
+
+#: The classifier's scores are beyond SQL; the pipeline is tested against a brute-force version.
+ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
