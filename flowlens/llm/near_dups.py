@@ -7,8 +7,9 @@ are taken together in bands; documents that agree in a whole band share a bucket
 
 A bucket proposes a star: its smallest document against each other one.  Links are confirmed on the full
 sets of shingles, taken from the texts.  A bucket whose members the confirmed links do not yet join is not left
-there: its members outside its largest component become centres too, 2, 4, 8, ... at a time, until
-every pair of members in different components has been compared.  No bucket is capped.
+there: its members are joined again by their sets' rarest shingles (an exact prefix filter), as stars and then from
+every member outside the largest component, until each such pair of members in different components has been
+compared.  No bucket is capped.
 
 ``doc_id`` names a document: rows that repeat one are one node with the links of all their texts, and each gets
 the result.  Documents of equal sets are one node from the start.  Null or blank texts, and null doc_ids, are
@@ -188,35 +189,73 @@ def _bucket_members(spark: SparkSession, rows: DataFrame, reps: DataFrame) -> Da
     return written(nodes.join(buckets, "key").select("key", "node", "n", "center", "center_n").distinct(), "members")
 
 
-def _resolve_open(members: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame, width: int, threshold: int) -> DataFrame:
-    """``labels`` after the buckets that hold more than one component have been gone through."""
-    tried = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+def _prefix_members(nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(key, node, n): the shingles of each node's prefix, as a written table.
+
+    Shingles are ordered by how many of ``nodes`` have them, rarest first.  Sets that overlap enough share one of the first
+    ``n - ceil(threshold * n) + 1`` of each; a passage that many documents share stands at the end of that order.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                some = batch.slice(at, 250)
+                sets = [signer.shingles(x).view(np.int64) for x in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "keys"])
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    wanted = texts.join(nodes, "node", "left_semi").select("node", "text")
+    rows = written(wanted.mapInArrow(cut, "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key")), "shingles")
+    shared = written(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    order = Window.partitionBy("node", "n").orderBy("df", "key")
+    ranked = rows.join(shared, "key", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", F.row_number().over(order))
+    prefix = ranked.where(f"rank <= n - ceil({threshold} * n / 100.0 - 1e-9) + 1 and df > 1")
+    return written(prefix.select("key", "node", "n").distinct(), "prefixes")
 
-    known = written(labelled(members.select("key", "node", "n")), "labelled")
-    open_keys = written(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key"), "open")
-    if open_keys.isEmpty():
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+
+
+def _open_keys(known: DataFrame) -> DataFrame:
+    """Keys whose members aren't one component."""
+    return known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+
+
+def _resolve_open(members: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame, width: int, threshold: int) -> DataFrame:
+    """``labels`` after all that the star has left open has been compared.
+
+    The members of buckets that hold several components are joined anew by the prefixes of their sets, which leaves only pairs that
+    share a rare shingle: by a star first, then by all centres outside a key's largest component.
+    """
+    tried = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    known = written(_labelled(members.select("key", "node", "n"), labels), "labelled")
+    left = written(known.join(_open_keys(known).where("size > 2").select("key"), "key", "left_semi").select("node").distinct(), "open")
+    if left.isEmpty():
         return labels
-    in_open = known.join(open_keys, "key")
-    order = Window.partitionBy("key").orderBy("share", "comp", "node")
-    ranked = in_open.withColumn("share", F.count("*").over(Window.partitionBy("key", "comp"))).withColumn("rank", F.row_number().over(order) - 1)
-    ranked = written(ranked.withColumn("outside", F.count("*").over(Window.partitionBy("key")) - F.max("share").over(Window.partitionBy("key"))).drop("comp"), "ranked")
-    most, low, width_now = ranked.agg(F.max("outside")).first()[0], 0, 2
+    prefixes = _prefix_members(left, texts, width, threshold)
+    known = written(_labelled(prefixes, labels), "labelled")
+    first = known.groupBy("key").agg(F.min(F.struct("node", "n", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
+    star = known.join(written(first, "centers"), "key").where(f"comp <> c.comp and {_fit('n', 'c.n', threshold)}").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    pairs = written(star.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    fresh = confirmed(pairs, texts, width, threshold)
+    tried = tried.union(pairs)
+    if not fresh.isEmpty():
+        links = links.union(fresh)
+        labels = components(links)
+        known = written(_labelled(prefixes, labels), "labelled")
+    in_open = known.join(_open_keys(known).where("size > 2").select("key"), "key")
+    inside = Window.partitionBy("key")
+    ranked = in_open.withColumn("share", F.count("*").over(Window.partitionBy("key", "comp"))).withColumn("rank", F.row_number().over(inside.orderBy("share", "comp", "node")) - 1)
+    ranked = written(ranked.withColumn("outside", F.count("*").over(inside) - F.max("share").over(inside)), "ranked")
+    most, low, width_now, found = ranked.agg(F.max("outside")).first()[0] or 0, 0, 4, False
     while low < most:
-        now = labelled(ranked.drop("share"))
-        centers = now.where(f"rank >= {low} and rank < {low + width_now} and rank < outside").select("key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"), F.col("rank").alias("c_rank"))
-        pairs = now.join(centers, "key").where(f"rank > c_rank and comp <> c_comp and {_fit('n', 'c_n', threshold)}")
-        pairs = pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        fresh = confirmed(pairs, texts, width, threshold)
-        tried = tried.union(pairs)
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            labels = components(links)
-        low, width_now = low + width_now, width_now * 2
-    return labels
+        centers = ranked.where(f"rank >= {low} and rank < {low + width_now} and rank < outside").select("key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"), F.col("rank").alias("c_rank"))
+        pairs = ranked.join(centers, "key").where(f"rank > c_rank and comp <> c_comp and {_fit('n', 'c_n', threshold)}")
+        pairs = written(pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links, tried, found = links.union(confirmed(pairs, texts, width, threshold)), tried.union(pairs), True
+        low, width_now = low + width_now, width_now * 4
+    return components(links) if found else labels
 
 
 def near_duplicates(docs: DataFrame, width: int, threshold: int = THRESHOLD) -> DataFrame:
