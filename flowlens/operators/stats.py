@@ -15,6 +15,11 @@ def rounded(x: Column, places: int) -> Column:
     return F.floor(x * 10.0**places + 0.5) / 10.0**places
 
 
+def even(x: Column, places: int) -> Column:
+    """Rounded half to even after scaling in double precision, as numpy does it."""
+    return F.rint(x * 10.0**places) / 10.0**places
+
+
 def cents(x: Column) -> Column:
     """A figure of two decimals as an integer."""
     return F.floor(x * 100 + 0.5).cast("bigint")
@@ -28,7 +33,7 @@ def outcome_aggregates() -> list[Column]:
         F.count("event_id").alias("n_events"), F.count_if(F.col("status") == "closed").alias("n_closed"), F.count_if(F.col("status") == "reduced").alias("n_reduced"), F.count_if(F.col("status") == "open").alias("n_open"),
         F.count_if(done).alias("n_resolved"), F.count_if(F.col("event_id").isNotNull() & ~done).alias("n_pending"), F.count_if(win).alias("n_win"), F.count_if(loss).alias("n_loss"), F.count_if(tie).alias("n_tie"),
         F.bround(F.count_if(win) * 100 / F.nullif(F.count_if(done), F.lit(0)), 2).alias("win_rate"),
-        F.bround(F.avg(F.when(done, F.col("hold_days"))), 2).alias("mean_hold"), F.median(F.when(done, F.col("hold_days"))).alias("median_hold"),
+        even(F.avg(F.when(done, F.col("hold_days"))), 2).alias("mean_hold"), F.median(F.when(done, F.col("hold_days"))).alias("median_hold"),
         rounded(F.sum(cents(F.col("ret"))) / F.nullif(F.count("ret"), F.lit(0)) / 100, 4).alias("mean_ret"), F.bround(F.median("ret"), 4).alias("median_ret"), rounded(F.sum(F.col("amount") * cents(F.col("ret"))) / F.nullif(F.sum(F.when(done, F.col("amount"))), F.lit(0)) / 100, 4).alias("weighted_ret"),
         F.max("ret").alias("max_ret"), F.min("ret").alias("min_ret"), F.sum("amount").alias("amount"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
     ]
