@@ -14,7 +14,7 @@ CONDITIONS = {
 }
 _SQL_CONDITIONS = {k: v.replace("weekday(day)", "(isodow(day) - 1)") for k, v in CONDITIONS.items()}
 POSITIONS = ["000", "001", "010", "011", "100", "101", "110", "111"]
-_POSITION = F.concat(*(F.expr(f"cast(cast({x} as int) as string)") for x in ("net_qty > 20", "qty > 40", "amount > 75000")))
+_POSITION = "concat(" + ", ".join(f"cast(cast({x} as int) as string)" for x in ("net_qty > 20", "qty > 40", "amount > 75000")) + ")"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ QUERIES = {
     "a5_event_outcomes": lambda s, d: V.outcomes(s, d).withColumns({c: F.bround(c, 4) for c in ("revenue", "sold_cost")}),
     "a6_summarise_outcomes": lambda s, d: stats.summarise_outcomes(V.outcomes(s, d), ["broker", "target"]),
     "a7_condition_stats": lambda s, d: stats.condition_stats(V.outcomes(s, d), {k: F.expr(v) for k, v in CONDITIONS.items()}),
-    "a8_position_stats": lambda s, d: stats.position_stats(V.outcomes(s, d).withColumn("position", _POSITION), "position", POSITIONS),
+    "a8_position_stats": lambda s, d: stats.position_stats(V.outcomes(s, d).withColumn("position", F.expr(_POSITION)), "position", POSITIONS),
     "a9_branch_profiles": lambda s, d: stats.branch_profiles(V.outcomes(s, d), stats.condition_stats(V.outcomes(s, d), {k: F.expr(v) for k, v in CONDITIONS.items()}), 5),
     "a10_integrity_report": lambda s, d: stats.integrity_report(V.facts(s, d), V.table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct(), V.table(s, d, "orders").select(F.concat_ws(":", "o_orderpriority", "o_orderstatus").alias("reason")), 3),
     "a34_stock_master": lambda s, d: trades.stock_master(V.table(s, d, "orders"), "o_custkey", "o_orderpriority", "o_orderdate"),
