@@ -149,13 +149,13 @@ def mixture_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, with their own columns, as often as the mix takes them."""
     copies = written(mixture_copies(docs, weights, share, most, seed), "copies")
-    keyed = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "copies")
-    again = keyed.groupBy("_d", "_s", "_h").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    keyed = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("copies").alias("_copies"))
+    again = keyed.groupBy("_d", "_s", "_h").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("n"))
     repeated = not again.where("n > 1").isEmpty()
     if repeated:
         # Equal rows stand for each other: one of them is kept, for the copies of all.
         keyed, docs = again.drop("n"), docs.dropDuplicates(["doc_id", "source", "text"])
-    keyed = keyed.where("copies > 0")
+    keyed = keyed.where("_copies > 0")
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
     same = hashed["doc_id"].eqNullSafe(keyed["_d"]) & hashed["source"].eqNullSafe(keyed["_s"]) & (hashed["_text_hash"] == keyed["_h"])
-    return hashed.join(keyed, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return hashed.join(keyed, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
