@@ -7,9 +7,8 @@ are taken together in bands; documents that agree in a whole band share a bucket
 
 A bucket proposes a star: its smallest document against each other one.  Links are confirmed on the full
 sets of shingles, taken from the texts.  A bucket whose members the confirmed links do not yet join is not left
-there: its members are joined again by their sets' rarest shingles (an exact prefix filter), as stars and then from
-every member outside the largest component, until each such pair of members in different components has been
-compared.  No bucket is capped.
+there: its members are joined again by their sets' rarest shingles, which leaves the pairs of different components that an
+exact prefix, size, position and bit filter can't rule out; each of these is compared.  No bucket is capped.
 
 ``doc_id`` names a document: rows that repeat one are one node with the links of all their texts, and each gets
 the result.  Documents of equal sets are one node from the start.  Null or blank texts, and null doc_ids, are
@@ -33,6 +32,9 @@ CACHE_WORDS = 500_000
 #: Steps of the densifying walk; documents with bins still empty then take the next filled bin.
 WALK = 2048
 
+#: Bits of a set's parity print, in words of 64.
+PRINT_WORDS = 4
+
 FEATURES = "doc_id long, n_shingles long, fingerprint binary, bands array<long>"
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -189,11 +191,19 @@ def _bucket_members(spark: SparkSession, rows: DataFrame, reps: DataFrame) -> Da
     return written(nodes.join(buckets, "key").select("key", "node", "n", "center", "center_n").distinct(), "members")
 
 
+def parity_print(u: np.ndarray) -> np.ndarray:
+    """Bits that each member of a set flips one of: two sets' prints differ in no more bits than the sets in members."""
+    size = 64 * PRINT_WORDS
+    flips = np.bincount((_mix(u ^ _A) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(bool), bitorder="little").view(np.int64)
+
+
 def _prefix_members(nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """(key, node, n): the shingles of each node's prefix, as a written table.
+    """(key, node, n, ahead, bits): the shingles of each node's prefix, as a written table.
 
     Shingles are ordered by how many of ``nodes`` have them, rarest first.  Sets that overlap enough share one of the first
-    ``n - ceil(threshold * n) + 1`` of each; a passage that many documents share stands at the end of that order.
+    ``n - ceil(threshold * n) + 1`` of each; a passage that many documents share stands at the end of that order.  ``ahead``
+    counts the set's shingles from this one on; ``bits`` is the set's parity print.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,16 +211,17 @@ def _prefix_members(nodes: DataFrame, texts: DataFrame, width: int, threshold: i
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 some = batch.slice(at, 250)
-                sets = [signer.shingles(x).view(np.int64) for x in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "keys"])
+                sets = [signer.shingles(x) for x in some.column(1).to_pylist()]
+                columns = [some.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_print(x) for x in sets], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "bits", "keys"])
 
     wanted = texts.join(nodes, "node", "left_semi").select("node", "text")
-    rows = written(wanted.mapInArrow(cut, "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key")), "shingles")
+    rows = written(wanted.mapInArrow(cut, "node long, n long, bits array<long>, keys array<long>").select("node", "n", "bits", F.explode("keys").alias("key")), "shingles")
     shared = written(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    order = Window.partitionBy("node", "n").orderBy("df", "key")
+    order = Window.partitionBy("node", "n", "bits").orderBy("df", "key")
     ranked = rows.join(shared, "key", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", F.row_number().over(order))
     prefix = ranked.where(f"rank <= n - ceil({threshold} * n / 100.0 - 1e-9) + 1 and df > 1")
-    return written(prefix.select("key", "node", "n").distinct(), "prefixes")
+    return written(prefix.select("key", "node", "n", F.expr("n - rank + 1").alias("ahead"), "bits").distinct(), "prefixes")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,37 +236,26 @@ def _open_keys(known: DataFrame) -> DataFrame:
 def _resolve_open(members: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame, width: int, threshold: int) -> DataFrame:
     """``labels`` after all that the star has left open has been compared.
 
-    The members of buckets that hold several components are joined anew by the prefixes of their sets, which leaves only pairs that
-    share a rare shingle: by a star first, then by all centres outside a key's largest component.
+    The members of buckets that hold several components are joined anew by the prefixes of their sets.  In each key those outside
+    its largest component meet all members of other components.  A pair goes on to be compared if its first common shingle
+    leaves room for the overlap in both sets and the parity prints differ in no more bits than the sets may in shingles.
     """
     tried = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     known = written(_labelled(members.select("key", "node", "n"), labels), "labelled")
     left = written(known.join(_open_keys(known).where("size > 2").select("key"), "key", "left_semi").select("node").distinct(), "open")
     if left.isEmpty():
         return labels
-    prefixes = _prefix_members(left, texts, width, threshold)
-    known = written(_labelled(prefixes, labels), "labelled")
-    first = known.groupBy("key").agg(F.min(F.struct("node", "n", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-    star = known.join(written(first, "centers"), "key").where(f"comp <> c.comp and {_fit('n', 'c.n', threshold)}").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-    pairs = written(star.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    fresh = confirmed(pairs, texts, width, threshold)
-    tried = tried.union(pairs)
-    if not fresh.isEmpty():
-        links = links.union(fresh)
-        labels = components(links)
-        known = written(_labelled(prefixes, labels), "labelled")
-    in_open = known.join(_open_keys(known).where("size > 2").select("key"), "key")
-    inside = Window.partitionBy("key")
-    ranked = in_open.withColumn("share", F.count("*").over(Window.partitionBy("key", "comp"))).withColumn("rank", F.row_number().over(inside.orderBy("share", "comp", "node")) - 1)
-    ranked = written(ranked.withColumn("outside", F.count("*").over(inside) - F.max("share").over(inside)), "ranked")
-    most, low, width_now, found = ranked.agg(F.max("outside")).first()[0] or 0, 0, 4, False
-    while low < most:
-        centers = ranked.where(f"rank >= {low} and rank < {low + width_now} and rank < outside").select("key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"), F.col("rank").alias("c_rank"))
-        pairs = ranked.join(centers, "key").where(f"rank > c_rank and comp <> c_comp and {_fit('n', 'c_n', threshold)}")
-        pairs = written(pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links, tried, found = links.union(confirmed(pairs, texts, width, threshold)), tried.union(pairs), True
-        low, width_now = low + width_now, width_now * 4
-    return components(links) if found else labels
+    known = written(_labelled(_prefix_members(left, texts, width, threshold), labels), "labelled")
+    parts = known.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    main = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    inside = known.join(written(main, "main"), "key")
+    outside = inside.where("comp <> main").select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "ahead", "bits", "comp")))
+    unlike = " + ".join(f"bit_count(bits[{k}] ^ c_bits[{k}])" for k in range(PRINT_WORDS))
+    may_link = f"least(ahead, c_ahead) * {100 + threshold} >= {threshold} * (n + c_n) and ({unlike}) * {100 + threshold} <= {100 - threshold} * (n + c_n)"
+    pairs = inside.join(outside, "key").where(f"comp <> c_comp and (comp = main or c_node < node) and {_fit('n', 'c_n', threshold)} and {may_link}")
+    pairs = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
+    fresh = confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, width, threshold)
+    return labels if fresh.isEmpty() else components(links.union(fresh))
 
 
 def near_duplicates(docs: DataFrame, width: int, threshold: int = THRESHOLD) -> DataFrame:
