@@ -1,21 +1,24 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
 A page's tokens are its elements, told apart by their path (tag and class or id of the element and all around
-it).  A token's occurrence vector says how often it occurs on each page of the host; tokens of equal vectors
-are an equivalence class.  Vectors are compared by fingerprints that are added up over pages (map-side first), so that
-no task sees a host's pages together.  A class is valid if it occurs on two pages of the host or all of them, and nests if
-each of its elements lies inside an element of the class around it.  The class that occurs once on every page is the
-host's template; the text between its elements are the slots.  Slots of the article (or, without one, the
-slot with the most text that varies from page to page and isn't links) are extracted in page order; what
-lies there in menus, forms, adverts, notices, comments and the like is left out.
-
-Pages of a host's minority layout, where none of the template's slots occur, are read as a host of their own would
-be.  A url without a host makes a host of its own, the empty one.  Null and empty html give an empty text.  Rows that
+it).  A token's occurrence vector says on which pages of the host it is.  Vectors are compared by fingerprints that
+are added up over pages (map-side first), so that no task sees a host's pages together.  Pages without elements are left out.
+A token is an element of a template if it occurs once on most of the pages that have it, and if these are at least two
+different pages (or the host has one only) and a thousandth of the host's.  A host may have several layouts: a page's
+template is made of those template elements that are on it, so that an odd page changes nothing for the others.
+
+The text is that of the article elements; of these, those of the template if any is.  A page without an article gives
+the text of all slots (innermost template elements) whose text varies from page to page and isn't mostly links,
+narrowed to elements named like an article if these hold half of it.  What lies there in menus, forms, adverts,
+notices, comments and the like is left out.
+
+A url without a host makes a host of its own, the empty one.  Null and empty html give an empty text.  Rows that
 repeat a page are counted and extracted each.  Other columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -35,6 +38,9 @@ OTHER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert disclaimer comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager widget widgets search skip".split()
 )
 ARTICLE_NAMES = frozenset("article post story entry content main maincontent articlebody".split())
+#: A template element must be on one page in this many of its host, and hosts beyond this count are joined by a shuffle.
+RARE = 1000
+BROADCAST_HOSTS = 20_000
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl select article section div body td th blockquote".split())
 
@@ -51,11 +57,13 @@ class _Open:
 
 
 class Page:
-    """Elements and text blocks of a page: ``counts`` by path, and ``blocks`` of (path, text, characters of links)."""
+    """Elements and text blocks of a page: ``counts`` by path, ``blocks`` of (path, text, characters of links), and the paths of articles."""
 
     def __init__(self, html: str | None):
         self.counts: dict[str, int] = {}
         self.blocks: list[tuple[str, str, int]] = []
+        self.articles: list[str] = []
+        self.named: list[str] = []
         self.stack = [_Open("", "", False, False)]
         self.texts: list[str] = []
         self.linked = 0
@@ -73,11 +81,16 @@ class Page:
         up = self.stack[-1]
         names = [next(x for x in m[1:] if x is not None) if any(x is not None for x in m[1:]) else "" for m in (f.groups() for f in _NAMED.finditer(attributes))] if attributes else []
         parts = {p.lower() for name in names for p in _PARTS.findall(name)}
-        mark = re.sub(r"\d+", "0", ".".join(sorted(n for name in names for n in name.split())))
+        mark = re.sub(r"\d+", "0", ".".join(sorted(n for name in names for n in name.replace(">", "_").split())))
         path = f"{up.path}>{tag}.{mark}" if mark else f"{up.path}>{tag}"
         article = up.article or tag in ("article", "main") or bool(parts & ARTICLE_NAMES)
         named = tag not in ("html", "body", "article", "main") and bool(parts & OTHER_NAMES)
         other = up.other or tag in OTHER or named or ((tag == "header" or "header" in parts) and not up.article and tag not in ("html", "body", "article", "main"))
+        if path not in self.counts and not other:
+            if tag in ("article", "main"):
+                self.articles.append(path)
+            elif parts & ARTICLE_NAMES:
+                self.named.append(path)
         self.counts[path] = self.counts.get(path, 0) + 1
         self.stack.append(_Open(tag, path, other, article))
 
@@ -127,7 +140,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-_STATS = "host string, path string, pages long, total long, least long, most long, vector long, place double, chars long, links long, low long, high long"
+_STATS = "host string, path string, pages long, once long, vector long, first long, last long, chars long, links long, low long, high long"
 
 
 def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,58 +151,59 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], list] = {}
         for host, page_id, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             page = Page(html)
+            if not page.counts:
+                continue
+            content, seen = signed(html), xxhash.xxh3_64_intdigest(f"{page_id}") >> 32
             chars: dict[str, list] = {}
             for path, text, linked in page.blocks:
                 c = chars.setdefault(path, [0, 0, []])
                 c[0] += len(text)
                 c[1] += linked
                 c[2].append(text)
-            for place, (path, n) in enumerate([("", 1), *page.counts.items()]):
+            for path, n in [("", 1), *page.counts.items()]:
                 got = chars.get(path, [0, 0, []])
                 text = signed("\n".join(got[2]))
-                row = held.setdefault((host, path), [0, 0, n, n, 0, 0.0, 0, 0, text, text])
+                row = held.setdefault((host, path), [0, 0, 0, content, content, 0, 0, text, text])
                 row[0] += 1
-                row[1] += n
-                row[2], row[3] = min(row[2], n), max(row[3], n)
-                row[4] ^= signed(f"{page_id} {n}")
-                row[5] += place
-                row[6] += got[0]
-                row[7] += got[1]
-                row[8], row[9] = min(row[8], text), max(row[9], text)
+                row[1] += n == 1
+                row[2] += seen
+                row[3], row[4] = min(row[3], content), max(row[4], content)
+                row[5] += got[0]
+                row[6] += got[1]
+                row[7], row[8] = min(row[7], text), max(row[8], text)
         names = [x.split()[0] for x in _STATS.split(", ")]
         columns = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [[] for _ in names]
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.float64(), *[pa.int64()] * 4]
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 9]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def equivalence_classes(pages: DataFrame) -> DataFrame:
-    """(host, path, vector, class_size, pages, host_pages, least, most, place, chars, links, fixed): each host's tokens and their classes."""
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """(host, path, pages, once, vector, several, chars, links, fixed, host_pages): each host's tokens, from pages that have elements.
+
+    ``once``: pages with one occurrence; ``several``: whether pages of different html have the token.
+    """
     raw = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("string"), "html").mapInArrow(_page_tokens, _STATS)
-    tokens = raw.groupBy("host", "path").agg(
-        *(F.sum(c).alias(c) for c in ("pages", "total", "place", "chars", "links")), F.min("least").alias("least"), F.max("most").alias("most"), F.bit_xor("vector").alias("vector"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
-    tokens = written(tokens.withColumn("fixed", (F.col("low") == F.col("high")) & (F.col("pages") > 1)).drop("low", "high"), "page-tokens")
-    classes = tokens.groupBy("host", "vector", "pages", "total").agg(F.count("*").alias("class_size"))
-    hosts = tokens.where("path = ''").select("host", F.col("pages").alias("host_pages"))
-    return tokens.join(classes, ["host", "vector", "pages", "total"]).join(hosts, "host")
+    sums = raw.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "links")), *(F.min(c).alias(c) for c in ("first", "low")), *(F.max(c).alias(c) for c in ("last", "high")))
+    several = F.col("first") != F.col("last")
+    tokens = written(sums.withColumns({"several": several, "fixed": several & (F.col("low") == F.col("high"))}).drop("first", "last", "low", "high"), "page-tokens")
+    hosts = tokens.where("path = ''").select("host", F.col("pages").alias("host_pages"), F.col("several").alias("host_several"))
+    return tokens.join(hosts, "host")
 
 
-def templates(classes: DataFrame) -> DataFrame:
-    """(host, slots): the paths of the template's elements whose slots are the main text.
+def templates(tokens: DataFrame) -> DataFrame:
+    """(host, template): the host's template elements that hold text, as JSON.
 
-    An element whose class nests in the template's without being on every page once (paragraphs, say) belongs to the slot around it.
+    A template element occurs once on most pages that have it, these are at least two different ones (any, on a host
+    of one page), and ``RARE`` of the host's.  Text belongs to the innermost template element around it.
     """
-    once = classes.where("least = 1 and most = 1 and pages = host_pages and (pages > 1 or host_pages = 1)").select("host", F.col("path").alias("slot"))
-    inner = classes.where("chars > 0").select("host", "path", "chars", "links", "fixed", F.explode(_prefixes(F.col("path"))).alias("slot"))
-    inside = inner.join(once, ["host", "slot"])
-    # The innermost template element around each text is its slot.
-    deepest = inside.groupBy("host", "path", "chars", "links", "fixed").agg(F.max_by("slot", F.length("slot")).alias("slot"))
+    supported = (F.col("several") | ~F.col("host_several")) & (F.col("pages") * RARE >= F.col("host_pages"))
+    once = tokens.where(supported & (F.col("once") * 2 > F.col("pages"))).select("host", F.col("path").alias("slot"))
+    inner = tokens.where("chars > 0").select("host", "path", "chars", "links", "fixed", F.explode(_prefixes(F.col("path"))).alias("slot"))
+    deepest = inner.join(once, ["host", "slot"]).groupBy("host", "path", "chars", "links", "fixed").agg(F.max_by("slot", F.length("slot")).alias("slot"))
     slots = deepest.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("fixed").alias("fixed"))
-    article = F.col("slot").rlike(r">(article|main)(\.[^>]*)?(>|$)") | F.lower("slot").rlike(r"[.>-](" + "|".join(sorted(ARTICLE_NAMES)) + r")(?![a-z])")
-    worth = F.struct(article.alias("a"), (~F.col("fixed")).alias("v"), (F.col("chars") - 2 * F.col("links")).alias("c"), F.col("slot").alias("s"))
-    ranked = slots.withColumn("article", article)
-    best = ranked.groupBy("host").agg(F.max_by("slot", worth).alias("best"), F.collect_set(F.when(F.col("article"), F.col("slot"))).alias("articles"))
-    return best.select("host", F.when(F.size("articles") > 0, F.col("articles")).otherwise(F.array("best")).alias("slots"))
+    good = ~F.col("fixed") & (F.col("chars") > 2 * F.col("links"))
+    by_host = slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", good))).alias("slots"))
+    return by_host.select("host", F.to_json(F.struct("slots")).alias("template"))
 
 
 def _prefixes(path: Column) -> Column:
@@ -198,25 +212,45 @@ def _prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), ">"))
 
 
-def main_text(page: Page, slots: list[str]) -> str:
-    """The blocks of ``page`` that lie in ``slots``, or, where none of these is on the page, in what looks like its article."""
-    inside = lambda path, slot: path == slot or path.startswith(slot + ">")
-    if not any(slot in page.counts or slot == "" for slot in slots):
-        article = next((p for p in page.counts if re.search(r">(article|main)(\.[^>]*)?$", p)), "")
-        slots = [article]
-    return "\n\n".join(text for path, text, _ in page.blocks if any(inside(path, slot) for slot in slots))
+def _within(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + ">")
+
+
+def main_text(page: Page, template: dict) -> str:
+    """The article's blocks; on a page without an article, those of the template's slots that vary and aren't links."""
+    slots = template.get("slots", {})
+    if page.articles:
+        chosen = [p for p in page.articles if p in slots] or page.articles
+        kept = [b for b in page.blocks if any(_within(b[0], slot) for slot in chosen)]
+    else:
+        kept = [b for b in page.blocks if slots.get(_innermost(b[0], slots), True)] or page.blocks
+        named = [b for b in kept if any(_within(b[0], slot) for slot in page.named)]
+        if 2 * sum(len(b[1]) for b in named) >= sum(len(b[1]) for b in kept):
+            kept = named
+    return "\n\n".join(text for _, text, _ in kept)
+
+
+def _innermost(path: str, slots: dict) -> str:
+    while path and path not in slots:
+        path = path.rpartition(">")[0]
+    return path
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of ``pages`` (page_id, url, html)."""
-    found = written(templates(equivalence_classes(pages)), "templates")
-    by_host = small(found.withColumnRenamed("host", "_host"), found.count())
+    found = written(templates(page_tokens(pages)), "templates")
+    by_host = small(found.withColumnRenamed("host", "_host"), found.count(), BROADCAST_HOSTS)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("_key", host_of(F.col("url")))
-    joined = rows.join(by_host, F.col("_key") == F.col("_host"), "left").select("page_id", "url", "html", "slots")
+    joined = rows.join(by_host, F.col("_key") == F.col("_host"), "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(Page(html), slots or [""]) for html, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            known: dict[str | None, dict] = {None: {}}
+            texts = []
+            for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if template not in known:
+                    known[template] = json.loads(template)
+                texts.append(main_text(Page(html), known[template]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string")

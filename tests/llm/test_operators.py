@@ -279,6 +279,19 @@ def test_html_extraction(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(i, url, html) for i, (url, html) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_html_of_a_host_with_odd_pages(spark):
+    page = "<html><body><div class='rail'>Rail {0}</div><article><p>Text {0}</p></article></body></html>"
+    odd = [None, "", "<p>stub</p>", "<html><body><div class='rail'>Rail</div><article><p>One</p></article><article><p>Two</p></article></body></html>"]
+    got = extracted(spark, [("http://h.org/", page.format(i)) for i in range(4)] + [("http://h.org/", x) for x in odd])
+    assert got == [f"Text {i}" for i in range(4)] + ["", "", "stub", "One\n\nTwo"]
+
+
 def test_pipeline(spark):
     docs = queries.table(spark, SF_DIR, "documents")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
