@@ -1,7 +1,7 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
 A page's tokens are its elements, told apart by their path (tag and class or id of the element and all around
-it).  A token's occurrence vector says on which pages of the host it is.  Vectors are compared by fingerprints that
+it), and its blocks of text, told apart by path and text.  A token's occurrence vector says on which pages of the host it is.  Vectors are compared by fingerprints that
 are added up over pages (map-side first), so that no task sees a host's pages together.  Pages without elements are left out.
 A token is an element of a template if it occurs once on most of the pages that have it, and if these are at least two
 different pages (or the host has one only) and a thousandth of the host's.  A host may have several layouts: a page's
@@ -9,7 +9,9 @@ template is made of those template elements that are on it, so that an odd page
 
 The text is that of the article elements; of these, those of the template if any is.  A page without an article gives
 the text of all slots (innermost template elements) whose text varies from page to page and isn't mostly links,
-narrowed to elements named like an article if these hold half of it.  What lies there in menus, forms, adverts,
+narrowed to elements named like an article if these hold half of it.  A block's frame is the article element around
+it, or else the outermost element in the body.  Tokens of equal vectors are an equivalence class; blocks of the class of their frame are
+the template's text and left out.  What lies there in menus, forms, adverts,
 notices, comments and the like is left out.
 
 A url without a host makes a host of its own, the empty one.  Null and empty html give an empty text.  Rows that
@@ -41,6 +43,8 @@ ARTICLE_NAMES = frozenset("article post story entry content main maincontent art
 #: A template element must be on one page in this many of its host, and hosts beyond this count are joined by a shuffle.
 RARE = 1000
 BROADCAST_HOSTS = 20_000
+#: From this many pages on, a class of texts can't be copies of one article.
+MANY = 10
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl select article section div body td th blockquote".split())
 
@@ -140,21 +144,41 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-_STATS = "host string, path string, pages long, once long, vector long, first long, last long, chars long, links long, low long, high long"
+_STATS = "host string, path string, text long, pages long, once long, vector long, first long, last long, chars long, links long, low long, high long"
 
 
-def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frame(page: Page, path: str) -> str:
+    """The innermost article element around ``path``, else the outermost element in the page's body."""
+    around = [p for p in page.articles if _within(path, p)]
+    if around:
+        return max(around, key=len)
+    parts, k = path.split(">"), 1
+    while k < len(parts) and parts[k].partition(".")[0] in ("html", "body"):
+        k += 1
+    return ">".join(parts[: k + 1])
+
+
+def _signed(text: str) -> int:
     import xxhash
 
-    signed = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _text_key(path: str, text: str) -> int:
+    """A text token; 0 stands for elements."""
+    return _signed(f"{path}\n{text}") or 1
+
+
+def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held: dict[tuple[str, str], list] = {}
+        held: dict[tuple[str, str, int], list] = {}
         for host, page_id, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             page = Page(html)
             if not page.counts:
                 continue
-            content, seen = signed(html), xxhash.xxh3_64_intdigest(f"{page_id}") >> 32
+            content, seen = _signed(html), (_signed(f"{page_id}") >> 32) + (1 << 31)
             chars: dict[str, list] = {}
+            texts = {(_frame(page, path), _text_key(path, text)) for path, text, _ in page.blocks}
             for path, text, linked in page.blocks:
                 c = chars.setdefault(path, [0, 0, []])
                 c[0] += len(text)
@@ -162,8 +186,8 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c[2].append(text)
             for path, n in [("", 1), *page.counts.items()]:
                 got = chars.get(path, [0, 0, []])
-                text = signed("\n".join(got[2]))
-                row = held.setdefault((host, path), [0, 0, 0, content, content, 0, 0, text, text])
+                text = _signed("\n".join(got[2]))
+                row = held.setdefault((host, path, 0), [0, 0, 0, content, content, 0, 0, text, text])
                 row[0] += 1
                 row[1] += n == 1
                 row[2] += seen
@@ -171,39 +195,61 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row[5] += got[0]
                 row[6] += got[1]
                 row[7], row[8] = min(row[7], text), max(row[8], text)
+            for frame, text in texts:
+                row = held.setdefault((host, frame, text), [0, 0, 0, content, content, 0, 0, 0, 0])
+                row[0] += 1
+                row[2] += seen
+                row[3], row[4] = min(row[3], content), max(row[4], content)
         names = [x.split()[0] for x in _STATS.split(", ")]
         columns = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [[] for _ in names]
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 9]
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 10]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, once, vector, several, chars, links, fixed, host_pages): each host's tokens, from pages that have elements.
+    """(host, path, text, pages, once, vector, several, chars, links, fixed, host_pages): each host's tokens, from pages that have elements.
 
-    ``once``: pages with one occurrence; ``several``: whether pages of different html have the token.
+    ``text`` is 0 for elements; text tokens, whose ``path`` is that of their frame, are kept if pages of different html
+    have them (``several``).  ``once``: pages with one occurrence.
     """
     raw = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("string"), "html").mapInArrow(_page_tokens, _STATS)
-    sums = raw.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "links")), *(F.min(c).alias(c) for c in ("first", "low")), *(F.max(c).alias(c) for c in ("last", "high")))
+    sums = raw.groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "links")), *(F.min(c).alias(c) for c in ("first", "low")), *(F.max(c).alias(c) for c in ("last", "high")))
     several = F.col("first") != F.col("last")
-    tokens = written(sums.withColumns({"several": several, "fixed": several & (F.col("low") == F.col("high"))}).drop("first", "last", "low", "high"), "page-tokens")
-    hosts = tokens.where("path = ''").select("host", F.col("pages").alias("host_pages"), F.col("several").alias("host_several"))
+    kept = sums.where((F.col("text") == 0) | several)
+    tokens = written(kept.withColumns({"several": several, "fixed": several & (F.col("low") == F.col("high"))}).drop("first", "last", "low", "high"), "page-tokens")
+    hosts = tokens.where("path = '' and text = 0").select("host", F.col("pages").alias("host_pages"), F.col("several").alias("host_several"))
     return tokens.join(hosts, "host")
 
 
+def template_texts(tokens: DataFrame) -> DataFrame:
+    """(host, texts, few): text tokens of the equivalence class of the frame they lie in.
+
+    The class is the tokens of equal vectors; the text is inside the frame, so the class nests.  From ``MANY`` pages on, a tenth of
+    the frame's pages may be without the text.  ``few`` are those of classes of less pages.
+    """
+    frames = tokens.where("text = 0 and several").where(F.col("pages") * RARE >= F.col("host_pages")).select("host", "path", F.col("pages").alias("frame_pages"), F.col("vector").alias("frame_vector"))
+    met = tokens.where("text <> 0").select("host", "path", "text", "pages", "vector").join(frames, ["host", "path"])
+    many = F.col("frame_pages") >= MANY
+    same = (F.col("pages") == F.col("frame_pages")) & (F.col("vector") == F.col("frame_vector"))
+    found = met.where(same | (many & (F.col("pages") * 10 >= F.col("frame_pages") * 9)))
+    return found.groupBy("host").agg(F.collect_set(F.when(many, F.col("text"))).alias("texts"), F.collect_set(F.when(~many, F.col("text"))).alias("few"))
+
+
 def templates(tokens: DataFrame) -> DataFrame:
-    """(host, template): the host's template elements that hold text, as JSON.
+    """(host, template): the host's template elements that hold text, and its template texts, as JSON.
 
     A template element occurs once on most pages that have it, these are at least two different ones (any, on a host
     of one page), and ``RARE`` of the host's.  Text belongs to the innermost template element around it.
     """
+    elements = tokens.where("text = 0")
     supported = (F.col("several") | ~F.col("host_several")) & (F.col("pages") * RARE >= F.col("host_pages"))
-    once = tokens.where(supported & (F.col("once") * 2 > F.col("pages"))).select("host", F.col("path").alias("slot"))
-    inner = tokens.where("chars > 0").select("host", "path", "chars", "links", "fixed", F.explode(_prefixes(F.col("path"))).alias("slot"))
+    once = elements.where(supported & (F.col("once") * 2 > F.col("pages"))).select("host", F.col("path").alias("slot"))
+    inner = elements.where("chars > 0").select("host", "path", "chars", "links", "fixed", F.explode(_prefixes(F.col("path"))).alias("slot"))
     deepest = inner.join(once, ["host", "slot"]).groupBy("host", "path", "chars", "links", "fixed").agg(F.max_by("slot", F.length("slot")).alias("slot"))
     slots = deepest.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("fixed").alias("fixed"))
     good = ~F.col("fixed") & (F.col("chars") > 2 * F.col("links"))
     by_host = slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", good))).alias("slots"))
-    return by_host.select("host", F.to_json(F.struct("slots")).alias("template"))
+    return by_host.join(template_texts(tokens), "host", "left").select("host", F.to_json(F.struct("slots", "texts", "few")).alias("template"))
 
 
 def _prefixes(path: Column) -> Column:
@@ -227,7 +273,20 @@ def main_text(page: Page, template: dict) -> str:
         named = [b for b in kept if any(_within(b[0], slot) for slot in page.named)]
         if 2 * sum(len(b[1]) for b in named) >= sum(len(b[1]) for b in kept):
             kept = named
-    return "\n\n".join(text for _, text, _ in kept)
+    return "\n\n".join(text for _, text, _ in _without_template(kept, set(template.get("texts", ())), set(template.get("few", ()))))
+
+
+def _without_template(blocks: list, texts: set[int], few: set[int]) -> list:
+    """``blocks`` without the template's texts, unless nothing would be left.
+
+    On few pages, copies of an article look like a template: there, texts that are half of it or more stay.
+    """
+    if not texts and not few:
+        return blocks
+    keyed = [(b, _text_key(b[0], b[1])) for b in blocks]
+    kept = [(b, k) for b, k in keyed if k not in texts] or keyed
+    own = [b for b, k in kept if k not in few]
+    return own if 2 * sum(len(b[1]) for b in own) > sum(len(b[1]) for b, _ in kept) else [b for b, _ in kept]
 
 
 def _innermost(path: str, slots: dict) -> str:

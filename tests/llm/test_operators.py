@@ -292,6 +292,17 @@ def test_html_of_a_host_with_odd_pages(spark):
     assert got == [f"Text {i}" for i in range(4)] + ["", "", "stub", "One\n\nTwo"]
 
 
+def test_html_text_that_repeats_on_a_host(spark):
+    page = "<html><body><article><h1>Head {0}</h1><p>Some text of page {0}, said once</p><p class='hint'>Tell others</p><p>More at {1}</p></article></body></html>"
+    plain = "<html><body><div class='x'><p>Lead {0} of this page</p></div><div class='y'><p>Body {0} of this page</p></div><div class='z'><p>Our motto</p></div></body></html>"
+    pages = [("http://a.org/", page.format(i, "one" if i < 6 else "two")) for i in range(12)] + [("http://b.org/", plain.format(i)) for i in range(3)]
+    copies = [("http://c.org/", f"<html><body><nav>{i}</nav><article><p>Same copy of a text</p><p>Other {i}</p></article></body></html>") for i in range(3)]
+    got = extracted(spark, pages + copies)
+    assert got[:12] == [f"Head {i}\n\nSome text of page {i}, said once\n\nMore at {'one' if i < 6 else 'two'}" for i in range(12)]
+    assert got[12:15] == [f"Lead {i} of this page\n\nBody {i} of this page" for i in range(3)]
+    assert got[15:] == [f"Same copy of a text\n\nOther {i}" for i in range(3)]
+
+
 def test_pipeline(spark):
     docs = queries.table(spark, SF_DIR, "documents")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
