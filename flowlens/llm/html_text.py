@@ -12,7 +12,8 @@ the text of all slots (innermost template elements) whose text varies from page
 narrowed to elements named like an article if these hold half of it.  A block's frame is the article element around
 it, or else the outermost element in the body.  Tokens of equal vectors are an equivalence class; blocks of the class of their frame are
 the template's text and left out.  What lies there in menus, forms, adverts,
-notices, comments and the like is left out.
+notices, comments and the like is left out: elements of such tags, and elements of which a whole class, id or role is such a name
+if they are on two different pages of the host (or it has one only).  An element around the article is none of these.
 
 A url without a host makes a host of its own, the empty one.  Null and empty html give an empty text.  Rows that
 repeat a page are counted and extracted each.  Other columns are left out.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -33,13 +34,14 @@ from .common import small, written
 
 # HTML's element kinds, and names that sites give to what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 OTHER = frozenset("aside button dialog footer form head input label menu nav noscript option select".split())
+INLINE = frozenset("button head label option select".split())
 OTHER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert disclaimer comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager widget widgets search skip".split()
 )
-ARTICLE_NAMES = frozenset("article post story entry content main maincontent articlebody".split())
+ARTICLE_NAMES = frozenset("article post story entry content main maincontent articlebody post-content entry-content article-body article-content main-content".split())
 #: A template element must be on one page in this many of its host, and hosts beyond this count are joined by a shuffle.
 RARE = 1000
 BROADCAST_HOSTS = 20_000
@@ -50,53 +52,66 @@ SCOPES = frozenset("ul ol table dl select article section div body td th blockqu
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+def _plain(pieces: Iterable[str]) -> str:
+    return " ".join(unescape("".join(pieces)).split())
 
 
 class _Open:
-    __slots__ = ("tag", "path", "other", "article")
+    __slots__ = ("tag", "path", "other", "article", "marks")
 
-    def __init__(self, tag: str, path: str, other: bool, article: bool):
-        self.tag, self.path, self.other, self.article = tag, path, other, article
+    def __init__(self, tag: str, path: str, other: bool, article: bool, marks: tuple[str, ...]):
+        self.tag, self.path, self.other, self.article, self.marks = tag, path, other, article, marks
 
 
 class Page:
-    """Elements and text blocks of a page: ``counts`` by path, ``blocks`` of (path, text, characters of links), and the paths of articles."""
+    """Elements and text blocks of a page: ``counts`` by path, ``blocks`` of (path, text, characters of links, marks, parts), and the paths of articles.
+
+    ``marks`` are the paths of the elements around that look like something else than the article: ``tagged`` by their tag, the others
+    by their class, id or role.  Whether they are is for ``main_text`` to say.  ``parts`` are the pieces of a text with marks within its line.
+    """
 
     def __init__(self, html: str | None):
         self.counts: dict[str, int] = {}
-        self.blocks: list[tuple[str, str, int]] = []
-        self.articles: list[str] = []
+        self.blocks: list[tuple[str, str, int, tuple[str, ...], list | None]] = []
+        self.articles: dict[str, tuple[str, ...]] = {}
         self.named: list[str] = []
-        self.stack = [_Open("", "", False, False)]
-        self.texts: list[str] = []
+        self.tagged: set[str] = set()
+        self.marked: set[str] = set()
+        self.stack = [_Open("", "", False, False, ())]
+        self.texts: list[tuple[str, tuple[str, ...]]] = []
         self.linked = 0
         self.read(html or "")
         self.flush()
 
     def flush(self) -> None:
         if self.texts:
-            if text := " ".join(unescape("".join(self.texts)).split()):
+            if text := _plain(piece for piece, _ in self.texts):
                 at = next((x for x in reversed(self.stack) if x.tag in BLOCK), self.stack[0])
-                self.blocks.append((at.path, text, self.linked))
+                parts = [(piece, marks[len(at.marks) :]) for piece, marks in self.texts]
+                self.blocks.append((at.path, text, self.linked, at.marks, parts if any(marks for _, marks in parts) else None))
             self.texts, self.linked = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
         up = self.stack[-1]
         names = [next(x for x in m[1:] if x is not None) if any(x is not None for x in m[1:]) else "" for m in (f.groups() for f in _NAMED.finditer(attributes))] if attributes else []
-        parts = {p.lower() for name in names for p in _PARTS.findall(name)}
+        words = {n.lower() for name in names for n in name.split()}
         mark = re.sub(r"\d+", "0", ".".join(sorted(n for name in names for n in name.replace(">", "_").split())))
         path = f"{up.path}>{tag}.{mark}" if mark else f"{up.path}>{tag}"
-        article = up.article or tag in ("article", "main") or bool(parts & ARTICLE_NAMES)
-        named = tag not in ("html", "body", "article", "main") and bool(parts & OTHER_NAMES)
-        other = up.other or tag in OTHER or named or ((tag == "header" or "header" in parts) and not up.article and tag not in ("html", "body", "article", "main"))
-        if path not in self.counts and not other:
+        article = up.article or tag in ("article", "main") or bool(words & ARTICLE_NAMES)
+        marks, whole = up.marks, tag in ("html", "body", "article", "main")
+        tagged = tag in OTHER or (tag == "header" and not up.article)
+        if not whole and (tagged or words & OTHER_NAMES or ("header" in words and not up.article)):
+            marks = (*marks, path)
+            (self.tagged if tagged else self.marked).add(path)
+        if path not in self.counts:
             if tag in ("article", "main"):
-                self.articles.append(path)
-            elif parts & ARTICLE_NAMES:
+                self.articles[path] = marks
+            elif words & ARTICLE_NAMES and not marks:
                 self.named.append(path)
         self.counts[path] = self.counts.get(path, 0) + 1
-        self.stack.append(_Open(tag, path, other, article))
+        self.stack.append(_Open(tag, path, up.other or tag in INLINE, article, marks))
 
     def close_to(self, tags: set[str] | frozenset[str], scopes: frozenset[str]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -116,7 +131,7 @@ class Page:
                 if piece[0] != "<" or piece == "<":
                     top = self.stack[-1]
                     if not top.other:
-                        self.texts.append(piece)
+                        self.texts.append((piece, top.marks))
                         if any(x.tag == "a" for x in self.stack[-4:]):
                             self.linked += len(piece)
                 continue
@@ -129,9 +144,9 @@ class Page:
             elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
-            elif tag in VOID:
+            elif tag in VOID or (m[2].endswith("/") and any(x.tag in ("svg", "math") for x in self.stack)):
                 if not self.stack[-1].other:
-                    self.texts.append(" ")
+                    self.texts.append((" ", ()))
             else:
                 if tag in BLOCK:
                     self.close_to({"p"}, SCOPES)
@@ -144,7 +159,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-_STATS = "host string, path string, text long, pages long, once long, vector long, first long, last long, chars long, links long, low long, high long"
+_STATS = "host string, path string, text long, pages long, once long, vector long, first long, last long, marked long, chars long, links long, low long, high long"
 
 
 def _frame(page: Page, path: str) -> str:
@@ -178,8 +193,8 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             content, seen = _signed(html), (_signed(f"{page_id}") >> 32) + (1 << 31)
             chars: dict[str, list] = {}
-            texts = {(_frame(page, path), _text_key(path, text)) for path, text, _ in page.blocks}
-            for path, text, linked in page.blocks:
+            texts = {(_frame(page, path), _text_key(path, text)) for path, text, *_ in page.blocks}
+            for path, text, linked, _, _ in page.blocks:
                 c = chars.setdefault(path, [0, 0, []])
                 c[0] += len(text)
                 c[1] += linked
@@ -187,33 +202,34 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, n in [("", 1), *page.counts.items()]:
                 got = chars.get(path, [0, 0, []])
                 text = _signed("\n".join(got[2]))
-                row = held.setdefault((host, path, 0), [0, 0, 0, content, content, 0, 0, text, text])
+                row = held.setdefault((host, path, 0), [0, 0, 0, content, content, 0, 0, 0, text, text])
                 row[0] += 1
                 row[1] += n == 1
                 row[2] += seen
                 row[3], row[4] = min(row[3], content), max(row[4], content)
-                row[5] += got[0]
-                row[6] += got[1]
-                row[7], row[8] = min(row[7], text), max(row[8], text)
+                row[5] |= path in page.marked
+                row[6] += got[0]
+                row[7] += got[1]
+                row[8], row[9] = min(row[8], text), max(row[9], text)
             for frame, text in texts:
-                row = held.setdefault((host, frame, text), [0, 0, 0, content, content, 0, 0, 0, 0])
+                row = held.setdefault((host, frame, text), [0, 0, 0, content, content, 0, 0, 0, 0, 0])
                 row[0] += 1
                 row[2] += seen
                 row[3], row[4] = min(row[3], content), max(row[4], content)
         names = [x.split()[0] for x in _STATS.split(", ")]
         columns = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [[] for _ in names]
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 10]
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 11]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, text, pages, once, vector, several, chars, links, fixed, host_pages): each host's tokens, from pages that have elements.
+    """(host, path, text, pages, once, vector, marked, several, chars, links, fixed, host_pages): each host's tokens, from pages that have elements.
 
     ``text`` is 0 for elements; text tokens, whose ``path`` is that of their frame, are kept if pages of different html
     have them (``several``).  ``once``: pages with one occurrence.
     """
     raw = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("string"), "html").mapInArrow(_page_tokens, _STATS)
-    sums = raw.groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "links")), *(F.min(c).alias(c) for c in ("first", "low")), *(F.max(c).alias(c) for c in ("last", "high")))
+    sums = raw.groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "links")), *(F.min(c).alias(c) for c in ("first", "low")), *(F.max(c).alias(c) for c in ("last", "high", "marked")))
     several = F.col("first") != F.col("last")
     kept = sums.where((F.col("text") == 0) | several)
     tokens = written(kept.withColumns({"several": several, "fixed": several & (F.col("low") == F.col("high"))}).drop("first", "last", "low", "high"), "page-tokens")
@@ -249,7 +265,10 @@ def templates(tokens: DataFrame) -> DataFrame:
     slots = deepest.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("fixed").alias("fixed"))
     good = ~F.col("fixed") & (F.col("chars") > 2 * F.col("links"))
     by_host = slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", good))).alias("slots"))
-    return by_host.join(template_texts(tokens), "host", "left").select("host", F.to_json(F.struct("slots", "texts", "few")).alias("template"))
+    marked = F.when((F.col("marked") == 1) & supported, F.col("path"))
+    classes = elements.groupBy("host").agg(F.collect_set(marked).alias("classes"), F.max("host_several").alias("several"))
+    by_host = classes.join(by_host, "host", "left")
+    return by_host.join(template_texts(tokens), "host", "left").select("host", F.to_json(F.struct("slots", "texts", "few", "classes", "several")).alias("template"))
 
 
 def _prefixes(path: Column) -> Column:
@@ -265,15 +284,36 @@ def _within(path: str, slot: str) -> bool:
 def main_text(page: Page, template: dict) -> str:
     """The article's blocks; on a page without an article, those of the template's slots that vary and aren't links."""
     slots = template.get("slots", {})
+    confirmed = set(template["classes"]) if template.get("several") else None
     if page.articles:
-        chosen = [p for p in page.articles if p in slots] or page.articles
-        kept = [b for b in page.blocks if any(_within(b[0], slot) for slot in chosen)]
+        least = min(map(len, page.articles.values()))
+        clean = [p for p, marks in page.articles.items() if len(marks) == least]
+        chosen = [p for p in clean if p in slots] or clean
+        inside = [(b, max((p for p in chosen if _within(b[0], p)), key=len, default=None)) for b in page.blocks]
+        kept = [b for b, slot in inside if slot is not None and not _is_other(page, b[3], slot, confirmed)]
     else:
-        kept = [b for b in page.blocks if slots.get(_innermost(b[0], slots), True)] or page.blocks
+        own = [b for b in page.blocks if not _is_other(page, b[3], "", confirmed)]
+        if not own and page.blocks:  # an element around all of it isn't something else
+            least = min(len(b[3]) for b in page.blocks)
+            own = [b for b in page.blocks if len(b[3]) == least]
+        kept = [b for b in own if slots.get(_innermost(b[0], slots), True)] or own
         named = [b for b in kept if any(_within(b[0], slot) for slot in page.named)]
         if 2 * sum(len(b[1]) for b in named) >= sum(len(b[1]) for b in kept):
             kept = named
-    return "\n\n".join(text for _, text, _ in _without_template(kept, set(template.get("texts", ())), set(template.get("few", ()))))
+    kept = _without_template(kept, set(template.get("texts", ())), set(template.get("few", ())))
+    shown = (b[1] if b[4] is None else _plain(piece for piece, marks in b[4] if not _is_other(page, marks, "", confirmed)) for b in kept)
+    return "\n\n".join(filter(None, shown))
+
+
+def _is_other(page: Page, marks: tuple[str, ...], slot: str, confirmed: set[str] | None) -> bool:
+    """Whether a marked element inside ``slot`` is something else: by its tag, or by its name if the host's classes confirm it or it has none."""
+    return any(not _within(slot, x) and (x in page.tagged or confirmed is None or x in confirmed) for x in marks)
+
+
+def _innermost(path: str, slots: dict) -> str:
+    while path and path not in slots:
+        path = path.rpartition(">")[0]
+    return path
 
 
 def _without_template(blocks: list, texts: set[int], few: set[int]) -> list:
@@ -289,12 +329,6 @@ def _without_template(blocks: list, texts: set[int], few: set[int]) -> list:
     return own if 2 * sum(len(b[1]) for b in own) > sum(len(b[1]) for b, _ in kept) else [b for b, _ in kept]
 
 
-def _innermost(path: str, slots: dict) -> str:
-    while path and path not in slots:
-        path = path.rpartition(">")[0]
-    return path
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of ``pages`` (page_id, url, html)."""
     found = written(templates(page_tokens(pages)), "templates")

@@ -303,6 +303,18 @@ def test_html_text_that_repeats_on_a_host(spark):
     assert got[15:] == [f"Same copy of a text\n\nOther {i}" for i in range(3)]
 
 
+def test_html_of_names_that_only_look_like_boilerplate(spark):
+    bodies = ["<div class='content has-sidebar'><article><p>A</p></article></div>", "<div id='page' class='no-sidebar'><p>B</p></div>", "<section class='post with-comments'><p>C</p></section>"]
+    bodies += ["<div class='search-result'><p>D</p></div>", "<div class='widget'><article><p>E</p></article></div>", "<form><aside><article><p>teaser</p></article></aside><article><p>F</p></article></form>"]
+    bodies += ["<article><p>G <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><svg><path d='M0'/><path d='M1'/><text>chart</text></svg><object><p>in its place</p></object></article>"]
+    bodies += ["<article><p>H</p><div class='comments'><p>reply</p></div></article>", "<form class='search'><p>I</p></form>", "<article><p>J <span class='share'>Share</span> <b class='shared'>K</b></p></article>"]
+    got = extracted(spark, [(f"http://h{i}.org/", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)])
+    assert [" ".join(t.split()) for t in got] == ["A", "B", "C", "D", "E", "F", "G x=1 chart in its place", "H", "I", "J K"]
+    page = "<html><body><article><p>Text {0}</p>{1}</article></body></html>"
+    notes = ["<div class='notice'><p>Own {0}</p></div>"] + ["<div class='comment'><p>Said {0}</p></div>"] * 3
+    assert extracted(spark, [("http://h.org/", page.format(i, n.format(i))) for i, n in enumerate(notes)]) == ["Text 0\n\nOwn 0", "Text 1", "Text 2", "Text 3"]
+
+
 def test_pipeline(spark):
     docs = queries.table(spark, SF_DIR, "documents")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
