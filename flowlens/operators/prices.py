@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import bits_code, low_level, slope
 
 WINDOWS = (5, 10, 20, 60, 120, 240)
+#: Low levels 1 to 4: below all three short averages, then also below each long one.
+LOWS = ((5, 10, 20), 60, 120, 240)
 
 
 def clean_prices(df: DataFrame, version: str, allow_zero: bool = False) -> DataFrame:
@@ -33,16 +35,21 @@ def price_lags(features: DataFrame, windows: tuple[int, ...] = (5, 10, 20), back
     return features.withColumns(lags | {f"ma{windows[-1]}_back": F.lag(f"ma{windows[-1]}", back).over(order)})
 
 
-def ma_states(features: DataFrame, windows: tuple[int, ...] = (5, 10, 20), lows: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """above, below, crossings, alignments, position code, low level, slope; ties are neither above nor below."""
+def ma_states(features: DataFrame, windows: tuple[int, ...] = (5, 10, 20), lows: tuple[int | tuple[int, ...], ...] = (5, 10, 20)) -> DataFrame:
+    """above, below, crossings, alignments, position code, low level, slope; ties are neither above nor below.
+
+    A level of ``lows`` may name several windows (``LOWS``); windows of ``lows`` beyond ``windows`` get a below of their own.
+    """
     ma = [F.col(f"ma{n}") for n in windows]
     close, prev = F.col("close"), F.col("prev_close")
     cols: dict[str, Column] = {}
     for n in windows:
         cols |= {f"above{n}": close > F.col(f"ma{n}"), f"below{n}": close < F.col(f"ma{n}"), f"up{n}": (close > F.col(f"ma{n}")) & (prev <= F.col(f"prev_ma{n}")), f"down{n}": (close < F.col(f"ma{n}")) & (prev >= F.col(f"prev_ma{n}"))}
+    levels = [(x,) if isinstance(x, int) else x for x in lows]
+    cols |= {f"below{n}": close < F.col(f"ma{n}") for level in levels for n in level if n not in windows}
     pairs = list(zip(ma, ma[1:], strict=False))
     cols |= {"bull": reduce(lambda a, b: a & b, [x > y for x, y in pairs]), "bear": reduce(lambda a, b: a & b, [x < y for x, y in pairs])}
-    cols |= {"position": bits_code(*(close > m for m in ma)), "low": low_level(*(close < F.col(f"ma{n}") for n in lows)), "slope": slope(ma[-1], F.col(f"ma{windows[-1]}_back"))}
+    cols |= {"position": bits_code(*(close > m for m in ma)), "low": low_level(*(reduce(lambda a, b: a & b, [close < F.col(f"ma{n}") for n in level]) for level in levels)), "slope": slope(ma[-1], F.col(f"ma{windows[-1]}_back"))}
     return features.withColumns(cols)
 
 
