@@ -34,7 +34,12 @@ def words_of(text: Column) -> Column:
 
 def rough_words(text: Column) -> Column:
     """The same words, but beyond ASCII in lower case too: cheaper, and enough to look terms up by."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK_PATTERN), "")
+    return F.array_remove(F.split(rough_case(F.coalesce(text, F.lit(""))), _BREAK_PATTERN), "")
+
+
+def rough_case(text: Column) -> Column:
+    """Lower case in which a sigma doesn't depend on what follows, so that texts and single words come out alike."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
 
 
 def keyed_words(docs: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def term_counts(words: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 
 def window_terms(windows: DataFrame) -> DataFrame:
     """(window_id, offset, term) for all words of all windows, from offset 0."""
-    return windows.select("window_id", F.posexplode("terms").alias("offset", "word")).select("window_id", "offset", term_id(F.lower("word")).alias("term"))
+    return windows.select("window_id", F.posexplode("terms").alias("offset", "word")).select("window_id", "offset", term_id(rough_case(F.col("word"))).alias("term"))
 
 
 def window_probes(windows: DataFrame, counts: DataFrame, probes: int = PROBES) -> DataFrame:
@@ -156,13 +161,16 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, wind
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, probes: int = PROBES) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, text_hash, n_words, n_hit, item_ids (sorted), contaminated."""
+    """A row for each row of ``docs``: doc_id, text_hash, n_words, n_hit, item_ids (sorted), contaminated.
+
+    Items without an id mark documents like any other, but aren't in ``item_ids``.
+    """
     exact, windows, index = phrase_matches(docs, benchmark, window, probes)
     exact = written(exact, "matches")
     hit = exact.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("runs"))
     places = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
     hit = hit.select("doc_id", "text_hash", F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
-    items = exact.join(windows.select("window_id", F.explode("item_ids").alias("item_id")), "window_id").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    items = exact.join(windows.select("window_id", F.explode_outer("item_ids").alias("item_id")), "window_id").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     found = hit.join(items, same_document(hit, items)).select(hit["doc_id"], hit["text_hash"], "n_hit", "item_ids")
     sizes = index.where(F.col("term") == term_id(F.lit(END))).select("doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
     joined = sizes.join(found, same_document(sizes, found), "left").select(sizes["doc_id"], sizes["text_hash"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))

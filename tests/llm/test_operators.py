@@ -117,6 +117,14 @@ def test_decontamination_of_awkward_rows(spark):
     assert decontaminate.decontaminated(docs, items.limit(0)).count() == docs.count()
 
 
+def test_decontamination_by_items_without_id_and_with_sigma(spark):
+    docs = documents(spark, ["one two three", "said \u039f\u0394\u039f\u03a3.\u0391 in full", "else"])
+    items = spark.createDataFrame([(None, "one two three"), ("s", "\u039f\u0394\u039f\u03a3.\u0391")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["item_ids"], r["contaminated"]) for r in decontaminate.mark_contaminated(docs, items).collect()}
+    assert got == {0: (3, [], True), 1: (2, ["s"], True), 2: (0, [], False)}
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()] == [2]
+
+
 def greedy(word: bytes, pieces: set[bytes]) -> int:
     at = n = 0
     while at < len(word):
