@@ -150,6 +150,27 @@ def test_piece_counts_of_documents(spark):
     assert got == [(i, len(w), sum(greedy(x, pieces) for x in w)) for i, w in enumerate(split)]
 
 
+def test_piece_counts_with_word_ends_from_the_file(spark):
+    import json
+    from pathlib import Path
+
+    path = queries.tokenizer_path()
+    vocab = json.loads(Path(path).read_text())["model"]["vocab"]
+
+    def pieces_of(word):
+        at = n = 0
+        while at < len(word):
+            at = next(e for e in range(len(word), at, -1) if (word[at:e] + "</w>" * (e == len(word))) in vocab)
+            n += 1
+        return n
+
+    rng, plain = random.Random(7), [p.removesuffix("</w>") for p in vocab if re.fullmatch("[a-z]+(</w>)?", p)]
+    unended = sorted(p for p in vocab if re.fullmatch("[a-z]+", p) and p + "</w>" not in vocab)
+    words = unended + ["".join(rng.choices(plain, k=rng.randint(1, 3))) for _ in range(3000)]
+    got = {r["doc_id"]: r["n_pieces"] for r in piece_counts.piece_counts(documents(spark, words), path).collect()}
+    assert [got[i] for i in range(len(words))] == [pieces_of(w) for w in words]
+
+
 def shingles(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
