@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,13 @@ BROADCAST_ROWS = 200_000
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset (tests), a folder
-    beside the warehouse tables is used.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset, a folder beside the warehouse tables is used on a local
+    master; on a cluster that may be a disk of one machine, and it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -36,6 +40,47 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+class Remembered(dict):
+    """Words and what an operator has found for them: at most ``limit`` bytes, about; beyond, all are forgotten.
+
+    ``learned`` is called after words were added.  A Python worker holds the words of one operator only (``remembered``).
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.used = limit, 0
+
+    def learned(self, words: Iterable[bytes] | Iterable[str]) -> None:
+        self.used += sum(sys.getsizeof(w) + sys.getsizeof(self[w]) + 100 for w in words)  # 100: the slot in the table
+
+    def make_room(self) -> None:
+        if self.used > self.limit:
+            self.clear()
+            self.used = 0
+
+
+_held: tuple[str, Remembered | None] = ("", None)
+
+
+def remembered(owner: str, limit: int = 64 << 20) -> Remembered:
+    """This Python worker's words of the operator ``owner``, kept from task to task; those of any other operator are dropped."""
+    global _held
+    if _held[0] != owner:
+        _held = ("", None)
+        _held = (owner, Remembered(limit))
+    return _held[1]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python ``rows`` at a time, at most: Arrow's buffers of both sides are of a batch's size.
+
+    A setting of the session that only makes batches smaller; results don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_words(text: Column) -> Column:
     """Words between ASCII white space (space and U+0009 to U+000D); null text has no words."""
     spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
