@@ -7,15 +7,18 @@ next, so any single id is read with one chunk and one popcount a level; no block
 
 The store is a Parquet table of segments.  A segment holds whole documents in ascending doc_id order and
 is addressable by itself; ``part`` and ``seq`` give the segments' order.  Null doc_ids sort first.  A null
-or empty text is stored as the end id alone.  Rows that repeat a doc_id are stored one after the other,
-ordered by text.
+or empty text is stored as the end id alone.  Rows that repeat a doc_id (or have none) are stored one after the other, by their
+texts' hashes; a doc_id of many rows spreads over many tasks.  Other columns are left out.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import Remembered, remembered, scratch_path, small_batches
 
 LEVEL_BYTES = (1, 1, 2)
 RANK_BITS = 512
 MAGIC = b"DAC1"
 #: Ids after which a segment is closed; a document is never split.
 SEGMENT_IDS = 1 << 18
-#: Words whose ids a Python worker remembers, from task to task; it forgets all of them when there are more.
-CACHE_WORDS = 800_000
+#: Bytes of words and their ids that a Python worker remembers, from task to task.
+CACHE_BYTES = 160 << 20
 
 SEGMENT_SCHEMA = "part int, seq int, n_docs int, n_tokens long, doc_ids array<long>, lengths array<int>, payload binary"
 DOC_SCHEMA = "part int, seq int, doc_id long, rel_start long, n_tokens long, ids_crc32 long"
@@ -106,19 +109,39 @@ class DacReader:
         return value
 
 
+# The tokenizer file's rules under which a text's ids are those of its words, one after the other.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Marks (no apostrophe), letters, marks: three pieces at most.  The letters are those below U+0250, without the one whose lower case is no letter.
+SIMPLE = re.compile(r"""([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-`{-~]*)""")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary shows a byte as, where it isn't the byte's own."""
+    odd = [*range(33), 127, *range(128, 161), 173]
+    return {b: chr(256 + k) for k, b in enumerate(odd)}
+
+
 class WordEncoder:
     """Ids of whole texts through a remembered table of words.
 
-    Only for tokenizers that neither merge across ASCII spaces and line feeds nor keep them (the pre-tokenizer
-    drops white space).  A word is what lies between those; one that is letters and then full stops or
-    commas is looked up in those two parts, between which such a pre-tokenizer always cuts.
+    Only if the file's rules are those above: these neither merge across white space nor keep it.  A word is what lies between spaces and
+    line feeds.  The pieces of a simple word go to the tokenizer's model by themselves, any other word goes to the tokenizer.  With
+    other rules whole texts go to it.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[str, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        added = rules["added_tokens"]
+        plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or len(x["content"].split()) != 1 or "<" not in x["content"] for x in added)
+        model = rules["model"]
+        self.by_words = plain and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and model["type"] == "BPE" and not model.get("dropout")
+        self.added, self.model, self.characters = tuple(x["content"] for x in added), self.tokenizer.model, _byte_characters()
+        self.owner = f"token_store {tokenizer_file}"
 
     @classmethod
     @functools.cache
@@ -126,33 +149,44 @@ class WordEncoder:
         """The one of this Python worker."""
         return cls(tokenizer_file)
 
-    def learn(self, words: set[str]) -> None:
-        known, parts = self.known, {}
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece(self, piece: str, known: Remembered) -> bytes:
+        """The ids of letters or marks alone, which are one piece; a word of the same characters has the same ids."""
+        if (ids := known.get(piece)) is not None:
+            return ids
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+        return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+
+    def learn(self, words: set[str], known: Remembered) -> None:
+        other, marks = [], set()
         for word in words:
-            core = word.rstrip(".,")
-            if core.isalpha():
-                parts[word] = (core.lower() if core.isascii() else core, word[len(core) :])
-            else:
-                parts[word] = (word, "")
-        fresh = list({x for pair in parts.values() for x in pair if x and x not in known})
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            for word, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(encoded.ids, "<u4").tobytes()
-        for word, (core, tail) in parts.items():
-            if word not in known:
-                known[word] = known[core] + known.get(tail, b"") if tail else known[core]
+            m = SIMPLE.fullmatch(word)
+            if m is None or ("<" in word and any(x in word for x in self.added)):
+                other.append(word)
+                continue
+            head, core, tail = m.groups()
+            ids = self.piece(core.lower(), known)
+            for some in (head, tail):
+                if some and some not in known:
+                    known[some] = self.piece(some, known)
+                    marks.add(some)
+            known[word] = known[head] + ids + known[tail]
+        for i in range(0, len(other), 20_000):
+            known.update(zip(other[i : i + 20_000], self.whole(other[i : i + 20_000]), strict=True))
+        known.learned(words | marks)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return self.whole(texts)
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
+        known = remembered(self.owner, CACHE_BYTES)
+        known.make_room()
         known[""] = b""
         if fresh := {w for words in split for w in words if w not in known}:
-            self.learn(fresh)
-            known = self.known
+            self.learn(fresh, known)
         return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -194,7 +228,10 @@ def segment_writer(tokenizer_file: str, end_id: int, segment_ids: int = SEGMENT_
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     """Encodes ``docs`` (doc_id, text; other columns are left out) into the segment table at ``path``."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "text_hash", "place")  # the place only parts equal rows
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    small_batches(docs.sparkSession)
     ordered.mapInArrow(segment_writer(tokenizer_file, end_id), SEGMENT_SCHEMA).write.parquet(path)
 
 
@@ -231,13 +268,14 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:
-    """The id at one global ``position``: finds its segment, then reads one code of it."""
+    """The id at one global ``position``: finds its segment by the segments' sizes, then reads one code of its payload."""
     segments = spark.read.parquet(path)
-    found = segment_starts(segments).where((F.col("seg_start") <= position)).orderBy(F.desc("seg_start"), F.desc("part"), F.desc("seq")).limit(1)
-    row = segments.join(found, ["part", "seq"]).select("payload", "seg_start").first()
-    if row is None or position < 0:
+    at = segment_starts(segments).where(F.col("seg_start") <= position).orderBy(F.desc("seg_start"), F.desc("part"), F.desc("seq")).first()
+    if at is None or position < 0:
         raise IndexError(position)
-    return DacReader(bytes(row["payload"]))[position - row["seg_start"]]
+    # Each file is of one part: all others are skipped by their statistics.
+    row = segments.where((F.col("part") == at["part"]) & (F.col("seq") == at["seq"])).select("payload").first()
+    return DacReader(bytes(row["payload"]))[position - at["seg_start"]]
 
 
 def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 2) -> DataFrame:
