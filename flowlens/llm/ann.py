@@ -3,16 +3,18 @@
 A vector is represented by the order of its ``PREFIX`` nearest pivots out of ``PIVOTS``.  Distinct vectors are dealt
 to blocks; a block keeps its vectors and an inverted file: for each pivot the rows that have it in their prefix and
 at which place.  A query goes through the postings of its own prefix's pivots and adds up the footrule distance
-(places apart; ``PREFIX`` for a pivot that only one of the two has).  The ``RERANK`` share of a block that
-is nearest by footrule is measured exactly.
-
-Embeddings without clusters make the footrule of any prefix a weak guide, hence the large share: on the
-given tables the recall at 10 of pivots, prefix and share below was measured at 0.97 (see the README).
-
-Rows with equal vectors are one entry of the index with their ``top + 1`` smallest vec_ids, which is as many as any query
-can return; a vector that is null, zero or holds null or non-finite components takes no part, nor does one whose
-length is not the commonest (the longer of two as common).  Rows that repeat a vec_id with the same vector are one candidate.
-With fewer than ``top`` candidates a query returns all of them.  Empty tables give no rows.
+(places apart; a pivot that one of the two lacks counts as at place ``PREFIX``).  Of each block the ``RERANK`` share that is nearest by
+footrule, ``RERANK_LEAST`` rows at least, is measured exactly.
+
+Blocks are written once and never move: queries go to them, ``QUERY_BYTES`` of packed query vectors a round, which is all that
+the driver and a task hold of them.  A task keeps each query's nearest over all its blocks, and only these are shuffled.
+
+Vectors of each length are a space and an index of their own.  Rows with equal vectors are one entry of the index with their ``top + 1``
+smallest vec_ids, which is as many as any query can return.  A vector that is null, zero or holds null or non-finite
+components takes no part, nor does a null vec_id.  Rows that repeat a vec_id with the same vector are one row; with different vectors,
+each is a candidate and each a query, and none is near to another of its own vec_id.  With fewer than ``top`` candidates a query
+returns all of them.  Distances are those of the vectors as doubles; one that overflows is infinite and comes last.  Empty tables give no
+rows.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,43 +24,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch_path, written
 
-PIVOTS, PREFIX, RERANK = 128, 32, 0.4
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+PIVOTS, PREFIX, RERANK, RERANK_LEAST = 256, 96, 0.05, 200
+BLOCK_ROWS, QUERY_BYTES = 4096, 8 << 20
 TOP = 10
 
-_BLOCK = "block long, gids binary, vectors binary, starts binary, rows binary, places binary"
+_BLOCK = "block long, gids binary, firsts binary, vectors binary, starts binary, rows binary, places binary"
+_PARTS = ("gids", "firsts", "vectors", "starts", "rows", "places")
+_FOUND = "q_gid long, gid long, first long, score double"
+_RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable_vectors(table: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null and embedding is not null")
-    good = good.where(finite & F.exists("embedding", lambda x: x != 0))
-    common = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1)
-    return good.join(F.broadcast(common.select("d")), F.size("embedding") == F.col("d"), "left_semi")
+    good = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    return good.where(finite & F.exists("embedding", lambda x: x != 0)).distinct()
 
 
 def distinct_vectors(rows: DataFrame, top: int) -> DataFrame:
-    """(gid, embedding, ids): each distinct vector with its ``top + 1`` smallest vec_ids; ``gid`` is the smallest."""
+    """(gid, embedding, ids): each distinct vector with its ``top + 1`` smallest vec_ids; ``gid`` numbers the vectors."""
     order = Window.partitionBy("embedding").orderBy("vec_id")
-    first = rows.distinct().withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= top + 1)
-    return first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("gid"), "embedding", "ids")
+    first = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= top + 1)
+    return first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("gid"), "embedding", "ids")
 
 
 def pick_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """``pivots`` vectors (all, if fewer) by smallest hash of gid: a bounded sample of the distinct vectors."""
-    rows = vectors.orderBy(F.xxhash64("gid"), "gid").limit(pivots).select("embedding").collect()
+    """``pivots`` vectors (all, if fewer) by smallest hash: a bounded sample of the distinct vectors."""
+    rows = vectors.orderBy(F.xxhash64("embedding"), "embedding").limit(pivots).select("embedding").collect()
     return np.array([r[0] for r in rows], np.float64)
 
 
 def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The ``prefix`` nearest pivots of each row of ``x``, nearest first, ties to the earlier pivot."""
-    apart = (x * x).sum(axis=1)[:, None] - 2 * (x @ pivots.T) + (pivots * pivots).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        apart = (x * x).sum(axis=1)[:, None] - 2 * (x @ pivots.T) + (pivots * pivots).sum(axis=1)
     return np.argsort(apart, axis=1, kind="stable")[:, :prefix]
 
 
@@ -66,76 +71,102 @@ def build_index(vectors: DataFrame, n: int, pivots: np.ndarray, prefix: int, blo
     """A row for each block: its gids, vectors and pivot inverted file, as a written table."""
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("gid")
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
-        near = prefixes(x.astype(np.float64), pivots, prefix)
+        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        near = prefixes(x, pivots, prefix)
         order = np.argsort(near.ravel(), kind="stable")
         starts = np.searchsorted(near.ravel()[order], np.arange(len(pivots) + 1)).astype(np.int32)
-        arrays = rows["gid"].to_numpy(np.int64), x, starts, (order // near.shape[1]).astype(np.int32), (order % near.shape[1]).astype(np.int16)
-        return pd.DataFrame([[key[0], *(a.tobytes() for a in arrays)]], columns=["block", "gids", "vectors", "starts", "rows", "places"])
+        arrays = rows["gid"].to_numpy(np.int64), rows["first"].to_numpy(np.int64), x, starts, (order // near.shape[1]).astype(np.int32), (order % near.shape[1]).astype(np.int16)
+        return pd.DataFrame([[key[0], *(a.tobytes() for a in arrays)]], columns=["block", *_PARTS])
 
     blocks = max(1, math.ceil(n / block_rows))
-    dealt = vectors.select("gid", "embedding", F.pmod(F.xxhash64("gid"), F.lit(blocks)).alias("block"))
+    dealt = vectors.select("gid", F.element_at("ids", 1).alias("first"), "embedding", F.pmod(F.xxhash64("gid"), F.lit(blocks)).alias("block"))
     return written(dealt.groupBy("block").applyInPandas(build, _BLOCK), "blocks")
 
 
-def search_block(block: pd.Series, queries: np.ndarray, pivots: np.ndarray, prefix: int, share: float, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its place in ``queries``, and the gids and distances of the nearest found in the block."""
-    gids, starts = np.frombuffer(block["gids"], np.int64), np.frombuffer(block["starts"], np.int32)
-    x = np.frombuffer(block["vectors"], np.float32).reshape(len(gids), -1).astype(np.float64)
-    rows, places = np.frombuffer(block["rows"], np.int32), np.frombuffer(block["places"], np.int16)
-    squares, want = (x * x).sum(axis=1), max(top, math.ceil(share * len(gids)))
-    for i, near in enumerate(prefixes(queries, pivots, prefix)):
-        # Footrule, less the constant that a row without any shared pivot has: shared ones earn back what they are charged.
-        gain = np.zeros(len(gids), np.int64)
-        for place, pivot in enumerate(near):
-            a, b = starts[pivot], starts[pivot + 1]
-            gain[rows[a:b]] += 2 * len(near) - place - places[a:b] - np.abs(places[a:b] - place)
-        some = np.argpartition(-gain, want - 1)[:want] if want < len(gids) else np.arange(len(gids))
-        rough = squares[some] - 2 * (x[some] @ queries[i])
-        if len(some) > 4 * top:
-            limit = np.partition(rough, top - 1)[top - 1]
-            some = some[rough <= limit + 1e-9 * (abs(limit) + squares[some].max() + 1)]
-        exact = np.sqrt(((x[some] - queries[i]) ** 2).sum(axis=1))
-        best = np.lexsort((gids[some], exact))[:top]
-        yield i, gids[some[best]], exact[best]
-
-
-def nearest(table: DataFrame, is_query: str, top: int = TOP, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = RERANK, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the rows of ``table`` (vec_id, embedding) where ``is_query`` holds, against all other rows."""
-    rows = written(usable_vectors(table), "vectors")
+class Block:
+    """One row of the index, opened for searching."""
+
+    def __init__(self, gids: bytes, firsts: bytes, vectors: bytes, starts: bytes, rows: bytes, places: bytes):
+        self.gids, self.firsts, self.starts = np.frombuffer(gids, np.int64), np.frombuffer(firsts, np.int64), np.frombuffer(starts, np.int32)
+        self.x = np.frombuffer(vectors, np.float64).reshape(len(self.gids), -1)
+        self.rows, self.places = np.frombuffer(rows, np.int32), np.frombuffer(places, np.int16)
+
+    def search(self, query: np.ndarray, near: np.ndarray, want: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and places in the block of the ``top`` nearest of the ``want`` rows that the footrule puts first; ``near`` is the query's prefix."""
+        if want < len(self.gids):
+            # Footrule, less the constant that a row without any shared pivot has: shared ones earn back what they are charged.
+            gain = np.zeros(len(self.gids), np.int32)
+            for place, pivot in enumerate(near.tolist()):
+                a, b = self.starts[pivot], self.starts[pivot + 1]
+                there = self.places[a:b]
+                gain[self.rows[a:b]] += 2 * (len(near) - np.maximum(there, place))
+            some = np.argpartition(-gain, want - 1)[:want]
+        else:
+            some = np.arange(len(self.gids))
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.sqrt(((self.x[some] - query) ** 2).sum(axis=1))
+        best = np.lexsort((self.firsts[some], exact))[:top]
+        return exact[best], some[best]
+
+
+def search_index(index: DataFrame, asked: DataFrame, pivots: np.ndarray, prefix: int, share: float, least: int, top: int) -> DataFrame:
+    """(q_gid, gid, first, score): the ``top`` nearest found of each row of ``asked`` (gid, embedding), as a written table."""
+    spark, path = index.sparkSession, scratch_path(index.sparkSession, "found")
+    per_round = max(1, QUERY_BYTES // (8 * pivots.shape[1]))
+    rounds = max(1, math.ceil(asked.count() / per_round))
+    dealt = asked.withColumn("round", F.pmod(F.xxhash64("gid"), F.lit(rounds)).cast("int"))
+    to = scratch_path(spark, "queries")
+    dealt.write.partitionBy("round").parquet(to)
+    for k in range(rounds):
+        rows = spark.read.schema(dealt.schema).parquet(to).where(F.col("round") == k).select("gid", "embedding").toPandas()  # QUERY_BYTES, about
+        if not len(rows):
+            continue
+        sent = spark.sparkContext.broadcast((rows["gid"].to_numpy(np.int64), np.stack(rows["embedding"].to_numpy()).astype(np.float64)))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, queries = sent.value
+            near = prefixes(queries, pivots, prefix)
+            scores, gids, firsts = np.full((len(ids), top), np.nan), np.full((len(ids), top), -1, np.int64), np.zeros((len(ids), top), np.int64)  # nan sorts last
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    block = Block(*(batch.column(c)[row].as_py() for c in _PARTS))
+                    want = max(least, math.ceil(share * len(block.gids)))
+                    for i, query in enumerate(queries):
+                        got, of = block.search(query, near[i], want, top)
+                        both, first, gid = np.concatenate([scores[i], got]), np.concatenate([firsts[i], block.firsts[of]]), np.concatenate([gids[i], block.gids[of]])
+                        best = np.lexsort((first, both))[:top]
+                        scores[i], firsts[i], gids[i] = both[best], first[best], gid[best]
+            q, at = np.nonzero(gids >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(gids[q, at]), pa.array(firsts[q, at]), pa.array(scores[q, at])], names=["q_gid", "gid", "first", "score"])
+
+        index.mapInArrow(search, _FOUND).write.mode("append").parquet(path)
+        sent.unpersist()
+    return spark.read.schema(_FOUND).parquet(path)
+
+
+def _nearest_of_length(rows: DataFrame, is_query: str, top: int, pivots: int, prefix: int, share: float, least: int, block_rows: int) -> DataFrame:
     vectors = written(distinct_vectors(rows, top), "distinct")
-    n = vectors.count()
     chosen = pick_pivots(vectors, pivots)
-    index = build_index(vectors, n, chosen, prefix, block_rows)
-    asked = rows.where(is_query).select("vec_id", "embedding").distinct()
-    keys = vectors.select("embedding", "gid")
-    asked = written(asked.join(keys, "embedding").select(F.col("vec_id").alias("query_id"), "gid"), "asked")
-    wanted = written(asked.select("gid").distinct().join(vectors.select("gid", "embedding"), "gid"), "queries")
-    parts = max(1, math.ceil(wanted.count() / BLOCK_QUERIES))
-    schema = "part long, q_gids binary, q_vectors binary"
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
-        return pd.DataFrame([[key[0], rows["gid"].to_numpy(np.int64).tobytes(), x.tobytes()]], columns=["part", "q_gids", "q_vectors"])
-
-    packed = written(wanted.withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(parts))).groupBy("part").applyInPandas(pack, schema), "packed")
-    pairs = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(packed, "part")
-
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in rows.iterrows():
-            ids = np.frombuffer(row["q_gids"], np.int64)
-            queries = np.frombuffer(row["q_vectors"], np.float32).reshape(len(ids), -1).astype(np.float64)
-            for i, gids, far in search_block(row, queries, chosen, prefix, share, top + 1):
-                out.append(pd.DataFrame({"q_gid": ids[i], "gid": gids, "score": far}))
-        return pd.concat(out) if out else pd.DataFrame({"q_gid": [], "gid": [], "score": []})
-
-    found = written(pairs.groupBy("block", "part").applyInPandas(search, "q_gid long, gid long, score double"), "found")
-    best = Window.partitionBy("q_gid").orderBy("score", "gid")
-    near = found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= top + 1)
-    members = vectors.select("gid", "ids")
-    hits = near.join(members, "gid").groupBy("q_gid").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda v: F.struct(F.col("score").alias("score"), v.alias("vec_id")))))).alias("hits"))
+    index = build_index(vectors, vectors.count(), chosen, prefix, block_rows)
+    queries = rows.where(is_query)
+    own = queries.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    depth = top + own  # so many may be the query's own
+    asked = written(queries.join(vectors.select("embedding", "gid"), "embedding").select(F.col("vec_id").alias("query_id"), "gid"), "asked")
+    wanted = asked.select("gid").distinct().join(vectors.select("gid", "embedding"), "gid")
+    found = search_index(index, wanted, chosen, prefix, share, least, depth)
+    best = Window.partitionBy("q_gid").orderBy("score", "first")
+    near = found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= depth)
+    hit = F.transform("ids", lambda v: F.struct(F.col("score").alias("score"), v.alias("vec_id")))
+    hits = near.join(vectors.select("gid", "ids"), "gid").groupBy("q_gid").agg(F.array_sort(F.flatten(F.collect_list(hit))).alias("hits"))
     hits = written(hits, "hits")
-    own = asked.join(hits, asked["gid"] == hits["q_gid"]).select("query_id", F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, top).alias("hits"))
-    return own.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
+    mine = asked.join(hits, asked["gid"] == hits["q_gid"]).select("query_id", F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, top).alias("hits"))
+    return mine.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
+
+
+def nearest(table: DataFrame, is_query: str, top: int = TOP, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = RERANK, least: int = RERANK_LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the rows of ``table`` (vec_id, embedding) where ``is_query`` holds, against all other rows."""
+    rows = written(usable_vectors(table).withColumn("d", F.size("embedding")), "vectors")
+    out = table.sparkSession.createDataFrame([], _RESULT)
+    for (d,) in rows.where(is_query).select("d").distinct().orderBy("d").collect():  # one index for each length that is asked for
+        out = out.union(_nearest_of_length(rows.where(F.col("d") == d).drop("d"), is_query, top, pivots, prefix, share, least, block_rows))
+    return out
