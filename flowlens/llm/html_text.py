@@ -15,7 +15,7 @@ the template's text and left out.  What lies there in menus, forms, adverts,
 notices, comments and the like is left out: elements of such tags, and elements of which a whole class, id or role is such a name
 if they are on two different pages of the host (or it has one only).  An element around the article is none of these.
 
-A url without a host makes a host of its own, the empty one.  Null and empty html give an empty text.  Rows that
+Work and memory of a page grow with its length, however deep its elements lie and however many stay open.  A url without a host makes a host of its own, the empty one.  Null and empty html give an empty text.  Rows that
 repeat a page are counted and extracted each.  Other columns are left out.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import small, small_batches, written
 
 # HTML's element kinds, and names that sites give to what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,7 +50,8 @@ MANY = 10
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl select article section div body td th blockquote".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S)
+_TEXT = re.compile(r"<!--.*\Z|[^<]+|<", re.S)  # behind the last ">" there are no elements
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -59,28 +60,32 @@ def _plain(pieces: Iterable[str]) -> str:
 
 
 class _Open:
-    __slots__ = ("tag", "path", "other", "article", "marks")
+    __slots__ = ("tag", "node", "silent", "article")
 
-    def __init__(self, tag: str, path: str, other: bool, article: bool, marks: tuple[str, ...]):
-        self.tag, self.path, self.other, self.article, self.marks = tag, path, other, article, marks
+    def __init__(self, tag: str, node: int, silent: bool, article: bool):
+        self.tag, self.node, self.silent, self.article = tag, node, silent, article
 
 
 class Page:
-    """Elements and text blocks of a page: ``counts`` by path, ``blocks`` of (path, text, characters of links, marks, parts), and the paths of articles.
+    """Elements and text blocks of a page.
 
-    ``marks`` are the paths of the elements around that look like something else than the article: ``tagged`` by their tag, the others
-    by their class, id or role.  Whether they are is for ``main_text`` to say.  ``parts`` are the pieces of a text with marks within its line.
+    Elements of equal paths are one node; ``up`` gives the node around each (a smaller number), ``ids`` a hash of its path, ``counts`` how
+    often it occurs.  ``tagged`` and ``marked`` nodes look like something else than the article, by their tag or by their class, id or role;
+    whether they are is for ``main_text`` to say.  ``blocks`` are (node, text, characters of links, parts): ``parts`` are the pieces of a text
+    and their nodes, if a piece lies in such a node within the line.
     """
 
     def __init__(self, html: str | None):
-        self.counts: dict[str, int] = {}
-        self.blocks: list[tuple[str, str, int, tuple[str, ...], list | None]] = []
-        self.articles: dict[str, tuple[str, ...]] = {}
-        self.named: list[str] = []
-        self.tagged: set[str] = set()
-        self.marked: set[str] = set()
-        self.stack = [_Open("", "", False, False, ())]
-        self.texts: list[tuple[str, tuple[str, ...]]] = []
+        self.ids, self.up, self.counts, self.depth, self.marks, self.tags = [0], [0], [1], [0], [0], [""]
+        self.tagged: set[int] = set()
+        self.marked: set[int] = set()
+        self.articles: set[int] = set()
+        self.named: set[int] = set()
+        self.blocks: list[tuple[int, str, int, list | None]] = []
+        self.nodes: dict[tuple[int, str], int] = {}
+        self.stack = [_Open("", 0, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.texts: list[tuple[str, int]] = []
         self.linked = 0
         self.read(html or "")
         self.flush()
@@ -88,50 +93,60 @@ class Page:
     def flush(self) -> None:
         if self.texts:
             if text := _plain(piece for piece, _ in self.texts):
-                at = next((x for x in reversed(self.stack) if x.tag in BLOCK), self.stack[0])
-                parts = [(piece, marks[len(at.marks) :]) for piece, marks in self.texts]
-                self.blocks.append((at.path, text, self.linked, at.marks, parts if any(marks for _, marks in parts) else None))
+                node = self.stack[self.nearest(BLOCK)].node
+                odd = any(self.marks[of] > self.marks[node] for _, of in self.texts)
+                self.blocks.append((node, text, self.linked, self.texts if odd else None))
             self.texts, self.linked = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
-        up = self.stack[-1]
+        top = self.stack[-1]
         names = [next(x for x in m[1:] if x is not None) if any(x is not None for x in m[1:]) else "" for m in (f.groups() for f in _NAMED.finditer(attributes))] if attributes else []
+        mark = re.sub(r"\d+", "0", ".".join(sorted(n for name in names for n in name.split()))) if names else ""
         words = {n.lower() for name in names for n in name.split()}
-        mark = re.sub(r"\d+", "0", ".".join(sorted(n for name in names for n in name.replace(">", "_").split())))
-        path = f"{up.path}>{tag}.{mark}" if mark else f"{up.path}>{tag}"
-        article = up.article or tag in ("article", "main") or bool(words & ARTICLE_NAMES)
-        marks, whole = up.marks, tag in ("html", "body", "article", "main")
-        tagged = tag in OTHER or (tag == "header" and not up.article)
-        if not whole and (tagged or words & OTHER_NAMES or ("header" in words and not up.article)):
-            marks = (*marks, path)
-            (self.tagged if tagged else self.marked).add(path)
-        if path not in self.counts:
+        article = top.article or tag in ("article", "main") or bool(words & ARTICLE_NAMES)
+        key = (top.node, f"{tag}.{mark}" if mark else tag)
+        node = self.nodes.get(key)
+        if node is None:
+            node = self.nodes[key] = len(self.ids)
+            tagged = tag in OTHER or (tag == "header" and not top.article)
+            odd = tag not in ("html", "body", "article", "main") and (tagged or bool(words & OTHER_NAMES) or ("header" in words and not top.article))
+            if odd:
+                (self.tagged if tagged else self.marked).add(node)
+            self.ids.append(_signed(f"{self.ids[top.node]}>{key[1]}") or 1)
+            self.up.append(top.node)
+            self.counts.append(0)
+            self.depth.append(self.depth[top.node] + 1)
+            self.marks.append(self.marks[top.node] + odd)
+            self.tags.append(tag)
             if tag in ("article", "main"):
-                self.articles[path] = marks
-            elif words & ARTICLE_NAMES and not marks:
-                self.named.append(path)
-        self.counts[path] = self.counts.get(path, 0) + 1
-        self.stack.append(_Open(tag, path, up.other or tag in INLINE, article, marks))
+                self.articles.add(node)
+            elif words & ARTICLE_NAMES and not self.marks[node]:
+                self.named.add(node)
+        self.counts[node] += 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(_Open(tag, node, top.silent or tag in INLINE, article))
+
+    def nearest(self, tags: set[str] | frozenset[str]) -> int:
+        """The place in the stack of the innermost open element of ``tags``; 0 without any."""
+        return max((x[-1] for tag in tags if (x := self.places.get(tag))), default=0)
 
     def close_to(self, tags: set[str] | frozenset[str], scopes: frozenset[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in scopes:
-                return
+        at = self.nearest(tags)
+        if at and at > self.nearest(scopes):
+            while len(self.stack) > at:
+                self.places[self.stack.pop().tag].pop()
 
     def read(self, html: str) -> None:
-        at = 0
-        while m := _TOKEN.match(html, at):
+        at, last = 0, html.rfind(">")
+        while m := (_TOKEN.match(html, at) if at <= last else _TEXT.match(html, at)):
             at = m.end()
-            tag = m[1]
+            tag = m[1] if m.re is _TOKEN else None
             if tag is None:
                 piece = m[0]
                 if piece[0] != "<" or piece == "<":
                     top = self.stack[-1]
-                    if not top.other:
-                        self.texts.append((piece, top.marks))
+                    if not top.silent:
+                        self.texts.append((piece, top.node))
                         if any(x.tag == "a" for x in self.stack[-4:]):
                             self.linked += len(piece)
                 continue
@@ -139,14 +154,14 @@ class Page:
             if tag in BLOCK:
                 self.flush()
             if closing:
-                if tag not in VOID and any(x.tag == tag for x in self.stack):
+                if tag not in VOID:
                     self.close_to({tag}, frozenset())
             elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
-            elif tag in VOID or (m[2].endswith("/") and any(x.tag in ("svg", "math") for x in self.stack)):
-                if not self.stack[-1].other:
-                    self.texts.append((" ", ()))
+            elif tag in VOID or (m[2].endswith("/") and (self.places.get("svg") or self.places.get("math"))):
+                if not self.stack[-1].silent:
+                    self.texts.append((" ", self.stack[-1].node))
             else:
                 if tag in BLOCK:
                     self.close_to({"p"}, SCOPES)
@@ -154,23 +169,31 @@ class Page:
                     self.close_to(CLOSED_BY[tag], SCOPES - CLOSED_BY[tag])
                 self.open(tag, m[2])
 
+    def innermost(self, of: set[int]) -> list[int]:
+        """For each node, the innermost of the nodes ``of`` that it lies in or is; -1 without any."""
+        found = [0 if 0 in of else -1] * len(self.ids)
+        for node in range(1, len(self.ids)):
+            found[node] = node if node in of else found[self.up[node]]
+        return found
 
-def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    def frames(self) -> list[int]:
+        """For each node, the innermost article element around it, else the outermost element in the page's body."""
+        found, body = self.innermost(self.articles), [True] * len(self.ids)
+        outer = list(range(len(self.ids)))
+        for node in range(1, len(self.ids)):
+            up = self.up[node]
+            body[node] = body[up] and self.tags[node] in ("html", "body")
+            outer[node] = node if body[up] else outer[up]
+        return [a if a >= 0 else b for a, b in zip(found, outer, strict=True)]
 
 
-_STATS = "host string, path string, text long, pages long, once long, vector long, first long, last long, marked long, chars long, links long, low long, high long"
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def _frame(page: Page, path: str) -> str:
-    """The innermost article element around ``path``, else the outermost element in the page's body."""
-    around = [p for p in page.articles if _within(path, p)]
-    if around:
-        return max(around, key=len)
-    parts, k = path.split(">"), 1
-    while k < len(parts) and parts[k].partition(".")[0] in ("html", "body"):
-        k += 1
-    return ">".join(parts[: k + 1])
+_STATS = "host string, id long, text long, pages long, once long, vector long, first long, last long, marked long, chars long, links long, low long, high long, beyond long, around array<long>"
+#: So many elements around an element are looked through at once for its slot; beyond, by jumps.
+LINE = 32
 
 
 def _signed(text: str) -> int:
@@ -179,61 +202,69 @@ def _signed(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _text_key(path: str, text: str) -> int:
-    """A text token; 0 stands for elements."""
-    return _signed(f"{path}\n{text}") or 1
+def _text_key(frame: int, text: str) -> int:
+    """A text token, told apart by the id of its block's node; 0 stands for elements."""
+    return _signed(f"{frame}\n{text}") or 1
 
 
 def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held: dict[tuple[str, str, int], list] = {}
+        held: dict[tuple[str, int, int], list] = {}
         for host, page_id, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             page = Page(html)
-            if not page.counts:
+            if len(page.ids) == 1:
                 continue
             content, seen = _signed(html), (_signed(f"{page_id}") >> 32) + (1 << 31)
-            chars: dict[str, list] = {}
-            texts = {(_frame(page, path), _text_key(path, text)) for path, text, *_ in page.blocks}
-            for path, text, linked, _, _ in page.blocks:
-                c = chars.setdefault(path, [0, 0, []])
+            chars: dict[int, list] = {}
+            frames = page.frames()
+            texts = {(page.ids[frames[node]], _text_key(page.ids[node], text)) for node, text, *_ in page.blocks}
+            for node, text, linked, _ in page.blocks:
+                c = chars.setdefault(node, [0, 0, []])
                 c[0] += len(text)
                 c[1] += linked
                 c[2].append(text)
-            for path, n in [("", 1), *page.counts.items()]:
-                got = chars.get(path, [0, 0, []])
+            for node, n in enumerate(page.counts):
+                got = chars.get(node, [0, 0, []])
                 text = _signed("\n".join(got[2]))
-                row = held.setdefault((host, path, 0), [0, 0, 0, content, content, 0, 0, 0, text, text])
+                row = held.get((host, page.ids[node], 0))
+                if row is None:
+                    around, up = [], node
+                    while len(around) < LINE and (not around or around[-1] != 0):
+                        around.append(page.ids[up])
+                        up = page.up[up]
+                    row = held[(host, page.ids[node], 0)] = [0, 0, 0, content, content, 0, 0, 0, text, text, page.ids[up], around]
                 row[0] += 1
                 row[1] += n == 1
                 row[2] += seen
                 row[3], row[4] = min(row[3], content), max(row[4], content)
-                row[5] |= path in page.marked
+                row[5] |= node in page.marked
                 row[6] += got[0]
                 row[7] += got[1]
                 row[8], row[9] = min(row[8], text), max(row[9], text)
             for frame, text in texts:
-                row = held.setdefault((host, frame, text), [0, 0, 0, content, content, 0, 0, 0, 0, 0])
+                row = held.setdefault((host, frame, text), [0, 0, 0, content, content, 0, 0, 0, 0, 0, 0, []])
                 row[0] += 1
                 row[2] += seen
                 row[3], row[4] = min(row[3], content), max(row[4], content)
         names = [x.split()[0] for x in _STATS.split(", ")]
         columns = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [[] for _ in names]
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 11]
+        kinds = [pa.string(), *[pa.int64()] * 13, pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, text, pages, once, vector, marked, several, chars, links, fixed, host_pages): each host's tokens, from pages that have elements.
+    """(host, id, text, pages, once, vector, marked, several, chars, links, fixed, around, beyond, host_pages): each host's tokens, from pages that have elements.
 
-    ``text`` is 0 for elements; text tokens, whose ``path`` is that of their frame, are kept if pages of different html
-    have them (``several``).  ``once``: pages with one occurrence.
+    ``text`` is 0 for elements; text tokens, whose ``id`` is that of their frame, are kept if pages of different html
+    have them (``several``).  ``once``: pages with one occurrence.  ``around``: the ids of the element and of those around it, ``LINE`` at most;
+    ``beyond``: the next one's.
     """
     raw = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("string"), "html").mapInArrow(_page_tokens, _STATS)
-    sums = raw.groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "links")), *(F.min(c).alias(c) for c in ("first", "low")), *(F.max(c).alias(c) for c in ("last", "high", "marked")))
+    sums = raw.groupBy("host", "id", "text").agg(F.max("around").alias("around"), F.max("beyond").alias("beyond"), *(F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "links")), *(F.min(c).alias(c) for c in ("first", "low")), *(F.max(c).alias(c) for c in ("last", "high", "marked")))
     several = F.col("first") != F.col("last")
     kept = sums.where((F.col("text") == 0) | several)
     tokens = written(kept.withColumns({"several": several, "fixed": several & (F.col("low") == F.col("high"))}).drop("first", "last", "low", "high"), "page-tokens")
-    hosts = tokens.where("path = '' and text = 0").select("host", F.col("pages").alias("host_pages"), F.col("several").alias("host_several"))
+    hosts = tokens.where("id = 0 and text = 0").select("host", F.col("pages").alias("host_pages"), F.col("several").alias("host_several"))
     return tokens.join(hosts, "host")
 
 
@@ -243,8 +274,8 @@ def template_texts(tokens: DataFrame) -> DataFrame:
     The class is the tokens of equal vectors; the text is inside the frame, so the class nests.  From ``MANY`` pages on, a tenth of
     the frame's pages may be without the text.  ``few`` are those of classes of less pages.
     """
-    frames = tokens.where("text = 0 and several").where(F.col("pages") * RARE >= F.col("host_pages")).select("host", "path", F.col("pages").alias("frame_pages"), F.col("vector").alias("frame_vector"))
-    met = tokens.where("text <> 0").select("host", "path", "text", "pages", "vector").join(frames, ["host", "path"])
+    frames = tokens.where("text = 0 and several").where(F.col("pages") * RARE >= F.col("host_pages")).select("host", "id", F.col("pages").alias("frame_pages"), F.col("vector").alias("frame_vector"))
+    met = tokens.where("text <> 0").select("host", "id", "text", "pages", "vector").join(frames, ["host", "id"])
     many = F.col("frame_pages") >= MANY
     same = (F.col("pages") == F.col("frame_pages")) & (F.col("vector") == F.col("frame_vector"))
     found = met.where(same | (many & (F.col("pages") * 10 >= F.col("frame_pages") * 9)))
@@ -259,71 +290,79 @@ def templates(tokens: DataFrame) -> DataFrame:
     """
     elements = tokens.where("text = 0")
     supported = (F.col("several") | ~F.col("host_several")) & (F.col("pages") * RARE >= F.col("host_pages"))
-    once = elements.where(supported & (F.col("once") * 2 > F.col("pages"))).select("host", F.col("path").alias("slot"))
-    inner = elements.where("chars > 0").select("host", "path", "chars", "links", "fixed", F.explode(_prefixes(F.col("path"))).alias("slot"))
-    deepest = inner.join(once, ["host", "slot"]).groupBy("host", "path", "chars", "links", "fixed").agg(F.max_by("slot", F.length("slot")).alias("slot"))
+    once = elements.where(supported & (F.col("once") * 2 > F.col("pages"))).select("host", F.col("id").alias("slot"))
+    deepest = elements.where("chars > 0").select("host", "id", "chars", "links", "fixed").join(_slots_of(elements, once), ["host", "id"])
     slots = deepest.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("fixed").alias("fixed"))
     good = ~F.col("fixed") & (F.col("chars") > 2 * F.col("links"))
     by_host = slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", good))).alias("slots"))
-    marked = F.when((F.col("marked") == 1) & supported, F.col("path"))
+    marked = F.when((F.col("marked") == 1) & supported, F.col("id"))
     classes = elements.groupBy("host").agg(F.collect_set(marked).alias("classes"), F.max("host_several").alias("several"))
     by_host = classes.join(by_host, "host", "left")
     return by_host.join(template_texts(tokens), "host", "left").select("host", F.to_json(F.struct("slots", "texts", "few", "classes", "several")).alias("template"))
 
 
-def _prefixes(path: Column) -> Column:
-    """The paths of the element itself and of all around it."""
-    parts = F.split(path, ">")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), ">"))
+def _slots_of(elements: DataFrame, once: DataFrame) -> DataFrame:
+    """(host, id, slot): the innermost template element that each element is or lies in, as a written table.
+
+    The page itself is one for all.  An element without one among the ``LINE`` around it takes that of the next one beyond these,
+    found by jumps that double.
+    """
+    near = elements.select("host", "id", F.posexplode("around").alias("k", "slot")).join(once, ["host", "slot"]).groupBy("host", "id").agg(F.min_by("slot", "k").alias("slot"))
+    found = written(elements.select("host", "id", "beyond").join(near, ["host", "id"], "left"), "slots")
+    while not found.where("slot is null").isEmpty():
+        further = found.select("host", F.col("id").alias("beyond"), F.col("slot").alias("slot2"), F.col("beyond").alias("beyond2"))
+        met = found.where("slot is null").join(further, ["host", "beyond"], "left")
+        page = F.when((F.col("beyond") == 0) | F.col("beyond2").isNull(), F.lit(0).cast("long"))
+        jumped = met.select("host", "id", F.coalesce("beyond2", "beyond").alias("beyond"), F.coalesce("slot2", page).alias("slot"))
+        found = written(found.where("slot is not null").unionByName(jumped), "slots")
+    return found.select("host", "id", "slot")
+
 
+class Template:
+    """A host's template, read from its JSON; an empty one for hosts without."""
 
-def _within(path: str, slot: str) -> bool:
-    return path == slot or path.startswith(slot + ">")
+    def __init__(self, found: str | None):
+        x = json.loads(found) if found else {}
+        self.slots = {int(k): v for k, v in (x.get("slots") or {}).items()}
+        self.texts, self.few = set(x.get("texts") or ()), set(x.get("few") or ())
+        self.confirmed = set(x["classes"]) if x.get("several") else None
 
 
-def main_text(page: Page, template: dict) -> str:
+def main_text(page: Page, template: Template) -> str:
     """The article's blocks; on a page without an article, those of the template's slots that vary and aren't links."""
-    slots = template.get("slots", {})
-    confirmed = set(template["classes"]) if template.get("several") else None
+    confirmed = template.confirmed
+    odd = page.tagged | {n for n in page.marked if confirmed is None or page.ids[n] in confirmed}
+    # A node's innermost element of something else, by depth; it counts if it is deeper than the slot that the node lies in.
+    other = [-1 if n < 0 else page.depth[n] for n in page.innermost(odd)]
     if page.articles:
-        least = min(map(len, page.articles.values()))
-        clean = [p for p, marks in page.articles.items() if len(marks) == least]
-        chosen = [p for p in clean if p in slots] or clean
-        inside = [(b, max((p for p in chosen if _within(b[0], p)), key=len, default=None)) for b in page.blocks]
-        kept = [b for b, slot in inside if slot is not None and not _is_other(page, b[3], slot, confirmed)]
+        least = min(page.marks[n] for n in page.articles)
+        clean = {n for n in page.articles if page.marks[n] == least}
+        slot = page.innermost({n for n in clean if page.ids[n] in template.slots} or clean)
+        kept = [b for b in page.blocks if slot[b[0]] >= 0 and other[b[0]] <= page.depth[slot[b[0]]]]
     else:
-        own = [b for b in page.blocks if not _is_other(page, b[3], "", confirmed)]
+        own = [b for b in page.blocks if other[b[0]] < 0]
         if not own and page.blocks:  # an element around all of it isn't something else
-            least = min(len(b[3]) for b in page.blocks)
-            own = [b for b in page.blocks if len(b[3]) == least]
-        kept = [b for b in own if slots.get(_innermost(b[0], slots), True)] or own
-        named = [b for b in kept if any(_within(b[0], slot) for slot in page.named)]
+            least = min(page.marks[b[0]] for b in page.blocks)
+            own = [b for b in page.blocks if page.marks[b[0]] == least]
+        slot = page.innermost({n for n, x in enumerate(page.ids) if x in template.slots})
+        kept = [b for b in own if slot[b[0]] < 0 or template.slots[page.ids[slot[b[0]]]]] or own
+        inside = page.innermost(page.named)
+        named = [b for b in kept if inside[b[0]] >= 0]
         if 2 * sum(len(b[1]) for b in named) >= sum(len(b[1]) for b in kept):
             kept = named
-    kept = _without_template(kept, set(template.get("texts", ())), set(template.get("few", ())))
-    shown = (b[1] if b[4] is None else _plain(piece for piece, marks in b[4] if not _is_other(page, marks, "", confirmed)) for b in kept)
+    kept = _without_template(page, kept, template.texts, template.few)
+    shown = (b[1] if b[3] is None else _plain(piece for piece, node in b[3] if other[node] <= page.depth[b[0]]) for b in kept)
     return "\n\n".join(filter(None, shown))
 
 
-def _is_other(page: Page, marks: tuple[str, ...], slot: str, confirmed: set[str] | None) -> bool:
-    """Whether a marked element inside ``slot`` is something else: by its tag, or by its name if the host's classes confirm it or it has none."""
-    return any(not _within(slot, x) and (x in page.tagged or confirmed is None or x in confirmed) for x in marks)
-
-
-def _innermost(path: str, slots: dict) -> str:
-    while path and path not in slots:
-        path = path.rpartition(">")[0]
-    return path
-
-
-def _without_template(blocks: list, texts: set[int], few: set[int]) -> list:
+def _without_template(page: Page, blocks: list, texts: set[int], few: set[int]) -> list:
     """``blocks`` without the template's texts, unless nothing would be left.
 
     On few pages, copies of an article look like a template: there, texts that are half of it or more stay.
     """
     if not texts and not few:
         return blocks
-    keyed = [(b, _text_key(b[0], b[1])) for b in blocks]
+    keyed = [(b, _text_key(page.ids[b[0]], b[1])) for b in blocks]
     kept = [(b, k) for b, k in keyed if k not in texts] or keyed
     own = [b for b, k in kept if k not in few]
     return own if 2 * sum(len(b[1]) for b in own) > sum(len(b[1]) for b, _ in kept) else [b for b, _ in kept]
@@ -331,6 +370,7 @@ def _without_template(blocks: list, texts: set[int], few: set[int]) -> list:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of ``pages`` (page_id, url, html)."""
+    small_batches(pages.sparkSession)
     found = written(templates(page_tokens(pages)), "templates")
     by_host = small(found.withColumnRenamed("host", "_host"), found.count(), BROADCAST_HOSTS)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("_key", host_of(F.col("url")))
@@ -338,11 +378,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str | None, dict] = {None: {}}
+            known: dict[str | None, Template] = {}
             texts = []
             for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if template not in known:
-                    known[template] = json.loads(template)
+                    known[template] = Template(template)
                 texts.append(main_text(Page(html), known[template]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
