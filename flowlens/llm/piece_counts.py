@@ -15,6 +15,7 @@ counted by itself, whatever its doc_id; other columns are left out.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 800_000
+from .common import remembered, small_batches
+
+#: Bytes of words and their counts that a Python worker remembers.
+CACHE_BYTES = 160 << 20
 #: The symbol of a word's end, beyond all bytes, and how many symbols there are.
 END, SYMBOLS = 256, 257
 _NONE = -1
@@ -153,27 +157,29 @@ def word_end_vocabulary(tokenizer_file: str, end: str = "</w>") -> set[bytes]:
     return {bytes(of[c] for c in piece) for piece in pieces if piece and set(piece) <= shown}
 
 
-_counters: dict[str, tuple[PieceCounter, dict[bytes, int]]] = {}
+@functools.cache
+def _counter(tokenizer_file: str) -> PieceCounter:
+    """The one of this Python worker."""
+    pieces = marked_vocabulary(tokenizer_file)
+    return PieceCounter(pieces, pieces, any(p[-1] == END for p in pieces))
 
 
 def piece_counts(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """(doc_id, n_words, n_pieces): words between ASCII white space in lower case A-Z, and their greedy word pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _counters:
-            pieces = marked_vocabulary(tokenizer_file)
-            _counters[tokenizer_file] = PieceCounter(pieces, pieces, any(p[-1] == END for p in pieces)), {}
-        counter, known = _counters[tokenizer_file]
+        counter, known = _counter(tokenizer_file), remembered(f"piece_counts {tokenizer_file}", CACHE_BYTES)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 split = [(x or "").encode("utf-8", "surrogatepass").lower().split() for x in some.column(1).to_pylist()]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
+                known.make_room()
                 fresh = list({w for words in split for w in words if w not in known})
                 if fresh:
                     known.update(zip(fresh, counter.counts(fresh).tolist(), strict=True))
+                    known.learned(fresh)
                 sums = [sum([known[w] for w in words]) for words in split]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(w) for w in split], pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "n_words", "n_pieces"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_pieces long")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered, small_batches
+
 LETTER_TERMS, SHAPE_TERMS, DIMENSIONS, NONZERO = 7168, 1024, 32, 2
 TERMS = LETTER_TERMS + SHAPE_TERMS
 #: The shape term of a word that is the same as the one before it.
@@ -34,7 +36,6 @@ REPEATED = TERMS - 1
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH = 32, 30, 256
 KEEP_AT = 0.7
-CACHE_WORDS = 400_000
 SEED = 11
 
 
@@ -48,9 +49,8 @@ class _Shape(dict):
 class Terms:
     """Terms of words: letter term and shape term of each word of a text.  A Python worker remembers words from task to task."""
 
-    known: dict[str, int] = {}
-
     def __init__(self) -> None:
+        self.known = remembered("quality", 48 << 20)
         self.shapes, self.runs, self.marks = _Shape(), re.compile(r"(.)\1+", re.S), re.compile(r"[\W_]+")
 
     def learn(self, word: str) -> int:
@@ -60,14 +60,13 @@ class Terms:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         known, words = self.known, (text or "").split()
-        if len(known) > CACHE_WORDS:
-            known.clear()
         try:
             codes = np.array([known[w] for w in words], np.int64)
         except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self.learn(w)
+            known.make_room()
+            fresh = {w for w in words if w not in known}
+            known.update((w, self.learn(w)) for w in fresh)
+            known.learned(fresh)
             codes = np.array([known[w] for w in words], np.int64)
         shapes = codes % TERMS
         shapes[1:][codes[1:] == codes[:-1]] = REPEATED
@@ -194,6 +193,7 @@ class Model:
     """Word vectors over all of ``docs`` and a network fitted on ``labels`` (doc_id, quality) outside the held-out part."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
+        small_batches(docs.sparkSession)
         self.vectors = vectors = word_vectors(docs)
         usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
         some = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
