@@ -11,7 +11,7 @@ there: its members are joined again by their sets' rarest shingles, which leaves
 exact prefix, size, position and bit filter can't rule out; each of these is compared.  No bucket is capped.
 
 ``doc_id`` names a document: rows that repeat one are one node with the links of all their texts, and each gets
-the result.  Documents of equal sets are one node from the start.  Null or blank texts, and null doc_ids, are
+the result.  Other columns are left out, or kept by ``deduplicated``.  Documents of equal sets are one node from the start.  Null or blank texts, and null doc_ids, are
 linked with nothing (``component_id`` is the doc_id).  Empty tables give no rows.
 """
 
@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import remembered, small, small_batches, written
 
 BANDS, ROWS = 48, 6
 THRESHOLD = 80
-CACHE_WORDS = 500_000
 #: Steps of the densifying walk; documents with bins still empty then take the next filled bin.
 WALK = 2048
 
@@ -78,10 +77,8 @@ def _densify(signatures: np.ndarray, filled: np.ndarray) -> None:
 class Signer:
     """Set size, set fingerprint and band keys of texts.  A Python worker remembers words from task to task."""
 
-    known: dict[bytes, int] = {}
-
     def __init__(self, width: int):
-        self.width = width
+        self.width, self.known = width, remembered("near_dups", 32 << 20)
 
     def word_hashes(self, words: list[bytes]) -> np.ndarray:
         import xxhash
@@ -90,11 +87,10 @@ class Signer:
         try:
             return np.array([known[w] for w in words], np.uint64)
         except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
+            known.make_room()
+            fresh = {w for w in words if w not in known}
+            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
+            known.learned(fresh)
             return np.array([known[w] for w in words], np.uint64)
 
     def shingles(self, text: str | None) -> np.ndarray:
@@ -186,8 +182,8 @@ def _bucket_members(spark: SparkSession, rows: DataFrame, reps: DataFrame) -> Da
     """(key, node, n, center, center_n) of the buckets that hold two nodes or more, as a written table."""
     nodes = rows.join(reps, "fingerprint").where("doc_id = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     nodes = written(nodes, "bands")
-    buckets = nodes.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).where("first.node <> last")
-    buckets = written(buckets.select("key", F.col("first.node").alias("center"), F.col("first.n").alias("center_n")), "buckets")
+    buckets = nodes.groupBy("key").agg(F.min("node").alias("center"), F.min_by("n", "node").alias("center_n"), F.max("node").alias("last")).where("center <> last")
+    buckets = written(buckets.drop("last"), "buckets")
     return written(nodes.join(buckets, "key").select("key", "node", "n", "center", "center_n").distinct(), "members")
 
 
@@ -233,11 +229,29 @@ def _open_keys(known: DataFrame) -> DataFrame:
     return known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
 
 
+def _sizes(n: str) -> str:
+    """The class of a set's size: its own for small ones, then by quarters; classes grow with sizes."""
+    return f"cast(if({n} <= 32, {n}, 33 + floor(ln({n} / 32D) / ln(1.25D))) as bigint)"
+
+
+def _as_smaller(rows: DataFrame, mark: str, threshold: int) -> DataFrame:
+    """``rows`` that can be the smaller set of a pair at their shingle, under the class of their size."""
+    return rows.where(f"{mark}ahead * {100 + threshold} >= {2 * threshold} * {mark}n").withColumn("sizes", F.expr(_sizes(f"{mark}n")))
+
+
+def _as_larger(rows: DataFrame, mark: str, threshold: int) -> DataFrame:
+    """``rows`` under each class of sizes that the smaller set of a pair can be of at their shingle."""
+    least, most = f"ceil({threshold} * {mark}n / 100.0 - 1e-9)", f"least({mark}n, floor({100 + threshold} * {mark}ahead / {threshold}.0 + 1e-9) - {mark}n)"
+    return rows.where(f"{most} >= {least}").withColumn("sizes", F.explode(F.expr(f"sequence({_sizes(least)}, {_sizes(most)})")))
+
+
 def _resolve_open(members: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame, width: int, threshold: int) -> DataFrame:
     """``labels`` after all that the star has left open has been compared.
 
     The members of buckets that hold several components are joined anew by the prefixes of their sets.  In each key those outside
-    its largest component meet all members of other components.  A pair goes on to be compared if its first common shingle
+    its largest component meet the members of other components.  The larger set of a pair is looked for under the sizes that its
+    shingle's place leaves for the smaller one; the smaller set stands there only for those shingles that are early enough for a set as large as
+    itself.  A pair goes on to be compared if its first common shingle
     leaves room for the overlap in both sets and the parity prints differ in no more bits than the sets may in shingles.
     """
     tried = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
@@ -245,15 +259,17 @@ def _resolve_open(members: DataFrame, texts: DataFrame, links: DataFrame, labels
     left = written(known.join(_open_keys(known).where("size > 2").select("key"), "key", "left_semi").select("node").distinct(), "open")
     if left.isEmpty():
         return labels
-    known = written(_labelled(_prefix_members(left, texts, width, threshold), labels), "labelled")
+    known = written(_labelled(_prefix_members(left, texts, width, threshold), labels), "prefix-labelled")
     parts = known.groupBy("key", "comp").agg(F.count("*").alias("size"))
     main = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     inside = known.join(written(main, "main"), "key")
-    outside = inside.where("comp <> main").select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "ahead", "bits", "comp")))
     unlike = " + ".join(f"bit_count(bits[{k}] ^ c_bits[{k}])" for k in range(PRINT_WORDS))
     may_link = f"least(ahead, c_ahead) * {100 + threshold} >= {threshold} * (n + c_n) and ({unlike}) * {100 + threshold} <= {100 - threshold} * (n + c_n)"
-    pairs = inside.join(outside, "key").where(f"comp <> c_comp and (comp = main or c_node < node) and {_fit('n', 'c_n', threshold)} and {may_link}")
-    pairs = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
+    met = f"comp <> c_comp and {_fit('n', 'c_n', threshold)} and {may_link}"
+    outside = inside.where("comp <> main").select("key", "main", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "ahead", "bits", "comp")))
+    larger = _as_larger(outside, "c_", threshold).join(_as_smaller(inside, "", threshold), ["key", "sizes"]).where(met).select("c_node", "node")
+    smaller = _as_smaller(outside, "c_", threshold).join(_as_larger(inside.where("comp = main"), "", threshold), ["key", "sizes"]).where(met).select("c_node", "node")
+    pairs = larger.union(smaller).select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
     fresh = confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, width, threshold)
     return labels if fresh.isEmpty() else components(links.union(fresh))
 
@@ -264,6 +280,7 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int = THRESHOLD) ->
     Links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` per cent or more.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = features(docs, width)
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     reps = written(usable.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "nodes")
@@ -284,12 +301,16 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int = THRESHOLD) ->
 
 
 def deduplicated(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with their own columns, of one document of each group: that of the smallest doc_id."""
+    """The rows of ``docs``, with their own columns, of one document of each group: that of the smallest doc_id.
+
+    Of rows that repeat this doc_id the first stays, by all their columns as JSON.  Rows without a doc_id all stay.
+    """
     marked = written(near_duplicates(docs, width, threshold), "marked")
     gone = marked.where("not kept").select("doc_id").distinct()
     kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
     again = marked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    row = F.struct(*docs.columns)
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
