@@ -131,7 +131,7 @@ class WordEncoder:
     other rules whole texts go to it.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -141,13 +141,13 @@ class WordEncoder:
         model = rules["model"]
         self.by_words = plain and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and model["type"] == "BPE" and not model.get("dropout")
         self.added, self.model, self.characters = tuple(x["content"] for x in added), self.tokenizer.model, _byte_characters()
-        self.owner = f"token_store {tokenizer_file}"
+        self.owner, self.cache_bytes = f"token_store {tokenizer_file}", cache_bytes
 
     @classmethod
     @functools.cache
-    def of(cls, tokenizer_file: str) -> WordEncoder:
+    def of(cls, tokenizer_file: str, cache_bytes: int) -> WordEncoder:
         """The one of this Python worker."""
-        return cls(tokenizer_file)
+        return cls(tokenizer_file, cache_bytes)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -182,7 +182,7 @@ class WordEncoder:
         if not self.by_words:
             return self.whole(texts)
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        known = remembered(self.owner, CACHE_BYTES)
+        known = remembered(self.owner, self.cache_bytes)
         known.make_room()
         known[""] = b""
         if fresh := {w for words in split for w in words if w not in known}:
@@ -190,14 +190,14 @@ class WordEncoder:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
-def segment_writer(tokenizer_file: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def segment_writer(tokenizer_file: str, end_id: int, segment_ids: int = SEGMENT_IDS, cache_bytes: int = CACHE_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over (doc_id, text) in doc_id order: segments of directly addressable codes."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder.of(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder.of(tokenizer_file, cache_bytes), np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         held: list[bytes] = []
@@ -226,13 +226,13 @@ def segment_writer(tokenizer_file: str, end_id: int, segment_ids: int = SEGMENT_
     return write
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, cache_bytes: int = CACHE_BYTES) -> None:
     """Encodes ``docs`` (doc_id, text; other columns are left out) into the segment table at ``path``."""
     order = ("doc_id", "text_hash", "place")  # the place only parts equal rows
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("place"))
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     small_batches(docs.sparkSession)
-    ordered.mapInArrow(segment_writer(tokenizer_file, end_id), SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(segment_writer(tokenizer_file, end_id, cache_bytes=cache_bytes), SEGMENT_SCHEMA).write.parquet(path)
 
 
 def read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,12 +278,12 @@ def token_at(spark: SparkSession, path: str, position: int) -> int:
     return DacReader(bytes(row["payload"]))[position - at["seg_start"]]
 
 
-def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 2) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 2, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Writes ``docs`` to a new store in the shared folder and returns its documents as read back.
 
     An empty table gives an empty store and no rows.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
-    write_store(docs, path, tokenizer_file, end_id)
+    write_store(docs, path, tokenizer_file, end_id, cache_bytes)
     return read_store(spark, path)
