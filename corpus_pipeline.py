@@ -16,6 +16,10 @@ from flowlens.llm.common import written
 from flowlens.llm.queries import END_ID, table, tokenizer_path
 
 
+#: Bytes of words that a Python worker of the last stage remembers: less than by default, as executors that ran the stages before hold more.
+CACHE_BYTES = 48 << 20
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier scores at its threshold or more."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -38,7 +42,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token store and returns its documents as read back."""
-    return token_store.token_output(docs, tokenizer_path(), END_ID)
+    return token_store.token_output(docs, tokenizer_path(), END_ID, CACHE_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
