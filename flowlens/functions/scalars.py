@@ -88,7 +88,7 @@ def safe_double(c: Column, default: float | None = None) -> Column:
 def norm_return(c: Column, clamp: bool = False) -> Column:
     """Return in per cent as written (never times 100); ``clamp`` holds it at -100 or above."""
     n = safe_double(c)
-    return F.greatest(n, F.lit(-100.0)) if clamp else n
+    return F.when(n < -100, -100.0).otherwise(n) if clamp else n
 
 
 def norm_win_rate(c: Column) -> Column:
@@ -173,6 +173,31 @@ def bits_code(*flags: Column) -> Column:
     return F.concat(*(f.cast("int").cast("string") for f in flags))
 
 
+# What the position codes and low levels are called.
+POSITION_NAMES = {
+    "000": "短線弱勢（低於MA5、MA10、MA20）",
+    "001": "僅高於MA20",
+    "010": "僅高於MA10",
+    "011": "高於MA10與MA20",
+    "100": "僅高於MA5",
+    "101": "高於MA5與MA20",
+    "110": "高於MA5與MA10",
+    "111": "高於MA5、MA10、MA20",
+}
+LOW_NAMES = {
+    0: "非低檔分級",
+    1: "1-短線弱勢（低於MA5、MA10、MA20）",
+    2: "2-中期低檔（低於MA5～MA60）",
+    3: "3-長期低檔（低於MA5～MA120）",
+    4: "4-全週期低檔（低於MA5～MA240）",
+}
+
+
+def named(c: Column, names: dict) -> Column:
+    """The name of a code; null for codes without one."""
+    return reduce(lambda out, kv: F.when(c == kv[0], F.lit(kv[1])).otherwise(out), names.items(), F.lit(None).cast("string"))
+
+
 def low_level(*below: Column) -> Column:
     """0 to n: how many of the nested conditions, from the first on, hold."""
     return reduce(lambda out, k: F.when(reduce(lambda a, b: a & b, below[:k]), F.lit(k)).otherwise(out), range(1, len(below) + 1), F.lit(0))
@@ -197,14 +222,39 @@ def fix_mojibake(c: Column) -> Column:
 
 
 def fmt_amount(c: Column) -> Column:
-    """億 from 1e8 on, else 萬."""
-    return F.when(F.abs(c) >= 1e8, F.concat(F.format_string("%.2f", F.bround(c / 1e8, 2)), F.lit("億"))).otherwise(F.concat(F.format_string("%.1f", F.bround(c / 1e4, 1)), F.lit("萬")))
-
-
-def settlement_value(kind: Column, strike: Column, settle: Column, ratio: Column, tax: float, recorded: Column) -> Column:
-    """Cash value of one unit: intrinsic value times ratio after tax; 0 without a record."""
+    """億 from 1e8 on, with two places and no zeros at their end, else 萬 with one place; null counts as 0."""
+    v = F.coalesce(c.cast("double"), F.lit(0.0))
+    large = F.regexp_replace(F.format_string("%.2f", rounded_quotient(v, 8, 2)), r"\.?0+$", "")
+    return F.when(F.abs(v) >= 1e8, F.concat(large, F.lit(" 億"))).otherwise(F.concat(F.format_string("%.1f", rounded_quotient(v, 4, 1)), F.lit(" 萬")))
+
+
+def rounded_quotient(v: Column, power: int, places: int) -> Column:
+    """``v / 10**power`` to ``places``, by the exact value of the quotient's double: a tie in decimals is seldom one in binary.
+
+    The quotient times the divisor is taken as a sum of two doubles without error (its high 27 bits and the rest apart), and compared with ``v``.
+    """
+    divisor, unit = 10.0**power, 10.0 ** (power - places)
+    a = F.abs(v)
+    low = F.floor(a / unit)
+    rest, quotient = a - low * unit, a / divisor
+    split = quotient * 134217729.0
+    high = split - (split - quotient)
+    product = quotient * divisor
+    over = (product - a) + ((high * divisor - product) + (quotient - high) * divisor)
+    up = F.when(rest != unit / 2, rest > unit / 2).when(over != 0, over > 0).otherwise(low % 2 == 1)
+    return F.signum(v) * (low + up.cast("int")) / 10.0**places
+
+
+def settlement_value(kind: Column, strike: Column, settle: Column, ratio: Column, tax: float, recorded: Column, strict: bool = False) -> Column:
+    """Cash value of one unit: intrinsic value times ratio after tax; 0 without a record.
+
+    A record without a finite strike, settlement price or ratio has no value: null, or an error if ``strict``.
+    """
+    inputs = [x.cast("double") for x in (strike, settle, ratio)]
+    known = reduce(lambda a, b: a & b, (x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) for x in inputs))
     gain = F.when(kind == "put", strike - settle).otherwise(settle - strike)
-    return F.when(~recorded, 0.0).otherwise(F.greatest(gain, F.lit(0.0)) * ratio * (1 - tax))
+    missing = F.raise_error(F.lit("a settlement record lacks a price or a ratio")).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(~F.coalesce(recorded, F.lit(False)), 0.0).when(known, F.when(gain > 0, gain).otherwise(0.0) * ratio * (1 - tax)).otherwise(missing)
 
 
 def threshold_day(day: Column, months: int = 2) -> Column:

@@ -25,8 +25,16 @@ def fifo_match(lots: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
     matched = run.withColumn("_m", F.col("_s") + F.least(F.lit(0), F.min(F.col("_a") - F.col("_s")).over(sale_order.rowsBetween(Window.unboundedPreceding, 0))))
     matched = matched.withColumn("_from", F.coalesce(F.lag("_m").over(sale_order), F.lit(0))).where("_m > _from")
     sold = matched.select(*keys, F.col("day").alias("sale_day"), "sell_qty", "sell_amt", "_from", "_m")
-    met = placed.join(sold, keys).where("_m > lo and _from < hi")
-    part = F.least("_m", "hi") - F.greatest("_from", "lo")
+    # Lots and sales each cover their key's units without a gap: in one order, each start opens the part of the last lot and the last sale.
+    lot, sale = F.struct("event_id", "lot_no", "hi", "amount", "qty"), F.struct("sale_day", "sell_qty", "sell_amt", "_m")
+    starts = placed.select(*keys, F.col("lo").alias("_at"), F.col("hi").alias("_end"), lot.alias("_lot"))
+    starts = starts.unionByName(sold.select(*keys, F.col("_from").alias("_at"), F.col("_m").alias("_end"), sale.alias("_sale")), allowMissingColumns=True)
+    by_start = Window.partitionBy(*keys).orderBy("_at", "_end")
+    upto = by_start.rowsBetween(Window.unboundedPreceding, 0)
+    parts = starts.select(*keys, "_at", F.lead("_at").over(by_start).alias("_next"), F.last("_lot", ignorenulls=True).over(upto).alias("_lot"), F.last("_sale", ignorenulls=True).over(upto).alias("_sale"))
+    part = F.least("_next", "_lot.hi", "_sale._m") - F.col("_at")
+    met = parts.withColumn("_part", part).where("_part > 0 and _lot is not null and _sale is not null").select(*keys, "_lot.*", "_sale.*", "_part")
+    part = F.col("_part")
     return met.select(*keys, "event_id", "lot_no", "sale_day", part.alias("got"), (part * F.col("sell_amt") / F.col("sell_qty")).alias("revenue"), (part * F.col("amount") / F.col("qty")).alias("cost")).withColumnRenamed("got", "qty")
 
 
@@ -40,8 +48,9 @@ def exit_days(events: DataFrame, allocations: DataFrame) -> DataFrame:
 
 def event_outcomes(events: DataFrame, allocations: DataFrame) -> DataFrame:
     """Events (event_id, day, qty, amount, ...) with sold, remaining, revenue, cost, ret, hold_days and status."""
-    sums = allocations.groupBy("event_id").agg(F.sum("qty").alias("sold"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("sold_cost"))
-    out = events.join(sums, "event_id", "left").join(exit_days(events, allocations), "event_id", "left")
+    sums = allocations.groupBy("event_id").agg(F.sum("qty").alias("sold"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("sold_cost"), F.min("sale_day").alias("first_reduce"), F.max("sale_day").alias("_last"))
+    # No more is matched than was bought: on the last day of a sale nothing is left, or there is no exit.
+    out = events.join(sums, "event_id", "left").withColumn("exit_day", F.when(F.col("sold") >= F.col("qty"), F.col("_last"))).drop("_last")
     out = out.withColumns({"sold": F.coalesce("sold", F.lit(0).cast("bigint")), "revenue": F.coalesce("revenue", F.lit(0.0)), "sold_cost": F.coalesce("sold_cost", F.lit(0.0))})
     out = out.withColumn("remaining", F.col("qty") - F.col("sold"))
     status = F.when(F.col("remaining") == 0, "closed").when(F.col("sold") > 0, "reduced").otherwise("open")

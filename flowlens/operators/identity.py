@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,19 +45,51 @@ def resolve_contract(lots: DataFrame, contracts: DataFrame, code: str = "code",
     return lots.join(best, (F.col(code) == F.col("_c")) & (F.col(day) == F.col("_d")), "left").drop("_c", "_d")
 
 
-def prefix_aliases(master: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
-    """(alias, target, exact) from (target, name): full names, and prefixes that are no other full name; per prefix the exact, then the longer name, then the first target."""
-    full = master.select(F.col("name").alias("alias"), "target", "name", F.lit(1).alias("exact"))
-    cut = master.withColumn("k", F.explode(F.sequence(F.lit(least), F.lit(most)))).where(F.length("name") > F.col("k")).select(F.substring(F.col("name"), F.lit(1), F.col("k")).alias("alias"), "target", "name", F.lit(0).alias("exact"))
-    cut = cut.join(full.select("alias").distinct(), "alias", "left_anti")
-    return full.unionByName(cut).groupBy("alias").agg(F.max_by(F.struct("target", "exact"), F.struct(F.col("exact"), F.length("name"), -F.col("target"))).alias("_r")).select("alias", "_r.target", "_r.exact")
+# Endings of company names that an alias may lack, aliases that name a market, and the index fund's code, name and beginnings.
+SUFFIXES = ("半導體", "科技", "電子", "光電", "精密", "材料", "生技", "醫療", "資訊", "電腦", "通信", "通訊", "電機", "機械", "工業", "實業", "企業", "國際", "控股", "投控", "建設", "營造", "食品", "鋼鐵")
+NO_ALIAS = ("台灣", "臺灣")
+INDEX_FUND = {"target": "0050", "name": "元大台灣50", "aliases": ("台灣50", "臺灣50"), "begins": ("台灣50", "臺灣50", "元大台灣50", "元大臺灣50"), "not": ("台灣50正", "臺灣50正", "台灣50反", "臺灣50反")}
+
+
+def compact_name(c: Column) -> Column:
+    return F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "[ \u3000]", "")
+
 
+def prefix_aliases(master: DataFrame, least: int = 2, most: int = 4, suffixes: tuple[str, ...] = SUFFIXES, special: dict = INDEX_FUND, spaced: bool = False) -> DataFrame:
+    """(alias, target, exact) from (target, name): full names, names without one of ``suffixes``, and prefixes that are no other full name.
 
-def resolve_by_prefix(names: DataFrame, aliases: DataFrame, name: str, least: int = 2, most: int = 24) -> DataFrame:
-    """Distinct names with the target of the longest alias that begins them: their prefixes meet the aliases in an equi-join."""
-    cut = names.select(name).distinct().withColumn("_k", F.explode(F.sequence(F.lit(least), F.least(F.length(name), F.lit(most))))).where(F.length(name) >= least)
-    met = cut.withColumn("alias", F.substring(F.col(name), F.lit(1), F.col("_k"))).join(aliases, "alias")
-    return met.groupBy(name).agg(F.max_by(F.struct("target", "alias"), "_k").alias("_r")).select(name, "_r.target", "_r.alias")
+    Per alias the exact, then the longer name, then the first target.  Blanks in names don't count, unless ``spaced``.  The index fund of
+    ``special`` has aliases of its own.
+    """
+    full = master.select((F.col("name") if spaced else compact_name(F.col("name"))).alias("name"), "target").where(F.length("name") > 0)
+    exact = full.select(F.col("name").alias("alias"), "target", "name", F.lit(1).alias("exact"))
+    cut = full.withColumn("k", F.explode(F.sequence(F.lit(least), F.lit(most)))).where(F.length("name") > F.col("k")).select(F.substring(F.col("name"), F.lit(1), F.col("k")).alias("alias"), "target", "name", F.lit(0).alias("exact"))
+    parts = [exact, cut.join(exact.select("alias").distinct(), "alias", "left_anti")]
+    for suffix in suffixes:
+        parts.append(full.where(F.col("name").endswith(suffix) & (F.length("name") > len(suffix) + 1)).select(F.expr(f"left(name, length(name) - {len(suffix)})").alias("alias"), "target", "name", F.lit(0).alias("exact")))
+    if special:
+        parts.append(master.sparkSession.createDataFrame([(x, special["target"], special["name"], 1) for x in special["aliases"]], "alias string, target string, name string, exact int"))
+        parts = [x.withColumn("target", F.col("target").cast("string")) for x in parts]
+    both = reduce(DataFrame.unionByName, parts).where((F.length("alias") >= least) & ~F.col("alias").isin(*NO_ALIAS))
+    return both.groupBy("alias").agg(F.min_by(F.struct("target", "exact"), F.struct(-F.col("exact"), -F.length("name"), F.col("target"))).alias("_r")).select("alias", "_r.target", "_r.exact")
+
+
+def resolve_by_prefix(names: DataFrame, aliases: DataFrame, name: str, least: int = 2, most: int | None = None, special: dict = INDEX_FUND) -> DataFrame:
+    """Distinct names with the target of the longest alias that begins them: their prefixes meet the aliases in an equi-join.
+
+    Without ``most``, aliases of any length are found.  Names that begin like the index fund of ``special`` are its own, if targets are texts.
+    """
+    own = F.col(name) if most else compact_name(F.col(name))
+    once = names.select(name).distinct().withColumn("_c", own)
+    upto = F.least(F.length("_c"), F.lit(most)) if most else F.length("_c")
+    cut = once.where(F.length("_c") >= least).withColumn("_k", F.explode(F.sequence(F.lit(least), upto)))
+    met = cut.withColumn("alias", F.substring(F.col("_c"), F.lit(1), F.col("_k"))).join(aliases, "alias")
+    found = met.groupBy(name).agg(F.max_by(F.struct("target", "alias"), "_k").alias("_r")).select(name, "_r.target", "_r.alias")
+    if not special or dict(aliases.dtypes)["target"] != "string":
+        return found
+    begins = lambda words: reduce(lambda a, b: a | b, (F.col("_c").startswith(x) for x in words))
+    fund = once.where(begins(special["begins"]) & ~begins(special["not"])).select(name, F.lit(special["target"]).alias("target"), F.substring("_c", 1, 4).alias("alias"))
+    return found.join(fund, name, "left_anti").unionByName(fund)
 
 
 def normal_name(c: Column) -> Column:
@@ -118,12 +152,12 @@ def broker_map(directory: DataFrame, fallback: DataFrame, patterns: list[tuple[s
     return both.select("code", name.alias("name"))
 
 
-def build_identity(summary: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+def build_identity(summary: DataFrame, names: DataFrame, aliases: DataFrame, most: int | None = None) -> DataFrame:
     """Identity rows from a dated summary (code, list_date, end_date, target): display name is the longest directory name that resolves to the row's target, else the code.
 
     An official target is never overridden by a name; a blank one is filled from a name; still blank is Unmatched.
     """
-    resolved = names.join(resolve_by_prefix(names, aliases, "name").withColumnRenamed("target", "name_target"), "name", "left")
+    resolved = names.join(resolve_by_prefix(names, aliases, "name", most=most).withColumnRenamed("target", "name_target"), "name", "left")
     met = summary.join(resolved, "code", "left")
     fits = F.col("target").isNull() | (F.col("target") == F.col("name_target"))
     longest = F.max_by(F.struct("name", "name_target"), F.when(fits & F.col("name_target").isNotNull(), F.struct(F.length("name"), F.col("name"))))
@@ -132,6 +166,20 @@ def build_identity(summary: DataFrame, names: DataFrame, aliases: DataFrame) ->
     return out.select("code", "list_date", "end_date", target.alias("target"), F.coalesce(F.col("_r.name"), F.col("code").cast("string")).alias("name"), F.when(target.isNull(), "Unmatched").otherwise("Matched").alias("status"))
 
 
+def identity_counts(enriched: DataFrame, kind: str = "kind", put: str = "put", top: int = 5, max_pct: float = 5.0) -> DataFrame:
+    """(item, n): rows, matched ones, calls and puts among these, per cent unmatched, whether that stops a run (over ``max_pct``),
+    the ``top`` most frequent reasons, and as many unmatched codes as examples."""
+    good = F.col("id_status") == "Matched"
+    is_put = F.coalesce(F.col(kind) == put, F.lit(False))
+    sums = enriched.agg(F.count("*").alias("rows"), F.count_if(good).alias("matched"), F.count_if(good & ~is_put).alias("calls"), F.count_if(good & is_put).alias("puts"))
+    pct = F.bround((F.col("rows") - F.col("matched")) * 100 / F.nullif(F.col("rows"), F.lit(0)), 2)
+    sums = sums.select(*(F.col(c).cast("double") for c in sums.columns), pct.alias("pct"), (F.coalesce(pct, F.lit(0.0)) > max_pct).cast("double").alias("stops"))
+    counted = sums.select(F.expr("stack(6, 'rows', rows, 'matched', matched, 'calls', calls, 'puts', puts, 'unmatched %', pct, 'stops', stops) as (item, n)"))
+    bad = enriched.where(~F.coalesce(good, F.lit(False)))
+    first = lambda c, name: bad.groupBy(F.concat(F.lit(f"{name} "), F.col(c).cast("string")).alias("item")).agg(F.count("*").cast("double").alias("n")).orderBy(F.desc("n"), "item").limit(top)
+    return counted.unionByName(first("reason", "reason")).unionByName(first("code", "example"))
+
+
 def identity_quality(enriched: DataFrame, top: int = 5) -> DataFrame:
     """(item, n): rows by status, and the ``top`` most frequent unmatched codes."""
     status = enriched.groupBy(F.concat(F.lit("status "), F.col("id_status")).alias("item")).agg(F.count("*").alias("n"))

@@ -40,14 +40,19 @@ def last_per_day(log: DataFrame) -> DataFrame:
 
 
 def median_baseline(log: DataFrame, n: int = 20) -> DataFrame:
-    """(target_date, baseline, history): median rows over the last ``n`` complete days before, without failures; one row per day."""
+    """(target_date, baseline, history): median rows over the last ``n`` complete days before, without failures; one row per day.
+
+    If the log has a column ``configured`` (the number of branches), only days with as many count.
+    """
     days = last_per_day(log)
+    days = days if "configured" in days.columns else days.withColumn("configured", F.lit(0))
+    alike = Window.partitionBy("configured").orderBy("target_date")
     good = days.where("is_complete and failed = 0")
-    ranked = good.select(F.col("target_date").alias("past"), F.col("raw_rows").alias("past_rows"), F.row_number().over(Window.orderBy("target_date")).alias("at"))
-    at = days.join(ranked.select("past", "at"), F.col("target_date") == F.col("past"), "left").drop("past")
-    upto = at.withColumn("upto", F.coalesce(F.max("at").over(Window.orderBy("target_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    slots = upto.where("upto > 0").select("target_date", F.explode(F.sequence(F.greatest(F.col("upto") - n + 1, F.lit(1)), F.col("upto"))).alias("at"))
-    found = slots.join(ranked, "at").groupBy("target_date").agg(F.median("past_rows").alias("baseline"), F.count("*").alias("history"))
+    ranked = good.select("configured", F.col("target_date").alias("past"), F.col("raw_rows").alias("past_rows"), F.row_number().over(alike).alias("at"))
+    at = days.join(ranked.select(F.col("past").alias("target_date"), "at"), "target_date", "left")
+    upto = at.withColumn("upto", F.coalesce(F.max("at").over(alike.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    slots = upto.where("upto > 0").select("target_date", "configured", F.explode(F.sequence(F.greatest(F.col("upto") - n + 1, F.lit(1)), F.col("upto"))).alias("at"))
+    found = slots.join(ranked, ["configured", "at"]).groupBy("target_date").agg(F.median("past_rows").alias("baseline"), F.count("*").alias("history"))
     return days.select("target_date", "raw_rows").join(found, "target_date", "left").withColumn("history", F.coalesce("history", F.lit(0).cast("bigint")))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bits_code, low_level, slope
+from ..functions.scalars import LOW_NAMES, POSITION_NAMES, bits_code, low_level, named, settlement_value, slope
 
 WINDOWS = (5, 10, 20, 60, 120, 240)
 #: Low levels 1 to 4: below all three short averages, then also below each long one.
@@ -35,10 +35,10 @@ def price_lags(features: DataFrame, windows: tuple[int, ...] = (5, 10, 20), back
     return features.withColumns(lags | {f"ma{windows[-1]}_back": F.lag(f"ma{windows[-1]}", back).over(order)})
 
 
-def ma_states(features: DataFrame, windows: tuple[int, ...] = (5, 10, 20), lows: tuple[int | tuple[int, ...], ...] = (5, 10, 20)) -> DataFrame:
+def ma_states(features: DataFrame, windows: tuple[int, ...] = (5, 10, 20), lows: tuple[int | tuple[int, ...], ...] = LOWS) -> DataFrame:
     """above, below, crossings, alignments, position code, low level, slope; ties are neither above nor below.
 
-    A level of ``lows`` may name several windows (``LOWS``); windows of ``lows`` beyond ``windows`` get a below of their own.
+    A level of ``lows`` may name several windows that all count; windows of ``lows`` beyond ``windows`` get a below of their own.
     """
     ma = [F.col(f"ma{n}") for n in windows]
     close, prev = F.col("close"), F.col("prev_close")
@@ -53,6 +53,11 @@ def ma_states(features: DataFrame, windows: tuple[int, ...] = (5, 10, 20), lows:
     return features.withColumns(cols)
 
 
+def state_names(states: DataFrame) -> DataFrame:
+    """``states`` with the names of their position and low level."""
+    return states.withColumns({"position_name": named(F.col("position"), POSITION_NAMES), "low_name": named(F.col("low"), LOW_NAMES)})
+
+
 def attach_price_features(events: DataFrame, features: DataFrame) -> DataFrame:
     """Events (series, day) with the features of exactly that day; never filled from another day."""
     out = events.join(features.withColumnRenamed("date", "day"), ["series", "day"], "left")
@@ -61,13 +66,23 @@ def attach_price_features(events: DataFrame, features: DataFrame) -> DataFrame:
 
 def calendar_complete(series_days: DataFrame, prices: DataFrame, calendar: DataFrame, n: int = 240, shown: int = 5) -> DataFrame:
     """(series, day, status): whether each of the last ``n`` market days up to the event day has a price; else which are missing."""
-    pos = calendar.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
-    grid = prices.select("series").distinct().crossJoin(F.broadcast(pos)).join(prices.select("series", "date", F.lit(1).alias("has")), ["series", "date"], "left")
-    order = Window.partitionBy("series").orderBy("pos").rowsBetween(1 - n, 0)
-    gaps = F.collect_list(F.when(F.col("has").isNull(), F.date_format("date", "yyyy-MM-dd"))).over(order)
-    state = grid.select("series", F.col("date").alias("day"), "pos", F.count("has").over(order).alias("have"), F.slice(gaps, 1, shown).alias("gaps"))
-    met = series_days.select("series", "day").distinct().join(state, ["series", "day"], "left")
-    status = F.when(F.col("pos").isNull(), "Missing: not a market day").when(F.col("pos") < n - 1, "Missing: too early").when(F.col("have") < n, F.concat(F.lit("Missing: "), F.array_join("gaps", ","))).otherwise("OK")
+    pos = calendar.select("date").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("date")) - 1).cast("bigint"))  # one row a day
+    order = Window.partitionBy("series").orderBy("pos")
+    there = prices.select("series", "date").distinct().join(pos, "date").select("series", "pos", F.lit(True).alias("has"))
+    # The days without a price right before each priced one; neighbours suffice, so no series meets the whole calendar.
+    there = there.withColumn("after", F.coalesce(F.lag("pos").over(order), F.lit(-1)))
+    asked = series_days.select("series", F.col("day").alias("date")).distinct().join(pos, "date", "left").withColumnRenamed("date", "day")
+    both = there.withColumn("day", F.lit(None).cast("date")).unionByName(asked.where("pos is not null").select("series", "pos", F.lit(None).cast("boolean").alias("has"), F.lit(None).cast("bigint").alias("after"), "day"))
+    last_n = order.rangeBetween(1 - n, 0)
+    gap = F.when(F.col("has") & (F.col("after") < F.col("pos") - 1), F.struct((F.col("after") + 1).alias("a"), (F.col("pos") - 1).alias("z")))
+    state = both.select("series", "day", "pos", F.count("has").over(last_n).alias("have"), F.collect_list(gap).over(last_n).alias("gaps"), F.coalesce(F.last(F.when(F.col("has"), F.col("pos")), ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)), F.lit(-1)).alias("last")).where("day is not null")
+    first = F.col("pos") - n + 1
+    ends = F.concat(F.filter("gaps", lambda g: g["z"] >= first), F.filter(F.array(F.struct((F.col("last") + 1).alias("a"), F.col("pos").alias("z"))), lambda g: g["a"] <= g["z"]))
+    out = F.slice(F.array_sort(F.flatten(F.transform(ends, lambda g: F.sequence(F.greatest(g["a"], first), g["z"])))), 1, shown)
+    short = state.where((F.col("pos") >= n - 1) & (F.col("have") < n)).select("series", "day", F.explode(out).alias("pos")).join(pos, "pos")
+    named_gaps = short.groupBy("series", "day").agg(F.array_join(F.array_sort(F.collect_list(F.date_format("date", "yyyy-MM-dd"))), ",").alias("gaps"))
+    met = asked.join(named_gaps, ["series", "day"], "left")
+    status = F.when(F.col("pos").isNull(), "Missing: not a market day").when(F.col("pos") < n - 1, "Missing: too early").when(F.col("gaps").isNotNull(), F.concat(F.lit("Missing: "), "gaps")).otherwise("OK")
     return met.select("series", "day", status.alias("status"))
 
 
@@ -80,14 +95,19 @@ def lookback_start(events: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
 
 def missing_days(prices: DataFrame, calendar: DataFrame, bounds: DataFrame) -> DataFrame:
     """(series, date): market days within a series' (start, end) that have no price."""
-    expected = bounds.join(F.broadcast(calendar), F.col("date").between(F.col("start"), F.col("end"))).select("series", "date")
-    return expected.join(prices.select("series", "date"), ["series", "date"], "left_anti")
+    keys = ["series", "start", "end"]
+    inside = bounds.join(prices.select("series", "date"), "series").where(F.col("date").between(F.col("start"), F.col("end")))
+    edges = bounds.withColumn("date", F.explode(F.array(F.date_sub("start", 1), F.date_add("end", 1))))
+    # Days between neighbouring prices; those on the calendar are missing.
+    points = inside.select(*keys, "date").unionByName(edges.select(*keys, "date")).withColumn("next", F.lead("date").over(Window.partitionBy(*keys).orderBy("date")))
+    between = points.where(F.datediff("next", "date") > 1).select("series", F.explode(F.sequence(F.date_add("date", 1), F.date_sub("next", 1))).alias("date"))
+    return between.join(calendar.select("date").distinct(), "date", "left_semi").select("series", "date").distinct()
 
 
 def contiguous_ranges(missing: DataFrame, calendar: DataFrame) -> DataFrame:
     """(series, start, end, days): runs of missing days that are neighbours on the calendar."""
     pos = calendar.withColumn("pos", F.row_number().over(Window.orderBy("date")))
-    runs = missing.join(F.broadcast(pos), "date").withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("series").orderBy("pos")))
+    runs = missing.join(pos, "date").withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("series").orderBy("pos")))
     return runs.groupBy("series", "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days")).drop("run")
 
 
@@ -102,9 +122,14 @@ def sample_days(days: DataFrame, n: int) -> DataFrame:
 def last_close(contracts: DataFrame, prices: DataFrame, valuation_day: str) -> DataFrame:
     """Contracts (series, list_date, end_date) with the last close between list_date and the earlier of end_date and the valuation day."""
     end = F.least(F.col("end_date"), F.lit(valuation_day).cast("date"))
-    keyed = contracts.select("series", "list_date", "end_date").distinct()
-    met = keyed.join(prices, "series").where(F.col("date").between(F.col("list_date"), end))
-    best = met.groupBy("series", "list_date", "end_date").agg(F.max_by("close", "date").alias("last_close"), F.max("date").alias("close_day"))
+    asked = contracts.select("series", "list_date", "end_date").distinct()
+    # As of: a series' prices and ends in one order, each end takes the last price before it.
+    price = F.struct("date", "close")
+    rows = prices.select("series", F.col("date").alias("at"), F.lit(0).alias("kind"), price.alias("price"), F.lit(None).cast("date").alias("list_date"), F.lit(None).cast("date").alias("end_date"))
+    rows = rows.unionByName(asked.select("series", end.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["price"].dataType).alias("price"), "list_date", "end_date"))
+    upto = Window.partitionBy("series").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("price", F.last("price", ignorenulls=True).over(upto)).where((F.col("kind") == 1) & (F.col("price.date") >= F.col("list_date")))
+    best = met.select("series", "list_date", "end_date", F.col("price.close").alias("last_close"), F.col("price.date").alias("close_day"))
     return contracts.join(best, ["series", "list_date", "end_date"], "left")
 
 
@@ -112,13 +137,16 @@ def recognise(events: DataFrame, lots: DataFrame, valuation_day: str, months: in
     """Recognised value, return, day and status of events.
 
     events: event_id, day, status, amount, revenue, ret, exit_day; lots (remaining ones): event_id, remaining, end_date, recorded, kind, strike,
-    settle, ratio, last_close, close_day.  A closed event keeps its outcome; a younger one than ``months`` is pending; of an older one each lot is settled,
-    lapses or is marked at its last close, and a lot without the price it needs makes the event fail.
+    settle, ratio, last_close, close_day, and official (whether the contract is of the official source; so if there is no such column).  A closed event
+    keeps its outcome; a younger one than ``months`` is pending; of an older one each lot is settled, lapses or is marked at its last close.  A lot without
+    a contract (end_date), one that has ended without an official contract or with a record that lacks a price or ratio, and one
+    without the close that it needs make the event fail.
     """
     v = F.lit(valuation_day).cast("date")
     ended = v >= F.col("end_date")
-    gain = F.greatest(F.when(F.col("kind") == "put", F.col("strike") - F.col("settle")).otherwise(F.col("settle") - F.col("strike")), F.lit(0.0))
-    unit = F.when(ended & F.col("recorded"), gain * F.col("ratio") * (1 - tax)).when(ended, 0.0).otherwise(F.col("last_close"))
+    official = F.coalesce(F.col("official"), F.lit(False)) if "official" in lots.columns else F.lit(True)
+    paid = settlement_value(*(F.col(c) for c in ("kind", "strike", "settle", "ratio")), tax, F.col("recorded"))
+    unit = F.when(F.col("end_date").isNull() | (ended & ~official), F.lit(None)).when(ended, paid).otherwise(F.when(~F.isnan("last_close"), F.col("last_close")))
     reason = F.when(ended & F.col("recorded"), "settled").when(ended, "lapsed").otherwise("market")
     valued = lots.select("event_id", (F.col("remaining") * unit).alias("value"), unit.isNull().alias("bad"), reason.alias("reason"), F.when(ended, F.col("end_date")).otherwise(v).alias("value_day"))
     sums = valued.groupBy("event_id").agg(F.sum("value").alias("value"), F.max("bad").alias("bad"), F.collect_set("reason").alias("reasons"), F.max("value_day").alias("value_day"))

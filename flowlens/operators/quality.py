@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import amount_class, result_tag
+from ..functions.scalars import LOW_NAMES, amount_class, bits_code, low_level, named, result_tag
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -31,9 +31,33 @@ def check_outcomes(events: DataFrame) -> DataFrame:
     })
 
 
+RECOGNISED = ("fifo closed", "market", "settled", "lapsed")
+
+
+def check_recognised(events: DataFrame) -> DataFrame:
+    """Recognised results (recog_status, recog_day, recog_ret, recog_hold, tag): known states, all figures and the return's tag if resolved, none if pending."""
+    done, pending = F.col("recog_status").isin(*RECOGNISED), F.col("recog_status") == "pending"
+    figures = F.col("recog_day").isNotNull() & F.col("recog_ret").isNotNull() & F.col("recog_hold").isNotNull() & F.col("tag").isNotNull()
+    return violations(events, "event_id", {
+        "recognised status": done | pending,
+        "recognised needs day, return, hold and tag": implies(done, figures),
+        "tag follows return": implies(done & F.col("recog_ret").isNotNull(), F.col("tag") == result_tag(F.col("recog_ret"))),
+        "pending has no return or tag": implies(pending, F.col("recog_ret").isNull() & F.col("tag").isNull()),
+    })
+
+
 def check_event_frame(events: DataFrame, bounds: tuple[float, ...]) -> DataFrame:
-    """Unique ids, known classes, and classes that come out again from the amounts."""
-    rules = violations(events, "event_id", {"class known": F.col("event").isin("A", "B", "C", "D", "E"), "class follows amount": F.col("event") == amount_class(F.col("amount"), bounds)})
+    """Unique ids, known classes, and classes that come out again from the amounts.
+
+    With market states (``ma_status`` OK), position code, low level and its name have to come out again from the flags as well.
+    """
+    rules = {"class known": F.col("event").isin("A", "B", "C", "D", "E"), "class follows amount": F.col("event") == amount_class(F.col("amount"), bounds)}
+    if "ma_status" in events.columns:
+        ok = F.col("ma_status") == "OK"
+        below = [F.col(f"below{n}") for n in (5, 10, 20, 60, 120, 240)]
+        level = low_level(below[0] & below[1] & below[2], *below[3:])
+        rules |= {"position follows flags": implies(ok, F.col("position") == bits_code(*(F.col(f"above{n}") for n in (5, 10, 20)))), "low level follows flags": implies(ok, F.col("low") == level), "low name follows level": implies(ok, F.col("low_name") == named(level, LOW_NAMES))}
+    rules = violations(events, "event_id", rules)
     return rules.unionByName(check_unique(events, "event_id").select("event_id", F.lit("unique id").alias("rule")))
 
 

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .stats import cents, rounded
+from .trades import representative_text
 
 
 def weighted(amount: str, ret: str) -> Column:
@@ -49,10 +51,19 @@ def coalesce_detail(rows: DataFrame, key: str, *details: DataFrame) -> DataFrame
 
 
 def position_rollup(detail: DataFrame, coverage_min: float = 0.6) -> DataFrame:
-    """Per (target, broker): cost, P&L over what can be estimated, return, and a star where less than ``coverage_min`` of the cost is priced."""
-    sums = detail.groupBy("target", "broker").agg(F.sum("cost").alias("cost"), F.sum("pnl").alias("pnl"), F.sum("estimable").alias("estimable"))
-    covered = F.col("estimable") / F.nullif(F.col("cost"), F.lit(0))
-    return sums.withColumns({"ret": rounded(F.col("pnl") / F.nullif(F.col("estimable"), F.lit(0)) * 100, 4), "mark": F.when(covered < coverage_min, "*").otherwise("")})
+    """Per (target, broker) of some cost: cost, P&L over what can be estimated, return, and a star where less than ``coverage_min`` of the cost is priced.
+
+    Where nothing can be estimated the return is the cost-weighted one of the rows' own (``ret``, if there is such a column).
+    What is priced is ``traded`` (cost at a price of the day), or without such a column what can be estimated.
+    """
+    own = F.col("ret") if "ret" in detail.columns else F.lit(None).cast("double")
+    traded = F.col("traded") if "traded" in detail.columns else F.col("estimable")
+    rows = detail.withColumns({"_own": own, "_traded": traded}).withColumn("_weight", F.when(F.col("_own").isNotNull() & (F.col("cost") > 0), F.col("cost")))
+    sums = rows.groupBy("target", "broker").agg(F.sum("cost").alias("cost"), F.sum("pnl").alias("pnl"), F.sum("estimable").alias("estimable"), F.sum("_traded").alias("_traded"), (F.sum(F.col("_weight") * cents(F.col("_own"))) / F.sum("_weight") / 100).alias("_own")).where("cost > 0")
+    ret = F.coalesce(F.when(F.col("estimable") > 0, F.col("pnl") / F.nullif(F.col("estimable"), F.lit(0)) * 100), F.col("_own"))
+    out = sums.withColumn("ret", rounded(ret, 4))
+    covered = F.coalesce(F.col("_traded"), F.lit(0)) / F.col("cost")
+    return out.withColumn("mark", F.when(F.col("ret").isNotNull() & (covered < coverage_min), "*").otherwise("")).drop("_own", "_traded")
 
 
 def merge_broker_detail(exploded: DataFrame) -> DataFrame:
@@ -113,6 +124,44 @@ def merge_window_detail(rows: DataFrame) -> DataFrame:
     return sums.withColumns({"direction": F.when(net > 0, "buy").when(net < 0, "sell").otherwise("flat"), "won": F.col("ret") > 0})
 
 
+def merge_window_sides(rows: DataFrame) -> DataFrame:
+    """Per (broker, target): exact copies once, sums, the amount-weighted return of each side, direction and outcome by the side of the net.
+
+    rows: broker, target, buy_amt, sell_amt, buy_ret, sell_ret, direction, primary_ret, items (separated by ; or ；).  A row without a side's
+    return gives its primary one if its direction is that side.
+    """
+    own = lambda side, word: F.coalesce(F.col(f"{side}_ret"), F.when(F.col("direction") == word, F.col("primary_ret")))
+    once = rows.dropDuplicates().withColumns({"_b": own("buy", "buy"), "_s": own("sell", "sell")})
+    mean = lambda amount, ret: F.bround(F.sum(F.when(F.col(amount) > 0, F.col(amount) * cents(F.col(ret)))) / F.sum(F.when((F.col(amount) > 0) & F.col(ret).isNotNull(), F.col(amount))) / 100, 2)
+    parts = F.filter(F.transform(F.split("items", "[；;]"), lambda x: F.trim(x)), lambda x: x != "")
+    sums = once.groupBy("broker", "target").agg(F.sum("buy_amt").alias("buy_amt"), F.sum("sell_amt").alias("sell_amt"), mean("buy_amt", "_b").alias("buy_ret"), mean("sell_amt", "_s").alias("sell_ret"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(parts)))).alias("_items"))
+    net = F.col("buy_amt") - F.col("sell_amt")
+    out = sums.withColumns({"direction": F.when(net > 0, "buy").when(net < 0, "sell").otherwise("flat"), "net_buy": F.greatest(net, F.lit(0)), "net_sell": F.greatest(-net, F.lit(0)), "items": F.array_join("_items", "；"), "n_items": F.size("_items")}).drop("_items")
+    out = out.withColumn("primary_ret", F.when(net > 0, F.col("buy_ret")).when(net < 0, F.col("sell_ret")))
+    return out.withColumn("outcome", F.when(F.col("primary_ret").isNull(), "-").when(F.col("primary_ret") > 0, "won").otherwise("lost"))
+
+
+def branch_window_returns(rows: DataFrame) -> DataFrame:
+    """Per broker: totals, net, wins and losses, and its buy, sell and overall returns; a stated return comes before the weighted one.
+
+    rows: those of ``merge_window_sides``, with stated_buy, stated_sell and stated_ret of the broker (null without).  The overall return weighs a
+    row's primary one by its net amount, of a flat row by the larger side.
+    """
+    mean = lambda weight, ret: F.bround(F.sum(F.when(weight > 0, weight * cents(F.col(ret)))) / F.sum(F.when((weight > 0) & F.col(ret).isNotNull(), weight)) / 100, 2)
+    weight = F.when(F.col("direction") == "buy", F.col("net_buy")).when(F.col("direction") == "sell", F.col("net_sell")).otherwise(F.greatest("buy_amt", "sell_amt"))
+    sums = rows.withColumn("_w", weight).groupBy("broker").agg(
+        F.sum("buy_amt").alias("buy_amt"), F.sum("sell_amt").alias("sell_amt"), F.sum(F.col("buy_amt") - F.col("sell_amt")).alias("net"), F.count_if(F.col("outcome") == "won").alias("n_win"), F.count_if(F.col("outcome") == "lost").alias("n_loss"),
+        F.coalesce(F.max("stated_buy"), mean(F.col("buy_amt"), "buy_ret")).alias("buy_ret"), F.coalesce(F.max("stated_sell"), mean(F.col("sell_amt"), "sell_ret")).alias("sell_ret"), F.coalesce(F.max("stated_ret"), mean(F.col("_w"), "primary_ret")).alias("ret"),
+    )
+    return sums.withColumn("win_rate", F.bround(F.col("n_win") * 100 / F.nullif(F.col("n_win") + F.col("n_loss"), F.lit(0)), 2))
+
+
+def underlying_names(events: DataFrame, known: DataFrame) -> DataFrame:
+    """(code, name): each code's most frequent name, then the shortest, then the first; a name of ``known`` (name, known_code) counts for that code."""
+    rows = events.where("code is not null and code <> '' and name is not null and name <> ''").join(known, "name", "left")
+    return representative_text(rows.select(F.coalesce("known_code", "code").alias("code"), "name"), ["code"], "name")
+
+
 def consensus_map(flows: DataFrame) -> DataFrame:
     """Per target: brokers and net amounts by side, each broker once on the side of its own net."""
     net = flows.groupBy("target", "broker").agg(F.sum("net_amt").alias("net"))
@@ -218,9 +267,18 @@ def supplement_events(main: DataFrame, events: DataFrame, least: int = 5, most:
 
 
 def order_by_list(df: DataFrame, brokers: list) -> DataFrame:
-    """Listed brokers first in their order, then by amount and code."""
+    """Listed brokers first in their order, then by amount, code and broker, with their rank.
+
+    Codes go by the number they begin with, then as text; those without one come last.  Rows are sorted in ranges; ranks come from the ranges' sizes.
+    """
     at = F.array_position(F.array(*map(F.lit, brokers)), F.col("broker"))
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.when(at == 0, len(brokers) + 1).otherwise(at), F.desc("amount"), F.col("code").cast("bigint"), "broker")))
+    number = F.regexp_extract(F.col("code").cast("string"), r"^(\d+)", 1).try_cast("decimal(38,0)")
+    order = [F.when(at == 0, len(brokers) + 1).otherwise(at), F.desc("amount"), number.asc_nulls_last(), F.col("code"), F.col("broker")]
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), part == F.col("_part")).withColumn("rank", (F.col("_before") + F.col("_id") % (1 << 33) + 1).cast("int")).drop("_id", "_part", "_before")
 
 
 def wavg_cost_returns(daily: DataFrame, keys: list[str]) -> DataFrame:

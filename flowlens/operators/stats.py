@@ -44,6 +44,45 @@ def summarise_outcomes(events: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("grade", sample_grade(F.col("n_resolved")))
 
 
+def summarise_recognised(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The whole summary of events (event_id, day, status, amount, total_cost, recog_status, recog_ret, recog_hold) by ``keys``.
+
+    Resolved are events that are not pending and have a recognised return; P&L is their cost times it.
+    """
+    done = F.col("event_id").isNotNull() & (F.col("recog_status") != "pending") & F.col("recog_ret").isNotNull()
+    ret, cost = F.when(done, F.col("recog_ret")), F.when(done, F.coalesce("total_cost", F.lit(0)))
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    hold = F.when(done & (F.col("recog_status") != "pending"), F.col("recog_hold"))
+    closed = F.col("status") == "closed"
+    pnl = F.sum(cost * cents(ret)) / 10_000
+    out = events.groupBy(*keys).agg(
+        F.count("event_id").alias("n_events"), count(closed).alias("n_closed"), (F.count("event_id") - count(closed)).alias("n_not_closed"), count(done).alias("n_resolved"),
+        count(done & (F.col("recog_status") == "fifo closed")).alias("n_fifo"), count(done & (F.col("recog_status") == "market")).alias("n_market"), count(done & F.col("recog_status").isin("settled", "lapsed")).alias("n_settled"), (F.count("event_id") - count(done)).alias("n_pending"),
+        count(ret > 0).alias("n_win"), count(ret < 0).alias("n_loss"), count(ret == 0).alias("n_tie"), F.bround(count(ret > 0) * 100 / F.nullif(count(done), F.lit(0)), 2).alias("win_rate"),
+        even(F.avg(hold), 2).alias("mean_hold"), even(F.median(hold), 2).alias("median_hold"), rounded(F.sum(cents(ret)) / F.nullif(F.count(ret), F.lit(0)) / 100, 2).alias("mean_ret"), even(F.median(ret), 2).alias("median_ret"),
+        rounded(pnl / F.nullif(F.sum(cost), F.lit(0)) * 100, 2).alias("weighted_ret"), F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"), F.coalesce(F.sum(cost), F.lit(0)).alias("resolved_amount"), F.coalesce(F.sum(F.when(closed, F.col("amount"))), F.lit(0)).alias("closed_amount"),
+        F.coalesce(rounded(pnl, 0).cast("bigint"), F.lit(0)).alias("pnl"), F.max(ret).alias("max_ret"), F.min(ret).alias("min_ret"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+    )
+    return out.withColumn("grade", sample_grade(F.col("n_resolved")))
+
+
+def _best(stats: DataFrame, label: str, name: str, min_n: int, broker: str) -> DataFrame:
+    """(broker, name): the label of the best win rate among samples of ``min_n``, then of more samples and events, with its figures as text."""
+    order = Window.partitionBy(broker).orderBy(F.desc("win_rate"), F.desc("n_resolved"), F.desc("n_events"), label)
+    text = F.concat(F.col(label), F.lit("（勝率"), F.format_string("%.2f", "win_rate"), F.lit("%，勝敗樣本"), F.col("n_resolved").cast("string"), F.lit("筆）"))
+    best = stats.where((F.col("code") == "ALL") & (F.col("n_resolved") >= min_n) & F.col("win_rate").isNotNull()).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    return best.select(broker, text.alias(name))
+
+
+def profiles(events: DataFrame, cond: DataFrame, pos: DataFrame, min_n: int = 15, broker: str = "broker") -> DataFrame:
+    """Per branch: its summary, most frequent position (of equal ones the first code) and best condition and position; texts say so where there is none."""
+    base = summarise_recognised(events, [broker]).select(broker, "first_day", "last_day", "n_events", "n_closed", "n_not_closed", "n_resolved", "n_market", "n_settled", "n_pending", "mean_hold", "median_hold", "mean_ret", "median_ret", "weighted_ret")
+    counts = events.where("position is not null").groupBy(broker, "position").agg(F.count("*").alias("_n"))
+    common = counts.groupBy(broker).agg(F.min_by("position", F.struct(-F.col("_n"), "position")).alias("most_position"))
+    out = base.join(common, broker, "left").join(_best(cond, "condition", "best_condition", min_n, broker), broker, "left").join(_best(pos, "position", "best_position", min_n, broker), broker, "left")
+    return out.fillna({"most_position": "Missing", "best_condition": "樣本不足，暫不判定", "best_position": "樣本不足，暫不判定"})
+
+
 def with_codes(events: DataFrame) -> DataFrame:
     """Each event once as ALL and once as its class."""
     return events.withColumn("code", F.explode(F.array(F.lit("ALL"), F.col("event")))).where("code is not null")
@@ -71,6 +110,14 @@ def position_stats(events: DataFrame, position: str, positions: list[str], broke
     return dense(grid, summarise_outcomes(with_codes(events), [broker, position, "code"]), [broker, position, "code"])
 
 
+def recognised_grid(events: DataFrame, label: str, held: Column, values: list[str], broker: str = "broker") -> DataFrame:
+    """``summarise_recognised`` by branch, ``label`` (one row of an event for each entry of ``held``) and code, on the dense grid of ``values``."""
+    rows = with_codes(events.withColumn(label, F.explode(held)))
+    grid = events.select(broker).distinct().withColumn(label, F.explode(F.array(*map(F.lit, values)))).withColumn("code", F.explode(F.array(*map(F.lit, CODES))))
+    out = dense(grid, summarise_recognised(rows, [broker, label, "code"]), [broker, label, "code"])
+    return out.fillna(0, ["amount", "resolved_amount", "closed_amount", "pnl"])
+
+
 def dense(grid: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """``stats`` for every row of ``grid``; counts are 0 and the rest null where there is none."""
     out = grid.join(stats, keys, "left")

@@ -21,6 +21,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.class_stats(V.outcomes(spark, sf_dir), ["broker"])
 
 
+def _profiles(s: SparkSession, d: str) -> DataFrame:
+    done = V.outcomes(s, d)
+    return stats.branch_profiles(done, stats.condition_stats(done, {k: F.expr(v) for k, v in CONDITIONS.items()}), 5)
+
+
+def _exit_days(s: SparkSession, d: str) -> DataFrame:
+    found, sales = V.matched(s, d)
+    return fifo.exit_days(found, sales)
+
+
 QUERIES = {
     "flagship_branch_class_stats": flagship,
     "j3_keep_tracked": lambda s, d: trades.keep_tracked(V.raw_trades(s, d), V.table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("broker"), F.col("s_name").alias("label"))).groupBy("label").agg(F.count("*").alias("n"), F.sum("buy").alias("buy")),
@@ -32,12 +42,12 @@ QUERIES = {
     "a4_sale_rows": lambda s, d: trades.sale_rows(V.facts(s, d)),
     "p17_instrument_rows": lambda s, d: trades.instrument_rows(V.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("code"), "o_orderkey"), "code").select("o_orderkey"),
     "j6_fifo_match": lambda s, d: V.allocations(s, d).withColumns({c: F.bround(c, 6) for c in ("revenue", "cost")}),
-    "w6_exit_days": lambda s, d: fifo.exit_days(V.events(s, d), V.allocations(s, d)),
+    "w6_exit_days": _exit_days,
     "a5_event_outcomes": lambda s, d: V.outcomes(s, d).withColumns({c: F.bround(c, 4) for c in ("revenue", "sold_cost")}),
     "a6_summarise_outcomes": lambda s, d: stats.summarise_outcomes(V.outcomes(s, d), ["broker", "target"]),
     "a7_condition_stats": lambda s, d: stats.condition_stats(V.outcomes(s, d), {k: F.expr(v) for k, v in CONDITIONS.items()}),
     "a8_position_stats": lambda s, d: stats.position_stats(V.outcomes(s, d).withColumn("position", F.expr(_POSITION)), "position", POSITIONS),
-    "a9_branch_profiles": lambda s, d: stats.branch_profiles(V.outcomes(s, d), stats.condition_stats(V.outcomes(s, d), {k: F.expr(v) for k, v in CONDITIONS.items()}), 5),
+    "a9_branch_profiles": _profiles,
     "a10_integrity_report": lambda s, d: stats.integrity_report(V.facts(s, d), V.table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct(), V.table(s, d, "orders").select(F.concat_ws(":", "o_orderpriority", "o_orderstatus").alias("reason")), 3),
     "a34_stock_master": lambda s, d: trades.stock_master(V.table(s, d, "orders"), "o_custkey", "o_orderpriority", "o_orderdate"),
     "a39_names_by_code": lambda s, d: trades.names_by_code(V.table(s, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey").select("o_custkey", F.array_join("names", "|").alias("names")),

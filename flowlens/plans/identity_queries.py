@@ -110,6 +110,10 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
     return V.table(s, d, "part").select(F.col("p_partkey").alias("target"), F.col("p_name").alias("name"))
 
 
+def _aliases(s: SparkSession, d: str) -> DataFrame:
+    return identity.prefix_aliases(_parts(s, d), suffixes=(), special={}, spaced=True)
+
+
 _CODED = "coded AS (SELECT o.*, c.code FROM outcomes o, (VALUES ('ALL'), ('A'), ('B'), ('C'), ('D'), ('E')) c(code) WHERE c.code = 'ALL' OR c.code = o.event)"
 _ALIASES = "full_names AS (SELECT p_partkey AS target, p_name AS name FROM part), cuts AS (SELECT substr(name, 1, k) AS alias, target, name FROM full_names, (VALUES (2), (3), (4)) t(k) WHERE length(name) > k AND substr(name, 1, k) NOT IN (SELECT name FROM full_names)), aliases AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY exact DESC, length(name) DESC, target) AS r FROM (SELECT name AS alias, target, name, 1 AS exact FROM full_names UNION ALL SELECT alias, target, name, 0 FROM cuts)) WHERE r = 1)"
 _NAMES = "names AS (SELECT DISTINCT p_name || ' x' AS name FROM part UNION SELECT DISTINCT substr(p_name, 1, 5) || 'zz' FROM part)"
@@ -129,19 +133,19 @@ QUERIES = {
     "w14_dedupe_identity": lambda s, d: identity.dedupe_identity(intervals(s, d)),
     "j1_resolve_identity": resolved,
     "j2_resolve_contract": lambda s, d: identity.resolve_contract(pair_facts(s, d).withColumnRenamed("day", "buy_day"), intervals(s, d).select("code", "list_date", "end_date", "target", F.col("seq").cast("double").alias("ratio"), F.lit(1.0).alias("settle"), F.when(F.col("status") == "Matched", "official").otherwise("seed").alias("source"))).select("o_orderkey", "l_linenumber", "contract.target", "contract.list_date", "contract.source"),
-    "j4_resolve_by_prefix": lambda s, d: identity.resolve_by_prefix(_names(s, d), identity.prefix_aliases(_parts(s, d)), "name"),
+    "j4_resolve_by_prefix": lambda s, d: identity.resolve_by_prefix(_names(s, d), _aliases(s, d), "name", most=24),
     "j11_map_names": lambda s, d: identity.map_names(V.table(s, d, "nation"), V.table(s, d, "customer").join(V.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.col("c_custkey").alias("code"), F.col("c_custkey").alias("seq")), "n_name").select("n_nationkey", "name_code"),
     "j13_resolve_branches": lambda s, d: identity.resolve_branches(V.table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit("9x"))).alias("name")), _directory(s, d), s.createDataFrame([("none", "none")], "name string, alias string")).select("name", "code", "status"),
     "j14_backfill_identity": lambda s, d: identity.backfill_identity(pair_facts(s, d), [unique_intervals(s, d).where("code % 2 = 0"), unique_intervals(s, d).where("code % 2 = 1")], 0.05).select("o_orderkey", "l_linenumber", "id_status", "id_target"),
     "j15_broker_map": lambda s, d: identity.broker_map(V.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name")), V.table(s, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name")), [("#.*2$", "two"), ("Supplier", "sup")]),
-    "j17_build_identity": lambda s, d: identity.build_identity(V.table(s, d, "part").select(F.col("p_partkey").alias("code"), F.lit("2000-01-01").cast("date").alias("list_date"), F.lit("2001-01-01").cast("date").alias("end_date"), F.when(F.col("p_size") % 2 == 0, F.col("p_partkey")).alias("target")), V.table(s, d, "part").select(F.col("p_partkey").alias("code"), F.concat("p_name", F.lit(" x")).alias("name")), identity.prefix_aliases(_parts(s, d))).select("code", "target", "name", "status"),
+    "j17_build_identity": lambda s, d: identity.build_identity(V.table(s, d, "part").select(F.col("p_partkey").alias("code"), F.lit("2000-01-01").cast("date").alias("list_date"), F.lit("2001-01-01").cast("date").alias("end_date"), F.when(F.col("p_size") % 2 == 0, F.col("p_partkey")).alias("target")), V.table(s, d, "part").select(F.col("p_partkey").alias("code"), F.concat("p_name", F.lit(" x")).alias("name")), _aliases(s, d), most=24).select("code", "target", "name", "status"),
     "o3_union_identity": lambda s, d: identity.union_identity([intervals(s, d).where("code % 2 = 0"), intervals(s, d), intervals(s, d).where("code % 3 = 0")]),
     "a33_identity_quality": lambda s, d: identity.identity_quality(resolved(s, d)),
     "p30_resolve_targets": lambda s, d: identity.resolve_targets(V.table(s, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).alias("code"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_name")).alias("name"), "n_nationkey"), V.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))),
     "w20_clean_prices": lambda s, d: prices.clean_prices(V.table(s, d, "lineitem").select(F.col("l_suppkey").alias("series"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_linenumber") == 2, "-").when(F.col("l_linenumber") == 3, "0").otherwise(F.col("l_extendedprice").cast("string")).alias("close"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("v")), "v"),
     "w1_moving_averages": lambda s, d: _shown(prices.moving_averages(series(s, d), (5, 10, 20))),
     "w2_price_lags": lambda s, d: _shown(features(s, d)),
-    "w3_ma_states": lambda s, d: prices.ma_states(features(s, d)).drop(*_R6, "prev_close"),
+    "w3_ma_states": lambda s, d: prices.ma_states(features(s, d), lows=(5, 10, 20)).drop(*_R6, "prev_close"),
     "j5_attach_price_features": lambda s, d: prices.attach_price_features(_series_events(s, d), prices.moving_averages(series(s, d), (5,))).withColumn("ma5", stats.rounded(F.col("ma5"), 4)),
     "w4_calendar_complete": lambda s, d: prices.calendar_complete(_series_events(s, d), series(s, d), calendar(s, d), 20),
     "w5_lookback_start": lambda s, d: prices.lookback_start(_series_events(s, d), calendar(s, d), 80),

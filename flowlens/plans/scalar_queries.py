@@ -42,7 +42,7 @@ RULES: dict[str, tuple[str, str, Callable[[], Column], str]] = {
     "p24_low_level": ("part", "p_partkey", lambda: S.low_level(F.col("p_size") < 40, F.col("p_size") < 30, F.col("p_size") < 20, F.col("p_size") < 10), "CASE WHEN p_size < 10 THEN 4 WHEN p_size < 20 THEN 3 WHEN p_size < 30 THEN 2 WHEN p_size < 40 THEN 1 ELSE 0 END"),
     "p25_slope": ("supplier", "s_suppkey", lambda: S.slope(F.col("s_acctbal"), F.col("s_nationkey").cast("double") * 100), "CASE WHEN s_nationkey = 0 THEN CASE WHEN abs(s_acctbal) <= 0.001 THEN 'flat' WHEN s_acctbal > 0 THEN 'up' ELSE 'down' END WHEN abs((s_acctbal - s_nationkey * 100.0) / (s_nationkey * 100.0)) <= 0.001 THEN 'flat' WHEN s_acctbal > s_nationkey * 100.0 THEN 'up' ELSE 'down' END"),
     "p28_fix_mojibake": ("part", "p_partkey", lambda: S.fix_mojibake(F.when(F.col("p_size") % 2 == 0, F.decode(F.encode(F.lit("台積電"), "UTF-8"), "ISO-8859-1")).otherwise(F.col("p_name"))), "CASE WHEN p_size % 2 = 0 THEN '台積電' ELSE p_name END"),
-    "p29_fmt_amount": ("orders", "o_orderkey", lambda: S.fmt_amount(F.round("o_totalprice").cast("long") * F.when(F.col("o_orderkey") % 2 == 0, 10000).otherwise(1000)), "CASE WHEN o_orderkey % 2 = 0 AND round(o_totalprice)::BIGINT * 10000 >= 1e8 THEN printf('%.2f', round_even(round(o_totalprice)::BIGINT * 10000 / 1e8, 2)) || '億' WHEN o_orderkey % 2 = 0 THEN printf('%.1f', round_even(round(o_totalprice)::BIGINT * 10000 / 1e4, 1)) || '萬' WHEN round(o_totalprice)::BIGINT * 1000 >= 1e8 THEN printf('%.2f', round_even(round(o_totalprice)::BIGINT * 1000 / 1e8, 2)) || '億' ELSE printf('%.1f', round_even(round(o_totalprice)::BIGINT * 1000 / 1e4, 1)) || '萬' END"),
+    "p29_fmt_amount": ("orders", "o_orderkey", lambda: S.fmt_amount(F.round("o_totalprice").cast("long") * F.when(F.col("o_orderkey") % 2 == 0, 10000).otherwise(1000)), "CASE WHEN (round(o_totalprice)::BIGINT * CASE WHEN o_orderkey % 2 = 0 THEN 10000 ELSE 1000 END) >= 1e8 THEN rtrim(rtrim(printf('%.2f', (round(o_totalprice)::BIGINT * CASE WHEN o_orderkey % 2 = 0 THEN 10000 ELSE 1000 END) / 1e8), '0'), '.') || ' 億' ELSE printf('%.1f', (round(o_totalprice)::BIGINT * CASE WHEN o_orderkey % 2 = 0 THEN 10000 ELSE 1000 END) / 1e4) || ' 萬' END"),
     "p33_settlement_value": ("part", "p_partkey", lambda: F.bround(S.settlement_value(F.when(F.col("p_size") % 2 == 0, "put").otherwise("call"), F.lit(1000.0), F.col("p_retailprice"), F.lit(0.1), 0.001, F.col("p_size") % 5 > 0), 6), "round_even(CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE greatest(CASE WHEN p_size % 2 = 0 THEN 1000.0 - p_retailprice ELSE p_retailprice - 1000.0 END, 0.0) * 0.1 * (1 - 0.001) END, 6)"),
     "p34_threshold_day": ("orders", "o_orderkey", lambda: S.threshold_day(F.to_date("o_orderdate"), 2), "(o_orderdate::DATE + INTERVAL 2 MONTH)::DATE"),
     "p35_target_day": ("events", "event_id", lambda: S.target_day(F.col("ts")), "CASE WHEN isodow(ts) < 6 AND hour(ts) >= 17 THEN ts::DATE ELSE ts::DATE - CASE isodow(ts) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END END"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fifo, trades
+from ..sources.tables import stored
 
 #: Class bounds and the single-instrument threshold at the scale of the given amounts.
 BOUNDS, MIN_SINGLE = (50_000, 60_000, 75_000, 90_000, 105_000), 50_000
@@ -63,23 +64,31 @@ EVENTS = (
 )
 
 
-def event_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lots(of: DataFrame) -> DataFrame:
     """(broker, target, event_id, event_day, lot_no, qty, amount)."""
-    lots = events(spark, sf_dir).select("broker", "target", "event_id", F.col("day").alias("event_day"), F.explode("lots").alias("l"))
+    lots = of.select("broker", "target", "event_id", F.col("day").alias("event_day"), F.explode("lots").alias("l"))
     return lots.select("broker", "target", "event_id", "event_day", F.col("l.code").alias("lot_no"), F.col("l.qty").alias("qty"), F.col("l.amount").alias("amount"))
 
 
-def target_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sales(of: DataFrame) -> DataFrame:
     """(broker, target, day, sell_qty, sell_amt)."""
-    return facts(spark, sf_dir).where("sell_qty > 0").groupBy("broker", "target", "day").agg(F.sum("sell_qty").alias("sell_qty"), F.sum("sell_amt").alias("sell_amt"))
+    return of.where("sell_qty > 0").groupBy("broker", "target", "day").agg(F.sum("sell_qty").alias("sell_qty"), F.sum("sell_amt").alias("sell_amt"))
+
+
+def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(events with lots, allocations), from one pass over the trades: facts and events are tables that the later steps read."""
+    compact = stored(facts(spark, sf_dir), "facts")
+    found = stored(trades.build_events(compact, MIN_SINGLE, BOUNDS), "events")
+    return found, fifo.fifo_match(_lots(found), _sales(compact), ["broker", "target"])
 
 
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fifo.fifo_match(event_lots(spark, sf_dir), target_sales(spark, sf_dir), ["broker", "target"])
+    return matched(spark, sf_dir)[1]
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fifo.event_outcomes(events(spark, sf_dir).drop("lots"), allocations(spark, sf_dir))
+    found, sales = matched(spark, sf_dir)
+    return stored(fifo.event_outcomes(found.drop("lots"), sales), "outcomes")
 
 
 #: Brute first-in-first-out in SQL: every unit of stock and sale as intervals, matched by a running minimum.

@@ -12,11 +12,21 @@ from ..operators.trades import require_columns
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else beside the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else, on a local master only, beside the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a new table in the shared folder: what several steps read is worked out once, and a lost executor loses nothing."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_daily(raw: DataFrame, columns: list[str], partition_day: str, row_day: str) -> tuple[DataFrame, DataFrame]:
     """(rows of good days, day_status): a day is good if every one of its rows carries the partition's day; others are rejected whole."""
     require_columns(raw, [*columns, partition_day, row_day])
@@ -34,9 +44,14 @@ def write_compact(df: DataFrame, path: str, day: str = "trade_day") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-def write_checkpoint(events: DataFrame, path: str) -> None:
-    """Events with all lots and the lots still open, as nested columns."""
-    events.withColumn("open_lots", F.filter("lots", lambda x: x["remaining"] > 0)).write.mode("overwrite").parquet(path)
+def write_checkpoint(events: DataFrame, path: str, allocations: DataFrame | None = None) -> None:
+    """Events with all lots, the lots still open and, if given, the sales matched to them in order, as nested columns."""
+    out = events.withColumn("open_lots", F.filter("lots", lambda x: x["remaining"] > 0))
+    if allocations is not None:
+        sale = F.struct("sale_day", "lot_no", "qty", "revenue", "cost")
+        matched = allocations.groupBy("event_id").agg(F.array_sort(F.collect_list(sale)).alias("allocations"))
+        out = out.join(matched, "event_id", "left").withColumn("allocations", F.coalesce("allocations", F.array().cast(matched.schema["allocations"].dataType)))
+    out.write.mode("overwrite").parquet(path)
 
 
 def write_results(results: dict[str, DataFrame], path: str) -> None:

@@ -79,13 +79,14 @@ def last_mark(probes: DataFrame) -> DataFrame:
 
 def probe_counts(stream: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Probes and their values per tumbling window and type, with a watermark; works on streams and tables."""
-    windowed = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("bigint")).alias("cents"))
-    return windowed.select(F.col("window.start").alias("start"), "event_type", "n", "cents")
+    zoned = stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time zone
+    windowed = zoned.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("bigint")).alias("cents"))
+    return windowed.select(F.col("window.start").cast(stream.schema["ts"].dataType).alias("start"), "event_type", "n", "cents")
 
 
 def first_per_key(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """One row per key within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -97,18 +98,23 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
 
 def compact_stream(stream: DataFrame, path: str) -> DataFrame:
-    """Compacts arriving raw trades into ``path``, whole days at a time; running a day again replaces it."""
+    """Compacts arriving raw trades into ``path``, whole days at a time, from all batches that have rows of the day.
+
+    A batch's raw rows are kept under its number, so that one that is tried again counts once.  A stream without rows gives none.
+    """
     spark = stream.sparkSession
-    schema: list = []
+    empty = compact_daily(spark.createDataFrame([], stream.schema)).withColumnRenamed("day", "trade_day")
 
-    def batch(df: DataFrame, _: int) -> None:
-        out = compact_daily(df).withColumnRenamed("day", "trade_day")
-        schema[:] = [out.schema]
-        write_compact(out, f"{path}/rows")
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/raw/batch={number}")
+        landed = spark.read.schema(stream.schema).parquet(f"{path}/raw").select(*stream.columns)
+        days = spark.read.schema(stream.schema).parquet(f"{path}/raw/batch={number}").select("day").distinct()
+        write_compact(compact_daily(landed.join(days, "day", "left_semi").select(*stream.columns)).withColumnRenamed("day", "trade_day"), f"{path}/rows")
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema[0]).parquet(f"{path}/rows")
+    empty.limit(0).write.mode("append").partitionBy("trade_day").parquet(f"{path}/rows")  # so that there is a table in any case
+    return spark.read.schema(empty.schema).parquet(f"{path}/rows")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
