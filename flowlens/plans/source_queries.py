@@ -167,6 +167,6 @@ ORACLE_SQL = {
     "t5_compact_stream": "SELECT l_partkey AS code, l_suppkey AS broker, date_trunc('year', l_shipdate)::DATE AS trade_day, max(l_returnflag) AS name, sum(l_quantity::BIGINT)::BIGINT AS buy_qty, 0::BIGINT AS sell_qty, sum(round_even(l_extendedprice / l_quantity * l_quantity::BIGINT, 0)::BIGINT)::BIGINT AS buy_amt, 0::BIGINT AS sell_amt, sum(l_quantity::BIGINT)::BIGINT AS net_qty, sum(round_even(l_extendedprice / l_quantity * l_quantity::BIGINT, 0)::BIGINT)::BIGINT AS net_amt FROM lineitem GROUP BY ALL",
     "t6_probe_counts": "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n, sum(floor(value * 100 + 0.5)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL",
     # A window leaves the stream once the watermark, an hour behind the latest event, has passed its end.
-    "t6_probe_counts_stream": "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n, sum(floor(value * 100 + 0.5)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL HAVING start + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    "t6_probe_counts_stream": "SELECT * FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n, sum(floor(value * 100 + 0.5)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL) WHERE start + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "o6_concat_sides": "SELECT *, CASE WHEN s_acctbal > 0 THEN 'buy' ELSE 'sell' END AS direction FROM supplier WHERE s_acctbal <> 0",
 }
