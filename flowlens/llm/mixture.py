@@ -92,19 +92,21 @@ def _round_blocks(items: DataFrame, level: int, seed: int) -> DataFrame:
 def _hand_down(done: DataFrame, due: DataFrame, n_sources: int, seed: int) -> DataFrame:
     """``done`` after each source's last miss, of less than one document, has been handed to smaller ones.
 
-    Of each power of two of sizes, two documents stand ready to change sides; largest first, those that fit into what is missing do.
+    Of each power of two of sizes, two documents stand ready to change sides, with all rows that repeat them; largest first, those that fit
+    into what is missing do.
     """
     miss = done.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("got")).join(due, F.col("source").eqNullSafe(F.col("src"))).select("src", (F.col("got") - F.col("due")).alias("miss"))
     near = done.join(small(miss, n_sources), F.col("source").eqNullSafe(F.col("src"))).where("extra = if(miss > 0, 1, 0) and size <= abs(miss)")
     order = Window.partitionBy("source", "power").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed + 2)), "doc_id", "text_hash")
-    ready = near.withColumn("power", F.floor(F.log2("size"))).withColumn("turn", F.row_number().over(order)).where("turn <= 2")
-    lists = ready.groupBy("source").agg(F.reverse(F.array_sort(F.collect_set(F.struct("size", "doc_id", "text_hash")))).alias("items"), F.abs(F.first("miss")).alias("left"))
+    ready = near.withColumn("power", F.floor(F.log2("size"))).withColumn("turn", F.dense_rank().over(order)).where("turn <= 2")
+    ready = ready.groupBy("source", "doc_id", "text_hash", "size", "extra").agg((F.count("*") * F.col("size")).alias("words"), F.abs(F.first("miss")).alias("left"))
+    lists = ready.groupBy("source", "extra").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("words").alias("size"), "doc_id", "text_hash")))).alias("items"), F.first("left").alias("left"))
     item = "struct<size:bigint,doc_id:bigint,text_hash:bigint>"
     start = F.struct(F.col("left").alias("left"), F.array().cast(f"array<{item}>").alias("out"))
     fits = lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
-    flips = lists.select(F.col("source").alias("f_source"), F.explode(F.aggregate("items", start, fits)["out"]).alias("f"))
-    flips = flips.select("f_source", F.col("f.doc_id").alias("f_doc"), F.col("f.text_hash").alias("f_hash"), F.lit(True).alias("flip"))
-    same = F.col("source").eqNullSafe(F.col("f_source")) & F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_hash") == F.col("f_hash"))
+    flips = lists.select(F.col("source").alias("f_source"), F.col("extra").alias("f_extra"), F.explode(F.aggregate("items", start, fits)["out"]).alias("f"))
+    flips = flips.select("f_source", "f_extra", F.col("f.doc_id").alias("f_doc"), F.col("f.text_hash").alias("f_hash"), F.lit(True).alias("flip"))
+    same = F.col("source").eqNullSafe(F.col("f_source")) & F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_hash") == F.col("f_hash")) & (F.col("extra") == F.col("f_extra"))
     flips = small(flips, n_sources * 80)
     return done.join(flips, same, "left").select("source", "doc_id", "text_hash", "size", F.when(F.col("flip"), 1 - F.col("extra")).otherwise(F.col("extra")).alias("extra"))
 
@@ -153,8 +155,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     again = keyed.groupBy("_d", "_s", "_h").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("n"))
     repeated = not again.where("n > 1").isEmpty()
     if repeated:
-        # Equal rows stand for each other: one of them is kept, for the copies of all.
-        keyed, docs = again.drop("n"), docs.dropDuplicates(["doc_id", "source", "text"])
+        # Rows of equal doc_id, source and text stand for each other: the first by all columns as JSON is kept, for the copies of all.
+        row = F.struct(*docs.columns)
+        keyed, docs = again.drop("n"), docs.groupBy("doc_id", "source", "text").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     keyed = keyed.where("_copies > 0")
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
     same = hashed["doc_id"].eqNullSafe(keyed["_d"]) & hashed["source"].eqNullSafe(keyed["_s"]) & (hashed["_text_hash"] == keyed["_h"])
