@@ -17,13 +17,13 @@ from . import long_window_queries as L
 from . import views as V
 
 VALUED_ON = "2000-06-30"
-_NUM = F.regexp_extract("target", r"(\d+)", 1).cast("int")
 
 
 def recognised(s: SparkSession, d: str) -> DataFrame:
     """Outcomes with recognised results; some lots lack a contract, an official source, a settlement price or a close."""
     done = V.outcomes(s, d).withColumns({"revenue": F.floor(F.col("revenue") + 0.5), "sold_cost": F.floor(F.col("sold_cost") + 0.5)})
-    lots = done.where("remaining > 0").select("event_id", "remaining", F.when(_NUM % 13 > 0, F.date_add("day", 200 + _NUM * 60)).alias("end_date"), (_NUM % 4 != 1).alias("official"), (_NUM % 3 > 0).alias("recorded"), F.when(_NUM % 2 == 0, "put").otherwise("call").alias("kind"), F.lit(1000.0).alias("strike"), F.when(_NUM % 5 > 0, 900.0 + _NUM * 10).alias("settle"), F.lit(0.5).alias("ratio"), F.when(_NUM % 11 > 0, 1000.0 + _NUM).alias("last_close"), F.col("day").alias("close_day"))
+    number = F.regexp_extract("target", r"(\d+)", 1).cast("int")
+    lots = done.where("remaining > 0").select("event_id", "remaining", F.when(number % 13 > 0, F.date_add("day", 200 + number * 60)).alias("end_date"), (number % 4 != 1).alias("official"), (number % 3 > 0).alias("recorded"), F.when(number % 2 == 0, "put").otherwise("call").alias("kind"), F.lit(1000.0).alias("strike"), F.when(number % 5 > 0, 900.0 + number * 10).alias("settle"), F.lit(0.5).alias("ratio"), F.when(number % 11 > 0, 1000.0 + number).alias("last_close"), F.col("day").alias("close_day"))
     return prices.recognise(done, lots, VALUED_ON).withColumn("total_cost", F.col("amount"))
 
 
