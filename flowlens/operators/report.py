@@ -206,6 +206,38 @@ def month_consensus(flows: DataFrame, detail: DataFrame, top: int = 15) -> DataF
     return top_n(met, [], [F.desc("net_cost"), F.col("target")], top)
 
 
+def stated_ranking(rows: DataFrame, kind: str, top: int = 15) -> DataFrame:
+    """First ``top`` targets of a published ranking, of one ``kind`` (buy or sell), each once, missing figures taken from others.
+
+    rows: target, kind, rank, rank_amt, buy_amt, sell_amt, net_buy, net_sell, n_same, n_brokers.  A net is the difference of the amounts, a
+    rank amount of 0 the net of the kind's side, and the number of brokers that of those on the same side.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = rows.where(F.col("kind") == kind).withColumns({c: zero(c) for c in ("rank", "buy_amt", "sell_amt", "n_same")})
+    rows = rows.withColumns({"net_buy": F.coalesce("net_buy", F.col("buy_amt") - F.col("sell_amt")), "net_sell": F.coalesce("net_sell", F.col("sell_amt") - F.col("buy_amt"))})
+    filled = rows.withColumns({"rank_amt": F.coalesce(F.nullif("rank_amt", F.lit(0)), F.col(f"net_{kind}")), "n_brokers": F.when(F.col("n_brokers") > 0, F.col("n_brokers")).otherwise(F.col("n_same"))})
+    order = [F.col("rank"), F.desc("rank_amt")]
+    ties = [F.desc(c) for c in ("buy_amt", "sell_amt", "net_buy", "net_sell", "n_same", "n_brokers")]
+    once = filled.withColumn("_r", F.row_number().over(Window.partitionBy("target").orderBy(*order, *ties))).where("_r = 1").drop("_r")
+    return once.orderBy(*order, "target").limit(top)
+
+
+def month_ranking(rows: DataFrame, detail: DataFrame, top: int = 15) -> DataFrame:
+    """First ``top`` targets of a published month's ranking, each once, with their merged brokers.
+
+    rows: target, rank, net_cost, cost; detail: target, broker, amount.  A net cost that is missing or not above 0 is the sum of the detail, and
+    a target without either is left out; a missing cost is the net one.  Stated ranks go first if there are any, else net costs decide.
+    """
+    sums = detail.groupBy("target", "broker").agg(F.sum("amount").alias("amount")).groupBy("target").agg(F.sum("amount").alias("_detail"), F.count("broker").alias("n_brokers"), F.min_by("broker", F.struct(-F.col("amount"), "broker")).alias("top_broker"))
+    met = rows.join(sums, "target", "left").withColumns({"rank": F.coalesce("rank", F.lit(0)), "net_cost": F.when(F.col("net_cost") > 0, F.col("net_cost")).otherwise(F.col("_detail")), "n_brokers": F.coalesce("n_brokers", F.lit(0))}).where("net_cost > 0").drop("_detail")
+    met = met.withColumn("cost", F.when(F.col("cost") > 0, F.col("cost")).otherwise(F.col("net_cost")))
+    any_rank = met.agg(F.coalesce(F.max(F.col("rank") > 0), F.lit(False)).alias("_ranked"))
+    order = [F.when(F.col("_ranked"), F.col("rank")), F.desc("net_cost"), F.desc("cost")]
+    marked = met.join(F.broadcast(any_rank))  # one row
+    once = marked.withColumn("_r", F.row_number().over(Window.partitionBy("target").orderBy(*order, "rank"))).where("_r = 1")
+    return once.orderBy(*order, "target").limit(top).drop("_r", "_ranked")
+
+
 def position_cache(rows: DataFrame, day: str) -> DataFrame:
     """Per (target, broker) as of the statistic date: cost missing is estimable plus unpriced; 0 or less is closed and dropped; last update wins."""
     asof = asof_stat_date(rows, day)
@@ -328,3 +360,31 @@ def daily_sells(sells: DataFrame, lookup: DataFrame, day: str, threshold: float)
     plain = qualifying_plain_sells(today, lookup, keys, threshold).withColumns({"status": F.lit("plain"), "event": F.lit("")})
     both = known.unionByName(plain).groupBy("broker", "status", "target").agg(F.sum("sell_amt").alias("amount"), F.max("event").alias("event"))
     return both.where(F.col("amount") >= threshold / 2)
+
+
+def admitted_sells(sells: DataFrame, lookup: DataFrame, day: str, threshold: float) -> DataFrame:
+    """The day's sells that belong to an event or reach ``threshold`` by broker and target, with event, lots, return and cost.
+
+    sells: day, broker, code, target, name, status, event, amount, qty (lots), shares, price, ret, cost; lookup: broker, code (once each), event, target,
+    ret, cost, buy_avg.  Lots that are missing come from shares.  A sell's own return and cost go first; then the event's return; then the
+    average cost of the lots sold, and the return against it; then the event's cost.  An event that is no class is "single".
+    """
+    known = F.col("_event").isNotNull()
+    found = lookup.select("broker", "code", F.coalesce("event", F.lit("")).alias("_event"), F.col("target").alias("_target"), F.col("ret").alias("_ret"), F.col("cost").alias("_cost"), F.col("buy_avg").alias("_avg"))
+    rows = sells.where((F.col("day") == F.lit(day).cast("date")) & (F.col("amount") > 0)).join(found, ["broker", "code"], "left")
+    rows = rows.withColumns({"qty": F.when(F.col("qty") > 0, F.col("qty")).otherwise(F.floor(F.coalesce("shares", F.lit(0)) / 1000)), "target": F.coalesce(F.nullif("target", F.lit("")), "_target")})
+    enough = rows.where(~known & F.col("target").isNotNull()).groupBy("broker", "target").agg(F.sum("amount").alias("_s")).where(F.col("_s") >= threshold)
+    rows = rows.join(enough, ["broker", "target"], "left").where(known | F.col("_s").isNotNull())
+    classed = lambda c: F.when(F.col(c).isin("A", "B", "C", "D", "E"), F.col(c))
+    by_lots = known & (F.col("_avg") > 0) & (F.col("qty") > 0) & ~F.coalesce(F.col("cost") > 0, F.lit(False))
+    return rows.select(
+        "day", "broker", "code", "target", "name", "status", "amount", "qty",
+        F.when(known, F.coalesce(classed("event"), classed("_event"))).alias("event"),
+        F.coalesce("ret", "_ret", F.when(by_lots & (F.col("price") > 0), rounded((F.col("price") - F.col("_avg")) / F.col("_avg") * 100, 4))).alias("ret"),
+        F.floor(F.when(F.col("cost") > 0, F.col("cost")).when(by_lots, F.col("_avg") * F.col("qty") * 1000).when(F.col("_cost") > 0, F.col("_cost")) + F.lit(0.5)).alias("cost"),
+    ).fillna({"event": "single"})
+
+
+def shown_sells(admitted: DataFrame, threshold: float) -> DataFrame:
+    """``admitted_sells`` by broker, status and target; small sells count in the sum, which must reach half the threshold."""
+    return compress_sells(admitted.withColumn("item", F.col("name"))).where(F.col("amount") >= threshold / 2)

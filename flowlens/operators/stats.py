@@ -143,6 +143,35 @@ def integrity_report(facts: DataFrame, calendar: DataFrame, day_status: DataFram
     return counted.unionByName(missing).unionByName(named)
 
 
+def integrity_counts(day_status: DataFrame, calendar: DataFrame, events: DataFrame, top: int = 10) -> DataFrame:
+    """(item, value) rows, values as text: the calendar's days by status, sums of rows, events by state, missing reasons and events per branch.
+
+    day_status: day (once each), status (success, failed, empty or null), raw_rows, compact_rows, unique_rows, invalid_rows; calendar: day; events: day, broker, status,
+    recog_status, ma_status, reason.  Reasons are cut at a colon and the less frequent ones are one item.  A history is complete if no day
+    has failed or waits.
+    """
+    days = calendar.select("day").distinct().join(day_status, "day", "left")
+    of = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    state = F.col("status")
+    items = {
+        "expected days": F.count("*"), "success days": of(state == "success"), "failed days": of(state == "failed"), "empty days": of(state == "empty"), "unprocessed days": of(state.isNull()),
+        "complete": (of(state == "failed") + of(state.isNull()) == 0), "first day": F.min(F.when(state == "success", F.col("day"))), "last day": F.max(F.when(state == "success", F.col("day"))),
+        **{c.replace("_", " "): F.coalesce(F.sum(c), F.lit(0)) for c in ("raw_rows", "compact_rows", "unique_rows", "invalid_rows")},
+    }
+    recog, ma = F.col("recog_status"), F.col("ma_status")
+    more = {
+        "events": F.count("*"), "states complete": of(ma == "OK"), "states missing": of(ma == "Missing"), "closed": of(state == "closed"), "not closed": F.count("*") - of(state == "closed"),
+        "resolved": of(recog != "pending"), "pending": F.count("*") - of(recog != "pending"), "market": of(recog == "market"), "settled": of(recog.isin("settled", "lapsed")), "first event": F.min("day"), "last event": F.max("day"),
+    }
+    wide = lambda df, cols: df.agg(F.array(*(F.struct(F.lit(n).alias("item"), c.cast("string").alias("value")) for n, c in cols.items())).alias("x")).select(F.inline("x"))
+    reason = F.coalesce(F.nullif(F.trim("reason"), F.lit("")), F.lit("no reason"))
+    counts = events.where(ma == "Missing").groupBy(F.split(reason, "[:：]")[0].alias("reason")).agg(F.count("*").alias("n"))
+    first = counts.orderBy(F.desc("n"), "reason").limit(top).withColumn("_top", F.lit(True))
+    named = counts.join(F.broadcast(first.select("reason", "_top")), "reason", "left").groupBy(F.when(F.col("_top"), F.concat(F.lit("reason "), "reason")).otherwise("reason other").alias("item")).agg(F.sum("n").cast("string").alias("value"))
+    branches = events.groupBy(F.concat(F.lit("events of "), F.col("broker").cast("string")).alias("item")).agg(F.count("*").cast("string").alias("value"))
+    return wide(days, items).unionByName(wide(events, more)).unionByName(named).unionByName(branches)
+
+
 def card_summary(top: DataFrame, amount: str, ret: str) -> DataFrame:
     """Totals of displayed rows: sum, weighted return, win rate."""
     return top.agg(F.count("*").alias("n"), F.sum(amount).alias("amount"), F.bround(F.sum(F.col(amount) * F.col(ret)) / F.nullif(F.sum(F.when(F.col(ret).isNotNull(), F.col(amount))), F.lit(0)), 4).alias("weighted_ret"), F.bround(F.count_if(F.col(ret) > 0) * 100 / F.nullif(F.count(ret), F.lit(0)), 2).alias("win_rate"))

@@ -81,8 +81,9 @@ def _json(s: SparkSession, d: str) -> DataFrame:
 def _html(s: SparkSession, d: str) -> DataFrame:
     p = V.table(s, d, "part")
     row = F.concat(F.lit("<tr><td>"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("</td><td> <b>"), "p_type", F.lit("</b> </td><td>"), F.when(F.col("p_size") % 6 == 0, "").otherwise(F.concat(F.lit("112/"), (F.col("p_size") % 12 + 1).cast("string"), F.lit("/05"))), F.lit("</td></tr>"))
-    pages = p.groupBy("p_brand").agg(F.concat(F.lit('<p>x</p><table><tr><td>no</td></tr></table><table class="a hasBorder"><tr><th>代號</th><th>名稱</th><th>上市日</th></tr>'), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
-    return T.rows_from_html(pages, "p_brand", "html", {"code": ["權證代號", "代號"], "name": ["名稱"], "list_date": ["上市日期", "上市日"]}).drop("row")
+    pages = p.groupBy(F.concat_ws("|", "p_brand", F.floor(F.col("p_partkey") / 200)).alias("page")).agg(F.concat(F.lit('<p>x</p><table><tr><td>no</td></tr></table><table class="a hasBorder"><tr><th>代號</th><th>名稱</th><th>上市日</th></tr>'), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
+    rows = T.rows_from_html(pages, "page", "html", {"code": ["權證代號", "代號"], "name": ["名稱"], "list_date": ["上市日期", "上市日"]})
+    return rows.select(F.substring_index("page", "|", 1).alias("p_brand"), "code", "name", "list_date")
 
 
 def _history(s: SparkSession, d: str) -> DataFrame:
