@@ -2,8 +2,9 @@
 
 A revisit takes its body from the latest earlier full response of the same canonical URL.  The join is a window, not a range
 join: within a slice of time each URL's records run in order and carry the last full response along; across slices only one row per
-URL and slice is carried.  A URL that holds a third of all records is so spread over as many tasks as there are
-slices.  Validators are then compared (entity tags weakly, else Last-Modified), and the headers that a 304
+URL and slice is carried, by a window over these rows.  The number of slices grows with the table (one for each ``SLICE_ROWS`` records, from
+``SLICES`` to ``MOST_SLICES``), and a URL that holds a third of all records is spread over as many tasks; records without
+a url or ts are spread by their record_id.  Validators are then compared (entity tags weakly, else Last-Modified), and the headers that a 304
 may bring replace the stored ones.
 
 Rows: ``records`` has record_id, url, ts (long), status, headers (map of lower-case names), and may have more columns, which are left out.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 #: What a 304 response may update (RFC 9110, 15.4.5), and parameters that don't name a page.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)="
-SLICES = 32
+SLICES, MOST_SLICES, SLICE_ROWS = 32, 1024, 2_000_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -33,23 +34,25 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
     """(record_id, url_key, ts, outcome, response_id, response_ts, headers) for each revisit.
 
     outcome: "resolved", "validators differ" (headers stay the revisit's own) or "no earlier response".
     """
     keyed = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "status", F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("headers"))
     keyed = keyed.where(F.col("status").isin(200, 304))
-    cuts = sorted(set(keyed.approxQuantile("ts", [k / slices for k in range(1, slices)], 0.005)))
+    slices = slices or max(SLICES, min(MOST_SLICES, keyed.count() // SLICE_ROWS))
+    cuts = sorted(set(keyed.approxQuantile("ts", [k / slices for k in range(1, slices)], 0.16 / slices))) if slices > 1 else []
     cut = F.filter(F.array(*(F.lit(int(c)) for c in cuts)).cast("array<bigint>"), lambda c: c < F.col("ts"))
-    keyed = keyed.withColumn("slice", F.size(cut))
-    full = F.when((F.col("status") == 200) & F.col("ts").isNotNull() & F.col("url_key").isNotNull(), F.struct("ts", "record_id"))
+    placed = F.col("ts").isNotNull() & F.col("url_key").isNotNull()
+    keyed = keyed.withColumn("slice", F.when(placed, F.size(cut)).otherwise(-1 - F.pmod(F.xxhash64("record_id"), F.lit(slices)).cast("int")))
+    full = F.when((F.col("status") == 200) & placed, F.struct("ts", "record_id"))
     inside = Window.partitionBy("url_key", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    ends = keyed.select("url_key", "slice", full.alias("f")).where("f is not null").groupBy("url_key", "slice").agg(F.max("f").alias("f"))
-    steps = ends.select("url_key", F.col("f").alias("carried"), F.explode(F.sequence(F.col("slice") + 1, F.greatest(F.col("slice") + 1, F.lit(len(cuts))))).alias("slice"))
-    carried = steps.groupBy("url_key", "slice").agg(F.max("carried").alias("carried"))
+    ends = keyed.where(placed).groupBy("url_key", "slice").agg(F.max(full).alias("f"))
+    before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("url_key", "slice", F.max("f").over(before).alias("carried"))
     met = keyed.withColumn("here", F.max(full).over(inside)).where("status = 304").join(carried, ["url_key", "slice"], "left")
-    best = met.withColumn("r", F.when(F.col("ts").isNotNull() & F.col("url_key").isNotNull(), F.coalesce("here", "carried"))).drop("here", "carried", "slice", "status")
+    best = met.withColumn("r", F.when(placed, F.coalesce("here", "carried"))).drop("here", "carried", "slice", "status")
     stored = keyed.where("status = 200").select(F.col("record_id").alias("response_id"), F.col("ts").alias("response_ts"), F.col("headers").alias("stored"))
     stored = stored.groupBy("response_id", "response_ts").agg(F.min_by("stored", F.to_json("stored")).alias("stored"))
     joined = best.withColumn("response_id", F.col("r.record_id")).withColumn("response_ts", F.col("r.ts")).join(stored, ["response_id", "response_ts"], "left")

@@ -189,6 +189,16 @@ def test_revisits_at_equal_times_and_of_a_hot_url(spark):
     assert sorted(x for x in got if x[0] >= 1000) == [(1000 + k, "resolved", 1000 + k // 10 * 10) for k in range(2000) if k % 10]
 
 
+def test_revisits_do_not_depend_on_the_slices(spark):
+    rng = random.Random(7)
+    rows = [(k, rng.choice(["http://a.org/", "http://b.org/x", None]), rng.choice([rng.randint(0, 300), None]) if k % 9 == 0 else rng.randint(0, 300), rng.choice([200, 304, 304, 404]), {"etag": str(rng.randint(0, 2))}) for k in range(900)]
+    records = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>")
+    kept = [(k, url, ts) for k, url, ts, status, _ in rows if status == 200 and url is not None and ts is not None]
+    want = {k: max(((t, i) for i, u, t in kept if u == url and t < ts), default=(None, None))[1] if url is not None and ts is not None else None for k, url, ts, status, _ in rows if status == 304}
+    for slices in (1, 5, 200, None):
+        assert {r["record_id"]: r["response_id"] for r in warc.resolve_revisits(records, slices).collect()} == want
+
+
 def test_scores_against_literal_word_vectors(spark):
     texts = ["One two one", "two TWO, three!", None, "", "four"]
     got = quality.word_vectors(documents(spark, texts))
