@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -292,11 +293,20 @@ def test_quality_of_awkward_rows(spark):
 
 def test_chats_of_awkward_rows(spark):
     rows = [(1, 1, "user", "a"), (2, 1, "user", "a"), (2, 2, None, None), (3, 1, "user", "a"), (3, 2, None, None), (4, 1, None, "<|end|>"), (None, 1, "user", "z"), (4, 1, None, "<|end|>")]
+    # Rows without a conv_id: each its own conversation, unless equal to or the beginning of another one.
+    rows += [(None, 1, "user", "z"), (None, 7, "user", "z"), (None, 2, "bot", "y"), (None, None, "user", "a"), (None, 3, None, "<|end|>"), (None, None, None, None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("at", F.lit("clash"))
-    got = {r["conv_id"]: r for r in chat.formatted_chats(turns).collect()}
-    assert set(got) == {2, 4, None}
+    found = chat.formatted_chats(turns).collect()
+    got = {r["conv_id"]: r for r in found if r["conv_id"] is not None}
+    assert set(got) == {2, 4}
+    lone = {r["rendered"]: (r["n_turns"], r["n_equal"]) for r in found if r["conv_id"] is None}
+    assert lone == {"<|turn|>user\nz<|end|>": (1, 2), "<|turn|>bot\ny<|end|>": (1, 1), "<|turn|>unknown\n<|end|>": (1, 1)}
+    assert (got[4]["n_turns"], got[4]["n_equal"]) == (1, 2)
     assert (got[2]["n_turns"], got[2]["n_equal"]) == (2, 2)
     assert got[4]["rendered"] == "<|turn|>unknown\n<<|end|><|end|>"
+    con = duckdb.connect()
+    con.register("conversations", turns.toArrow())
+    assert_same(chat.formatted_chats(turns), con, chat.ORACLE)
     assert chat.formatted_chats(turns.limit(0)).count() == 0
 
 
