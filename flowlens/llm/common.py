@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Broadcast sides are counted first; above this many narrow rows the join is left to shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows that hold texts or lists are measured instead, as JSON text.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +42,12 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_by_bytes(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint on the written table ``df`` if its rows, as JSON text, have at most ``limit`` bytes; else ``df`` as it is."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
+
+
 class Remembered(dict):
     """Words and what an operator has found for them: at most ``limit`` bytes, about; beyond, all are forgotten.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import small, small_by_bytes, written
 
 WINDOW = 10
 PROBES = 3
@@ -133,7 +133,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     texts = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
     whole = texts.join(asked, same_document(texts, asked)).select(texts["doc_id"], texts["text_hash"], words_of(F.col("text")).alias("words"), F.explode("asked").alias("a"))
     placed = whole.select("doc_id", "text_hash", "a.window_id", "a.start", F.slice("words", F.col("a.start") + 1, F.lit(window)).alias("there"))
-    full = placed.join(small(windows.select("window_id", "terms"), windows.count()), "window_id")
+    full = placed.join(small_by_bytes(windows.select("window_id", "terms")), "window_id")
     exact = full.where(F.slice("there", F.lit(1), F.size("terms")) == F.col("terms"))
     # Repeated rows of a document are one document here.
     return exact.select("doc_id", "text_hash", "window_id", "start", F.size("terms").alias("length")).distinct(), windows, index

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, small_batches, written
+from .common import small_batches, small_by_bytes, written
 
 # HTML's element kinds, and names that sites give to what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,9 +42,8 @@ OTHER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert disclaimer comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager widget widgets search skip".split()
 )
 ARTICLE_NAMES = frozenset("article post story entry content main maincontent articlebody post-content entry-content article-body article-content main-content".split())
-#: A template element must be on one page in this many of its host, and hosts beyond this count are joined by a shuffle.
+#: A template element must be on one page in this many of its host.
 RARE = 1000
-BROADCAST_HOSTS = 20_000
 #: From this many pages on, a class of texts can't be copies of one article.
 MANY = 10
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -372,7 +371,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of ``pages`` (page_id, url, html)."""
     small_batches(pages.sparkSession)
     found = written(templates(page_tokens(pages)), "templates")
-    by_host = small(found.withColumnRenamed("host", "_host"), found.count(), BROADCAST_HOSTS)
+    by_host = small_by_bytes(found.withColumnRenamed("host", "_host"))
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("_key", host_of(F.col("url")))
     joined = rows.join(by_host, F.col("_key") == F.col("_host"), "left").select("page_id", "url", "html", "template")
 
