@@ -2,7 +2,8 @@
 
 A window is ``width`` consecutive words of a document.  Its minimiser is the smallest hash of its runs of ``MINI`` words.  Consecutive windows of
 one minimiser are a super-k-mer: their words travel once, as one packed string, to the bucket of that
-minimiser, where all windows of equal words meet whatever stands around them.  In the bucket the strings are opened into windows and sorted; equal windows
+minimiser, where all windows of equal words meet whatever stands around them.  Before that, only the minimisers travel, and super-k-mers whose bucket would have one document alone
+stay where they are.  In the bucket the strings are opened into windows and sorted; equal windows
 stand together, and the smallest doc_id among them is known.  Windows are told apart by bucket and 128 bits of hash over all their words.
 
 Hot groups: documents of equal words are one from the start, that of the smallest doc_id.  A minimiser with more than about
@@ -28,7 +29,7 @@ from .common import small, small_batches, small_by_bytes, written
 
 WIDTH = 13
 #: Words of the runs that minimisers are taken from.
-MINI = 3
+MINI = 4
 #: Windows that travel in one string at most; longer runs of one minimiser are cut.
 MOST_RUN = 64
 HOT = 1000
@@ -79,7 +80,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """The super-k-mers of some texts: ``minimiser``, ``doc`` (the text's place), ``start`` (its first word in the text), and ``packed``, each as a list."""
+    """The super-k-mers of some texts: ``minimiser``, ``doc`` (the text's place), ``start`` (its first word in the text), and its words as one string."""
 
     def __init__(self, texts: list[bytes], width: int, powers: _Powers):
         """``texts`` are words joined by one space."""
@@ -115,9 +116,9 @@ class Runs:
         self.bounds = begins[at[first]], gaps[at[last] + width - 1]
         self.joined = joined
 
-    def strings(self) -> list[bytes]:
+    def strings(self, picked: np.ndarray) -> list[bytes]:
         joined = self.joined
-        return [joined[a:b] for a, b in zip(*(x.tolist() for x in self.bounds), strict=True)]
+        return [joined[a:b] for a, b in zip(*(x[picked].tolist() for x in self.bounds), strict=True)]
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -167,32 +168,66 @@ def _hot(features: DataFrame) -> list[int]:
     return [r["minimiser"] for r in counted.where(F.col("times") * 4 * HOT >= 3 * total).select("minimiser").collect()]
 
 
-_RUNS = "hot boolean, bucket long, doc_id long, text_key long, start int, packed string"
+_PLACES = "hot boolean, bucket long, doc_id long, text_key long, start int"
+
+
+def _dealt(ids: np.ndarray, keys: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return _mix(keys.view(np.uint64) + _mix(start.view(np.uint64) + ids.view(np.uint64) * _BASE)).view(np.int64)
+
+
+def _runs(batch: pa.RecordBatch, width: int, powers: _Powers, hot: np.ndarray) -> Iterator[tuple[Runs, np.ndarray, list[pa.Array]]]:
+    """Of each chunk of a batch (doc_id, text_key, text): its super-k-mers, the rows they are of, and the columns of ``_PLACES``."""
+    ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    texts = [b" ".join(split_words(t)) for t in batch.column(2).to_pylist()]
+    for a, b in _chunks(texts):
+        runs = Runs(texts[a:b], width, powers)
+        if len(runs.minimiser):
+            of = a + runs.doc
+            is_hot = np.isin(runs.minimiser, hot)
+            bucket = np.where(is_hot, _dealt(ids[of], keys[of], runs.start), runs.minimiser)
+            yield runs, of, [pa.array(is_hot), pa.array(bucket), pa.array(ids[of]), pa.array(keys[of]), pa.array(runs.start.astype(np.int32))]
+
+
+def shared_places(docs: DataFrame, hot: list[int], width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_key, starts) of the super-k-mers that may hold a window of two documents, as a written table.
+
+    They travel to their buckets by number alone first: the windows of a bucket that one document has alone stand in no other.
+    """
+    known = np.array(sorted(hot), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for batch in batches:
+            for _, _, columns in _runs(batch, width, powers, known):
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PLACES.split(", ")])
+
+    places = docs.select("doc_id", "text_key", "text").mapInArrow(run, _PLACES)
+    bucket = Window.partitionBy("bucket")
+    met = places.withColumns({"lo": F.min("doc_id").over(bucket), "hi": F.max("doc_id").over(bucket)}).where("hot or lo < hi")
+    return written(met.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts")), "places")
 
 
 def super_kmers(docs: DataFrame, hot: list[int], width: int = WIDTH) -> DataFrame:
-    """(hot, bucket, doc_id, text_key, start, packed): each document's windows, joined where one minimiser follows on itself.
+    """(hot, bucket, doc_id, text_key, start, packed) of the super-k-mers that begin at ``starts``, from (doc_id, text_key, text, starts).
 
-    ``start`` is the first word's place, from 0; ``packed`` the words of all the windows.  The bucket is the minimiser, or, for hot ones, any.
+    A super-k-mer is a document's windows, joined where one minimiser follows on itself; ``start`` is its first word's place, from 0, and ``packed``
+    the words of all its windows.  The bucket is the minimiser, or, for hot ones, any.
     """
     known = np.array(sorted(hot), np.int64)
+    schema = _PLACES + ", packed string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = [b" ".join(split_words(t)) for t in batch.column(2).to_pylist()]
-            for a, b in _chunks(texts):
-                runs = Runs(texts[a:b], width, powers)
-                if not len(runs.minimiser):
-                    continue
-                is_hot = np.isin(runs.minimiser, known)
-                of = a + runs.doc
-                dealt = _mix(keys[of].view(np.uint64) + _mix(runs.start.view(np.uint64) + ids[of].view(np.uint64) * _BASE)).view(np.int64)
-                columns = [pa.array(is_hot), pa.array(np.where(is_hot, dealt, runs.minimiser)), pa.array(ids[of]), pa.array(keys[of]), pa.array(runs.start.astype(np.int32)), pa.array(runs.strings(), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _RUNS.split(", ")])
+            wanted = batch.column(3)
+            of_list, starts = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
+            asked = (of_list << 32) + starts
+            for runs, of, columns in _runs(batch, width, powers, known):
+                picked = np.isin((of << 32) + runs.start, asked)
+                columns = [c.filter(pa.array(picked)) for c in columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(runs.strings(picked), pa.string())], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, _RUNS)
+    return docs.select("doc_id", "text_key", "text", "starts").mapInArrow(run, schema)
 
 
 def _windows(runs: DataFrame, width: int) -> DataFrame:
@@ -217,13 +252,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     copies = each.where(f"n_words >= {width}").join(least, "print").where("doc_id > first").select("doc_id", "text_key").distinct()
     copies = written(copies, "copies")
     own = keyed.join(small(copies, copies.count()), ["doc_id", "text_key"], "left_anti")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    windows = _windows(super_kmers(own, _hot(features), width).repartition(parts, "bucket"), width)
+    hot = _hot(features)
+    met = shared_places(own, hot, width)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    windows = _windows(super_kmers(keyed.join(met, ["doc_id", "text_key"]), hot, width).repartition(parts, "bucket"), width)
     first = F.min("doc_id").over(Window.partitionBy("bucket", "k1", "k2"))
     met = written(windows.withColumn("first", first).where("hot or doc_id > first"), "windows")
-    hot = met.where("hot")
-    shared = written(hot.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("k1", "k2", "least"), "shared")
-    again = hot.join(shared, ["k1", "k2"]).where("doc_id > least")
+    of_hot = met.where("hot")
+    shared = written(of_hot.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("k1", "k2", "least"), "shared")
+    again = of_hot.join(shared, ["k1", "k2"]).where("doc_id > least")
     places = met.where("not hot").select("doc_id", "text_key", "at").union(again.select("doc_id", "text_key", "at")).distinct()
     by_text = Window.partitionBy("doc_id", "text_key").orderBy("at")
     islands = places.withColumn("island", F.col("at") - F.row_number().over(by_text)).groupBy("doc_id", "text_key", "island").agg(F.min("at").alias("a"), (F.max("at") + width - 1).alias("b"))
