@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import spot, trades
 from ..sources import tables as T
+from ..streaming import days as D
 from ..streaming import monitor as M
 from . import views as V
 
@@ -108,12 +109,12 @@ def _probes(df: DataFrame) -> DataFrame:
 
 
 def _completeness(s: SparkSession, d: str) -> DataFrame:
-    return M.drain(M.completeness_stream(_probes(M.event_stream(s, d)), 2), T.shared_path(s, "completeness"))
+    return M.drain(M.completeness_stream(_probes(M.event_stream(s, d)), 2, idle_days=None), T.shared_path(s, "completeness"))
 
 
 def _compact_stream(s: SparkSession, d: str) -> DataFrame:
     rows = M.event_stream(s, d, "lineitem").select(F.col("l_partkey").alias("code"), F.col("l_suppkey").alias("broker"), F.trunc("l_shipdate", "year").alias("day"), F.col("l_returnflag").alias("name"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("bigint").alias("buy"), F.lit(0).cast("bigint").alias("sell"))
-    return M.compact_stream(rows, T.shared_path(s, "compact-stream"))
+    return D.compact_stream(rows, T.shared_path(s, "compact-stream"))
 
 
 QUERIES = {
@@ -133,7 +134,7 @@ QUERIES = {
     "s15_merge_sliced_history": _history,
     "s16_merge_shards": _shards,
     "t1_completeness_stream": _completeness,
-    "t1_completeness_batch": lambda s, d: M.completeness_batch(_probes(V.table(s, d, "events")), 2),
+    "t1_completeness_batch": lambda s, d: M.completeness_batch(_probes(V.table(s, d, "events")), 2, idle_days=None),
     "t2_completed_gate": lambda s, d: M.completed_gate(_probes(V.table(s, d, "events")).withColumn("status", F.when(F.col("probe_id") % 50 == 0, "COMPLETE").otherwise("x"))).select("key", "probe_id", "status"),
     "t3_last_mark": lambda s, d: M.last_mark(_probes(V.table(s, d, "events"))).select("probe_id", "stored"),
     "t5_compact_stream": _compact_stream,

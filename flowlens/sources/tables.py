@@ -37,7 +37,8 @@ def scan_daily(raw: DataFrame, columns: list[str], partition_day: str, row_day:
 
 
 def write_compact(df: DataFrame, path: str, day: str = "trade_day") -> None:
-    """Replaces exactly the days that ``df`` has; fails if its key isn't unique."""
+    """Replaces exactly the days that ``df`` has; fails, and writes none, if its key isn't unique.  ``df`` is worked out once, into a table of its own."""
+    df = stored(df, "compacting")
     twice = df.groupBy("code", "broker", day).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
     if twice:
         raise ValueError(f"key not unique: {twice}")

@@ -1,4 +1,4 @@
-"""Streaming twins: completeness per target day, incremental compaction, probe counts, late-safe dedupe."""
+"""Streaming twins: completeness per target day and probe counts."""
 
 from __future__ import annotations
 
@@ -9,64 +9,84 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.trades import compact_daily
-from ..sources.tables import write_compact
-
 _OUT = "key long, probe_id long, status string, stable int"
-_STATE = "mark string, stable int, first_data double, changed double, complete double, done boolean"
+_STATE = "mark string, stable int, done boolean, last_ms long"
+#: A key without probes for so long has ended.
+IDLE_DAYS = 7
 
 
-def completeness_stream(probes: DataFrame, need: int = 4) -> DataFrame:
+def completeness_stream(probes: DataFrame, need: int = 4, idle_days: int | None = IDLE_DAYS, late: str = "1 hour") -> DataFrame:
     """Status of each probe of (key, probe_id, ts, mark, failed, rows, covered), kept per key between batches.
 
     API_ERROR before NO_DATA before COMPLETE (``need`` equal marks in a row, and covered) before COVERAGE_TOO_LOW before
     STABLE_WAITING before DATA_CHANGING.  A failure keeps the last mark and ends the run; an empty success stores its own.  After COMPLETE a key's
     probes are ignored.
+
+    A key ends when more than ``idle_days`` go by without a probe of it: one that comes back then starts anew, also after COMPLETE.  Its state
+    goes once the watermark (``late`` behind the latest probe of any key) has passed that time; probes before the watermark are ignored.  With None
+    keys never end, and their state stays for ever.
     """
+    idle = None if idle_days is None else idle_days * 86_400_000
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark, stable, first, changed, complete, done = state.get if state.exists else (None, 0, None, None, None, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        fresh = (None, 0, False, None)
+        mark, stable, done, last = state.get if state.exists else fresh
+        mark_ms = state.getCurrentWatermarkMs() if idle is not None else 0
         out = []
         for row in pd.concat(list(frames)).sort_values(["ts", "probe_id"]).itertuples():
+            if idle is not None:
+                if row.ms < mark_ms:
+                    continue
+                if last is not None and row.ms - last > idle:
+                    mark, stable, done, last = fresh
+            last = row.ms if last is None else max(last, row.ms)
             if done:
-                break
-            at = row.ts.timestamp()
+                continue
             has = not row.failed and row.rows > 0
             stable = 0 if not has else stable + 1 if row.mark == mark and stable else 1
-            if row.rows > 0:
-                first = at if first is None else first
-            if not row.failed:
-                changed = at if row.mark != mark else changed
-                mark = row.mark
+            mark = mark if row.failed else row.mark
             status = "API_ERROR" if row.failed else "NO_DATA" if not has else "DATA_CHANGING" if stable == 1 else "STABLE_WAITING"
             if has and stable >= need:
-                status = "COMPLETE" if row.covered else "COVERAGE_TOO_LOW"
                 done = bool(row.covered)
-                complete = at if done else None
+                status = "COMPLETE" if done else "COVERAGE_TOO_LOW"
             out.append((key[0], row.probe_id, status, stable))
-        state.update((mark, stable, first, changed, complete, done))
+        if last is not None:
+            state.update((mark, stable, done, last))
+            if idle is not None:
+                state.setTimeoutTimestamp(max(last + idle, mark_ms) + 1)
         yield pd.DataFrame(out, columns=["key", "probe_id", "status", "stable"])
 
-    return probes.groupBy("key").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    zoned = probes.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("ts"))
+    if idle is None:
+        return zoned.groupBy("key").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return zoned.withWatermark("ts", late).groupBy("key").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def completeness_batch(probes: DataFrame, need: int = 4) -> DataFrame:
-    """The same over a finished log, by windows."""
-    order = Window.partitionBy("key").orderBy("ts", "probe_id")
+def completeness_batch(probes: DataFrame, need: int = 4, idle_days: int | None = IDLE_DAYS) -> DataFrame:
+    """The same over a finished log, by windows: a key's probes after more than ``idle_days`` without one are a key of their own."""
+    parts = probes.withColumn("_part", F.lit(0))
+    if idle_days is not None:
+        by_key = Window.partitionBy("key").orderBy("ts", "probe_id")
+        ms = F.unix_millis(F.col("ts").cast("timestamp"))
+        parts = probes.withColumn("_part", F.sum(F.coalesce((ms - F.lag(ms).over(by_key) > idle_days * 86_400_000).cast("int"), F.lit(0))).over(by_key))
+    order = Window.partitionBy("key", "_part").orderBy("ts", "probe_id")
     has = ~F.col("failed") & (F.col("rows") > 0)
     change = ~has | ~F.coalesce(F.lag(has).over(order), F.lit(False)) | ~F.col("mark").eqNullSafe(F.lag("mark").over(order))
-    runs = probes.withColumns({"has": has, "_c": change.cast("int")}).withColumn("_run", F.sum("_c").over(order))
-    counted = runs.withColumn("stable", F.when(F.col("has"), F.row_number().over(Window.partitionBy("key", "_run").orderBy("ts", "probe_id"))).otherwise(0))
+    runs = parts.withColumns({"has": has, "_c": change.cast("int")}).withColumn("_run", F.sum("_c").over(order))
+    counted = runs.withColumn("stable", F.when(F.col("has"), F.row_number().over(Window.partitionBy("key", "_part", "_run").orderBy("ts", "probe_id"))).otherwise(0))
     enough = F.col("has") & (F.col("stable") >= need)
     status = F.when(F.col("failed"), "API_ERROR").when(~F.col("has"), "NO_DATA").when(enough & F.col("covered"), "COMPLETE").when(enough, "COVERAGE_TOO_LOW").when(F.col("stable") > 1, "STABLE_WAITING").otherwise("DATA_CHANGING")
-    return completed_gate(counted.withColumn("status", status)).select("key", "probe_id", "status", "stable")
+    return completed_gate(counted.withColumn("status", status), keys=("key", "_part")).select("key", "probe_id", "status", "stable")
 
 
-def completed_gate(statuses: DataFrame, force: bool = False) -> DataFrame:
+def completed_gate(statuses: DataFrame, force: bool = False, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """Without the probes of a key after its first COMPLETE, unless forced."""
     if force:
         return statuses
-    before = Window.partitionBy("key").orderBy("ts", "probe_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("ts", "probe_id").rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.max(F.col("status") == "COMPLETE").over(before), F.lit(False))
     return statuses.withColumn("_done", done).where("not _done").drop("_done")
 
@@ -84,11 +104,6 @@ def probe_counts(stream: DataFrame, width: str = "10 minutes", late: str = "1 ho
     return windowed.select(F.col("window.start").cast(stream.schema["ts"].dataType).alias("start"), "event_type", "n", "cents")
 
 
-def first_per_key(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """One row per key within the watermark."""
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
-
-
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now into ``path`` and returns what it wrote."""
     spark = stream.sparkSession
@@ -97,26 +112,6 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def compact_stream(stream: DataFrame, path: str) -> DataFrame:
-    """Compacts arriving raw trades into ``path``, whole days at a time, from all batches that have rows of the day.
-
-    A batch's raw rows are kept under its number, so that one that is tried again counts once.  A stream without rows gives none.
-    """
-    spark = stream.sparkSession
-    empty = compact_daily(spark.createDataFrame([], stream.schema)).withColumnRenamed("day", "trade_day")
-
-    def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/raw/batch={number}")
-        landed = spark.read.schema(stream.schema).parquet(f"{path}/raw").select(*stream.columns)
-        days = spark.read.schema(stream.schema).parquet(f"{path}/raw/batch={number}").select("day").distinct()
-        write_compact(compact_daily(landed.join(days, "day", "left_semi").select(*stream.columns)).withColumnRenamed("day", "trade_day"), f"{path}/rows")
-
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    empty.limit(0).write.mode("append").partitionBy("trade_day").parquet(f"{path}/rows")  # so that there is a table in any case
-    return spark.read.schema(empty.schema).parquet(f"{path}/rows")
-
-
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """A table's files as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
