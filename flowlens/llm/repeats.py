@@ -8,8 +8,8 @@ stand together, and the smallest doc_id among them is known.  Windows are told a
 
 Hot groups: documents of equal words are one from the start, that of the smallest doc_id.  A minimiser with more than about
 one in ``HOT`` of all super-k-mers is hot; there are fewer than 4/3 ``HOT`` of these, found by counts of each batch whose error has a bound (a batch's
-minimisers below a quarter of that share aren't counted).  Its super-k-mers are dealt out evenly instead; their windows are added up by
-window, map-side first, and meet the documents in a join that Spark can split.  Results don't depend on which are hot.
+minimisers below a quarter of that share aren't counted).  Its super-k-mers are dealt out evenly instead; their windows are sorted over ranges, where one
+window may take up several tasks.  Results don't depend on which are hot.
 
 ``doc_id`` names a document: rows that repeat one are judged each, on their own text, against smaller doc_ids only.  Rows without a doc_id
 keep all words and make no others go.  Null or blank texts have no words.  Texts of less than ``width`` words have no windows.
@@ -238,6 +238,61 @@ def _windows(runs: DataFrame, width: int) -> DataFrame:
     return opened.select("hot", "bucket", "x.k1", "x.k2", "doc_id", "text_key", (F.col("start") + F.col("x.i")).alias("at"))
 
 
+_SCANNED = "part int, kind int, doc_id long, text_key long, at int, k1 long, k2 long"
+_CLAIM, _OPEN, _FIRST, _LAST = range(4)
+
+
+def _hot_places(windows: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, text_key, at) of the hot windows that a smaller doc_id has as well.
+
+    Rows are sorted by window and doc_id over ranges of about equal size, so that a window with very many documents is spread over several
+    tasks.  A task knows the smallest doc_id of each of its windows but, maybe, the first one, which may have begun before: of that it hands on all rows
+    (``_OPEN``), and how it begins and ends.  The driver follows these ends, two for each task, from range to range.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, first, last = TaskContext.get().partitionId(), None, None
+        names, kinds = [x.split()[0] for x in _SCANNED.split(", ")], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+        def table(kind: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            columns = [np.full(len(kind), part), kind, *columns]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k1, k2, doc, key, at = (batch.column(c).to_numpy() for c in range(5))
+            new = np.ones(len(k1), bool)
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            new[0] = last is None or last[:2] != (k1[0], k2[0])
+            begins = np.flatnonzero(new)
+            least = np.concatenate([[0 if last is None else last[2]], doc[begins]])[np.cumsum(new)]
+            first = first or (k1[0], k2[0], doc[0])
+            opened = (k1 == first[0]) & (k2 == first[1])
+            last = (k1[-1], k2[-1], least[-1])
+            kept = opened | (doc > least)
+            yield table(np.where(opened, _OPEN, _CLAIM)[kept], doc[kept], key[kept], at[kept], k1[kept], k2[kept])
+        if first:
+            ends = [np.array(x, np.int64) for x in zip(first, last, strict=True)]
+            yield table(np.array([_FIRST, _LAST]), ends[2], np.zeros(2, np.int64), np.zeros(2, np.int32), ends[0], ends[1])
+
+    order = ["k1", "k2", "doc_id"]
+    ranged = windows.select(*order, "text_key", "at").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    scanned = written(ranged.mapInArrow(scan, _SCANNED), "scanned")
+    least, ended = {}, None
+    for r in sorted(scanned.where(F.col("kind") >= _FIRST).select("part", "kind", "k1", "k2", "doc_id").collect()):
+        if r["kind"] == _FIRST:
+            least[r["part"]] = ended["doc_id"] if ended and (ended["k1"], ended["k2"]) == (r["k1"], r["k2"]) else r["doc_id"]
+            first = r
+        else:
+            same = (first["k1"], first["k2"]) == (r["k1"], r["k2"])
+            ended = {"k1": r["k1"], "k2": r["k2"], "doc_id": least[r["part"]] if same else r["doc_id"]}
+    by_part = F.array(*(F.lit(least.get(k, 0)).cast("long") for k in range(max(least, default=0) + 1)))
+    return scanned.where((F.col("kind") == _CLAIM) | ((F.col("kind") == _OPEN) & (F.col("doc_id") > F.get(by_part, F.col("part"))))).select("doc_id", "text_key", "at")
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text_key, spans, whole) of the texts that have windows of earlier documents; ``text_key`` is ``xxhash64`` of the text.
 
@@ -249,7 +304,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     features = _features(keyed, width)
     each = features.where("n_words is not null")
     least = each.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = each.where(f"n_words >= {width}").join(least, "print").where("doc_id > first").select("doc_id", "text_key").distinct()
+    least = written(least, "prints")
+    copies = each.where(f"n_words >= {width}").join(small(least, least.count()), "print").where("doc_id > first").select("doc_id", "text_key").distinct()
     copies = written(copies, "copies")
     own = keyed.join(small(copies, copies.count()), ["doc_id", "text_key"], "left_anti")
     hot = _hot(features)
@@ -258,10 +314,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     windows = _windows(super_kmers(keyed.join(met, ["doc_id", "text_key"]), hot, width).repartition(parts, "bucket"), width)
     first = F.min("doc_id").over(Window.partitionBy("bucket", "k1", "k2"))
     met = written(windows.withColumn("first", first).where("hot or doc_id > first"), "windows")
-    of_hot = met.where("hot")
-    shared = written(of_hot.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("k1", "k2", "least"), "shared")
-    again = of_hot.join(shared, ["k1", "k2"]).where("doc_id > least")
-    places = met.where("not hot").select("doc_id", "text_key", "at").union(again.select("doc_id", "text_key", "at")).distinct()
+    places = met.where("not hot").select("doc_id", "text_key", "at").union(_hot_places(met.where("hot"), parts)).distinct()
     by_text = Window.partitionBy("doc_id", "text_key").orderBy("at")
     islands = places.withColumn("island", F.col("at") - F.row_number().over(by_text)).groupBy("doc_id", "text_key", "island").agg(F.min("at").alias("a"), (F.max("at") + width - 1).alias("b"))
     spans = islands.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("first"), F.col("b").alias("last")))).alias("spans"))
