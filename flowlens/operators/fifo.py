@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def fifo_match(lots: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
     """Allocations (keys, event_id, lot_no, sale_day, qty, revenue, cost).
 
-    lots: keys, event_id, event_day, lot_no, qty, amount; sales: keys, day, sell_qty, sell_amt, one row per key and day.
+    lots: keys, event_id, event_day, lot_no, qty, amount, and ``open`` if part of a lot has been sold before (``open_lots``);
+    sales: keys, day, sell_qty, sell_amt, one row per key and day.
     The oldest lots go first; a sale only reaches lots of earlier days, and what it sells beyond them is dropped.
     Per key, lots cover the intervals between their running sums.  With A the lots before a sale and S the sold so far, the
     matched so far is S plus the running minimum of min(0, A - S), so that each sale covers an interval as well.
     """
+    lots = lots if "open" in lots.columns else lots.withColumn("open", F.col("qty"))
     lot_order = Window.partitionBy(*keys).orderBy("event_day", "event_id", "lot_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lots.withColumn("hi", F.sum("qty").over(lot_order)).withColumn("lo", F.col("hi") - F.col("qty"))
+    placed = lots.withColumn("hi", F.sum("open").over(lot_order)).withColumn("lo", F.col("hi") - F.col("open"))
     both = sales.select(*keys, F.col("day"), F.lit(0).alias("_lot"), "sell_qty", "sell_amt", F.lit(0).cast("bigint").alias("_q")).unionByName(
-        lots.groupBy(*keys, F.col("event_day").alias("day")).agg(F.sum("qty").alias("_q")).select(*keys, "day", F.lit(1).alias("_lot"), F.lit(0).cast("bigint").alias("sell_qty"), F.lit(0).cast("bigint").alias("sell_amt"), "_q")
+        lots.groupBy(*keys, F.col("event_day").alias("day")).agg(F.sum("open").alias("_q")).select(*keys, "day", F.lit(1).alias("_lot"), F.lit(0).cast("bigint").alias("sell_qty"), F.lit(0).cast("bigint").alias("sell_amt"), "_q")
     )
     order = Window.partitionBy(*keys).orderBy("day", "_lot").rowsBetween(Window.unboundedPreceding, 0)
     run = both.withColumn("_a", F.sum("_q").over(order)).withColumn("_s", F.sum("sell_qty").over(order)).where("_lot = 0")
@@ -38,6 +40,28 @@ def fifo_match(lots: DataFrame, sales: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(*keys, "event_id", "lot_no", "sale_day", part.alias("got"), (part * F.col("sell_amt") / F.col("sell_qty")).alias("revenue"), (part * F.col("amount") / F.col("qty")).alias("cost")).withColumnRenamed("got", "qty")
 
 
+def open_lots(lots: DataFrame, allocations: DataFrame) -> DataFrame:
+    """``lots`` that ``allocations`` leave something of, with what is ``open``.
+
+    All that later sales depend on: matching them to these lots and newer ones gives what one run over the whole history gives for them.
+    """
+    before = F.col("open") if "open" in lots.columns else F.col("qty")
+    sold = allocations.groupBy("event_id", "lot_no").agg(F.sum("qty").alias("_sold"))
+    return lots.join(sold, ["event_id", "lot_no"], "left").withColumn("open", before - F.coalesce("_sold", F.lit(0))).where("open > 0").drop("_sold")
+
+
+def with_remaining(events: DataFrame, allocations: DataFrame) -> DataFrame:
+    """``events`` whose ``lots`` have ``remaining`` after ``allocations``; lots that have it already go on from there."""
+    sold = allocations.groupBy("event_id", "lot_no").agg(F.sum("qty").alias("q")).groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("lot_no", "q"))).alias("_sold"))
+    has = "remaining" in events.schema["lots"].dataType.elementType.names
+
+    def lot(x: Column) -> Column:
+        gone = F.coalesce(F.element_at(F.col("_sold"), x["code"]), F.lit(0))
+        return x.withField("remaining", (x["remaining"] if has else x["qty"]) - gone)
+
+    return events.join(sold, "event_id", "left").withColumn("lots", F.transform("lots", lot)).drop("_sold")
+
+
 def exit_days(events: DataFrame, allocations: DataFrame) -> DataFrame:
     """(event_id, first_reduce, exit_day): the first sale of an event's lots, and the day on which nothing is left."""
     daily = allocations.groupBy("event_id", "sale_day").agg(F.sum("qty").alias("q"))

@@ -313,27 +313,59 @@ def order_by_list(df: DataFrame, brokers: list) -> DataFrame:
     return placed.join(F.broadcast(before), part == F.col("_part")).withColumn("rank", (F.col("_before") + F.col("_id") % (1 << 33) + 1).cast("int")).drop("_id", "_part", "_before")
 
 
-def wavg_cost_returns(daily: DataFrame, keys: list[str]) -> DataFrame:
-    """Moving weighted-average cost per key in day order, the day's sale before its buy.
+#: Days of the calendar in a slice of a key's history.
+SLICE_DAYS = 64
+
+
+def wavg_cost_returns(daily: DataFrame, keys: list[str], slice_days: int = SLICE_DAYS) -> DataFrame:
+    """Moving weighted-average cost per key in day order, the day's sale before its buy; ``daily`` has a row for each key and day.
 
     Adds cost (average times the full sold quantity) and ret of each day with a sale while something is held; the holding falls by
-    what it has at most.  A fold over each key's days: all of a key's days are one array, so keys should be narrow (broker and instrument).
+    what it has at most.
+
+    A prefix scan in two levels.  A day takes a holding h to max(h - sold, 0) + bought, and steps of the form max(h + x, y) follow on each other as one
+    step of that form; with the holding known, it takes the cost c to r * c + m, and such steps make one as well.  Each slice of ``slice_days`` of the calendar
+    is summed up as one step, the slices' steps give what each slice begins with, and the slices are then run through by themselves.  So a task holds one
+    slice's days, or one row for each slice of a key; a key with a third of all rows is spread over as many tasks as it has slices.
     """
+    numbers = ("buy_qty", "buy_amt", "sell_qty", "sell_amt")
+    part = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / slice_days)
+    rows = F.array_sort(F.collect_list(F.struct("day", *(F.col(c).cast("double").alias(c) for c in numbers))))
+    slices = stored(daily.groupBy(*keys, part.alias("_part")).agg(rows.alias("days")), "slices")
+    at = [*keys, "_part"]
+    order = Window.partitionBy(*keys).orderBy("_part")
+
+    held_start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    held_step = lambda s, d: F.struct((s["x"] - d["sell_qty"] + d["buy_qty"]).alias("x"), F.greatest(s["y"] - d["sell_qty"] + d["buy_qty"], d["buy_qty"]).alias("y"))
+    held = slices.select(*at, F.aggregate("days", held_start, held_step).alias("s")).withColumn("sum", F.sum("s.x").over(order))
+    after = F.col("sum") + F.greatest(F.lit(0.0), F.max(F.col("s.y") - F.col("sum")).over(order))
+    held = held.withColumn("_after", after).select(*at, F.coalesce(F.lag("_after").over(order), F.lit(0.0)).alias("held"))
+
+    def left(s: Column, d: Column) -> Column:
+        return F.greatest(s["held"] - d["sell_qty"], F.lit(0.0))
+
+    def cost_step(s: Column, d: Column) -> Column:
+        r = F.when((d["sell_qty"] > 0) & (s["held"] > 0), left(s, d) / s["held"]).otherwise(1.0)
+        return F.struct((left(s, d) + d["buy_qty"]).alias("held"), (s["r"] * r).alias("r"), (s["m"] * r + d["buy_amt"]).alias("m"))
+
+    steps = slices.join(held, at).select(*at, "held", F.aggregate("days", F.struct("held", F.lit(1.0).alias("r"), F.lit(0.0).alias("m")), cost_step).alias("s"))
+    entry = "struct<cost:double,out:array<struct<_part:bigint,held:double,cost:double>>>"
+    enter = lambda s, x: F.struct((s["cost"] * x["r"] + x["m"]).alias("cost"), F.concat(s["out"], F.array(F.struct(x["_part"].alias("_part"), x["held"].alias("held"), s["cost"].alias("cost")))).alias("out")).cast(entry)
+    listed = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_part", "held", F.col("s.r").alias("r"), F.col("s.m").alias("m")))).alias("s"))
+    begins = listed.select(*keys, F.inline(F.aggregate("s", F.struct(F.lit(0.0).alias("cost"), F.array().alias("out")).cast(entry), enter)["out"]))
+
     state = "struct<held:double,avg:double,out:array<struct<day:date,cost:double,ret:double>>>"
-    start = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("avg"), F.array().cast("array<struct<day:date,cost:double,ret:double>>").alias("out")).cast(state)
 
     def step(s: Column, x: Column) -> Column:
         sells = (x["sell_qty"] > 0) & (s["held"] > 0)
         cost = s["avg"] * x["sell_qty"]
-        held = F.when(sells, F.greatest(s["held"] - x["sell_qty"], F.lit(0.0))).otherwise(s["held"])
-        after = held + x["buy_qty"]
-        avg = F.when(x["buy_qty"] > 0, (held * s["avg"] + x["buy_amt"]) / after).otherwise(s["avg"])
+        after = left(s, x) + x["buy_qty"]
+        avg = F.when(x["buy_qty"] > 0, (left(s, x) * s["avg"] + x["buy_amt"]) / after).otherwise(s["avg"])
         row = F.struct(x["day"].alias("day"), cost.alias("cost"), ((x["sell_amt"] - cost) / cost * 100).alias("ret"))
         return F.struct(after.alias("held"), avg.alias("avg"), F.when(sells & (cost > 0), F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out")).cast(state)
 
-    days = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", *(F.col(c).cast("double").alias(c) for c in ("buy_qty", "buy_amt", "sell_qty", "sell_amt"))))).alias("days"))
-    return days.select(*keys, F.explode(F.aggregate("days", start, step)["out"]).alias("r")).select(*keys, "r.day", "r.cost", "r.ret")
-
+    start = F.struct("held", F.when(F.col("held") > 0, F.col("cost") / F.col("held")).otherwise(0.0).alias("avg"), F.array().alias("out")).cast(state)
+    return slices.join(begins, at).select(*keys, F.explode(F.aggregate("days", start, step)["out"]).alias("r")).select(*keys, "r.day", "r.cost", "r.ret")
 
 def scope_filter(df: DataFrame, scope: str, col: str = "scope") -> DataFrame:
     """Rows of exactly that scope; all rows if there is no scope column; none if no row has it."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fifo, stats, trades
+from ..sources.tables import resume_checkpoint, shared_path, stored
 from . import views as V
 
 CONDITIONS = {
@@ -31,17 +32,31 @@ def _exit_days(s: SparkSession, d: str) -> DataFrame:
     return fifo.exit_days(found, sales)
 
 
+def _resumed(s: SparkSession, d: str) -> DataFrame:
+    """The history in three runs, each from the one before's checkpoint: the sales matched to each event's lots."""
+    facts = stored(V.facts(s, d), "facts")
+    events = stored(trades.build_events(facts, V.MIN_SINGLE, V.BOUNDS), "events")
+    path = None
+    for a, z in (("1900-01-01", "1994-12-31"), ("1995-01-01", "1996-06-30"), ("1996-07-01", "2100-12-31")):
+        old, path = path, shared_path(s, "checkpoint")
+        part = f"day between '{a}' and '{z}'"
+        found = resume_checkpoint(old, events.where(part), V.sales(facts.where(part)), path)
+    sold = found.select("broker", "event_id", F.explode("allocations").alias("a"))
+    return sold.select("broker", F.col("a.lot_no").alias("code"), "event_id", "a.lot_no", "a.sale_day", "a.qty", F.bround("a.revenue", 6).alias("revenue"), F.bround("a.cost", 6).alias("cost"))
+
+
 QUERIES = {
     "flagship_branch_class_stats": flagship,
     "j3_keep_tracked": lambda s, d: trades.keep_tracked(V.raw_trades(s, d), V.table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("broker"), F.col("s_name").alias("label"))).groupBy("label").agg(F.count("*").alias("n"), F.sum("buy").alias("buy")),
     "p26_valid_trades": lambda s, d: trades.valid_trades(V.raw_trades(s, d).withColumn("price", F.when(F.col("code") % 10 == 0, "壞值").otherwise(F.col("price").cast("string"))).withColumn("buy", F.when(F.col("code") % 7 == 0, -1).otherwise(F.col("buy")))).groupBy("valid").agg(F.count("*").alias("n"), F.sum("sell").alias("sell")),
-    "p27_exclude_securities": lambda s, d: trades.exclude_securities(V.table(s, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("code"), "p_type", "p_name"), "code", ["ECONOMY", "BRASS"]),
+    "p27_exclude_securities": lambda s, d: trades.exclude_securities(V.table(s, d, "part").select(F.lpad((F.col("p_partkey") * 7919 % 99_991 * 5).cast("string"), 6, "0").alias("code"), "p_type", "p_name"), "code", ["ECONOMY", "BRASS"]),
     "a1_compact_daily": lambda s, d: trades.compact_daily(V.raw_trades(s, d)),
     "a2_representative_text": lambda s, d: trades.representative_text(V.table(s, d, "part"), ["p_brand"], "p_type"),
     "a3_build_events": lambda s, d: V.events(s, d).drop("lots"),
     "a4_sale_rows": lambda s, d: trades.sale_rows(V.facts(s, d)),
     "p17_instrument_rows": lambda s, d: trades.instrument_rows(V.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("code"), "o_orderkey"), "code").select("o_orderkey"),
     "j6_fifo_match": lambda s, d: V.allocations(s, d).withColumns({c: F.bround(c, 6) for c in ("revenue", "cost")}),
+    "j6_resume_match": _resumed,
     "w6_exit_days": _exit_days,
     "a5_event_outcomes": lambda s, d: V.outcomes(s, d).withColumns({c: F.bround(c, 4) for c in ("revenue", "sold_cost")}),
     "a6_summarise_outcomes": lambda s, d: stats.summarise_outcomes(V.outcomes(s, d), ["broker", "target"]),
@@ -79,13 +94,14 @@ ORACLE_SQL = {
     "flagship_branch_class_stats": f"WITH {V.OUTCOMES}, {_CODED} SELECT broker, code, {V.SUMMARY} FROM coded GROUP BY broker, code",
     "j3_keep_tracked": f"WITH {V.RAW} SELECT s_name AS label, count(*) AS n, sum(buy)::BIGINT AS buy FROM raw JOIN supplier ON broker = s_suppkey AND s_acctbal > 0 GROUP BY s_name",
     "p26_valid_trades": f"WITH {V.RAW} SELECT code % 10 <> 0 AND code % 7 <> 0 AS valid, count(*) AS n, sum(sell)::BIGINT AS sell FROM raw GROUP BY ALL",
-    "p27_exclude_securities": "SELECT lpad(p_partkey::VARCHAR, 6, '0') AS code, p_type, p_name FROM part WHERE NOT starts_with(lpad(p_partkey::VARCHAR, 6, '0'), '00') AND NOT regexp_matches(p_type || ' ' || p_name, 'ECONOMY|BRASS')",
+    "p27_exclude_securities": "SELECT * FROM (SELECT lpad((p_partkey * 7919 % 99991 * 5)::VARCHAR, 6, '0') AS code, p_type, p_name FROM part) WHERE NOT starts_with(code, '00') AND NOT regexp_matches(p_type || ' ' || p_name, 'ECONOMY|BRASS')",
     "a1_compact_daily": f"WITH {V.FACTS} SELECT * EXCLUDE (target) FROM facts",
     "a2_representative_text": "SELECT p_brand, p_type FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, length(p_type), p_type) AS r FROM part GROUP BY p_brand, p_type) WHERE r = 1",
     "a3_build_events": f"WITH {V.EVENTS} SELECT * FROM events",
     "a4_sale_rows": f"WITH {V.FACTS} SELECT broker, code, day, sell_qty, sell_amt FROM facts WHERE sell_qty > 0",
     "p17_instrument_rows": "SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderkey::VARCHAR, '^\\d{5,6}$') AND NOT starts_with(o_orderkey::VARCHAR, '00')",
     "j6_fifo_match": f"WITH {V.ALLOCATIONS} SELECT * REPLACE (round_even(revenue, 6) AS revenue, round_even(cost, 6) AS cost) FROM allocations",
+    "j6_resume_match": f"WITH {V.ALLOCATIONS} SELECT * REPLACE (round_even(revenue, 6) AS revenue, round_even(cost, 6) AS cost) FROM allocations",
     "w6_exit_days": f"WITH {V.OUTCOMES} SELECT * FROM exits",
     "a5_event_outcomes": f"WITH {V.OUTCOMES} SELECT * REPLACE (round_even(revenue, 4) AS revenue, round_even(sold_cost, 4) AS sold_cost) FROM outcomes",
     "a6_summarise_outcomes": f"WITH {V.OUTCOMES} SELECT broker, target, {V.SUMMARY} FROM outcomes GROUP BY broker, target",

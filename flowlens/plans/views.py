@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fifo, trades
-from ..sources.tables import stored
+from ..sources.tables import lots_of, stored
 
 #: Class bounds and the single-instrument threshold at the scale of the given amounts.
 BOUNDS, MIN_SINGLE = (50_000, 60_000, 75_000, 90_000, 105_000), 50_000
@@ -64,22 +64,16 @@ EVENTS = (
 )
 
 
-def _lots(of: DataFrame) -> DataFrame:
-    """(broker, target, event_id, event_day, lot_no, qty, amount)."""
-    lots = of.select("broker", "target", "event_id", F.col("day").alias("event_day"), F.explode("lots").alias("l"))
-    return lots.select("broker", "target", "event_id", "event_day", F.col("l.code").alias("lot_no"), F.col("l.qty").alias("qty"), F.col("l.amount").alias("amount"))
-
-
-def _sales(of: DataFrame) -> DataFrame:
-    """(broker, target, day, sell_qty, sell_amt)."""
-    return of.where("sell_qty > 0").groupBy("broker", "target", "day").agg(F.sum("sell_qty").alias("sell_qty"), F.sum("sell_amt").alias("sell_amt"))
+def sales(of: DataFrame) -> DataFrame:
+    """(broker, code, day, sell_qty, sell_amt)."""
+    return of.where("sell_qty > 0").groupBy("broker", "code", "day").agg(F.sum("sell_qty").alias("sell_qty"), F.sum("sell_amt").alias("sell_amt"))
 
 
 def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(events with lots, allocations), from one pass over the trades: facts and events are tables that the later steps read."""
+    """(events with lots, allocations by branch and instrument), from one pass over the trades: facts and events are tables that the later steps read."""
     compact = stored(facts(spark, sf_dir), "facts")
     found = stored(trades.build_events(compact, MIN_SINGLE, BOUNDS), "events")
-    return found, fifo.fifo_match(_lots(found), _sales(compact), ["broker", "target"])
+    return found, fifo.fifo_match(lots_of(found), sales(compact), ["broker", "code"])
 
 
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,24 +81,24 @@ def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, sales = matched(spark, sf_dir)
-    return stored(fifo.event_outcomes(found.drop("lots"), sales), "outcomes")
+    found, sold = matched(spark, sf_dir)
+    return stored(fifo.event_outcomes(found.drop("lots"), sold), "outcomes")
 
 
 #: Brute first-in-first-out in SQL: every unit of stock and sale as intervals, matched by a running minimum.
 ALLOCATIONS = (
     EVENTS
-    + """, elots AS (SELECT l.broker, l.target, e.event_id, l.day AS event_day, l.code AS lot_no, l.qty, l.amount,
-    sum(l.qty) OVER (PARTITION BY l.broker, l.target ORDER BY l.day, e.event_id, l.code ROWS UNBOUNDED PRECEDING) AS hi
+    + """, elots AS (SELECT l.broker, l.code, e.event_id, l.day AS event_day, l.code AS lot_no, l.qty, l.amount,
+    sum(l.qty) OVER (PARTITION BY l.broker, l.code ORDER BY l.day, e.event_id ROWS UNBOUNDED PRECEDING) AS hi
     FROM lots l JOIN events e ON l.broker = e.broker AND l.target = e.target AND l.day = e.day),
-  sales AS (SELECT broker, target, day, sum(sell_qty)::BIGINT AS sell_qty, sum(sell_amt)::BIGINT AS sell_amt FROM facts WHERE sell_qty > 0 GROUP BY ALL),
-  avail AS (SELECT s.broker, s.target, s.day, s.sell_qty, s.sell_amt, coalesce((SELECT sum(l.qty) FROM elots l WHERE l.broker = s.broker AND l.target = s.target AND l.event_day < s.day), 0) AS a,
-    sum(s.sell_qty) OVER (PARTITION BY s.broker, s.target ORDER BY s.day ROWS UNBOUNDED PRECEDING) AS s FROM sales s),
-  m AS (SELECT *, s + least(0, min(a - s) OVER (PARTITION BY broker, target ORDER BY day ROWS UNBOUNDED PRECEDING)) AS hi2 FROM avail),
-  m2 AS (SELECT *, coalesce(lag(hi2) OVER (PARTITION BY broker, target ORDER BY day), 0) AS lo2 FROM m),
-  allocations AS (SELECT l.broker, l.target, l.event_id, l.lot_no, x.day AS sale_day, (least(x.hi2, l.hi) - greatest(x.lo2, l.hi - l.qty))::BIGINT AS qty,
+  sales AS (SELECT broker, code, day, sum(sell_qty)::BIGINT AS sell_qty, sum(sell_amt)::BIGINT AS sell_amt FROM facts WHERE sell_qty > 0 GROUP BY ALL),
+  avail AS (SELECT s.broker, s.code, s.day, s.sell_qty, s.sell_amt, coalesce((SELECT sum(l.qty) FROM elots l WHERE l.broker = s.broker AND l.code = s.code AND l.event_day < s.day), 0) AS a,
+    sum(s.sell_qty) OVER (PARTITION BY s.broker, s.code ORDER BY s.day ROWS UNBOUNDED PRECEDING) AS s FROM sales s),
+  m AS (SELECT *, s + least(0, min(a - s) OVER (PARTITION BY broker, code ORDER BY day ROWS UNBOUNDED PRECEDING)) AS hi2 FROM avail),
+  m2 AS (SELECT *, coalesce(lag(hi2) OVER (PARTITION BY broker, code ORDER BY day), 0) AS lo2 FROM m),
+  allocations AS (SELECT l.broker, l.code, l.event_id, l.lot_no, x.day AS sale_day, (least(x.hi2, l.hi) - greatest(x.lo2, l.hi - l.qty))::BIGINT AS qty,
     (least(x.hi2, l.hi) - greatest(x.lo2, l.hi - l.qty))::DOUBLE * x.sell_amt / x.sell_qty AS revenue, (least(x.hi2, l.hi) - greatest(x.lo2, l.hi - l.qty))::DOUBLE * l.amount / l.qty AS cost
-    FROM elots l JOIN m2 x ON l.broker = x.broker AND l.target = x.target WHERE x.hi2 > x.lo2 AND x.hi2 > l.hi - l.qty AND x.lo2 < l.hi)"""
+    FROM elots l JOIN m2 x ON l.broker = x.broker AND l.code = x.code WHERE x.hi2 > x.lo2 AND x.hi2 > l.hi - l.qty AND x.lo2 < l.hi)"""
 )
 
 OUTCOMES = (

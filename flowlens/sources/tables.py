@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import non_blank, norm_query_code, parse_day, roc_to_date, safe_double
+from ..operators import fifo
 from ..operators.trades import require_columns
 
 
@@ -45,16 +46,40 @@ def write_compact(df: DataFrame, path: str, day: str = "trade_day") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-def write_checkpoint(events: DataFrame, path: str, allocations: DataFrame | None = None) -> None:
-    """Events with all lots, the lots still open and, if given, the sales matched to them in order, as nested columns."""
+def write_checkpoint(events: DataFrame, path: str, allocations: DataFrame | None = None, before: DataFrame | None = None) -> None:
+    """Events with all lots, the lots still open and, if given, the sales matched to them in order, as nested columns; those of the checkpoint ``before`` come first."""
     out = events.withColumn("open_lots", F.filter("lots", lambda x: x["remaining"] > 0))
     if allocations is not None:
         sale = F.struct("sale_day", "lot_no", "qty", "revenue", "cost")
         matched = allocations.groupBy("event_id").agg(F.array_sort(F.collect_list(sale)).alias("allocations"))
-        out = out.join(matched, "event_id", "left").withColumn("allocations", F.coalesce("allocations", F.array().cast(matched.schema["allocations"].dataType)))
+        none = F.array().cast(matched.schema["allocations"].dataType)
+        out = out.join(matched, "event_id", "left").withColumn("allocations", F.coalesce("allocations", none))
+        if before is not None:
+            out = out.join(before.select("event_id", F.col("allocations").alias("_before")), "event_id", "left").withColumn("allocations", F.concat(F.coalesce("_before", none), "allocations")).drop("_before")
     out.write.mode("overwrite").parquet(path)
 
 
+def lots_of(events: DataFrame) -> DataFrame:
+    """(broker, code, event_id, event_day, lot_no, qty, amount) of the events' ``lots``, and ``open`` if these have ``remaining``; sold out ones are left out."""
+    lots = events.select("broker", "event_id", F.col("day").alias("event_day"), F.explode("lots").alias("l"))
+    out = lots.select("broker", F.col("l.code").alias("code"), "event_id", "event_day", F.col("l.code").alias("lot_no"), F.col("l.qty").alias("qty"), F.col("l.amount").alias("amount"), *([F.col("l.remaining").alias("open")] if "remaining" in lots.schema["l"].dataType.names else []))
+    return out.where("open > 0") if "open" in out.columns else out
+
+
+def resume_checkpoint(old: str | None, events: DataFrame, sales: DataFrame, path: str) -> DataFrame:
+    """Matches new ``sales`` to the open lots of the checkpoint ``old`` and those of new ``events``, writes the checkpoint ``path`` of all events, and returns it.
+
+    ``sales`` (broker, code, day, sell_qty, sell_amt) and ``events`` are of days after all of ``old``; only these and the lots still open are matched, by
+    (broker, code).  Each event keeps its ``allocations``, earlier runs' first.  ``old`` is None in the first run; ``path`` is another folder.
+    """
+    spark = events.sparkSession
+    before = spark.read.parquet(old) if old else None
+    known = stored(events if before is None else before.select(*events.columns).unionByName(events.withColumn("lots", F.transform("lots", lambda x: x.withField("remaining", x["qty"])))), "resumed")
+    fresh = stored(fifo.fifo_match(lots_of(known), sales, ["broker", "code"]), "allocations")
+    write_checkpoint(fifo.with_remaining(known, fresh), path, fresh, before)
+    return spark.read.parquet(path)
+
+
 def write_results(results: dict[str, DataFrame], path: str) -> None:
     for name, df in results.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
