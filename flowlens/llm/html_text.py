@@ -4,14 +4,14 @@ A page's tokens are its elements, told apart by their path (tag and class or id
 it), and its blocks of text, told apart by path and text.  A token's occurrence vector says on which pages of the host it is.  Vectors are compared by fingerprints that
 are added up over pages (map-side first), so that no task sees a host's pages together.  Pages without elements are left out.
 A token is an element of a template if it occurs once on most of the pages that have it, and if these are at least two
-different pages (or the host has one only) and a thousandth of the host's.  A host may have several layouts: a page's
+different pages (or the host has one only).  Nothing depends on how many pages the host has.  A host may have several layouts: a page's
 template is made of those template elements that are on it, so that an odd page changes nothing for the others.
 
 The text is that of the article elements; of these, those of the template if any is.  A page without an article gives
 the text of all slots (innermost template elements) whose text varies from page to page and isn't mostly links,
 narrowed to elements named like an article if these hold half of it.  A block's frame is the article element around
-it, or else the outermost element in the body.  Tokens of equal vectors are an equivalence class; blocks of the class of their frame are
-the template's text and left out.  What lies there in menus, forms, adverts,
+it, or else the outermost element in the body.  Tokens of equal vectors are an equivalence class, as far as one page in ten may be odd; blocks of the class of their frame are
+the template's text and left out, unless they are half of the page's text or more: then they are copies of an article.  What lies there in menus, forms, adverts,
 notices, comments and the like is left out: elements of such tags, and elements of which a whole class, id or role is such a name
 if they are on two different pages of the host (or it has one only).  An element around the article is none of these.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, small_by_bytes, written
+from .common import small_batches, written
 
 # HTML's element kinds, and names that sites give to what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,10 +42,6 @@ OTHER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert disclaimer comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager widget widgets search skip".split()
 )
 ARTICLE_NAMES = frozenset("article post story entry content main maincontent articlebody post-content entry-content article-body article-content main-content".split())
-#: A template element must be on one page in this many of its host.
-RARE = 1000
-#: From this many pages on, a class of texts can't be copies of one article.
-MANY = 10
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl select article section div body td th blockquote".split())
 
@@ -53,16 +49,18 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a
 _TEXT = re.compile(r"<!--.*\Z|[^<]+|<", re.S)  # behind the last ">" there are no elements
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
+_TARGET = re.compile(r"\bhref\s*=", re.I)
+
 
 def _plain(pieces: Iterable[str]) -> str:
     return " ".join(unescape("".join(pieces)).split())
 
 
 class _Open:
-    __slots__ = ("tag", "node", "silent", "article")
+    __slots__ = ("tag", "node", "silent", "article", "link")
 
-    def __init__(self, tag: str, node: int, silent: bool, article: bool):
-        self.tag, self.node, self.silent, self.article = tag, node, silent, article
+    def __init__(self, tag: str, node: int, silent: bool, article: bool, link: bool):
+        self.tag, self.node, self.silent, self.article, self.link = tag, node, silent, article, link
 
 
 class Page:
@@ -82,7 +80,7 @@ class Page:
         self.named: set[int] = set()
         self.blocks: list[tuple[int, str, int, list | None]] = []
         self.nodes: dict[tuple[int, str], int] = {}
-        self.stack = [_Open("", 0, False, False)]
+        self.stack = [_Open("", 0, False, False, False)]
         self.places: dict[str, list[int]] = {}
         self.texts: list[tuple[str, int]] = []
         self.linked = 0
@@ -123,7 +121,7 @@ class Page:
                 self.named.add(node)
         self.counts[node] += 1
         self.places.setdefault(tag, []).append(len(self.stack))
-        self.stack.append(_Open(tag, node, top.silent or tag in INLINE, article))
+        self.stack.append(_Open(tag, node, top.silent or tag in INLINE, article, top.link or (tag == "a" and bool(_TARGET.search(attributes)))))
 
     def nearest(self, tags: set[str] | frozenset[str]) -> int:
         """The place in the stack of the innermost open element of ``tags``; 0 without any."""
@@ -146,7 +144,7 @@ class Page:
                     top = self.stack[-1]
                     if not top.silent:
                         self.texts.append((piece, top.node))
-                        if any(x.tag == "a" for x in self.stack[-4:]):
+                        if top.link:
                             self.linked += len(piece)
                 continue
             tag, closing = tag.lower(), m[0][1] == "/"
@@ -268,27 +266,24 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def template_texts(tokens: DataFrame) -> DataFrame:
-    """(host, texts, few): text tokens of the equivalence class of the frame they lie in.
+    """(host, texts): text tokens of the equivalence class of the frame they lie in.
 
-    The class is the tokens of equal vectors; the text is inside the frame, so the class nests.  From ``MANY`` pages on, a tenth of
-    the frame's pages may be without the text.  ``few`` are those of classes of less pages.
+    The class is the tokens of equal vectors, but that a tenth of the frame's pages may be without the text; the text is inside the frame, so the class nests.
     """
-    frames = tokens.where("text = 0 and several").where(F.col("pages") * RARE >= F.col("host_pages")).select("host", "id", F.col("pages").alias("frame_pages"), F.col("vector").alias("frame_vector"))
+    frames = tokens.where("text = 0 and several").select("host", "id", F.col("pages").alias("frame_pages"), F.col("vector").alias("frame_vector"))
     met = tokens.where("text <> 0").select("host", "id", "text", "pages", "vector").join(frames, ["host", "id"])
-    many = F.col("frame_pages") >= MANY
     same = (F.col("pages") == F.col("frame_pages")) & (F.col("vector") == F.col("frame_vector"))
-    found = met.where(same | (many & (F.col("pages") * 10 >= F.col("frame_pages") * 9)))
-    return found.groupBy("host").agg(F.collect_set(F.when(many, F.col("text"))).alias("texts"), F.collect_set(F.when(~many, F.col("text"))).alias("few"))
+    return met.where(same | (F.col("pages") * 10 >= F.col("frame_pages") * 9)).groupBy("host").agg(F.collect_set("text").alias("texts"))
 
 
 def templates(tokens: DataFrame) -> DataFrame:
     """(host, template): the host's template elements that hold text, and its template texts, as JSON.
 
-    A template element occurs once on most pages that have it, these are at least two different ones (any, on a host
-    of one page), and ``RARE`` of the host's.  Text belongs to the innermost template element around it.
+    A template element occurs once on most pages that have it, and these are at least two different ones (any, on a host
+    of one page).  Text belongs to the innermost template element around it.
     """
     elements = tokens.where("text = 0")
-    supported = (F.col("several") | ~F.col("host_several")) & (F.col("pages") * RARE >= F.col("host_pages"))
+    supported = F.col("several") | ~F.col("host_several")
     once = elements.where(supported & (F.col("once") * 2 > F.col("pages"))).select("host", F.col("id").alias("slot"))
     deepest = elements.where("chars > 0").select("host", "id", "chars", "links", "fixed").join(_slots_of(elements, once), ["host", "id"])
     slots = deepest.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("fixed").alias("fixed"))
@@ -297,7 +292,7 @@ def templates(tokens: DataFrame) -> DataFrame:
     marked = F.when((F.col("marked") == 1) & supported, F.col("id"))
     classes = elements.groupBy("host").agg(F.collect_set(marked).alias("classes"), F.max("host_several").alias("several"))
     by_host = classes.join(by_host, "host", "left")
-    return by_host.join(template_texts(tokens), "host", "left").select("host", F.to_json(F.struct("slots", "texts", "few", "classes", "several")).alias("template"))
+    return by_host.join(template_texts(tokens), "host", "left").select("host", F.to_json(F.struct("slots", "texts", "classes", "several")).alias("template"))
 
 
 def _slots_of(elements: DataFrame, once: DataFrame) -> DataFrame:
@@ -323,7 +318,7 @@ class Template:
     def __init__(self, found: str | None):
         x = json.loads(found) if found else {}
         self.slots = {int(k): v for k, v in (x.get("slots") or {}).items()}
-        self.texts, self.few = set(x.get("texts") or ()), set(x.get("few") or ())
+        self.texts = set(x.get("texts") or ())
         self.confirmed = set(x["classes"]) if x.get("several") else None
 
 
@@ -349,40 +344,85 @@ def main_text(page: Page, template: Template) -> str:
         named = [b for b in kept if inside[b[0]] >= 0]
         if 2 * sum(len(b[1]) for b in named) >= sum(len(b[1]) for b in kept):
             kept = named
-    kept = _without_template(page, kept, template.texts, template.few)
+    kept = _without_template(page, kept, template.texts)
     shown = (b[1] if b[3] is None else _plain(piece for piece, node in b[3] if other[node] <= page.depth[b[0]]) for b in kept)
     return "\n\n".join(filter(None, shown))
 
 
-def _without_template(page: Page, blocks: list, texts: set[int], few: set[int]) -> list:
-    """``blocks`` without the template's texts, unless nothing would be left.
+def _without_template(page: Page, blocks: list, texts: set[int]) -> list:
+    """``blocks`` without the template's texts, unless these are half of it or more: copies of an article look like a template."""
+    own = [b for b in blocks if _text_key(page.ids[b[0]], b[1]) not in texts] if texts else blocks
+    return own if 2 * sum(len(b[1]) for b in own) > sum(len(b[1]) for b in blocks) else blocks
+
+
+#: Templates of all hosts are sent to every task if their JSON has at most so many bytes; a task holds so many of them ready at a time.
+SENT_BYTES, READY = 32 << 20, 64
+#: Beyond, templates travel to their pages: a host with more than one page in ``HOT`` of all is spread over ``SALTS`` groups, which get its template each.
+HOT, SALTS = 1000, 64
+_TEXTS = "page_id long, url string, text string"
+
+
+def _texts(batch: pa.RecordBatch, templates: Iterable[Template]) -> pa.RecordBatch:
+    """From (page_id, url, html, ...) and each row's template."""
+    texts = [main_text(Page(html), template) for html, template in zip(batch.column(2).to_pylist(), templates, strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _with_sent_templates(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts of ``rows`` (page_id, url, html, host), whose templates every task has been sent."""
+    sent = rows.sparkSession.sparkContext.broadcast({r["host"]: r["template"] for r in found.collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, Template] = {}
+
+        def of(host: str) -> Template:
+            if host not in ready:
+                if len(ready) >= READY:
+                    ready.clear()
+                ready[host] = Template(sent.value.get(host))
+            return ready[host]
+
+        for batch in batches:
+            yield _texts(batch, map(of, batch.column(3).to_pylist()))
+
+    return rows.mapInArrow(run, _TEXTS)
 
-    On few pages, copies of an article look like a template: there, texts that are half of it or more stay.
-    """
-    if not texts and not few:
-        return blocks
-    keyed = [(b, _text_key(page.ids[b[0]], b[1])) for b in blocks]
-    kept = [(b, k) for b, k in keyed if k not in texts] or keyed
-    own = [b for b, k in kept if k not in few]
-    return own if 2 * sum(len(b[1]) for b in own) > sum(len(b[1]) for b, _ in kept) else [b for b, _ in kept]
+
+def _with_met_templates(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The same, where each group of a host's pages follows on the host's template: a task holds one template at a time."""
+    spark = rows.sparkSession
+    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r["host"] for r in counts.where(F.col("n") * HOT > total).select("host").collect()]  # less than ``HOT`` hosts
+    is_hot = F.col("host").isin(hot) if hot else F.lit(False)
+    salted = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")).otherwise(0)).withColumn("template", F.lit(None).cast("string"))
+    salts = F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0)))
+    first = found.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", salts.alias("salt"), "template")
+    both = first.unionByName(salted).withColumn("is_page", F.col("template").isNull())
+    order = ["host", "salt", "is_page"]
+    sorted_ = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "salt").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, template = None, Template(None)
+        for batch in batches:
+            pages, chosen = [], []
+            for k, (host, sent) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                if sent is not None:
+                    known, template = host, Template(sent)
+                else:
+                    if host != known:
+                        known, template = host, Template(None)
+                    pages.append(k)
+                    chosen.append(template)
+            yield _texts(batch.take(pa.array(pages, pa.int64())), chosen)
+
+    return sorted_.select("page_id", "url", "html", "host", "salt", "template").mapInArrow(run, _TEXTS)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of ``pages`` (page_id, url, html)."""
     small_batches(pages.sparkSession)
     found = written(templates(page_tokens(pages)), "templates")
-    by_host = small_by_bytes(found.withColumnRenamed("host", "_host"))
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("_key", host_of(F.col("url")))
-    joined = rows.join(by_host, F.col("_key") == F.col("_host"), "left").select("page_id", "url", "html", "template")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[str | None, Template] = {}
-            texts = []
-            for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if template not in known:
-                    known[template] = Template(template)
-                texts.append(main_text(Page(html), known[template]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("template"))).first()[0] or 0
+    return _with_sent_templates(rows, found) if size <= SENT_BYTES else _with_met_templates(rows, found)

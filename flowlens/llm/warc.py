@@ -9,7 +9,8 @@ may bring replace the stored ones.
 
 Rows: ``records`` has record_id, url, ts (long), status, headers (map of lower-case names), and may have more columns, which are left out.
 Status 200 is a full response, 304 a revisit; others are neither.  "Earlier" is a smaller ts; of responses with equal ts
-the greatest record_id counts.  A null url matches nothing; rows with null ts are never earlier and have nothing earlier.
+the greatest record_id counts.  A url that isn't ``scheme://host...`` is a key of its own, its text without white space around it, and meets equal
+texts only.  A null url matches nothing; rows with null ts are never earlier and have nothing earlier.
 A null header map has no headers.  Repeated rows are resolved each.  Empty tables give no rows.
 """
 
@@ -24,14 +25,25 @@ TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)="
 SLICES, MOST_SLICES, SLICE_ROWS = 32, 1024, 2_000_000
 
 
+#: Scheme, authority, path and query; white space is ASCII.
+URL = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\x09-\x0D\x20]+)([^?#]*)(?:[?]([^#]*))?(?:#.*)?$"
+AROUND = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
+
+
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without "www." and a default port, path without a last slash, parameters sorted, trackers, scheme and fragment gone."""
-    bare = F.regexp_replace(url, r"#.*$", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/?]*)", 1)), r":(80|443)$", ""), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]*([^?]*)", 1), r"/+$", "")
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    """Host in lower case without "www." and a default port, path without last slashes, parameters sorted, trackers, fragment and scheme gone.
+
+    Schemes other than http and https stay in front.  What can't be parsed is its own text behind a space, so that it equals no parsed url.
+    """
+    bare = F.regexp_replace(url, AROUND, "")
+    part = lambda k: F.regexp_extract(bare, URL, k)
+    scheme = F.lower(part(1))
+    front = F.when(scheme.isin("http", "https"), "").otherwise(F.concat(scheme, F.lit("://")))
+    host = F.regexp_replace(F.regexp_replace(F.lower(part(2)), r":(80|443)?$", ""), r"^www\.", "")
+    path = F.regexp_replace(part(3), r"/+$", "")
+    kept = F.array_sort(F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
+    parsed = F.concat(front, host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    return F.when(bare.rlike(URL), parsed).otherwise(F.concat(F.lit(" "), bare))
 
 
 def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
@@ -65,34 +77,51 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Archive records made from ``pages``: each page as fetched, and revisits of it later on.
+    """Archive records made from ``pages``: three pages in a row are captures of one address, fetched and revisited in turn.
 
-    A page's fetch is a full response at 10 * page_id.  Every page is revisited 5 and 1005 time steps later with the entity tag of
-    its host and size class at that time; every fourth revisit has no tag but a Last-Modified, every seventh page only the latter.
+    A page is fetched at 10 * page_id, at its group's first url, written in one of four ways; one in five groups has nothing but an error for its first
+    page, and one in seven an address that is no url.  Every page is revisited 5 and 1005 time steps later with its own
+    entity tag; every fourth revisit has no tag but a Last-Modified, every seventh page only the latter.  So the first revisit finds its own page, or nothing, and the second one a
+    later capture of the address, which may differ.  Pages without a page_id have no records.
     """
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 8), F.lit('"'))
-    modified = F.concat(F.lit("day "), (F.col("page_id") % 50).cast("string"))
-    base = pages.select("page_id", "url", F.when(F.col("page_id") % 7 == 0, F.lit(None)).otherwise(tag).alias("tag"), modified.alias("modified"))
+    group = F.floor(F.col("page_id") / 3)
+    modified = F.concat(F.lit("day "), F.floor(F.col("page_id") / 2).cast("string"))
+    first_url = F.first("url").over(Window.partitionBy("group").orderBy("page_id"))
+    way = F.col("page_id") % 4
+    url = F.when(F.col("group") % 7 == 3, F.concat(F.lit("page:"), F.col("group").cast("string"))).otherwise(F.col("u"))
+    url = F.when(way == 1, F.concat(url, F.lit(" "))).when(way == 2, F.concat(F.lit("\t"), url)).otherwise(url)
+    base = pages.where("page_id is not null").select("page_id", "url", "html", group.alias("group")).withColumn("u", first_url)
+    base = base.select("page_id", "group", url.alias("url"), F.when(F.col("page_id") % 7 == 0, F.lit(None)).otherwise(tag).alias("tag"), modified.alias("modified"))
     of = lambda **kv: F.map_filter(F.map_from_arrays(F.array(*(F.lit(k.replace("_", "-")) for k in kv)), F.array(*kv.values())), lambda k, v: v.isNotNull())
-    first = base.select((F.col("page_id") * 3).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit(200).alias("status"), of(etag=F.col("tag"), last_modified=F.col("modified"), content_type=F.lit("text/html"), date=F.concat(F.lit("t"), (F.col("page_id") * 10).cast("string"))).alias("headers"))
+    status = F.when((F.col("group") % 5 == 2) & (F.col("page_id") % 3 == 0), 404).otherwise(200)
+    first = base.select((F.col("page_id") * 3).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), status.alias("status"), of(etag=F.col("tag"), last_modified=F.col("modified"), content_type=F.lit("text/html"), date=F.concat(F.lit("t"), (F.col("page_id") * 10).cast("string"))).alias("headers"))
     again = base.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
     later = F.col("page_id") * 10 + F.when(F.col("k") == 1, 5).otherwise(1005)
     revisit = again.select((F.col("page_id") * 3 + F.col("k")).alias("record_id"), "url", later.alias("ts"), F.lit(304).alias("status"), of(etag=F.when((F.col("page_id") + F.col("k")) % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("W/"), F.col("tag"))), last_modified=F.col("modified"), server=F.lit("x"), date=F.concat(F.lit("t"), later.cast("string"))).alias("headers"))
     return first.unionByName(revisit)
 
 
-_KEY = r"""
-  CASE WHEN url IS NULL THEN NULL ELSE
-  regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '')
-  || regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '')
-  || coalesce((SELECT '?' || string_agg(p, '&' ORDER BY p) FROM (SELECT unnest(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&')) AS p) WHERE p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)=') HAVING count(*) > 0), '') END
+_BARE = f"regexp_replace(url, '{AROUND}', '', 'g')"
+_PART = lambda k: f"regexp_extract({_BARE}, '{URL}', {k})"
+_KEY = rf"""
+  CASE WHEN url IS NULL THEN NULL WHEN NOT regexp_matches({_BARE}, '{URL}') THEN ' ' || {_BARE} ELSE
+  CASE WHEN lower({_PART(1)}) IN ('http', 'https') THEN '' ELSE lower({_PART(1)}) || '://' END
+  || regexp_replace(regexp_replace(lower({_PART(2)}), ':(80|443)?$', ''), '^www\.', '') || regexp_replace({_PART(3)}, '/+$', '')
+  || coalesce((SELECT '?' || string_agg(p, '&' ORDER BY p) FROM (SELECT unnest(string_split({_PART(4)}, '&')) AS p) WHERE p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)=') HAVING count(*) > 0), '') END
 """
 
 ORACLE = f"""
-WITH base AS (
-  SELECT page_id, {_KEY} AS url_key, CASE WHEN page_id % 7 = 0 THEN NULL ELSE '"' || substr(md5(html), 1, 8) || '"' END AS tag, 'day ' || (page_id % 50) AS modified FROM pages
+WITH grouped AS (
+  SELECT page_id, html, page_id // 3 AS grp, first_value(url) OVER (PARTITION BY page_id // 3 ORDER BY page_id) AS u FROM pages WHERE page_id IS NOT NULL
+), addressed AS (
+  SELECT *, CASE WHEN grp % 7 = 3 THEN 'page:' || grp ELSE u END AS a FROM grouped
+), written AS (
+  SELECT *, CASE page_id % 4 WHEN 1 THEN a || ' ' WHEN 2 THEN chr(9) || a ELSE a END AS url FROM addressed
+), base AS (
+  SELECT page_id, grp, {_KEY} AS url_key, CASE WHEN page_id % 7 = 0 THEN NULL ELSE '"' || substr(md5(html), 1, 8) || '"' END AS tag, 'day ' || (page_id // 2) AS modified FROM written
 ), responses AS (
-  SELECT page_id * 3 AS response_id, url_key, page_id * 10 AS response_ts, tag AS r_tag, modified AS r_modified FROM base
+  SELECT page_id * 3 AS response_id, url_key, page_id * 10 AS response_ts, tag AS r_tag, modified AS r_modified FROM base WHERE NOT (grp % 5 = 2 AND page_id % 3 = 0)
 ), revisits AS (
   SELECT page_id * 3 + k AS record_id, url_key, page_id * 10 + CASE WHEN k = 1 THEN 5 ELSE 1005 END AS ts,
     CASE WHEN (page_id + k) % 4 = 0 THEN NULL ELSE tag END AS tag, modified FROM base, (VALUES (1), (2)) AS t(k)
@@ -107,7 +136,7 @@ WITH base AS (
 )
 SELECT record_id, url_key, ts, outcome, response_id, response_ts,
   CASE WHEN outcome = 'resolved' AND tag IS NULL THEN r_tag WHEN tag IS NULL THEN NULL ELSE 'W/' || tag END AS etag,
-  modified AS last_modified, 't' || ts AS date, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type,
+  CASE WHEN outcome = 'resolved' THEN r_modified ELSE modified END AS last_modified, 't' || ts AS date, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type,
   CASE WHEN outcome <> 'resolved' THEN 'x' END AS server
 FROM judged
 """
