@@ -3,13 +3,13 @@
 A window is ``width`` consecutive words of a document.  Its minimiser is the smallest hash of its runs of ``MINI`` words.  Consecutive windows of
 one minimiser are a super-k-mer: their words travel once, as one packed string, to the bucket of that
 minimiser, where all windows of equal words meet whatever stands around them.  Before that, only the minimisers travel, and super-k-mers whose bucket would have one document alone
-stay where they are.  In the bucket the strings are opened into windows and sorted; equal windows
+stay where they are.  In the bucket the strings are sorted, those that no earlier document has are opened into windows, and these are sorted; equal ones
 stand together, and the smallest doc_id among them is known.  Windows are told apart by bucket and 128 bits of hash over all their words.
 
 Hot groups: documents of equal words are one from the start, that of the smallest doc_id.  A minimiser with more than about
 one in ``HOT`` of all super-k-mers is hot; there are fewer than 4/3 ``HOT`` of these, found by counts of each batch whose error has a bound (a batch's
-minimisers below a quarter of that share aren't counted).  Its super-k-mers are dealt out evenly instead; their windows are sorted over ranges, where one
-window may take up several tasks.  Results don't depend on which are hot.
+minimisers below a quarter of that share aren't counted).  Its super-k-mers are dealt out evenly instead; their strings, and the windows of each string's first document, are sorted over ranges, where one
+string or window may take up several tasks.  Results don't depend on which are hot.
 
 ``doc_id`` names a document: rows that repeat one are judged each, on their own text, against smaller doc_ids only.  Rows without a doc_id
 keep all words and make no others go.  Null or blank texts have no words.  Texts of less than ``width`` words have no windows.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, small_batches, small_by_bytes, written
@@ -230,67 +230,98 @@ def super_kmers(docs: DataFrame, hot: list[int], width: int = WIDTH) -> DataFram
     return docs.select("doc_id", "text_key", "text", "starts").mapInArrow(run, schema)
 
 
-def _windows(runs: DataFrame, width: int) -> DataFrame:
-    """(hot, bucket, k1, k2, doc_id, text_key, at): the windows of each string, by 128 bits of hash over their words."""
-    words = runs.withColumn("w", F.split("packed", " "))
-    key = lambda i: F.struct((i - 1).alias("i"), F.xxhash64(F.slice("w", i, width)).alias("k1"), F.xxhash64(F.lit(1), F.slice("w", i, width)).alias("k2"))
-    opened = words.select("hot", "bucket", "doc_id", "text_key", "start", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), key)).alias("x"))
-    return opened.select("hot", "bucket", "x.k1", "x.k2", "doc_id", "text_key", (F.col("start") + F.col("x.i")).alias("at"))
+def _keys(i: Column, width: int) -> Column:
+    """128 bits of hash of the window of the words ``w`` that begins at the ``i``-th."""
+    words = F.slice("w", i, width)
+    return F.struct((F.col("start") + i - 1).alias("a"), F.lit(1).alias("n"), F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2"), F.lit(None).cast("string").alias("packed"))
 
 
-_SCANNED = "part int, kind int, doc_id long, text_key long, at int, k1 long, k2 long"
-_CLAIM, _OPEN, _FIRST, _LAST = range(4)
+def _opened(width: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda i: _keys(i, width))
 
 
-def _hot_places(windows: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, text_key, at) of the hot windows that a smaller doc_id has as well.
+_CLAIM, _HOT, _WINDOW = "claim", "hot", "window"
+_PLACE = ["doc_id", "text_key", "a", "n"]
 
-    Rows are sorted by window and doc_id over ranges of about equal size, so that a window with very many documents is spread over several
-    tasks.  A task knows the smallest doc_id of each of its windows but, maybe, the first one, which may have begun before: of that it hands on all rows
-    (``_OPEN``), and how it begins and ends.  The driver follows these ends, two for each task, from range to range.
+
+def _bucket_claims(runs: DataFrame, width: int) -> DataFrame:
+    """(kind, doc_id, text_key, a, n, k1, k2, packed), as a written table: places that an earlier document has as well, as first word and number of windows, and hot super-k-mers as they are.
+
+    In a bucket, strings are sorted first: all windows of a string that an earlier document has are that document's.  The others are
+    opened, and their windows sorted.
+    """
+    words = runs.withColumn("least", F.min("doc_id").over(Window.partitionBy("bucket", "packed"))).withColumn("w", F.split("packed", " "))
+    n = F.size("w") - (width - 1)
+    one = lambda k1, k2, packed: F.array(F.struct(F.col("start").alias("a"), n.alias("n"), k1.alias("k1"), k2.alias("k2"), packed.alias("packed")))
+    as_hot = one(F.xxhash64("packed"), F.xxhash64(F.lit(1), "packed"), F.col("packed"))
+    as_whole = one(F.col("text_key"), F.xxhash64("doc_id", "start"), F.lit(None).cast("string"))
+    kind = F.when(F.col("hot"), _HOT).when(F.col("doc_id") > F.col("least"), _CLAIM).otherwise(_WINDOW)
+    rows = words.withColumn("kind", kind).withColumn("x", F.when(F.col("kind") == _HOT, as_hot).when(F.col("kind") == _CLAIM, as_whole).otherwise(_opened(width)))
+    rows = rows.select("kind", "bucket", "doc_id", "text_key", F.explode("x").alias("x")).select("kind", "bucket", "doc_id", "text_key", "x.*")
+    first = F.min(F.when(F.col("kind") == _WINDOW, F.col("doc_id"))).over(Window.partitionBy("bucket", "k1", "k2"))
+    return written(rows.withColumn("first", first).where((F.col("kind") != _WINDOW) | (F.col("doc_id") > F.col("first"))).drop("bucket", "first"), "bucket-claims")
+
+
+_SCANNED = "part int, kind int, doc_id long, text_key long, a int, n int, k1 long, k2 long, packed string"
+_LATER, _EARLIEST, _OPEN, _FIRST, _LAST = range(5)
+
+
+def _by_ranges(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(later, earliest): ``rows`` (k1, k2, doc_id, text_key, a, n, packed) of whose key (k1, k2) a smaller doc_id has a row, and the rest.
+
+    Rows are sorted by key and doc_id over ranges of about equal size, so that a key with very many documents is spread over several
+    tasks.  A task knows the smallest doc_id of each of its keys but, maybe, the first one, which may have begun before: rows of that are left
+    ``_OPEN``, and the task hands on how it begins and ends.  The driver follows these ends, two for each task, from range to range.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, first, last = TaskContext.get().partitionId(), None, None
-        names, kinds = [x.split()[0] for x in _SCANNED.split(", ")], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        names = [x.split()[0] for x in _SCANNED.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
-        def table(kind: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-            columns = [np.full(len(kind), part), kind, *columns]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        def table(kind: np.ndarray, packed: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip([np.full(len(kind), part), kind, *columns], kinds, strict=True)), packed], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k1, k2, doc, key, at = (batch.column(c).to_numpy() for c in range(5))
+            k1, k2, doc, key, a, n = (batch.column(c).to_numpy() for c in range(6))
             new = np.ones(len(k1), bool)
             new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
             new[0] = last is None or last[:2] != (k1[0], k2[0])
-            begins = np.flatnonzero(new)
-            least = np.concatenate([[0 if last is None else last[2]], doc[begins]])[np.cumsum(new)]
+            least = np.concatenate([[0 if last is None else last[2]], doc[np.flatnonzero(new)]])[np.cumsum(new)]
             first = first or (k1[0], k2[0], doc[0])
-            opened = (k1 == first[0]) & (k2 == first[1])
             last = (k1[-1], k2[-1], least[-1])
-            kept = opened | (doc > least)
-            yield table(np.where(opened, _OPEN, _CLAIM)[kept], doc[kept], key[kept], at[kept], k1[kept], k2[kept])
+            kind = np.where((k1 == first[0]) & (k2 == first[1]), _OPEN, np.where(doc > least, _LATER, _EARLIEST))
+            yield table(kind, batch.column(6), doc, key, a, n, k1, k2)
         if first:
             ends = [np.array(x, np.int64) for x in zip(first, last, strict=True)]
-            yield table(np.array([_FIRST, _LAST]), ends[2], np.zeros(2, np.int64), np.zeros(2, np.int32), ends[0], ends[1])
+            none = np.zeros(2, np.int64)
+            yield table(np.array([_FIRST, _LAST]), pa.array([None, None], pa.string()), ends[2], none, none.astype(np.int32), none.astype(np.int32), ends[0], ends[1])
 
     order = ["k1", "k2", "doc_id"]
-    ranged = windows.select(*order, "text_key", "at").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    scanned = written(ranged.mapInArrow(scan, _SCANNED), "scanned")
-    least, ended = {}, None
+    ranged = rows.select(*order, "text_key", "a", "n", "packed").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    scanned = written(ranged.mapInArrow(scan, _SCANNED), "ranges")
+    least, ended, first = {}, None, None
     for r in sorted(scanned.where(F.col("kind") >= _FIRST).select("part", "kind", "k1", "k2", "doc_id").collect()):
         if r["kind"] == _FIRST:
-            least[r["part"]] = ended["doc_id"] if ended and (ended["k1"], ended["k2"]) == (r["k1"], r["k2"]) else r["doc_id"]
             first = r
+            least[r["part"]] = ended["doc_id"] if ended and (ended["k1"], ended["k2"]) == (r["k1"], r["k2"]) else r["doc_id"]
         else:
             same = (first["k1"], first["k2"]) == (r["k1"], r["k2"])
             ended = {"k1": r["k1"], "k2": r["k2"], "doc_id": least[r["part"]] if same else r["doc_id"]}
     by_part = F.array(*(F.lit(least.get(k, 0)).cast("long") for k in range(max(least, default=0) + 1)))
-    return scanned.where((F.col("kind") == _CLAIM) | ((F.col("kind") == _OPEN) & (F.col("doc_id") > F.get(by_part, F.col("part"))))).select("doc_id", "text_key", "at")
+    is_later = (F.col("kind") == _LATER) | ((F.col("kind") == _OPEN) & (F.col("doc_id") > F.get(by_part, F.col("part"))))
+    return scanned.where(is_later), scanned.where((F.col("kind") < _FIRST) & ~is_later)
+
+
+def _hot_places(hot: DataFrame, parts: int, width: int) -> DataFrame:
+    """The places of hot super-k-mers that an earlier document has as well: those of whole strings, and then of windows of each string's first document."""
+    later, earliest = _by_ranges(hot, parts)
+    opened = earliest.withColumn("w", F.split("packed", " ")).withColumn("start", F.col("a")).select("doc_id", "text_key", F.explode(_opened(width)).alias("x")).select("doc_id", "text_key", "x.*")
+    return later.select(_PLACE).union(_by_ranges(opened, parts)[0].select(_PLACE))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -311,12 +342,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     hot = _hot(features)
     met = shared_places(own, hot, width)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    windows = _windows(super_kmers(keyed.join(met, ["doc_id", "text_key"]), hot, width).repartition(parts, "bucket"), width)
-    first = F.min("doc_id").over(Window.partitionBy("bucket", "k1", "k2"))
-    met = written(windows.withColumn("first", first).where("hot or doc_id > first"), "windows")
-    places = met.where("not hot").select("doc_id", "text_key", "at").union(_hot_places(met.where("hot"), parts)).distinct()
-    by_text = Window.partitionBy("doc_id", "text_key").orderBy("at")
-    islands = places.withColumn("island", F.col("at") - F.row_number().over(by_text)).groupBy("doc_id", "text_key", "island").agg(F.min("at").alias("a"), (F.max("at") + width - 1).alias("b"))
+    met = _bucket_claims(super_kmers(keyed.join(met, ["doc_id", "text_key"]), hot, width).repartition(parts, "bucket"), width)
+    places = met.where(F.col("kind") != _HOT).select(_PLACE).union(_hot_places(met.where(F.col("kind") == _HOT), parts, width))
+    until = F.max(F.col("a") + F.col("n")).over(Window.partitionBy("doc_id", "text_key").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("a") <= F.col("until"), 0).otherwise(1)).over(Window.partitionBy("doc_id", "text_key").orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
+    islands = places.withColumn("until", until).withColumn("island", island).groupBy("doc_id", "text_key", "island").agg(F.min("a").alias("a"), (F.max(F.col("a") + F.col("n")) + width - 2).alias("b"))
     spans = islands.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("first"), F.col("b").alias("last")))).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
     return written(spans.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", "text_key", none.alias("spans"), F.lit(True).alias("whole"))), "spans")
