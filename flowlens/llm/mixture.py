@@ -10,7 +10,8 @@ are kept in balance, so that a source's taken words miss its target by less than
 missing then goes to smaller documents.
 
 Draws are hashes of doc_ids and the seed: reruns agree.  A document of size 0 (null or blank text) takes no words.
-The null source is a source of its own.  Repeated rows are documents of their own; empty tables give no rows.
+The null source is a source of its own.  Repeated rows are documents of their own: rows of equal doc_id, source and text are counted and
+numbered from 0, and meet others as their number deals them out.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ SHARE = 1.5
 MOST = 2
 WEIGHTS = (3, 1, 2)
 
-_ITEM = "struct<h:bigint,doc_id:bigint,text_hash:bigint,w:double,p:double>"
+#: Rows that one row is turned into at a time; more are dealt out to several tasks.
+AT_ONCE = 4096
+
+_ITEM = "struct<h:bigint,doc_id:bigint,text_hash:bigint,number:bigint,w:double,p:double>"
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -35,6 +39,17 @@ def document_sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.size(ascii_words(F.col("text"))).cast("long").alias("size"))
 
 
+def _repeated(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row ``times`` times (a column, which goes), numbered from 0 in ``number``; rows that come more than ``AT_ONCE`` times are dealt out by parts."""
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    few = rows.where(F.col(times).between(1, AT_ONCE)).withColumn(number, F.explode(upto(F.col(times)))).drop(times)
+    parts = rows.where(F.col(times) > AT_ONCE).withColumn("_part", F.explode(upto(F.ceil(F.col(times) / AT_ONCE))))
+    dealt = parts.repartition(F.col("_part"), F.col(times))
+    most = F.least(F.lit(AT_ONCE).cast("long"), F.col(times) - F.col("_part") * AT_ONCE)
+    many = dealt.withColumn(number, F.explode(F.transform(upto(most), lambda k: k + F.col("_part") * AT_ONCE))).drop(times, "_part")
+    return few.unionByName(many)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, n_docs, target): ``share`` of all sizes by weight, none above ``most`` times its own size.
 
@@ -63,7 +78,7 @@ def _meet(state: Column, b: Column, level: int, seed: int) -> Column:
 
     def with_p(item: Column, p: Column) -> Column:
         near = F.when(p < 1e-12, F.lit(0.0)).when(p > 1 - 1e-12, F.lit(1.0)).otherwise(p)
-        return F.struct(item["h"].alias("h"), item["doc_id"].alias("doc_id"), item["text_hash"].alias("text_hash"), item["w"].alias("w"), near.alias("p"))
+        return F.struct(item["h"].alias("h"), item["doc_id"].alias("doc_id"), item["text_hash"].alias("text_hash"), item["number"].alias("number"), item["w"].alias("w"), near.alias("p"))
 
     def result(held: Column, done: Column) -> Column:
         return F.struct(held.alias("held"), F.concat(out, F.array(done)).alias("out"))
@@ -92,28 +107,29 @@ def _round_blocks(items: DataFrame, level: int, seed: int) -> DataFrame:
 def _hand_down(done: DataFrame, due: DataFrame, n_sources: int, seed: int) -> DataFrame:
     """``done`` after each source's last miss, of less than one document, has been handed to smaller ones.
 
-    Of each power of two of sizes, two documents stand ready to change sides, with all rows that repeat them; largest first, those that fit
-    into what is missing do.
+    Of each power of two of sizes, two documents stand ready to change sides; largest first, those that fit into what is missing do.
     """
     miss = done.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("got")).join(due, F.col("source").eqNullSafe(F.col("src"))).select("src", (F.col("got") - F.col("due")).alias("miss"))
     near = done.join(small(miss, n_sources), F.col("source").eqNullSafe(F.col("src"))).where("extra = if(miss > 0, 1, 0) and size <= abs(miss)")
-    order = Window.partitionBy("source", "power").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed + 2)), "doc_id", "text_hash")
-    ready = near.withColumn("power", F.floor(F.log2("size"))).withColumn("turn", F.dense_rank().over(order)).where("turn <= 2")
-    ready = ready.groupBy("source", "doc_id", "text_hash", "size", "extra").agg((F.count("*") * F.col("size")).alias("words"), F.abs(F.first("miss")).alias("left"))
-    lists = ready.groupBy("source", "extra").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("words").alias("size"), "doc_id", "text_hash")))).alias("items"), F.first("left").alias("left"))
-    item = "struct<size:bigint,doc_id:bigint,text_hash:bigint>"
+    one = ("doc_id", "text_hash", "number")
+    order = Window.partitionBy("source", "power").orderBy(F.xxhash64(*one, F.lit(seed + 2)), *one)
+    ready = near.withColumn("power", F.floor(F.log2("size"))).withColumn("turn", F.row_number().over(order)).where("turn <= 2")
+    lists = ready.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", *one)))).alias("items"), F.abs(F.first("miss")).alias("left"))
+    item = "struct<size:bigint,doc_id:bigint,text_hash:bigint,number:bigint>"
     start = F.struct(F.col("left").alias("left"), F.array().cast(f"array<{item}>").alias("out"))
     fits = lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
-    flips = lists.select(F.col("source").alias("f_source"), F.col("extra").alias("f_extra"), F.explode(F.aggregate("items", start, fits)["out"]).alias("f"))
-    flips = flips.select("f_source", "f_extra", F.col("f.doc_id").alias("f_doc"), F.col("f.text_hash").alias("f_hash"), F.lit(True).alias("flip"))
-    same = F.col("source").eqNullSafe(F.col("f_source")) & F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_hash") == F.col("f_hash")) & (F.col("extra") == F.col("f_extra"))
+    flips = lists.select(F.col("source").alias("f_source"), F.explode(F.aggregate("items", start, fits)["out"]).alias("f")).select("f_source", *(F.col(f"f.{c}").alias(f"f_{c}") for c in one), F.lit(True).alias("flip"))
+    same = F.col("source").eqNullSafe(F.col("f_source"))
+    for c in one:
+        same = same & F.col(c).eqNullSafe(F.col(f"f_{c}"))
     flips = small(flips, n_sources * 80)
-    return done.join(flips, same, "left").select("source", "doc_id", "text_hash", "size", F.when(F.col("flip"), 1 - F.col("extra")).otherwise(F.col("extra")).alias("extra"))
+    return done.join(flips, same, "left").select("source", *one, "size", F.when(F.col("flip"), 1 - F.col("extra")).otherwise(F.col("extra")).alias("extra"))
 
 
 def mixture_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7) -> DataFrame:
     """A row for each row of ``docs``: doc_id, source, text_hash, size, source_size, target, copies."""
-    sizes = written(document_sizes(docs), "sizes")
+    counted = document_sizes(docs).groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("times"))
+    sizes = written(_repeated(counted, "times", "number"), "sizes")
     targets = written(source_targets(sizes, weights, share, most), "targets")
     n_sources = targets.count()
     by_source = small(targets.withColumnRenamed("source", "src"), n_sources)
@@ -121,9 +137,9 @@ def mixture_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     each = each.withColumn("due", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
     each = each.withColumn("base", F.floor("due").cast("long")).withColumn("p", F.col("due") - F.floor("due"))
     open_ = (F.col("p") > 1e-12) & (F.col("size") > 0)
-    item = F.struct(F.xxhash64("doc_id", "text_hash", F.lit(seed)).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.col("size").cast("double").alias("w"), "p")
+    item = F.struct(F.xxhash64("doc_id", "text_hash", "number", F.lit(seed)).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "number", F.col("size").cast("double").alias("w"), "p")
     level0 = each.where(open_).withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK))
-    items = level0.select("source", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed + 1)), F.col("blocks")).alias("block"), item.alias("item"))
+    items = level0.select("source", F.pmod(F.xxhash64("doc_id", "text_hash", "number", F.lit(seed + 1)), F.col("blocks")).alias("block"), item.alias("item"))
     blocks = math.ceil((targets.agg(F.max("n_docs")).first()[0] or 0) / BLOCK)
     settled, level = [], 0
     while True:
@@ -142,23 +158,23 @@ def mixture_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     done = settled[0]
     for more in settled[1:]:
         done = done.union(more)
-    done = written(done.select("source", "item.doc_id", "item.text_hash", F.col("item.w").cast("long").alias("size"), F.col("item.p").cast("long").alias("extra")), "settled")
+    done = written(done.select("source", "item.doc_id", "item.text_hash", "item.number", F.col("item.w").cast("long").alias("size"), F.col("item.p").cast("long").alias("extra")), "settled")
     done = _hand_down(done, level0.groupBy(F.col("source").alias("src")).agg(F.sum(F.col("p") * F.col("size")).alias("due")), n_sources, seed)
     drawn = done.join(by_source, F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.floor(F.col("target") / F.col("source_size")).cast("long") + F.col("extra")).alias("copies"))
     return each.where(~open_).select("doc_id", "source", "text_hash", "size", "source_size", "target", F.col("base").alias("copies")).unionByName(drawn)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, with their own columns, as often as the mix takes them."""
-    copies = written(mixture_copies(docs, weights, share, most, seed), "copies")
-    keyed = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("copies").alias("_copies"))
-    again = keyed.groupBy("_d", "_s", "_h").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("n"))
-    repeated = not again.where("n > 1").isEmpty()
-    if repeated:
-        # Rows of equal doc_id, source and text stand for each other: the first by all columns as JSON is kept, for the copies of all.
-        row = F.struct(*docs.columns)
-        keyed, docs = again.drop("n"), docs.groupBy("doc_id", "source", "text").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-    keyed = keyed.where("_copies > 0")
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(keyed["_d"]) & hashed["source"].eqNullSafe(keyed["_s"]) & (hashed["_text_hash"] == keyed["_h"])
-    return hashed.join(keyed, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """The rows of ``docs``, with their own columns, as often as the mix takes them.
+
+    Rows of equal doc_id, source and text stand for each other: the first by all columns as JSON is taken, as often as all of them are.
+    """
+    taken = mixture_copies(docs, weights, share, most, seed).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = written(taken.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "text_hash", "copies", "rows"))), "taken")
+    row = F.struct(*docs.columns)
+    each = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_h"))
+    same = F.col("_d").eqNullSafe(F.col("_doc_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_text_hash"))
+    if not taken.where("_rows > 1").isEmpty():
+        each = each.groupBy("_d", "_s", "_h").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    met = each.join(taken.where("_copies > 0"), same).select("_row", "_copies")
+    return _repeated(met, "_copies", "_number").select("_row.*")
