@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import norm_branch_name
+from ..functions.scalars import is_instrument_code, norm_branch_name, norm_underlying
+from ..sources.tables import stored
 
 
 def dedupe_identity(intervals: DataFrame) -> DataFrame:
@@ -193,3 +194,123 @@ def resolve_targets(df: DataFrame, names: DataFrame) -> DataFrame:
     by_code = names.groupBy(F.col("code").alias("_c")).agg(F.min("name").alias("_name"))
     met = df.withColumn("_n", normal_name(F.col("name"))).join(by_name, "_n", "left").withColumn("code", F.coalesce(F.nullif(F.col("code"), F.lit("")), "_code"))
     return met.join(by_code, F.col("code") == F.col("_c"), "left").withColumn("name", F.coalesce(F.nullif(F.col("name"), F.lit("")), "_name")).drop("_n", "_code", "_c", "_name")
+
+
+def resolve_target_texts(df: DataFrame, names: DataFrame, tokens: list[str], known: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with target_code, target_name and target_label, from its texts ``code``, ``name``, ``raw_target`` and ``instrument``.
+
+    The code is the row's own; if that is none or an instrument's, one of four digits that begins ``raw_target``; else that of the name.  The name is the row's own, else what follows
+    the code in ``raw_target``, else what an instrument text says before an issuer of ``tokens``, else that of the code.  An
+    instrument's code never stays where the name is known: it becomes the name's code, or blank.  ``names`` is (code, name), first of each;
+    of names spelled alike the smallest code counts.
+    """
+    text = {c: F.coalesce(F.trim(F.col(c)), F.lit("")) for c in ("code", "name", "raw_target", "instrument")}
+    filled = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs), F.lit(""))
+    begins = lambda k: F.trim(F.regexp_extract(text["raw_target"], r"(?s)^(\d{4})(?:\s+|[-_])?(.*)$", k))
+    said = F.regexp_replace(F.trim(F.split(F.regexp_replace(filled(text["instrument"], text["raw_target"], text["name"]), "^[;；\\s]+", ""), "[;；]")[0]), r"^\d+\s*", "")
+    issuer = F.array_min(F.filter(F.array(*(F.locate(t, said) for t in tokens)), lambda at: at > 1))
+    before = F.trim(F.substring(said, F.lit(1), issuer - 1))
+    inferred = F.when(issuer.isNotNull() & (F.length(before) <= 12), before)
+    unfit = lambda c: (c == "") | F.coalesce(is_instrument_code(c), F.lit(False))
+    own = F.coalesce(norm_underlying(text["code"], filled(text["name"], text["raw_target"], text["instrument"]), known), F.lit(""))
+    first = df.withColumn("_own", own).withColumn("_begin", begins(1))
+    code = F.when(unfit(F.col("_own")) & ~unfit(F.col("_begin")), F.col("_begin")).otherwise(F.col("_own"))
+    first = first.withColumn("_code", code).withColumn("_name", filled(text["name"], begins(2), inferred))
+    by_code = names.groupBy(F.col("code").alias("_c")).agg(F.min("name").alias("_of_code"))
+    met = first.join(by_code, (F.col("_code") == F.col("_c")) & ~unfit(F.col("_code")), "left").withColumn("_name", filled(F.col("_name"), F.col("_of_code")))
+    by_name = names.groupBy(normal_name(F.col("name")).alias("_n")).agg(F.min("code").alias("_of_name"))
+    met = met.join(by_name, normal_name(F.col("_name")) == F.col("_n"), "left")
+    found = F.when(unfit(F.col("_code")) & (F.col("_name") != ""), F.coalesce("_of_name", F.when(~F.coalesce(is_instrument_code(F.col("_code")), F.lit(False)), F.col("_code")), F.lit(""))).otherwise(F.col("_code"))
+    both = met.withColumn("target_code", found).withColumn("target_name", F.col("_name"))
+    label = F.when(F.col("target_name") != "", F.trim(F.concat_ws(" ", "target_code", "target_name"))).otherwise(filled(text["raw_target"], F.col("target_code")))
+    return both.withColumn("target_label", label).select(*df.columns, "target_code", "target_name", "target_label")
+
+
+def _grams(name: str, q: int) -> Column:
+    """The runs of ``q`` characters of a name, each with how many equal ones stand before it."""
+    at = lambda i: F.substring(F.col(name), i, F.lit(q))
+    places = F.sequence(F.lit(1), F.length(name) - (q - 1))
+    one = lambda i: F.struct(F.lit(q).alias("q"), at(i).alias("gram"), F.size(F.filter(places, lambda j: (j < i) & (at(j) == at(i)))).alias("nth"))
+    return F.when(F.length(name) >= q, F.transform(places, one)).otherwise(F.array())
+
+
+def nearest_names(wanted: DataFrame, directory: DataFrame, near: int = 5, cutoff: float = 0.45) -> DataFrame:
+    """(name, rank, dir_name, distance): for each of ``wanted`` (name) the ``near`` closest of ``directory`` (dir_name) by edit distance, ties by dir_name.
+
+    Similarity, 1 - distance / the longer one's length, is ``cutoff`` or more.  Exact, by inverted lists of q-grams: names within distance r share
+    all grams but 2 r of pairs of characters, or all but r single characters, so that of the rarest 2 r + 1 (or r + 1) of both one is
+    shared.  r doubles until a name has its ``near`` ones or no name can be similar enough; names that have them leave.  Blank names have none.
+    """
+    tokens = lambda df, name: df.withColumn("_g", F.explode(F.concat(_grams(name, 2), _grams(name, 1)))).select(name, "_g.*")
+    theirs = directory.select("dir_name").where(F.length("dir_name") > 0).distinct()
+    lists = stored(tokens(theirs, "dir_name"), "grams")
+    counts = lists.groupBy("q", "gram", "nth").agg(F.count("*").alias("df"))
+
+    def ranked(grams: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy(name, "q").orderBy("df", "gram", "nth")
+        return grams.join(counts, ["q", "gram", "nth"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", F.row_number().over(order)).drop("df")
+
+    lists = stored(ranked(lists, "dir_name"), "lists")
+    open_ = stored(wanted.select("name").where(F.length("name") > 0).distinct(), "wanted")
+    most = lambda a, b: F.floor(F.lit(1.0 - cutoff) * F.greatest(F.length(a), F.length(b)) + 1e-9)
+    longest = theirs.agg(F.max(F.length("dir_name"))).first()[0] or 0
+    found, r = None, 1
+    while not open_.isEmpty():
+        pairs = F.length("name") - 1 > 2 * r
+        mine = ranked(tokens(open_, "name"), "name").where(F.col("q") == F.when(pairs, 2).otherwise(1))
+        prefix = F.col("rank") <= F.col("q") * r + 1
+        met = mine.where(prefix).drop("rank").join(lists.where(prefix).drop("rank"), ["q", "gram", "nth"]).select("name", "dir_name").distinct()
+        close = met.where(F.abs(F.length("name") - F.length("dir_name")) <= r).withColumn("distance", F.levenshtein("name", "dir_name", r))
+        close = close.where((F.col("distance") >= 0) & (F.col("distance") <= most("name", "dir_name")))
+        order = Window.partitionBy("name").orderBy("distance", "dir_name")
+        close = stored(close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= near), "near")
+        # Names whose distance bound is reached, whichever directory name they are compared with, or who have all, are done.
+        full = close.groupBy("name").agg(F.count("*").alias("n"))
+        counted = open_.join(full, "name", "left")
+        longer = F.greatest(F.length("name"), F.least(F.lit(longest), F.floor(F.length("name") / cutoff + 1e-9)))  # none that is longer is similar enough
+        done = (F.coalesce("n", F.lit(0)) >= near) | (F.floor(F.lit(1.0 - cutoff) * longer + 1e-9) <= r)
+        finished = stored(counted.where(done).select("name"), "finished")
+        part = close.join(finished, "name", "left_semi")
+        found = part if found is None else found.unionByName(part)
+        open_, r = stored(open_.join(finished, "name", "left_anti"), "wanted"), 2 * r
+    if found is None:
+        return wanted.select("name", F.lit(0).alias("rank"), F.lit("").alias("dir_name"), F.lit(0).alias("distance")).limit(0)
+    return found.select("name", "rank", "dir_name", "distance")
+
+
+def _resolve_open(pairs: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matched, open) of (code, day), the first with what was found."""
+    out = stored(resolve_identity(pairs, intervals), "resolved")
+    return out.where("id_status <> 'Unmatched'"), out.where("id_status = 'Unmatched'").select("code", "day")
+
+
+def backfill_candidates(facts: DataFrame, seed: DataFrame, shards: DataFrame, candidates: DataFrame, max_unmatched: float = 0.05, shard: str = "shard") -> DataFrame:
+    """``facts`` resolved in stages: against ``seed``; then, for pairs (code, day) that are open, against the shards that ``candidates``
+    (code, shard) name for their codes; then, if more than ``max_unmatched`` of all pairs are still open, against all ``shards``.
+
+    ``shards`` is a table partitioned by ``shard``: the second stage reads the candidates' folders alone (dynamic partition pruning).  A stage sees the
+    seed's intervals and its own; pairs that an earlier one has matched stay as they are.  Facts are joined once, at the end.
+    """
+    pairs = stored(facts.select("code", "day").distinct(), "pairs")
+    total = pairs.count()
+    matched, open_ = _resolve_open(pairs, seed)
+    columns = [c for c in shards.columns if c != shard]
+    for stage in ("candidates", "all"):
+        left = open_.count()
+        if not left or (stage == "all" and left <= max_unmatched * total):
+            break
+        codes = open_.select("code").distinct()
+        asked = stored(codes.join(candidates, "code").select(shard).distinct(), "shards") if stage == "candidates" else None
+        rows = shards if asked is None else candidate_intervals(shards, asked, shard)
+        rows = rows.join(codes, "code", "left_semi").select(columns)
+        known = union_identity([seed.join(codes, "code", "left_semi"), rows])
+        more, open_ = _resolve_open(open_, known)
+        matched = matched.unionByName(more)
+    found = matched.select(F.col("code").alias("_c"), F.col("day").alias("_d"), "id_target", "id_name", "id_status")
+    out = facts.join(found, (F.col("code") == F.col("_c")) & (F.col("day") == F.col("_d")), "left").drop("_c", "_d")
+    return out.withColumn("id_status", F.coalesce("id_status", F.lit("Unmatched")))
+
+
+def candidate_intervals(shards: DataFrame, asked: DataFrame, shard: str = "shard") -> DataFrame:
+    """The rows of ``shards`` in the ``asked`` ones; there is one row for each, and a shard is a target of the market, so that these can be broadcast."""
+    return shards.join(F.broadcast(asked), shard, "left_semi")

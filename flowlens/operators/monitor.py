@@ -23,6 +23,14 @@ def fingerprint(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     return hashed.groupBy(*keys).agg(F.count("*").alias("rows"), F.bit_xor("_h").alias("mark"), (F.sum(F.pmod(F.col("_g"), F.lit(mod)).cast("decimal(38,0)")) % mod).cast("bigint").alias("total"))
 
 
+def md5_fingerprint(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """The same by the first 60 bits of each row's MD5 over its texts (nulls as U+0000, U+0001 between columns), which any engine can state."""
+    text = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols))
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    mod = (1 << 61) - 1
+    return df.select(*keys, h.alias("_h")).groupBy(*keys).agg(F.count("*").alias("rows"), F.bit_xor("_h").alias("mark"), (F.sum(F.col("_h").cast("decimal(38,0)")) % mod).cast("bigint").alias("total"))
+
+
 def sha_fingerprint(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """SHA-256 over a group's sorted row digests; for groups of bounded size (a branch and day)."""
     row = F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)), 256)

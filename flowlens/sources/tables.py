@@ -37,6 +37,37 @@ def scan_daily(raw: DataFrame, columns: list[str], partition_day: str, row_day:
     return good, status
 
 
+def scan_daily_folder(spark: SparkSession, path: str, schema: str, columns: list[str], row_day: str, expected: DataFrame, part: str = "day") -> tuple[DataFrame, DataFrame]:
+    """(rows of good days, status of ``expected`` (day)) from a table partitioned by ``part``, of which only the expected days' folders are read.
+
+    ``schema`` names the rows' columns, without ``part``.  A day is "empty" without rows or folder, "missing columns" if one of ``columns`` is in none of its
+    files or holds nothing, "failed" if a row is of another day, else "success"; days that aren't good are rejected whole.
+    """
+    days = expected.select(F.col("day").cast("date").alias("_day")).distinct()
+    rows = spark.read.schema(f"{schema}, {part} date").parquet(path)
+    within = rows.join(F.broadcast(days), F.col(part) == F.col("_day"), "left_semi")  # a calendar's days
+    said = within.groupBy(F.col(part).alias("_d")).agg(F.count("*").alias("raw_rows"), F.count_if(~F.col(row_day).eqNullSafe(F.col(part))).alias("invalid_rows"), F.array_compact(F.array(*(F.when(F.count(c) == 0, F.lit(c)) for c in columns))).alias("missing"))
+    status = F.when(F.col("raw_rows").isNull(), "empty").when(F.size("missing") > 0, "missing columns").when(F.col("invalid_rows") > 0, "failed").otherwise("success")
+    out = days.join(said, F.col("_day") == F.col("_d"), "left").select(F.col("_day").alias("day"), F.coalesce("raw_rows", F.lit(0)).alias("raw_rows"), F.coalesce("invalid_rows", F.lit(0)).alias("invalid_rows"), F.array_join("missing", ",").alias("missing"), status.alias("status"))
+    out = stored(out, "day-status")
+    good = rows.join(F.broadcast(out.where("status = 'success'").select(F.col("day").alias("_day"))), F.col(part) == F.col("_day"), "left_semi")
+    return good, out
+
+
+def scan_shards(spark: SparkSession, path: str, schema: str, asked: DataFrame, target: str, day: str, first: str, last: str, shard: str = "shard") -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, status of the shards ``asked`` (shard)) from a table partitioned by ``shard``, of which only the asked folders are read.
+
+    Accepted are rows whose ``target`` is their folder's and whose ``day`` is in range; a shard without rows is "empty", one with others "violations", else
+    "success".
+    """
+    shards = asked.select(F.col("shard").cast("string").alias("_shard")).distinct()
+    rows = spark.read.schema(f"{schema}, {shard} string").parquet(path).join(F.broadcast(shards), F.col(shard) == F.col("_shard"), "left_semi")  # a market's targets
+    accepted, bad = merge_shards(rows, shard, target, day, first, last)
+    counts = rows.groupBy(F.col(shard).alias("_s")).agg(F.count("*").alias("rows")).join(bad.withColumnRenamed(shard, "_b"), F.col("_s") == F.col("_b"))
+    out = shards.join(counts, F.col("_shard") == F.col("_s"), "left").select(F.col("_shard").alias("shard"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("violations", F.lit(0)).alias("violations"))
+    return accepted, out.withColumn("status", F.when(F.col("rows") == 0, "empty").when(F.col("violations") > 0, "violations").otherwise("success"))
+
+
 def write_compact(df: DataFrame, path: str, day: str = "trade_day") -> None:
     """Replaces exactly the days that ``df`` has; fails, and writes none, if its key isn't unique.  ``df`` is worked out once, into a table of its own."""
     df = stored(df, "compacting")
@@ -169,6 +200,16 @@ def append_log(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def append_run(new: DataFrame, path: str, run: str) -> None:
+    """Appends the rows of a run to the log at ``path``; a run that is appended again replaces its own rows.  Columns may have been added since."""
+    new.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log, with the columns of all its runs: what a run lacks is null."""
+    return spark.read.option("mergeSchema", True).option("partitionOverwriteMode", "dynamic").parquet(path).withColumn("run", F.col("run").cast("string"))
+
+
 def stock_names(raw: DataFrame, code_names: list[str], name_names: list[str], seq: str) -> DataFrame:
     """(code, name) dimension: header aliases, normal codes, blank and unknown names dropped, the last wins."""
     pick = lambda names: F.coalesce(*(non_blank(F.col(c).cast("string")) for c in names if c in raw.columns))
