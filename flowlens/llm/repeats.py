@@ -34,7 +34,7 @@ MINI = 4
 MOST_RUN = 64
 HOT = 1000
 #: Bytes of texts that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ``spans``: (first, last) words of runs of such windows, from 0, in order.  ``whole``: the text's words are all those of an earlier document.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 250)
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     features = _features(keyed, width)
     each = features.where("n_words is not null")
