@@ -312,5 +312,8 @@ def backfill_candidates(facts: DataFrame, seed: DataFrame, shards: DataFrame, ca
 
 
 def candidate_intervals(shards: DataFrame, asked: DataFrame, shard: str = "shard") -> DataFrame:
-    """The rows of ``shards`` in the ``asked`` ones; there is one row for each, and a shard is a target of the market, so that these can be broadcast."""
-    return shards.join(F.broadcast(asked), shard, "left_semi")
+    """The rows of ``shards`` in the ``asked`` ones; there is one row for each, and a shard is a target of the market, so that these can be broadcast.
+
+    Blank ones name no folder; Spark prunes folders by a side that is filtered.
+    """
+    return shards.join(F.broadcast(asked.where(F.length(shard) > 0)), shard, "left_semi")

@@ -43,7 +43,7 @@ def scan_daily_folder(spark: SparkSession, path: str, schema: str, columns: list
     ``schema`` names the rows' columns, without ``part``.  A day is "empty" without rows or folder, "missing columns" if one of ``columns`` is in none of its
     files or holds nothing, "failed" if a row is of another day, else "success"; days that aren't good are rejected whole.
     """
-    days = expected.select(F.col("day").cast("date").alias("_day")).distinct()
+    days = expected.select(F.col("day").cast("date").alias("_day")).where(F.year("_day") > 0).distinct()  # Spark prunes folders by a side that is filtered
     rows = spark.read.schema(f"{schema}, {part} date").parquet(path)
     within = rows.join(F.broadcast(days), F.col(part) == F.col("_day"), "left_semi")  # a calendar's days
     said = within.groupBy(F.col(part).alias("_d")).agg(F.count("*").alias("raw_rows"), F.count_if(~F.col(row_day).eqNullSafe(F.col(part))).alias("invalid_rows"), F.array_compact(F.array(*(F.when(F.count(c) == 0, F.lit(c)) for c in columns))).alias("missing"))
@@ -60,7 +60,7 @@ def scan_shards(spark: SparkSession, path: str, schema: str, asked: DataFrame, t
     Accepted are rows whose ``target`` is their folder's and whose ``day`` is in range; a shard without rows is "empty", one with others "violations", else
     "success".
     """
-    shards = asked.select(F.col("shard").cast("string").alias("_shard")).distinct()
+    shards = asked.select(F.col("shard").cast("string").alias("_shard")).where(F.length("_shard") > 0).distinct()  # Spark prunes folders by a side that is filtered
     rows = spark.read.schema(f"{schema}, {shard} string").parquet(path).join(F.broadcast(shards), F.col(shard) == F.col("_shard"), "left_semi")  # a market's targets
     accepted, bad = merge_shards(rows, shard, target, day, first, last)
     counts = rows.groupBy(F.col(shard).alias("_s")).agg(F.count("*").alias("rows")).join(bad.withColumnRenamed(shard, "_b"), F.col("_s") == F.col("_b"))
