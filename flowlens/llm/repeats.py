@@ -233,31 +233,28 @@ def super_kmers(docs: DataFrame, hot: list[int], width: int = WIDTH) -> DataFram
 def _keys(i: Column, width: int) -> Column:
     """128 bits of hash of the window of the words ``w`` that begins at the ``i``-th."""
     words = F.slice("w", i, width)
-    return F.struct((F.col("start") + i - 1).alias("a"), F.lit(1).alias("n"), F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2"), F.lit(None).cast("string").alias("packed"))
+    return F.struct((F.col("start") + i - 1).alias("a"), F.lit(1).alias("n"), F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2"))
 
 
 def _opened(width: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda i: _keys(i, width))
 
 
-_CLAIM, _HOT, _WINDOW = "claim", "hot", "window"
+_CLAIM, _HOT, _WINDOW = "claim", "hot window", "window"
 _PLACE = ["doc_id", "text_key", "a", "n"]
 
 
 def _bucket_claims(runs: DataFrame, width: int) -> DataFrame:
-    """(kind, doc_id, text_key, a, n, k1, k2, packed), as a written table: places that an earlier document has as well, as first word and number of windows, and hot super-k-mers as they are.
+    """(kind, doc_id, text_key, a, n, k1, k2), as a written table: places that an earlier document has as well, as first word and number of windows, and hot windows.
 
     In a bucket, strings are sorted first: all windows of a string that an earlier document has are that document's.  The others are
     opened, and their windows sorted.
     """
     words = runs.withColumn("least", F.min("doc_id").over(Window.partitionBy("bucket", "packed"))).withColumn("w", F.split("packed", " "))
-    n = F.size("w") - (width - 1)
-    one = lambda k1, k2, packed: F.array(F.struct(F.col("start").alias("a"), n.alias("n"), k1.alias("k1"), k2.alias("k2"), packed.alias("packed")))
-    as_hot = one(F.xxhash64("packed"), F.xxhash64(F.lit(1), "packed"), F.col("packed"))
-    as_whole = one(F.col("text_key"), F.xxhash64("doc_id", "start"), F.lit(None).cast("string"))
+    whole = F.array(F.struct(F.col("start").alias("a"), (F.size("w") - (width - 1)).alias("n"), F.col("text_key").alias("k1"), F.xxhash64("doc_id", "start").alias("k2")))
     kind = F.when(F.col("hot"), _HOT).when(F.col("doc_id") > F.col("least"), _CLAIM).otherwise(_WINDOW)
-    rows = words.withColumn("kind", kind).withColumn("x", F.when(F.col("kind") == _HOT, as_hot).when(F.col("kind") == _CLAIM, as_whole).otherwise(_opened(width)))
-    rows = rows.select("kind", "bucket", "doc_id", "text_key", F.explode("x").alias("x")).select("kind", "bucket", "doc_id", "text_key", "x.*")
+    rows = words.withColumn("kind", kind).select("kind", "bucket", "doc_id", "text_key", F.explode(F.when(F.col("kind") == _CLAIM, whole).otherwise(_opened(width))).alias("x"))
+    rows = rows.select("kind", "bucket", "doc_id", "text_key", "x.*")
     first = F.min(F.when(F.col("kind") == _WINDOW, F.col("doc_id"))).over(Window.partitionBy("bucket", "k1", "k2"))
     return written(rows.withColumn("first", first).where((F.col("kind") != _WINDOW) | (F.col("doc_id") > F.col("first"))).drop("bucket", "first"), "bucket-claims")
 
@@ -266,8 +263,8 @@ _SCANNED = "part int, kind int, doc_id long, text_key long, a int, n int, k1 lon
 _LATER, _EARLIEST, _OPEN, _FIRST, _LAST = range(5)
 
 
-def _by_ranges(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(later, earliest): ``rows`` (k1, k2, doc_id, text_key, a, n, packed) of whose key (k1, k2) a smaller doc_id has a row, and the rest.
+def _by_ranges(rows: DataFrame, parts: int, earliest: bool) -> tuple[DataFrame, DataFrame]:
+    """(later, earliest): ``rows`` (k1, k2, doc_id, text_key, a, n, packed) of whose key (k1, k2) a smaller doc_id has a row, and, if asked for, the rest.
 
     Rows are sorted by key and doc_id over ranges of about equal size, so that a key with very many documents is spread over several
     tasks.  A task knows the smallest doc_id of each of its keys but, maybe, the first one, which may have begun before: rows of that are left
@@ -295,7 +292,9 @@ def _by_ranges(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
             first = first or (k1[0], k2[0], doc[0])
             last = (k1[-1], k2[-1], least[-1])
             kind = np.where((k1 == first[0]) & (k2 == first[1]), _OPEN, np.where(doc > least, _LATER, _EARLIEST))
-            yield table(kind, batch.column(6), doc, key, a, n, k1, k2)
+            kept = slice(None) if earliest else kind != _EARLIEST
+            packed = batch.column(6) if earliest else batch.column(6).filter(pa.array(kept))
+            yield table(kind[kept], packed, *(c[kept] for c in (doc, key, a, n, k1, k2)))
         if first:
             ends = [np.array(x, np.int64) for x in zip(first, last, strict=True)]
             none = np.zeros(2, np.int64)
@@ -317,13 +316,6 @@ def _by_ranges(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     return scanned.where(is_later), scanned.where((F.col("kind") < _FIRST) & ~is_later)
 
 
-def _hot_places(hot: DataFrame, parts: int, width: int) -> DataFrame:
-    """The places of hot super-k-mers that an earlier document has as well: those of whole strings, and then of windows of each string's first document."""
-    later, earliest = _by_ranges(hot, parts)
-    opened = earliest.withColumn("w", F.split("packed", " ")).withColumn("start", F.col("a")).select("doc_id", "text_key", F.explode(_opened(width)).alias("x")).select("doc_id", "text_key", "x.*")
-    return later.select(_PLACE).union(_by_ranges(opened, parts)[0].select(_PLACE))
-
-
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text_key, spans, whole) of the texts that have windows of earlier documents; ``text_key`` is ``xxhash64`` of the text.
 
@@ -342,8 +334,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     hot = _hot(features)
     met = shared_places(own, hot, width)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = _bucket_claims(super_kmers(keyed.join(met, ["doc_id", "text_key"]), hot, width).repartition(parts, "bucket"), width)
-    places = met.where(F.col("kind") != _HOT).select(_PLACE).union(_hot_places(met.where(F.col("kind") == _HOT), parts, width))
+    runs = written(super_kmers(keyed.join(met, ["doc_id", "text_key"]), hot, width), "super-k-mers")
+    strings = runs.where("hot").select(F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(1), "packed").alias("k2"), "doc_id", "text_key", F.col("start").alias("a"), (F.size(F.split("packed", " ")) - (width - 1)).alias("n"), "packed")
+    again, firsts = _by_ranges(strings, parts, earliest=True)
+    firsts = firsts.select(F.lit(True).alias("hot"), F.xxhash64("k1", "doc_id", "a").alias("bucket"), "doc_id", "text_key", F.col("a").alias("start"), "packed")
+    met = _bucket_claims(runs.where("not hot").unionByName(firsts).repartition(parts, "bucket"), width)
+    windows, _ = _by_ranges(met.where(F.col("kind") == _HOT).withColumn("packed", F.lit(None).cast("string")), parts, earliest=False)
+    places = met.where(F.col("kind") != _HOT).select(_PLACE).union(again.select(_PLACE)).union(windows.select(_PLACE))
     until = F.max(F.col("a") + F.col("n")).over(Window.partitionBy("doc_id", "text_key").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("a") <= F.col("until"), 0).otherwise(1)).over(Window.partitionBy("doc_id", "text_key").orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
     islands = places.withColumn("until", until).withColumn("island", island).groupBy("doc_id", "text_key", "island").agg(F.min("a").alias("a"), (F.max(F.col("a") + F.col("n")) + width - 2).alias("b"))
