@@ -135,8 +135,9 @@ def branch_profiles(events: DataFrame, cond: DataFrame, min_n: int = 15, broker:
 def integrity_report(facts: DataFrame, calendar: DataFrame, day_status: DataFrame, top: int = 10) -> DataFrame:
     """(item, value) rows: days, rows, missing days, and the most frequent reasons with the rest as one."""
     reasons = day_status.where("reason is not null").groupBy(F.split("reason", ":")[0].alias("reason")).agg(F.count("*").alias("n"))
-    ranked = reasons.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "reason")))
-    named = ranked.groupBy(F.when(F.col("_r") <= top, F.concat(F.lit("reason "), F.col("reason"))).otherwise("reason other").alias("item")).agg(F.sum("n").alias("value"))
+    first = reasons.orderBy(F.desc("n"), "reason").limit(top)
+    rest = reasons.join(F.broadcast(first.select("reason")), "reason", "left_anti").agg(F.lit("reason other").alias("item"), F.sum("n").alias("value")).where("value is not null")
+    named = first.select(F.concat(F.lit("reason "), F.col("reason")).alias("item"), F.col("n").alias("value")).unionByName(rest)
     sums = facts.agg(F.count("*").alias("rows"), F.countDistinct("day").alias("days"), F.countDistinct("broker").alias("brokers"))
     counted = sums.select(F.expr("stack(3, 'rows', rows, 'days', days, 'brokers', brokers) as (item, value)"))
     missing = calendar.join(facts.select("day").distinct(), "day", "left_anti").agg(F.lit("missing days").alias("item"), F.count("*").alias("value"))

@@ -118,7 +118,7 @@ QUERIES = {
     "a41_month_consensus": lambda s, d: report.month_consensus(V.facts(s, d).groupBy("target").agg(F.when(F.max("code") % 2 == 0, F.sum("net_amt")).alias("net_cost")), detail(s, d)),
     "a43_daily_buys": lambda s, d: report.daily_buys(V.events(s, d).drop("lots"), "1999-06-15", 52_000, report.add_count(V.outcomes(s, d), "1999-06-15", 50, 55_000)),
     "a44_daily_sells": lambda s, d: report.daily_sells(sells(s, d), _lookup(s, d).where("broker % 2 = 0"), "1999-06-15", 60_000),
-    "w7_wavg_cost_by_instrument": lambda s, d: report.wavg_cost_returns(V.facts(s, d), ["broker", "code"]).withColumns({c: F.bround(c, 4) for c in ("cost", "ret")}),
+    "w7_wavg_cost_by_instrument": lambda s, d: report.wavg_cost_returns(V.facts(s, d), ["broker", "code"]).withColumns({c: F.bround(F.col(c) + 1e-7, 4) for c in ("cost", "ret")}),  # past the ties of round amounts
     "w7_wavg_cost_returns": lambda s, d: report.wavg_cost_returns(V.facts(s, d).groupBy("broker", "target", "day").agg(*(F.sum(c).alias(c) for c in ("buy_qty", "buy_amt", "sell_qty", "sell_amt"))), ["broker", "target"], 100_000).withColumns({c: F.bround(c, 4) for c in ("cost", "ret")}),  # in one slice: the last bits of its running doubles are those of its SQL
     "w8_latest_snapshot": lambda s, d: report.latest_snapshot(snapshots(s, d)),
     "w8_latest_snapshot_run_id": lambda s, d: report.latest_snapshot(snapshots(s, d), by_run_id=True),
@@ -217,7 +217,7 @@ ORACLE_SQL = {
     "w13_dedupe_buys": "SELECT DISTINCT l_suppkey, l_returnflag, floor(l_discount * 1e4 + 0.5) / 1e4 AS l_discount, floor(l_tax * 1e4 + 0.5) / 1e4 AS l_tax FROM lineitem",
     "w16_recent_days": f"WITH {V.EVENTS} SELECT DISTINCT day FROM events WHERE day <= DATE '{DAY}' ORDER BY day DESC LIMIT 50",
     "w18_supplement_events": f"WITH {V.EVENTS}, main AS (SELECT * FROM events WHERE event_id = '1|Brand#1|1995-01-01' OR (event = 'E' AND broker = 1 AND year(day) = 1995 AND month(day) = 1)), pool AS (SELECT * FROM events WHERE event IN ('C', 'D', 'E') AND target NOT IN (SELECT target FROM main)), b AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY event DESC, amount DESC, event_id) AS r FROM pool), t AS (SELECT * EXCLUDE (r), row_number() OVER (ORDER BY event DESC, amount DESC, event_id)::INT AS rank FROM b WHERE r = 1) SELECT t.* FROM t WHERE (SELECT count(*) FROM main) < 5 AND rank <= 7 - (SELECT count(*) FROM main)",
-    "w7_wavg_cost_by_instrument": f"WITH RECURSIVE {V.FACTS}, days AS (SELECT broker, code, day, sum(buy_qty)::DOUBLE AS bq, sum(buy_amt)::DOUBLE AS ba, sum(sell_qty)::DOUBLE AS sq, sum(sell_amt)::DOUBLE AS sa, row_number() OVER (PARTITION BY broker, code ORDER BY day) AS r FROM facts GROUP BY broker, code, day), fold AS (SELECT broker, code, 0::BIGINT AS r, NULL::DATE AS day, 0::DOUBLE AS held, 0::DOUBLE AS mean, NULL::DOUBLE AS cost, NULL::DOUBLE AS ret FROM (SELECT DISTINCT broker, code FROM days) UNION ALL SELECT d.broker, d.code, d.r, d.day, (f.held - least(f.held, d.sq)) + d.bq, CASE WHEN d.bq > 0 THEN ((f.held - least(f.held, d.sq)) * f.mean + d.ba) / ((f.held - least(f.held, d.sq)) + d.bq) ELSE f.mean END, CASE WHEN d.sq > 0 AND f.held > 0 THEN f.mean * d.sq END, CASE WHEN d.sq > 0 AND f.held > 0 AND f.mean > 0 THEN (d.sa - f.mean * d.sq) / (f.mean * d.sq) * 100 END FROM fold f JOIN days d ON d.broker = f.broker AND d.code = f.code AND d.r = f.r + 1) SELECT broker, code, day, round_even(cost, 4) AS cost, round_even(ret, 4) AS ret FROM fold WHERE cost > 0",
+    "w7_wavg_cost_by_instrument": f"WITH RECURSIVE {V.FACTS}, days AS (SELECT broker, code, day, sum(buy_qty)::DOUBLE AS bq, sum(buy_amt)::DOUBLE AS ba, sum(sell_qty)::DOUBLE AS sq, sum(sell_amt)::DOUBLE AS sa, row_number() OVER (PARTITION BY broker, code ORDER BY day) AS r FROM facts GROUP BY broker, code, day), fold AS (SELECT broker, code, 0::BIGINT AS r, NULL::DATE AS day, 0::DOUBLE AS held, 0::DOUBLE AS mean, NULL::DOUBLE AS cost, NULL::DOUBLE AS ret FROM (SELECT DISTINCT broker, code FROM days) UNION ALL SELECT d.broker, d.code, d.r, d.day, (f.held - least(f.held, d.sq)) + d.bq, CASE WHEN d.bq > 0 THEN ((f.held - least(f.held, d.sq)) * f.mean + d.ba) / ((f.held - least(f.held, d.sq)) + d.bq) ELSE f.mean END, CASE WHEN d.sq > 0 AND f.held > 0 THEN f.mean * d.sq END, CASE WHEN d.sq > 0 AND f.held > 0 AND f.mean > 0 THEN (d.sa - f.mean * d.sq) / (f.mean * d.sq) * 100 END FROM fold f JOIN days d ON d.broker = f.broker AND d.code = f.code AND d.r = f.r + 1) SELECT broker, code, day, round_even(cost + 1e-7, 4) AS cost, round_even(ret + 1e-7, 4) AS ret FROM fold WHERE cost > 0",
     "w7_wavg_cost_returns": f"WITH RECURSIVE {V.FACTS}, days AS (SELECT broker, target, day, sum(buy_qty)::DOUBLE AS bq, sum(buy_amt)::DOUBLE AS ba, sum(sell_qty)::DOUBLE AS sq, sum(sell_amt)::DOUBLE AS sa, row_number() OVER (PARTITION BY broker, target ORDER BY day) AS r FROM facts GROUP BY broker, target, day), fold AS (SELECT broker, target, 0::BIGINT AS r, NULL::DATE AS day, 0::DOUBLE AS held, 0::DOUBLE AS mean, NULL::DOUBLE AS cost, NULL::DOUBLE AS ret FROM (SELECT DISTINCT broker, target FROM days) UNION ALL SELECT d.broker, d.target, d.r, d.day, (f.held - least(f.held, d.sq)) + d.bq, CASE WHEN d.bq > 0 THEN ((f.held - least(f.held, d.sq)) * f.mean + d.ba) / ((f.held - least(f.held, d.sq)) + d.bq) ELSE f.mean END, CASE WHEN d.sq > 0 AND f.held > 0 THEN f.mean * d.sq END, CASE WHEN d.sq > 0 AND f.held > 0 AND f.mean > 0 THEN (d.sa - f.mean * d.sq) / (f.mean * d.sq) * 100 END FROM fold f JOIN days d ON d.broker = f.broker AND d.target = f.target AND d.r = f.r + 1) SELECT broker, target, day, round_even(cost, 4) AS cost, round_even(ret, 4) AS ret FROM fold WHERE cost > 0",
     "w19_order_by_list": "SELECT p_size % 6 AS broker, p_retailprice AS amount, p_partkey::VARCHAR AS code, row_number() OVER (ORDER BY CASE p_size % 6 WHEN 3 THEN 1 WHEN 1 THEN 2 WHEN 5 THEN 3 ELSE 4 END, p_retailprice DESC, p_partkey, p_size % 6) AS rank FROM part",
     "p31_scope_filter": f"WITH {_SNAP} SELECT * FROM snap WHERE scope = '1-URGENT'",
