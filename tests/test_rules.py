@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import scalars as S
 from flowlens.operators import fifo, identity, monitor, prices, report
 from flowlens.sources import tables
-from flowlens.streaming import monitor as streams
+from flowlens.streaming import days as arriving
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -147,10 +147,10 @@ def test_days_that_arrive_in_several_batches(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([], schema).write.parquet(source)
     stream = lambda: spark.readStream.schema(schema).parquet(source)
-    assert streams.compact_stream(stream(), target).count() == 0
+    assert arriving.compact_stream(stream(), target).count() == 0
     for k in (1, 2):
         spark.createDataFrame([(1, 7, "n", DAY, 2.0, 10 * k, 0), (1, 7, "n", day(k), 2.0, 1, 0)], schema).coalesce(1).write.mode("append").parquet(source)
-        got = streams.compact_stream(stream(), target)
+        got = arriving.compact_stream(stream(), target)
     assert {r["trade_day"]: r["buy_qty"] for r in got.collect()} == {DAY: 30, day(1): 1, day(2): 1}
 
 
