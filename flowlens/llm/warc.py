@@ -91,8 +91,8 @@ def page_captures(pages: DataFrame) -> DataFrame:
     way = F.col("page_id") % 4
     url = F.when(F.col("group") % 7 == 3, F.concat(F.lit("page:"), F.col("group").cast("string"))).otherwise(F.col("u"))
     url = F.when(way == 1, F.concat(url, F.lit(" "))).when(way == 2, F.concat(F.lit("\t"), url)).otherwise(url)
-    base = pages.where("page_id is not null").select("page_id", "url", "html", group.alias("group")).withColumn("u", first_url)
-    base = base.select("page_id", "group", url.alias("url"), F.when(F.col("page_id") % 7 == 0, F.lit(None)).otherwise(tag).alias("tag"), modified.alias("modified"))
+    base = pages.where("page_id is not null").select("page_id", "url", F.when(F.col("page_id") % 7 == 0, F.lit(None)).otherwise(tag).alias("tag"), group.alias("group"))
+    base = base.withColumn("u", first_url).select("page_id", "group", url.alias("url"), "tag", modified.alias("modified"))
     of = lambda **kv: F.map_filter(F.map_from_arrays(F.array(*(F.lit(k.replace("_", "-")) for k in kv)), F.array(*kv.values())), lambda k, v: v.isNotNull())
     status = F.when((F.col("group") % 5 == 2) & (F.col("page_id") % 3 == 0), 404).otherwise(200)
     first = base.select((F.col("page_id") * 3).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), status.alias("status"), of(etag=F.col("tag"), last_modified=F.col("modified"), content_type=F.lit("text/html"), date=F.concat(F.lit("t"), (F.col("page_id") * 10).cast("string"))).alias("headers"))
