@@ -103,21 +103,37 @@ def map_names(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_n", normal_name(F.col(col))).join(first, "_n", "left").drop("_n")
 
 
-def resolve_branches(configured: DataFrame, directory: DataFrame, aliases: DataFrame, near: int = 5) -> DataFrame:
-    """(name, code, status, suggestions): the code of the one directory entry whose normalised name equals the alias or name.
+def _looked_up(configured: DataFrame, directory: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(configured names by their normalised alias or name, directory entries by theirs); entries whose name is blank are left out."""
+    entries = directory.withColumn("_n", norm_branch_name(F.col("dir_name"))).where(F.length("_n") > 0)
+    return configured.join(aliases, "name", "left").withColumn("_n", norm_branch_name(F.coalesce("alias", "name"))).drop("alias"), entries
 
-    None or several are unresolved and get the ``near`` closest names by edit distance; only unresolved names are compared with the
-    directory, through names that share their first two characters.
+
+def resolve_branches(configured: DataFrame, directory: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name, code, status): the code of the one directory entry whose normalised name equals the alias or name; none or several are unresolved."""
+    wanted, entries = _looked_up(configured, directory, aliases)
+    exact = wanted.join(entries, "_n", "left").groupBy("name").agg(F.countDistinct("code").alias("_hits"), F.min("code").alias("code"))
+    return exact.select("name", F.when(F.col("_hits") == 1, F.col("code")).alias("code"), F.when(F.col("_hits") == 1, "resolved").otherwise("unresolved").alias("status"))
+
+
+def suggest_branches(configured: DataFrame, directory: DataFrame, aliases: DataFrame, near: int = 5, cutoff: float = 0.45) -> DataFrame:
+    """(name, reason, suggestions) of the names that ``resolve_branches`` leaves unresolved: "several" with all entries of that name, by code, or
+    "none" with the ``near`` nearest of the whole directory (``nearest_names``), nearest first.
+
+    An entry reads ``dir_name(code)``; of entries whose normalised names are equal the smallest code stands for them among the nearest.
+    Null and blank names are "none" without suggestions.
     """
-    directory = directory.withColumn("_n", norm_branch_name(F.col("dir_name")))
-    wanted = configured.join(aliases, "name", "left").withColumn("_n", norm_branch_name(F.coalesce("alias", "name"))).drop("alias")
-    exact = wanted.join(directory, "_n", "left").groupBy("name", "_n").agg(F.countDistinct("code").alias("_hits"), F.min("code").alias("code"))
-    exact = exact.withColumn("status", F.when(F.col("_hits") == 1, "resolved").otherwise("unresolved"))
-    open_ = exact.where("_hits <> 1").select("name", F.col("_n").alias("_m"), F.substring("_n", 1, 2).alias("_p"))
-    close = open_.join(directory.select("dir_name", "_n", F.substring("_n", 1, 2).alias("_p")), "_p").withColumn("_d", F.levenshtein("_m", "_n"))
-    ranked = close.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("_d", "dir_name"))).where(F.col("_r") <= near)
-    said = ranked.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "dir_name"))), lambda x: x["dir_name"]), "|").alias("suggestions"))
-    return exact.join(said, "name", "left").select("name", F.when(F.col("_hits") == 1, F.col("code")).alias("code"), "status", "suggestions")
+    wanted, entries = _looked_up(configured.distinct(), directory, aliases)
+    label = F.concat("dir_name", F.lit("("), F.col("code").cast("string"), F.lit(")"))
+    grouped = entries.groupBy("_n").agg(F.countDistinct("code").alias("_hits"), F.array_sort(F.collect_set(F.struct("code", label.alias("said")))).alias("_all"))
+    met = stored(wanted.join(grouped, "_n", "left").where("_hits is null or _hits > 1"), "unresolved")
+    several = met.where("_hits > 1").select("name", F.lit("several").alias("reason"), F.array_join(F.transform("_all", lambda x: x["said"]), ", ").alias("suggestions"))
+    none = met.where("_hits is null").select("name", "_n")
+    close = nearest_names(none.select(F.col("_n").alias("name")), entries.select(F.col("_n").alias("dir_name")), near, cutoff)
+    first = entries.groupBy(F.col("_n").alias("dir_name")).agg(F.min_by(label, "code").alias("said"))
+    ranked = close.join(first, "dir_name").groupBy(F.col("name").alias("_n")).agg(F.array_sort(F.collect_list(F.struct("rank", "said"))).alias("_near"))
+    nearest = none.join(ranked, "_n", "left").select("name", F.lit("none").alias("reason"), F.coalesce(F.array_join(F.transform("_near", lambda x: x["said"]), ", "), F.lit("")).alias("suggestions"))
+    return several.unionByName(nearest)
 
 
 def unmatched_pairs(enriched: DataFrame, code: str = "code", day: str = "day") -> DataFrame:
@@ -125,16 +141,27 @@ def unmatched_pairs(enriched: DataFrame, code: str = "code", day: str = "day") -
 
 
 def backfill_identity(facts: DataFrame, sources: list[DataFrame], max_unmatched: float) -> DataFrame:
-    """Resolves against the first source, then against it and the next, and so on, while more than ``max_unmatched`` of the pairs are left."""
-    known = sources[0]
-    out = resolve_identity(facts, known)
-    for more in sources[1:]:
-        left, total = out.agg(F.count_if(F.col("id_status") == "Unmatched"), F.count("*")).first()
-        if not total or left / total <= max_unmatched:
+    """Resolves against the first source, then against it and the next, and so on, while more than ``max_unmatched`` of the pairs (code, day) are left.
+
+    Pairs that a source has matched stay as they are: a step resolves what is open, from a stored table.  Facts are joined once, at the end.
+    """
+    open_ = stored(facts.select("code", "day").distinct(), "pairs")
+    total, known, parts = open_.count(), None, []
+    for source in sources:
+        known = source if known is None else union_identity([known, source])
+        now = stored(resolve_identity(open_.select("code", "day"), known), "resolved")
+        parts.append(now.where("id_status <> 'Unmatched'"))
+        open_ = now.where("id_status = 'Unmatched'")
+        if open_.count() <= max_unmatched * total:
             break
-        known = union_identity([known, more])
-        out = resolve_identity(facts, known)
-    return out
+    return _with_found(facts, reduce(DataFrame.unionByName, [*parts, open_]))
+
+
+def _with_found(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """``facts`` with what was found for their (code, day); the rest is Unmatched."""
+    found = found.select(F.col("code").alias("_c"), F.col("day").alias("_d"), "id_target", "id_name", "id_status")
+    out = facts.join(found, (F.col("code") == F.col("_c")) & (F.col("day") == F.col("_d")), "left").drop("_c", "_d")
+    return out.withColumn("id_status", F.coalesce("id_status", F.lit("Unmatched")))
 
 
 def union_identity(sources: list[DataFrame]) -> DataFrame:
@@ -306,9 +333,20 @@ def backfill_candidates(facts: DataFrame, seed: DataFrame, shards: DataFrame, ca
         known = union_identity([seed.join(codes, "code", "left_semi"), rows])
         more, open_ = _resolve_open(open_, known)
         matched = matched.unionByName(more)
-    found = matched.select(F.col("code").alias("_c"), F.col("day").alias("_d"), "id_target", "id_name", "id_status")
-    out = facts.join(found, (F.col("code") == F.col("_c")) & (F.col("day") == F.col("_d")), "left").drop("_c", "_d")
-    return out.withColumn("id_status", F.coalesce("id_status", F.lit("Unmatched")))
+    return _with_found(facts, matched)
+
+
+def candidate_shards(names: DataFrame, aliases: DataFrame, known: DataFrame, least: int = 3, shard: str = "shard") -> DataFrame:
+    """(code, shard): the targets whose shards may have intervals of a code, for ``backfill_candidates``.
+
+    These are the targets of its ``known`` intervals of any day, and those that its ``names`` (code, name) begin with: a whole alias of
+    ``aliases`` (alias, target, exact), or one of ``least`` characters or more.  They only say where to look: an interval of the shard itself decides.  Blank targets are none.
+    """
+    once = names.select("code", "name").where("code is not null and name is not null").distinct()
+    begun = resolve_by_prefix(once, aliases, "name").join(aliases.select("alias", F.col("exact")), "alias", "left")
+    sure = begun.where((F.col("exact") == 1) | (F.length("alias") >= least)).select("name", F.col("target").cast("string").alias(shard))
+    both = once.join(sure, "name").select("code", shard).unionByName(known.select("code", F.col("target").cast("string").alias(shard)))
+    return both.where(F.length(shard) > 0).distinct()
 
 
 def candidate_intervals(shards: DataFrame, asked: DataFrame, shard: str = "shard") -> DataFrame:

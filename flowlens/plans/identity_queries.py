@@ -135,7 +135,7 @@ QUERIES = {
     "j2_resolve_contract": lambda s, d: identity.resolve_contract(pair_facts(s, d).withColumnRenamed("day", "buy_day"), intervals(s, d).select("code", "list_date", "end_date", "target", F.col("seq").cast("double").alias("ratio"), F.lit(1.0).alias("settle"), F.when(F.col("status") == "Matched", "official").otherwise("seed").alias("source"))).select("o_orderkey", "l_linenumber", "contract.target", "contract.list_date", "contract.source"),
     "j4_resolve_by_prefix": lambda s, d: identity.resolve_by_prefix(_names(s, d), _aliases(s, d), "name", most=24),
     "j11_map_names": lambda s, d: identity.map_names(V.table(s, d, "nation"), V.table(s, d, "customer").join(V.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.col("c_custkey").alias("code"), F.col("c_custkey").alias("seq")), "n_name").select("n_nationkey", "name_code"),
-    "j13_resolve_branches": lambda s, d: identity.resolve_branches(V.table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit("9x"))).alias("name")), _directory(s, d), s.createDataFrame([("none", "none")], "name string, alias string")).select("name", "code", "status"),
+    "j13_resolve_branches": lambda s, d: identity.resolve_branches(V.table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit("9x"))).alias("name")), _directory(s, d), s.createDataFrame([("none", "none")], "name string, alias string")),
     "j14_backfill_identity": lambda s, d: identity.backfill_identity(pair_facts(s, d), [unique_intervals(s, d).where("code % 2 = 0"), unique_intervals(s, d).where("code % 2 = 1")], 0.05).select("o_orderkey", "l_linenumber", "id_status", "id_target"),
     "j15_broker_map": lambda s, d: identity.broker_map(V.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name")), V.table(s, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name")), [("#.*2$", "two"), ("Supplier", "sup")]),
     "j17_build_identity": lambda s, d: identity.build_identity(V.table(s, d, "part").select(F.col("p_partkey").alias("code"), F.lit("2000-01-01").cast("date").alias("list_date"), F.lit("2001-01-01").cast("date").alias("end_date"), F.when(F.col("p_size") % 2 == 0, F.col("p_partkey")).alias("target")), V.table(s, d, "part").select(F.col("p_partkey").alias("code"), F.concat("p_name", F.lit(" x")).alias("name")), _aliases(s, d), most=24).select("code", "target", "name", "status"),

@@ -52,6 +52,15 @@ def _near(s: SparkSession, d: str) -> DataFrame:
     return identity.nearest_names(p.where(k <= 2).select(bad.alias("name")), p.select(F.col("n").alias("dir_name")))
 
 
+def _branches(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(configured, directory, aliases): names with brackets and hyphens, some misspelled, some of several parts, some by an alias."""
+    p = V.table(s, d, "part").select("p_partkey", F.concat_ws("-", "p_name", "p_brand").alias("n"))
+    k = F.col("p_partkey") % 60
+    said = F.when(k == 0, F.concat(F.lit("q"), F.substring("n", 2, 99))).when(k == 1, F.concat(F.lit("("), F.substring("n", 1, 2), F.substring("n", 4, 99), F.lit(")"))).when(k == 2, F.upper("n")).when(k == 3, F.concat(F.lit("other "), F.col("p_partkey").cast("string")))
+    asked = p.where(k <= 3)
+    return asked.select(said.alias("name")), p.select(F.col("p_partkey").alias("code"), F.col("n").alias("dir_name")), asked.where(k == 3).select(said.alias("name"), F.concat(F.col("n"), F.lit("x")).alias("alias"))
+
+
 def _with_shard(s: SparkSession, d: str) -> DataFrame:
     nations = V.table(s, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_nationkey").cast("string").alias("shard"))
     return I.unique_intervals(s, d).join(nations, "code")
@@ -75,6 +84,24 @@ def _backfill(s: SparkSession, d: str) -> DataFrame:
     return identity.backfill_candidates(I.pair_facts(s, d), seed, shard_table(s, d), candidates(s, d)).select("o_orderkey", "l_linenumber", "id_status", "id_target")
 
 
+def instrument_names(s: SparkSession, d: str) -> DataFrame:
+    """Names of codes: of four, one begins with the whole name of its shard, one with three characters, one with two, which are too few, and one has none."""
+    c = V.table(s, d, "customer").join(V.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, F.concat("n_name", F.lit(" Issuer"))).when(k == 1, F.concat(F.substring("n_name", 1, 3), F.lit("9 Issuer"))).when(k == 2, F.concat(F.substring("n_name", 1, 2), F.lit("9 Issuer")))
+    return c.select(F.col("c_custkey").alias("code"), name.alias("name"))
+
+
+def named_candidates(s: SparkSession, d: str, seed: DataFrame) -> DataFrame:
+    master = V.table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("target"))
+    return identity.candidate_shards(instrument_names(s, d), identity.prefix_aliases(master), seed)
+
+
+def _backfill_by_names(s: SparkSession, d: str) -> DataFrame:
+    seed = I.unique_intervals(s, d).where("seq % 4 = 0")
+    return identity.backfill_candidates(I.pair_facts(s, d), seed, shard_table(s, d), named_candidates(s, d, seed)).select("o_orderkey", "l_linenumber", "id_status", "id_target")
+
+
 def _target_texts(s: SparkSession, d: str) -> DataFrame:
     names = V.table(s, d, "nation").select((F.col("n_nationkey") + 1000).cast("string").alias("code"), F.col("n_name").alias("name"))
     c = V.table(s, d, "customer").join(V.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -110,7 +137,10 @@ QUERIES = {
     "s16_accepted_rows": lambda s, d: _shard_folder(s, d)[0].select("o_orderkey", "day", "target", "shard"),
     "s10_append_runs": _log,
     "j13_nearest_names": _near,
+    "j13_suggest_branches": lambda s, d: identity.suggest_branches(*_branches(s, d)),
     "j14_backfill_candidates": _backfill,
+    "j14_candidate_shards": lambda s, d: named_candidates(s, d, I.unique_intervals(s, d).where("seq % 4 = 0")),
+    "j14_backfill_by_names": _backfill_by_names,
     "p30_resolve_target_texts": _target_texts,
     "q3_recomputed_conditions": _tampered,
     "q3_recomputed_positions": _tampered_positions,
@@ -129,13 +159,32 @@ def _stage(n: int, intervals: str) -> str:
   matched{n} AS (SELECT * FROM hits{n} WHERE id_status <> 'Unmatched'), open{n} AS (SELECT code, day FROM open{n - 1} EXCEPT SELECT code, day FROM matched{n})"""
 
 
-_BACKFILL = f"""WITH {I._RESOLVED}, sh AS (SELECT u.*, c_nationkey::VARCHAR AS shard FROM uniq u JOIN customer ON code = c_custkey), cand AS (SELECT c_custkey AS code, ((c_nationkey + (c_custkey % 7 = 0)::INT) % 25)::VARCHAR AS shard FROM customer WHERE c_custkey % 3 <> 0),
+_CANDIDATES = "cand AS (SELECT c_custkey AS code, ((c_nationkey + (c_custkey % 7 = 0)::INT) % 25)::VARCHAR AS shard FROM customer WHERE c_custkey % 3 <> 0)"
+_NAMED = """full_names AS (SELECT replace(n_name, ' ', '') AS nm, n_nationkey::VARCHAR AS target FROM nation),
+  al0 AS (SELECT nm AS alias, target, nm, 1 AS exact FROM full_names UNION ALL SELECT substr(nm, 1, k), target, nm, 0 FROM full_names, (VALUES (2), (3), (4)) t(k) WHERE length(nm) > k AND substr(nm, 1, k) NOT IN (SELECT nm FROM full_names)),
+  al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY exact DESC, length(nm) DESC, target) AS r FROM al0) WHERE r = 1),
+  said AS (SELECT c_custkey AS code, replace(CASE c_custkey % 4 WHEN 0 THEN n_name || ' Issuer' WHEN 1 THEN substr(n_name, 1, 3) || '9 Issuer' WHEN 2 THEN substr(n_name, 1, 2) || '9 Issuer' END, ' ', '') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  begun AS (SELECT * FROM (SELECT s.code, a.target, a.exact, a.alias, row_number() OVER (PARTITION BY s.code ORDER BY length(a.alias) DESC) AS r FROM said s JOIN al a ON starts_with(s.name, a.alias)) WHERE r = 1),
+  cand AS (SELECT code, target AS shard FROM begun WHERE exact = 1 OR length(alias) >= 3 UNION SELECT code, target FROM uniq WHERE seq % 4 = 0 AND target <> '')"""
+
+
+def _backfill_sql(cand: str) -> str:
+    return f"""WITH {I._RESOLVED}, sh AS (SELECT u.*, c_nationkey::VARCHAR AS shard FROM uniq u JOIN customer ON code = c_custkey), {cand},
   open0 AS (SELECT DISTINCT code, day FROM pairs), {_stage(1, "SELECT * FROM uniq WHERE seq % 4 = 0")},
   asked AS (SELECT DISTINCT shard FROM cand WHERE code IN (SELECT code FROM open1)), {_stage(2, "SELECT * FROM sh WHERE seq % 4 = 0 OR shard IN (SELECT shard FROM asked)")},
   {_stage(3, "SELECT * FROM uniq WHERE (SELECT count(*) FROM open2) > 0.05 * (SELECT count(*) FROM open0)")},
   found AS (SELECT * FROM matched1 UNION ALL SELECT * FROM matched2 UNION ALL SELECT * FROM matched3)
 SELECT o_orderkey, l_linenumber, coalesce(f.id_status, 'Unmatched') AS id_status, f.id_target FROM pairs p LEFT JOIN found f ON p.code = f.code AND p.day = f.day"""
 
+
+_SUGGEST = r"""WITH p AS (SELECT p_partkey, p_name || '-' || p_brand AS n, p_partkey % 60 AS k FROM part), d AS (SELECT p_partkey AS code, n, regexp_replace(lower(n), '[\s\-_()#]', '', 'g') AS m FROM p),
+  w AS (SELECT DISTINCT CASE k WHEN 0 THEN 'q' || substr(n, 2) WHEN 1 THEN '(' || substr(n, 1, 2) || substr(n, 4) || ')' WHEN 2 THEN upper(n) ELSE 'other ' || p_partkey END AS name, CASE k WHEN 3 THEN n || 'x' END AS alias FROM p WHERE k <= 3),
+  x AS (SELECT name, regexp_replace(lower(coalesce(alias, name)), '[\s\-_()#]', '', 'g') AS m FROM w),
+  g AS (SELECT m, count(*) AS hits, string_agg(n || '(' || code || ')', ', ' ORDER BY code) AS every, arg_min(n || '(' || code || ')', code) AS first FROM d GROUP BY m),
+  r AS (SELECT x.name, g.first, row_number() OVER (PARTITION BY x.name ORDER BY levenshtein(x.m, g.m), g.m) AS r FROM x, g WHERE x.m NOT IN (SELECT m FROM g) AND levenshtein(x.m, g.m) <= floor(0.55 * greatest(length(x.m), length(g.m)) + 1e-9))
+SELECT name, 'several' AS reason, every AS suggestions FROM x JOIN g USING (m) WHERE hits > 1
+UNION ALL SELECT x.name, 'none', coalesce((SELECT string_agg(first, ', ' ORDER BY r) FROM r WHERE r.name = x.name AND r <= 5), '') FROM x WHERE m NOT IN (SELECT m FROM g)"""
+
 ORACLE_SQL = {
     "s1_scan_daily_folder": f"WITH {_MONTHS} SELECT * FROM st",
     "s1_good_days_folder": f"WITH {_MONTHS} SELECT l_orderkey, l_partkey, l_suppkey, row_day, day FROM m WHERE day IN (SELECT day FROM st WHERE status = 'success')",
@@ -143,7 +192,10 @@ ORACLE_SQL = {
     "s16_accepted_rows": f"WITH {_SHARDS} SELECT * FROM w WHERE target = shard",
     "s10_append_runs": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice END AS o_totalprice, substr('abc', (o_orderkey % 3 + 1)::INT, 1) AS run FROM orders",
     "j13_nearest_names": "WITH p AS (SELECT p_partkey % 50 AS k, p_name || ' ' || p_brand AS n FROM part), w AS (SELECT DISTINCT CASE k WHEN 0 THEN 'q' || substr(n, 2) WHEN 1 THEN substr(n, 1, 2) || substr(n, 4) ELSE reverse(n) END AS name FROM p WHERE k <= 2), d AS (SELECT DISTINCT n AS dir_name FROM p), c AS (SELECT name, dir_name, levenshtein(name, dir_name)::INT AS distance FROM w, d) SELECT name, rank::INT AS rank, dir_name, distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, dir_name) AS rank FROM c WHERE distance <= floor(0.55 * greatest(length(name), length(dir_name)) + 1e-9)) WHERE rank <= 5",
-    "j14_backfill_candidates": _BACKFILL,
+    "j13_suggest_branches": _SUGGEST,
+    "j14_backfill_candidates": _backfill_sql(_CANDIDATES),
+    "j14_candidate_shards": f"WITH {I._RESOLVED}, {_NAMED} SELECT code, shard FROM cand",
+    "j14_backfill_by_names": _backfill_sql(_NAMED),
     "p30_resolve_target_texts": "SELECT c_custkey, CASE c_custkey % 7 WHEN 3 THEN '' WHEN 4 THEN '' WHEN 6 THEN '0050' ELSE (n_nationkey + 1000)::VARCHAR END AS target_code, CASE c_custkey % 7 WHEN 3 THEN 'Nowhere' WHEN 4 THEN '' ELSE n_name END AS target_name, CASE c_custkey % 7 WHEN 3 THEN 'Nowhere' WHEN 4 THEN 'plain text' WHEN 6 THEN '0050 ' || n_name ELSE (n_nationkey + 1000) || ' ' || n_name END AS target_label FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "q3_recomputed_conditions": f"WITH {V.OUTCOMES}, {Q._GRID} SELECT broker, condition, code, CASE WHEN condition = 'large' THEN 1 ELSE 0 END::INT AS win FROM grid WHERE broker = 4 AND condition = 'large' UNION ALL SELECT g.broker, g.condition, g.code, 1 AS win FROM grid g WHERE broker = 3 AND condition = 'monday'",
     "q3_recomputed_positions": "SELECT 5::BIGINT AS broker, '011' AS position, code, 'n_tie' AS \"column\" FROM (VALUES ('ALL'), ('A'), ('B'), ('C'), ('D'), ('E')) t(code)",

@@ -46,6 +46,22 @@ def test_nearest_names_against_all_names(spark, near, cutoff):
     assert identity.nearest_names(frame([], "name"), frame(directory, "dir_name")).count() == 0
 
 
+def test_suggestions_for_branches(spark):
+    directory = [(3, "凱基-台北"), (1, "凱基台北分公司"), (5, "富邦建國"), (6, "富邦 建國2"), (7, "Alpha (One)"), (8, "證券"), (9, "alpha-two"), (2, "alpha one x")]
+    asked = [("凱基台北",), ("富邦建國",), ("kgi",), ("x凱基台北y",), ("ALPHA ONE Y",), ("zzzzzzzzzz",), ("證券",), (None,), ("kgi",)]
+    frames = (spark.createDataFrame(asked, "name string"), spark.createDataFrame(directory, "code int, dir_name string"), spark.createDataFrame([("kgi", "凱基 台北"), ("unused", "富邦建國")], "name string, alias string"))
+    said = {r["name"]: (r["code"], r["status"]) for r in identity.resolve_branches(*frames).collect()}
+    assert said["富邦建國"] == (5, "resolved") and all(v == (None, "unresolved") for k, v in said.items() if k != "富邦建國")
+    got = identity.suggest_branches(*frames, near=2).collect()
+    both = "凱基台北分公司(1), 凱基-台北(3)"
+    assert {r["name"]: (r["reason"], r["suggestions"]) for r in got} == {
+        "凱基台北": ("several", both), "kgi": ("several", both), "x凱基台北y": ("none", "凱基台北分公司(1)"), "ALPHA ONE Y": ("none", "Alpha (One)(7), alpha one x(2)"), "zzzzzzzzzz": ("none", ""), "證券": ("none", ""), None: ("none", ""),
+    }
+    assert len(got) == 7
+    none = frames[0].limit(0)
+    assert identity.suggest_branches(none, *frames[1:]).count() == 0 and identity.suggest_branches(frames[0], frames[1].limit(0), frames[2]).where("suggestions <> ''").count() == 0
+
+
 INTERVALS = "code long, list_date date, end_date date, target string, name string, status string, seq long"
 
 
@@ -71,6 +87,25 @@ def test_backfill_by_stages(spark, tmp_path):
     assert run(0.5) == after_two | {4: ("Matched", "D")}
 
 
+def test_backfill_resolves_what_is_open(spark):
+    first, second = intervals(spark, [(1, 0, 9, "A")]), intervals(spark, [(1, 0, 9, "Z"), (2, 0, 9, "B"), (3, 0, 9, "C"), (3, 0, 8, "D")])
+    facts = spark.createDataFrame([(c, None if d is None else on(d), k) for k, (c, d) in enumerate([(1, 3), (1, 3), (2, 3), (3, 3), (4, 3), (None, 3), (2, None)])], "code long, day date, k int")
+    run = lambda sources, most: {r["k"]: (r["id_status"], r["id_target"]) for r in identity.backfill_identity(facts, sources, most).collect()}
+    none = ("Unmatched", None)
+    one = {0: ("Matched", "A"), 1: ("Matched", "A")} | dict.fromkeys(range(2, 7), none)
+    assert run([first], 0.0) == run([first, second], 5 / 6) == one  # 5 of 6 pairs are open
+    assert run([first, second], 0.5) == one | {2: ("Matched", "B"), 3: ("Ambiguous", None)}
+    assert identity.backfill_identity(facts.limit(0), [first, second], 0.0).count() == 0
+
+
+def test_candidate_shards_of_names(spark):
+    aliases = identity.prefix_aliases(spark.createDataFrame([("台積電", "2330"), ("台達電子", "2308"), ("聯電", "2303")], "name string, target string"))
+    names = spark.createDataFrame([(1, "台積電凱基01"), (1, "台積電凱基01"), (2, "台達元大"), (3, "台 達 電元大"), (4, "聯電群益"), (5, "無名"), (6, None), (None, "台積電"), (7, "元大台灣50購")], "code long, name string")
+    known = intervals(spark, [(2, 0, 9, "X"), (5, 0, 9, ""), (8, 0, 9, None), (1, 0, 9, "2330")])
+    got = sorted(tuple(r) for r in identity.candidate_shards(names, aliases, known).collect())
+    assert got == [(1, "2330"), (2, "X"), (3, "2308"), (4, "2303"), (7, "0050")]  # two characters of 台達電子 are too few, all two of 聯電 are not
+
+
 def test_candidates_read_their_folders_only(spark, tmp_path):
     shards = shards_at(spark, str(tmp_path / "s"), [(k, 0, 9, f"T{k}", f"s{k}") for k in range(12)])
     asked = T.stored(spark.createDataFrame([("s3",), ("s7",)], "shard string"), "asked")
