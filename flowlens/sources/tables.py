@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,15 +14,39 @@ from ..operators import fifo
 from ..operators.trades import require_columns
 
 
+#: Session setting that ``scratch_run`` uses: the folder of the run that is going on.
+_RUN = "flowlens.scratch.run"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else, on a local master only, beside the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share: that of the ``scratch_run``, else spark.checkpoint.dir, else, on a local master only, beside the warehouse."""
+    root = spark.conf.get(_RUN, None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_run(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """The tables that operators write to the shared folder inside this block are removed at its end, also after an error.
+
+    What operators return reads these tables: write or collect it inside the block, to a path of one's own.  Blocks nest.  The setting is
+    the session's: runs at the same time need a session each (``spark.newSession()``).
+    """
+    before, path = spark.conf.get(_RUN, None), shared_path(spark, name)
+    spark.conf.set(_RUN, path)
+    try:
+        yield path
+    finally:
+        if before is None:
+            spark.conf.unset(_RUN)
+        else:
+            spark.conf.set(_RUN, before)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a new table in the shared folder: what several steps read is worked out once, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)

@@ -76,3 +76,25 @@ def test_runs_from_checkpoints_equal_one_run(spark, tmp_path):
     assert {(r["event_id"], r["l"]["code"]): r["l"]["remaining"] for r in kept} == left and left
     # lots of which nothing is open don't come back
     assert T.lots_of(found.select("broker", "event_id", "day", "lots")).count() == len(left)
+
+
+def test_tables_of_a_run_go_at_its_end(spark):
+    from pathlib import Path
+
+    parts = lambda: {p for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).rglob("*") if p.is_file()}
+    T.stored(spark.range(3), "kept").count()
+    before = parts()
+    with T.scratch_run(spark) as outer:
+        a = T.stored(spark.range(5), "a")
+        with T.scratch_run(spark) as inner:
+            assert inner.startswith(outer) and T.stored(a, "b").count() == 5
+        assert not Path(inner.removeprefix("file:")).exists() and a.count() == 5
+    assert parts() == before and not Path(outer.removeprefix("file:")).exists()
+    with pytest.raises(ZeroDivisionError), T.scratch_run(spark):
+        T.stored(spark.range(5), "c")
+        raise ZeroDivisionError
+    with T.scratch_run(spark):
+        pass
+    assert parts() == before
+    T.stored(spark.range(1), "kept")
+    assert parts() > before
