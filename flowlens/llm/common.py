@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_path
+
 #: Broadcast sides are counted first; above this many narrow rows the join is left to shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows that hold texts or lists are measured instead, as JSON text.
@@ -16,17 +17,8 @@ BROADCAST_BYTES = 32 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset, a folder beside the warehouse tables is used on a local
-    master; on a cluster that may be a disk of one machine, and it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``), or in that of the ``scratch_run`` going on."""
+    return shared_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowlens.llm import ann, chat, common, decontaminate, html_text, mixture, near_dups, piece_counts, quality, queries, token_store, warc
+from flowlens.sources.tables import scratch_run
 
 from .test_operators import SF_DIR, awkward_texts, documents, extracted, mixture_targets
 
@@ -303,3 +305,19 @@ def test_pipeline_of_few_and_awkward_rows(spark, tmp_path, texts):
         out = stage(spark, out, sf_dir)
         assert sorted(out.columns) == sorted(docs.columns)
     assert corpus_pipeline.run(spark, sf_dir).count() <= 2 * len(texts)
+
+
+def test_a_run_leaves_its_results_only(spark):
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    folders = lambda: {p.name for p in top.iterdir()} if top.exists() else set()
+    before = folders()
+    docs = spark.createDataFrame([(k, f"one two three four five {k % 3}") for k in range(9)], "doc_id long, text string")
+    with scratch_run(spark):
+        kept = sorted(r["doc_id"] for r in near_dups.deduplicated(docs, width=5, threshold=80).collect())
+    assert kept == sorted(r["doc_id"] for r in near_dups.deduplicated(docs, width=5, threshold=80).collect())
+    assert folders() > before  # without a run its tables stay
+    before = folders()
+    assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+    names = [name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES]
+    own = {n.rsplit("-", 1)[0] for n in folders() - before}
+    assert set(names) <= own and not any(n.startswith("run") for n in own)
