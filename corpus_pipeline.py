@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import decontaminate, mixture, near_dups, quality, token_store
-from flowlens.llm.common import written
+from flowlens.llm.common import scratch_path, written
 from flowlens.llm.queries import END_ID, table, tokenizer_path
+from flowlens.sources.tables import scratch_run
 
 
 #: Bytes of words that a Python worker of the last stage remembers: less than by default, as executors that ran the stages before hold more.
@@ -58,7 +59,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages.  A stage's own tables go when its rows are written, but for the last one's, whose store is what the pipeline is run for."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with scratch_run(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+    name, stage = STAGES[-1]
+    return written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
