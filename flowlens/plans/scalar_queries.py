@@ -12,6 +12,12 @@ from ..functions import scalars as S
 ISSUERS = ["th", "an", "st"]
 PATTERNS = [("#1$", "one"), ("[2-4]$", "low"), ("Supplier", "rest")]
 
+
+def _padded(c: Column, n: int) -> Column:
+    """``c`` with zeros before it up to ``n`` characters; ``lpad`` alone would cut longer ones."""
+    return F.lpad(c, F.greatest(F.length(c), F.lit(n)), "0")
+
+
 #: name: (table, key, Spark column, SQL expression); both give one value for each row of the table.
 RULES: dict[str, tuple[str, str, Callable[[], Column], str]] = {
     "p1_norm_code": ("part", "p_partkey", lambda: S.norm_code(F.concat(F.lit(" "), F.lower("p_brand"), F.lit(" x.0 "))), "upper(replace(p_brand, ' ', '')) || 'X'"),
@@ -32,7 +38,7 @@ RULES: dict[str, tuple[str, str, Callable[[], Column], str]] = {
     "p15_parse_items": ("part", "p_partkey", lambda: F.array_join(F.transform(S.parse_items(F.concat(F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_type"), F.lit("；9 x;"))), lambda x: F.concat_ws("=", x["code"], x["name"])), "|"), "p_partkey || '=' || p_type || '|9=x'"),
     "p15_count_items": ("part", "p_partkey", lambda: S.count_items(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("1 a；共 "), F.col("p_size").cast("string"), F.lit(" 檔"))).otherwise("1 a；2 b")).cast("long"), "CASE WHEN p_size % 2 = 0 THEN p_size ELSE 2 END"),
     "p16_underlying_name": ("part", "p_partkey", lambda: S.underlying_name(F.col("p_name"), ISSUERS), "substr(CASE WHEN least(CASE WHEN instr(p_name, 'th') > 1 THEN instr(p_name, 'th') END, CASE WHEN instr(p_name, 'an') > 1 THEN instr(p_name, 'an') END, CASE WHEN instr(p_name, 'st') > 1 THEN instr(p_name, 'st') END) IS NOT NULL THEN substr(p_name, 1, least(CASE WHEN instr(p_name, 'th') > 1 THEN instr(p_name, 'th') END, CASE WHEN instr(p_name, 'an') > 1 THEN instr(p_name, 'an') END, CASE WHEN instr(p_name, 'st') > 1 THEN instr(p_name, 'st') END) - 1) ELSE p_name END, 1, 12)"),
-    "p17_is_instrument_code": ("orders", "o_orderkey", lambda: S.is_instrument_code(F.lpad(F.col("o_orderkey").cast("string"), 5, "0")), "regexp_matches(lpad(o_orderkey::VARCHAR, greatest(5, length(o_orderkey::VARCHAR))::INT, '0'), '^\\d{5,6}$') AND NOT starts_with(lpad(o_orderkey::VARCHAR, greatest(5, length(o_orderkey::VARCHAR))::INT, '0'), '00')"),
+    "p17_is_instrument_code": ("orders", "o_orderkey", lambda: S.is_instrument_code(_padded(F.col("o_orderkey").cast("string"), 5)), "regexp_matches(lpad(o_orderkey::VARCHAR, greatest(5, length(o_orderkey::VARCHAR))::INT, '0'), '^\\d{5,6}$') AND NOT starts_with(lpad(o_orderkey::VARCHAR, greatest(5, length(o_orderkey::VARCHAR))::INT, '0'), '00')"),
     "p18_norm_event": ("part", "p_partkey", lambda: S.norm_event(F.concat(F.lit("事件 "), F.when(F.col("p_size") % 3 == 0, "A、C").when(F.col("p_size") % 3 == 1, "E大量").otherwise("ABLE"))), "CASE p_size % 3 WHEN 0 THEN 'A/C' WHEN 1 THEN 'E' ELSE '' END"),
     "p19_stat_event_kind": ("part", "p_partkey", lambda: S.stat_event_kind(F.when(F.col("p_size") % 3 == 0, "總事件 A").when(F.col("p_size") % 3 == 1, "A事件").otherwise("B")), "CASE p_size % 3 WHEN 0 THEN 'total' WHEN 1 THEN 'A' END"),
     "p20_amount_class": ("orders", "o_orderkey", lambda: S.amount_class(F.col("o_totalprice"), (50_000, 60_000, 75_000, 90_000, 105_000)), "CASE WHEN o_totalprice >= 105000 THEN 'E' WHEN o_totalprice >= 90000 THEN 'D' WHEN o_totalprice >= 75000 THEN 'C' WHEN o_totalprice >= 60000 THEN 'B' WHEN o_totalprice >= 50000 THEN 'A' END"),
