@@ -23,3 +23,13 @@ def large(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["p17_is_instrument_code", "s5_check_seed"])
 def test_query(spark, large, name):
     assert_same(registry.QUERIES[name](spark, large), connection(large), registry.ORACLE_SQL[name])
+
+
+def test_shares_of_tasks(spark):
+    """More rows are dealt to more partitions, so that a task's share stays the same."""
+    from flowlens.operators import trades
+
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert trades.parts_for(spark.range(1), 10) == own
+    assert [trades.parts_for(spark.range(1), n * trades.TASK_ROWS) for n in (100, 600)] == [100, 600]
+    assert trades.dealt(spark.range(10), 7, "id").rdd.getNumPartitions() == 7
