@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_instrument_code, norm_branch_name, norm_underlying
 from ..sources.tables import stored
+from .trades import dealt
 
 
 def dedupe_identity(intervals: DataFrame) -> DataFrame:
@@ -18,18 +19,19 @@ def dedupe_identity(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy(*keys).agg(F.max_by(F.struct("name", "status", "seq"), best).alias("_r")).select(*keys, "_r.*")
 
 
-def resolve_identity(facts: DataFrame, intervals: DataFrame, code: str = "code", day: str = "day") -> DataFrame:
+def resolve_identity(facts: DataFrame, intervals: DataFrame, code: str = "code", day: str = "day", parts: int | None = None) -> DataFrame:
     """``facts`` with id_target, id_name and id_status of the interval that holds the day.
 
-    Only distinct (code, day) pairs are joined.  No interval: Unmatched.  Several non-blank targets: Ambiguous, without target,
+    Only distinct (code, day) pairs are joined, in ``parts`` partitions.  No interval: Unmatched.  Several non-blank targets: Ambiguous, without target,
     with the name of the last by (list_date, end_date).  Else the latest list_date wins, of equal ones the earliest end_date.
     """
-    pairs = facts.select(F.col(code).alias("_c"), F.col(day).alias("_d")).distinct()
+    # By code alone: pairs are told apart, meet their intervals and are decided where they are.
+    pairs = dealt(facts.select(F.col(code).alias("_c"), F.col(day).alias("_d")), parts, "_c").distinct()
     hit = pairs.join(intervals, (F.col("_c") == F.col("code")) & F.col("_d").between(F.col("list_date"), F.col("end_date")))
     blank = F.nullif(F.col("target"), F.lit(""))
     first = F.struct(F.col("list_date"), -F.datediff("end_date", F.lit("1970-01-01").cast("date")))
-    found = hit.groupBy("_c", "_d").agg(F.countDistinct(blank).alias("_n"), F.max_by(F.struct("target", "name", "status"), first).alias("_b"), F.max_by("name", F.struct("list_date", "end_date")).alias("_last"))
-    many = F.col("_n") > 1
+    found = hit.groupBy("_c", "_d").agg((F.min(blank) != F.max(blank)).alias("_many"), F.max_by(F.struct("target", "name", "status"), first).alias("_b"), F.max_by("name", F.struct("list_date", "end_date")).alias("_last"))
+    many = F.col("_many")
     best = found.select("_c", "_d", F.when(many, F.lit(None)).otherwise(F.col("_b.target")).alias("id_target"), F.when(many, F.col("_last")).otherwise(F.col("_b.name")).alias("id_name"), F.when(many, "Ambiguous").otherwise(F.col("_b.status")).alias("id_status"))
     out = facts.join(best, (F.col(code) == F.col("_c")) & (F.col(day) == F.col("_d")), "left").drop("_c", "_d")
     return out.withColumn("id_status", F.coalesce("id_status", F.lit("Unmatched")))
