@@ -313,16 +313,19 @@ def order_by_list(df: DataFrame, brokers: list) -> DataFrame:
     return placed.join(F.broadcast(before), part == F.col("_part")).withColumn("rank", (F.col("_before") + F.col("_id") % (1 << 33) + 1).cast("int")).drop("_id", "_part", "_before")
 
 
-#: Days of the calendar in a slice of a key's history.
-SLICE_DAYS = 64
+#: Days of the calendar in a slice of a key's history, and rows of one that is gone through at once.
+SLICE_DAYS, WHOLE_ROWS = 64, 4096
 
 
-def wavg_cost_returns(daily: DataFrame, keys: list[str], slice_days: int = SLICE_DAYS) -> DataFrame:
+def wavg_cost_returns(daily: DataFrame, keys: list[str], slice_days: int = SLICE_DAYS, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Moving weighted-average cost per key in day order, the day's sale before its buy; ``daily`` has a row for each key and day.
 
     Adds cost (average times the full sold quantity) and ret of each day with a sale while something is held; the holding falls by
     what it has at most.
 
+    A key without a buy up to its last sale has no such day and goes no further.  One of ``whole_rows`` rows at most is one run, worked out by itself
+    where the key's rows are; longer ones are sliced.
+
     A prefix scan in two levels.  A day takes a holding h to max(h - sold, 0) + bought, and steps of the form max(h + x, y) follow on each other as one
     step of that form; with the holding known, it takes the cost c to r * c + m, and such steps make one as well.  Each slice of ``slice_days`` of the calendar
     is summed up as one step, the slices' steps give what each slice begins with, and the slices are then run through by themselves.  So a task holds one
@@ -331,7 +334,11 @@ def wavg_cost_returns(daily: DataFrame, keys: list[str], slice_days: int = SLICE
     numbers = ("buy_qty", "buy_amt", "sell_qty", "sell_amt")
     part = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / slice_days)
     rows = F.array_sort(F.collect_list(F.struct("day", *(F.col(c).cast("double").alias(c) for c in numbers))))
-    slices = stored(daily.groupBy(*keys, part.alias("_part")).agg(rows.alias("days")), "slices")
+    own = Window.partitionBy(*keys)
+    first_buy, last_sale = F.min(F.when(F.col("buy_qty") > 0, F.col("day"))).over(own), F.max(F.when(F.col("sell_qty") > 0, F.col("day"))).over(own)
+    able = daily.withColumns({"_long": F.count("*").over(own) > whole_rows, "_first": first_buy, "_last": last_sale}).where("_first <= _last")
+    runs = stored(able.groupBy(*keys, "_long", F.when(F.col("_long"), part).alias("_part")).agg(rows.alias("days")), "slices")
+    slices = runs.where("_long").drop("_long")
     at = [*keys, "_part"]
     order = Window.partitionBy(*keys).orderBy("_part")
 
@@ -365,7 +372,20 @@ def wavg_cost_returns(daily: DataFrame, keys: list[str], slice_days: int = SLICE
         return F.struct(after.alias("held"), avg.alias("avg"), F.when(sells & (cost > 0), F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out")).cast(state)
 
     start = F.struct("held", F.when(F.col("held") > 0, F.col("cost") / F.col("held")).otherwise(0.0).alias("avg"), F.array().alias("out")).cast(state)
-    return slices.join(begins, at).select(*keys, F.explode(F.aggregate("days", start, step)["out"]).alias("r")).select(*keys, "r.day", "r.cost", "r.ret")
+    sliced = slices.join(begins, at).select(*keys, F.explode(F.aggregate("days", start, step)["out"]).alias("r"))
+
+    # In pieces, so that what has come out isn't copied at every day.
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("days") - 1) / slice_days).cast("int")), lambda i: F.slice("days", i * slice_days + 1, slice_days))
+    passed = state.replace("out:array<struct<day:date,cost:double,ret:double>>", "out:array<array<struct<day:date,cost:double,ret:double>>>")
+    begin = F.struct(F.lit(0.0), F.lit(0.0), F.array())
+
+    def piece(s: Column, x: Column) -> Column:
+        at_start = F.struct(s["held"], s["avg"], F.array()).cast(state)
+        return F.aggregate(x, at_start, step, lambda t: F.struct(t["held"], t["avg"], F.concat(s["out"], F.array(t["out"]))).cast(passed))
+
+    whole = runs.where("not _long").select(*keys, F.explode(F.aggregate(pieces, begin.cast(passed), piece, lambda s: F.flatten(s["out"]))).alias("r"))
+    return whole.unionByName(sliced).select(*keys, "r.day", "r.cost", "r.ret")
+
 
 def scope_filter(df: DataFrame, scope: str, col: str = "scope") -> DataFrame:
     """Rows of exactly that scope; all rows if there is no scope column; none if no row has it."""

@@ -98,3 +98,20 @@ def test_tables_of_a_run_go_at_its_end(spark):
     assert parts() == before
     T.stored(spark.range(1), "kept")
     assert parts() > before
+
+
+@pytest.mark.parametrize("whole_rows", [0, 5, 4096])
+def test_average_cost_of_short_and_long_keys(spark, whole_rows):
+    """Keys that are gone through at once, sliced ones and both at a time give the same; some never sell what they hold."""
+    rng = random.Random(7)
+    rows = []
+    for key, n in enumerate((1, 1, 2, 4, 5, 6, 130, 400)):
+        for k in sorted(rng.sample(range(900), n)):
+            bq, sq = rng.choice((0, rng.randint(1, 50))), rng.choice((0, rng.randint(1, 90)))
+            rows.append((key, on(k), bq, bq * rng.randint(1, 30), sq, sq * rng.randint(1, 30)))
+    rows += [(8, on(1), 0, 0, 5, 50), (8, on(2), 5, 50, 0, 0), (9, on(1), 5, 50, 0, 0), (9, on(2), 5, 50, 0, 0), (10, on(1), 5, 50, 5, 60)]
+    daily = spark.createDataFrame(rows, "key int, day date, buy_qty long, buy_amt long, sell_qty long, sell_amt long")
+    want = [(key, *x) for key in range(11) for x in literal_costs([r[1:] for r in rows if r[0] == key])]
+    got = sorted(map(tuple, report.wavg_cost_returns(daily, ["key"], 64, whole_rows).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(want) > 100
+    assert [x for r in got for x in r[2:]] == pytest.approx([x for r in want for x in r[2:]], rel=1e-9, abs=1e-9)
