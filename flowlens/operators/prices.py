@@ -133,24 +133,34 @@ def last_close(contracts: DataFrame, prices: DataFrame, valuation_day: str) -> D
     return contracts.join(best, ["series", "list_date", "end_date"], "left")
 
 
-def recognise(events: DataFrame, lots: DataFrame, valuation_day: str, months: int = 2, tax: float = 0.001) -> DataFrame:
+#: What a lot's value rests on, beside its ``remaining``.
+LOT_TERMS = ("end_date", "official", "recorded", "kind", "strike", "settle", "ratio", "last_close", "close_day")
+
+
+def recognise(events: DataFrame, lots: DataFrame | None, valuation_day: str, months: int = 2, tax: float = 0.001) -> DataFrame:
     """Recognised value, return, day and status of events.
 
     events: event_id, day, status, amount, revenue, ret, exit_day; lots (remaining ones): event_id, remaining, end_date, recorded, kind, strike,
     settle, ratio, last_close, close_day, and official (whether the contract is of the official source; so if there is no such column).  A closed event
     keeps its outcome; a younger one than ``months`` is pending; of an older one each lot is settled, lapses or is marked at its last close.  A lot without
     a contract (end_date), one that has ended without an official contract or with a record that lacks a price or ratio, and one
-    without the close that it needs make the event fail.
+    without the close that it needs make the event fail.  Without ``lots`` what remains of an event is one lot, whose columns are the event's own; nothing
+    is joined then, and the lot's terms don't come out.
     """
     v = F.lit(valuation_day).cast("date")
     ended = v >= F.col("end_date")
-    official = F.coalesce(F.col("official"), F.lit(False)) if "official" in lots.columns else F.lit(True)
+    official = F.coalesce(F.col("official"), F.lit(False)) if "official" in (events if lots is None else lots).columns else F.lit(True)
     paid = settlement_value(*(F.col(c) for c in ("kind", "strike", "settle", "ratio")), tax, F.col("recorded"))
     unit = F.when(F.col("end_date").isNull() | (ended & ~official), F.lit(None)).when(ended, paid).otherwise(F.when(~F.isnan("last_close"), F.col("last_close")))
     reason = F.when(ended & F.col("recorded"), "settled").when(ended, "lapsed").otherwise("market")
-    valued = lots.select("event_id", (F.col("remaining") * unit).alias("value"), unit.isNull().alias("bad"), reason.alias("reason"), F.when(ended, F.col("end_date")).otherwise(v).alias("value_day"))
-    sums = valued.groupBy("event_id").agg(F.sum("value").alias("value"), F.max("bad").alias("bad"), F.collect_set("reason").alias("reasons"), F.max("value_day").alias("value_day"))
-    met = events.join(sums, "event_id", "left")
+    value_day = F.when(ended, F.col("end_date")).otherwise(v)
+    if lots is None:
+        left = lambda c: F.when(F.col("remaining") > 0, c)
+        met = events.withColumns({"value": left(F.col("remaining") * unit), "bad": left(unit.isNull()), "reasons": left(F.array(reason)), "value_day": left(value_day)}).drop(*LOT_TERMS)
+    else:
+        valued = lots.select("event_id", (F.col("remaining") * unit).alias("value"), unit.isNull().alias("bad"), reason.alias("reason"), value_day.alias("value_day"))
+        sums = valued.groupBy("event_id").agg(F.sum("value").alias("value"), F.max("bad").alias("bad"), F.collect_set("reason").alias("reasons"), F.max("value_day").alias("value_day"))
+        met = events.join(sums, "event_id", "left")
     due = v >= F.add_months("day", months)
     market = F.array_contains("reasons", "market")
     status = (

@@ -160,3 +160,28 @@ def test_checkpoint_with_allocations(spark, tmp_path):
     tables.write_checkpoint(events, str(tmp_path / "c"), sales)
     got = {r["event_id"]: ([x["code"] for x in r["open_lots"]], [x["lot_no"] for x in r["allocations"]]) for r in spark.read.parquet(str(tmp_path / "c")).collect()}
     assert got == {"e": ([2], [1, 2]), "f": ([1], [])}
+
+
+def test_matching_deals_rows_once(spark):
+    """Lots and sales travel once, outcomes once more beside the events; more rows are dealt to more partitions."""
+    lots = spark.createDataFrame([(1, 7, "1-a", DAY, 7, 5, 50), (1, 8, "1-a", DAY, 8, 5, 50), (2, 7, "2-a", DAY, 7, 5, 50)], "broker int, code int, event_id string, event_day date, lot_no int, qty bigint, amount bigint")
+    sales = spark.createDataFrame([(1, 7, day(1), 5, 60), (1, 8, day(2), 3, 30)], "broker int, code int, day date, sell_qty bigint, sell_amt bigint")
+    events = spark.createDataFrame([(1, "1-a", DAY, 10, 100), (2, "2-a", DAY, 5, 50)], "broker int, event_id string, day date, qty bigint, amount bigint")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    sold = fifo.fifo_match(lots, sales, ["broker", "code"], 7)
+    assert exchanges(sold) == 1 and sold.rdd.getNumPartitions() == 7
+    done = fifo.event_outcomes(events, sold, 7)
+    assert exchanges(done) <= 3
+    got = {r["event_id"]: (r["sold"], r["status"], r["first_reduce"], r["exit_day"], r["ret"]) for r in done.collect()}
+    assert got == {"1-a": (8, "reduced", day(1), None, 12.5), "2-a": (0, "open", None, None, None)}
+
+
+def test_valuation_of_events_that_are_their_own_lots(spark):
+    early, late = datetime.date(2024, 2, 1), datetime.date(2030, 1, 1)
+    rows = [(0, 10, early, True, None, 5.0, True), (1, 10, early, True, 110.0, 5.0, False), (2, 10, None, False, None, 5.0, True), (3, 10, late, False, None, None, True), (4, 10, early, False, None, None, True), (5, 10, early, True, 110.0, None, True), (6, 0, early, True, 110.0, 5.0, True), (7, 10, late, True, 110.0, 5.0, None)]
+    df = spark.createDataFrame([(e, DAY, "closed" if n == 0 else "open", 100.0, 0.0, 2.5 if n == 0 else None, early if n == 0 else None, n, end, rec, "call", 100.0, s, 1.0, last, end, off) for e, n, end, rec, s, last, off in rows], "event_id int, day date, status string, amount double, revenue double, ret double, exit_day date, remaining bigint, end_date date, recorded boolean, kind string, strike double, settle double, ratio double, last_close double, close_day date, official boolean")
+    terms = list(prices.LOT_TERMS)
+    want = prices.recognise(df.drop(*terms), df.where("remaining > 0").select("event_id", "remaining", *terms), "2024-06-30", tax=0.0)
+    got = prices.recognise(df, None, "2024-06-30", tax=0.0)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
