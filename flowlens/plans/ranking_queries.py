@@ -44,7 +44,7 @@ def _integrity(s: SparkSession, d: str) -> DataFrame:
     n = F.dayofmonth("day")
     status = Q._status(s, d).select("day", "status", (n * 100).alias("raw_rows"), (n * 10).alias("compact_rows"), (n * 9).alias("unique_rows"), F.when(n > 3, n % 4).alias("invalid_rows"))
     b = F.col("broker")
-    events = V.stored(R.recognised(s, d), "recognised").withColumns({"ma_status": F.when(b % 3 == 0, "OK").otherwise("Missing"), "reason": F.when(b % 5 > 0, F.concat(F.lit("r"), (b % 13).cast("string"), F.lit("："), b.cast("string"))).when(b % 2 == 0, " ")})
+    events = R.recognised(s, d).withColumns({"ma_status": F.when(b % 3 == 0, "OK").otherwise("Missing"), "reason": F.when(b % 5 > 0, F.concat(F.lit("r"), (b % 13).cast("string"), F.lit("："), b.cast("string"))).when(b % 2 == 0, " ")})
     return stats.integrity_counts(status, Q._calendar(s, d), events)
 
 

@@ -185,3 +185,12 @@ def test_valuation_of_events_that_are_their_own_lots(spark):
     got = prices.recognise(df, None, "2024-06-30", tax=0.0)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_integrity_counts_read_the_outcomes_as_they_are(spark, monkeypatch):
+    from flowlens.plans import registry, views
+
+    names, stored = [], views.stored
+    monkeypatch.setattr(views, "stored", lambda df, name: (names.append(name), stored(df, name))[1])
+    assert registry.QUERIES["a10_integrity_counts"](spark, "/root/testdata/sf0.001").columns == ["item", "value"]
+    assert names == ["facts", "events", "outcomes"]
